@@ -8,8 +8,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 @pytest.fixture(scope="session")
 def spark():
-    from tripleloom.session import build_session
+    from tripleloom.session import build_session, ship
 
     session = build_session("local[4]", 4)
+    ship(session)
     yield session
     session.stop()
