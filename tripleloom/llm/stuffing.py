@@ -20,6 +20,7 @@ one row; a text of any length is read whole.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -81,6 +82,19 @@ def _plainly_sentences(text: str, words: list[str]) -> bool:
     return sum(w in _FUNCTION for w in words) >= 0.2 * len(words)
 
 
+_SENTENCE = re.compile(r"(?:(?<=\s)|^)[A-ZÀ-ÞĂĐƠƯÁẢÃẠẤẦẨẪẬẮẰẲẴẶÉẺẼẸẾỀỂỄỆ][^.!?\n]{20,300}[.!?](?=\s|$)", re.M)
+
+
+def _sentence_places(text: str) -> list[tuple[int, int]]:
+    """Capitalised, ended runs of at least five words that hardly repeat a word."""
+    out = []
+    for m in _SENTENCE.finditer(text):
+        words = m[0].casefold().split()
+        if len(words) >= 5 and len(set(words)) >= 0.8 * len(words):
+            out.append(m.span())
+    return out
+
+
 def recurrence(keys: list[str]) -> np.ndarray:
     """For each token: whether it comes again within the lag window on either side."""
     n = len(keys)
@@ -124,6 +138,9 @@ def stuffed_share(text: str | None) -> float:
     n = len(keys)
     if n >= 8:
         again = recurrence(keys)
+        for begin, end in _sentence_places(text):
+            for i in range(bisect_left(at, (begin, 0)), bisect_left(at, (end, 0))):
+                closed[i] = True
         # a noun may look like a word with a particle, but words of sentences come again less often
         function = np.array(closed) | (np.array(ending) & ~again)
         digits = np.array(numbered)
