@@ -132,7 +132,8 @@ def _variants(symbols: np.ndarray) -> np.ndarray:
     for segment in range(SEGMENTS):
         word = symbols[:, segment * CELLS : (segment + 1) * CELLS]
         for out in range(CELLS):
-            key = np.full(len(symbols), np.uint64(segment * CELLS + out + 1) * np.uint64(0x9E3779B97F4A7C15), np.uint64)
+            seed = (segment * CELLS + out + 1) * 0x9E3779B97F4A7C15 % (1 << 64)
+            key = np.full(len(symbols), seed, np.uint64)
             for j in range(CELLS):
                 if j != out:
                     key = (key ^ word[:, j]) * np.uint64(0xBF58476D1CE4E5B9)
