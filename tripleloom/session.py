@@ -105,3 +105,14 @@ def one_row_per_key(df: DataFrame, *keys: str) -> DataFrame:
     single = df.join(marked, same, "left_anti")
     several = df.join(marked, same, "left_semi").dropDuplicates(list(keys))
     return single.unionByName(several)
+
+
+def rows_of_keys(df: DataFrame, wanted: DataFrame, key: str, present: bool = True) -> DataFrame:
+    """Rows whose ``key`` is (or is not) in ``wanted``, a table of distinct keys.
+
+    The keys are counted; at most ``BROADCAST_KEY_LIMIT`` are broadcast, so that the
+    other rows are never shuffled. More are joined by a shuffle.
+    """
+    how = "left_semi" if present else "left_anti"
+    few = wanted.limit(BROADCAST_KEY_LIMIT + 1).count() <= BROADCAST_KEY_LIMIT
+    return df.join(F.broadcast(wanted) if few else wanted, key, how)
