@@ -33,16 +33,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripleloom.llm.shingles import folded, inside, rolling, stream
-from tripleloom.session import materialise
+from tripleloom.session import materialise, rows_of_keys
 
 WIDTH = 5
 SIMILARITY = 0.5
 SEGMENTS, CELLS = 16, 5
 SYMBOLS = SEGMENTS * CELLS
-#: Symbols of four bits in the packed signature: 16 to a long.
-PACKED = SYMBOLS // 16
-#: Pairs whose packed signatures agree in fewer symbols are dropped unseen: 5 deviations under the mean at 0.5.
-LEAST_SYMBOLS = 25
+#: Longs of the packed signature, each of 16 symbols cut to four bits.
+PACKED = 3
+#: Pairs whose packed signatures agree in fewer symbols are dropped unseen: 3.3 deviations under the mean at 0.5.
+LEAST_SYMBOLS = 14
 
 
 def _space_table() -> np.ndarray:
@@ -127,8 +127,8 @@ def _packed(symbols: np.ndarray) -> list[np.ndarray]:
 
 
 def _variants(symbols: np.ndarray) -> np.ndarray:
-    """Keys of the deletion variants: (segment, symbol left out, the other symbols)."""
-    keys = np.zeros((len(symbols), SYMBOLS), np.uint64)
+    """32-bit keys of the deletion variants: (segment, symbol left out, the other symbols)."""
+    keys = np.zeros((len(symbols), SYMBOLS), np.uint32)
     for segment in range(SEGMENTS):
         word = symbols[:, segment * CELLS : (segment + 1) * CELLS]
         for out in range(CELLS):
@@ -138,11 +138,11 @@ def _variants(symbols: np.ndarray) -> np.ndarray:
                 if j != out:
                     key = (key ^ word[:, j]) * np.uint64(0xBF58476D1CE4E5B9)
                     key ^= key >> np.uint64(31)
-            keys[:, segment * CELLS + out] = key
-    return keys.view(np.int64)
+            keys[:, segment * CELLS + out] = (key >> np.uint64(32)).astype(np.uint32)
+    return keys.view(np.int32)
 
 
-SIGNATURE_SCHEMA = "key string, digest long, size int, variants array<long>, " + ", ".join(f"w{k} long" for k in range(PACKED))
+SIGNATURE_SCHEMA = "key string, digest long, size int, variants array<int>, " + ", ".join(f"w{k} long" for k in range(PACKED))
 
 
 def signed(rows: DataFrame) -> DataFrame:
@@ -177,7 +177,7 @@ def _agreeing(a: str, b: str) -> Column:
     for k in range(PACKED):
         x = f"({a}.w{k} ^ {b}.w{k})"
         differing.append(F.expr(f"bit_count(({x} | shiftrightunsigned({x}, 1) | shiftrightunsigned({x}, 2) | shiftrightunsigned({x}, 3)) & 1229782938247303441L)"))
-    return F.lit(SYMBOLS) - reduce(lambda p, q: p + q, differing)
+    return F.lit(16 * PACKED) - reduce(lambda p, q: p + q, differing)
 
 
 def near_copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -187,34 +187,29 @@ def near_copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     the key that stands for its class of exact copies; ``pairs`` (class_a, class_b,
     similarity) the classes of similarity ``SIMILARITY`` or more.
     """
-    signature = materialise(signed(rows), "near-copy-signatures")
-    classes = materialise(
-        signature.groupBy("digest").agg(
-            F.min("key").alias("class"), F.first("size").alias("size"), F.first("variants").alias("variants"), *[F.first(f"w{k}").alias(f"w{k}") for k in range(PACKED)]
-        ),
-        "near-copy-classes",
-    )
-    members = signature.select("key", "digest").distinct().join(classes.select("digest", "class"), "digest").select("key", "class")
-    index = classes.select(F.explode("variants").alias("variant"), "digest")
+    signature = materialise(signed(rows).withColumn("id", F.monotonically_increasing_id()), "near-copy-signatures")
+    # one key stands for each class of copies; only keys and digests are aggregated
+    least = signature.groupBy("digest").agg(F.min_by(F.struct("key", "id"), F.struct("key", "id")).alias("first"), F.count("*").alias("n"))
+    members = materialise(signature.select("key", "id", "digest").join(least, "digest").select("key", "id", F.col("first.key").alias("class"), F.col("first.id").alias("class_id")), "near-copy-members")
+    classes = rows_of_keys(signature, members.where("id != class_id").select("id"), "id", present=False)
+    index = classes.select(F.explode("variants").alias("variant"), "id")
     left, right = index.alias("l"), index.alias("r")
-    met = (
-        left.join(right, (F.col("l.variant") == F.col("r.variant")) & (F.col("l.digest") < F.col("r.digest")))
-        .select(F.col("l.digest").alias("a"), F.col("r.digest").alias("b"))
-        .distinct()
-    )
-    packed = classes.select("digest", "class", "size", *[f"w{k}" for k in range(PACKED)])
+    met = left.join(right, (F.col("l.variant") == F.col("r.variant")) & (F.col("l.id") < F.col("r.id"))).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
+    packed = signature.select("id", "size", *[f"w{k}" for k in range(PACKED)])
     x, y = packed.alias("x"), packed.alias("y")
     close = (
-        met.join(x, F.col("a") == F.col("x.digest"))
-        .join(y, F.col("b") == F.col("y.digest"))
+        met.join(x, F.col("a") == F.col("x.id"))
+        .join(y, F.col("b") == F.col("y.id"))
         # a set can't be similar to one more than twice its size; sizes here count repeated pieces, hence the slack
         .where((F.least("x.size", "y.size") * 3 >= F.greatest("x.size", "y.size")) & (_agreeing("x", "y") >= LEAST_SYMBOLS))
-        .select(F.col("x.class").alias("p"), F.col("y.class").alias("q"))
+        .select("a", "b")
     )
-    close = materialise(close, "near-copy-candidates")
+    names = members.where("id = class_id").select(F.col("id"), "class")
+    named = close.join(names.select(F.col("id").alias("a"), F.col("class").alias("p")), "a").join(names.select(F.col("id").alias("b"), F.col("class").alias("q")), "b").select("p", "q")
+    close = materialise(named, "near-copy-candidates")
     wanted = close.select(F.explode(F.array("p", "q")).alias("key")).distinct()
-    texts = rows.join(wanted, "key", "left_semi").dropDuplicates(["key"])
-    return members, _verified(close, texts)
+    texts = rows_of_keys(rows, wanted, "key").dropDuplicates(["key"])
+    return members.select("key", "class").distinct(), _verified(close, texts)
 
 
 def _verified(close: DataFrame, texts: DataFrame) -> DataFrame:
