@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleloom.llm import leakage, lookalike, markup, names, nearcopies, pairs, stuffing, tokenise
+from tripleloom.llm import leakage, lookalike, mapping, markup, names, nearcopies, pairs, stuffing, tokenise
 from tripleloom.session import table
 
 
@@ -50,6 +50,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.link_names(names.name_rows(table(spark, sf_dir, "candidate_entities"), table(spark, sf_dir, "ontology_terms")))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = mapping.free_values(*(table(spark, sf_dir, name) for name in ("query_terms", "term_choices", "candidate_entities")))
+    return mapping.map_values(values, table(spark, sf_dir, "reference_terms"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenise.encode_table(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -63,6 +68,6 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p2_clean, p3_found, p4_found, p4_canonical_labels, p6_found, p8_ids, p9_found, p10_found)
+    f.__name__: f for f in (p1_found, p2_found, p2_clean, p3_found, p4_found, p4_canonical_labels, p6_found, p7_found, p8_ids, p9_found, p10_found)
 }
 SQL: dict[str, str] = {}
