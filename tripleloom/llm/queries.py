@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleloom.llm import leakage, lookalike, mapping, markup, names, nearcopies, pairs, stuffing, tokenise
+from tripleloom.llm import leakage, lookalike, mapping, markup, names, nearcopies, pairs, scans, stuffing, tokenise
 from tripleloom.session import table
 
 
@@ -46,6 +46,10 @@ def p4_canonical_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.canonicalise(rows, "label").distinct()
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.scan_noise(scans.page_rows(table(spark, sf_dir, "evidence_units"), table(spark, sf_dir, "restorations")))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.link_names(names.name_rows(table(spark, sf_dir, "candidate_entities"), table(spark, sf_dir, "ontology_terms")))
 
@@ -68,6 +72,6 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p2_clean, p3_found, p4_found, p4_canonical_labels, p6_found, p7_found, p8_ids, p9_found, p10_found)
+    f.__name__: f for f in (p1_found, p2_found, p2_clean, p3_found, p4_found, p4_canonical_labels, p5_found, p6_found, p7_found, p8_ids, p9_found, p10_found)
 }
 SQL: dict[str, str] = {}
