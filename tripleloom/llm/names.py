@@ -450,10 +450,11 @@ def components(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataF
 def link_names(labels: DataFrame) -> DataFrame:
     """(name_id_a, name_id_b) of rows (name_id, kind in org/person, label): all pairs of one entity."""
     spark = labels.sparkSession
-    labels = labels.where("label is not null and name_id is not null").distinct()
+    labels = labels.where("label is not null and name_id is not null")
     kinds, fields = learn_parts(labels.where("kind = 'org'"))
     given = learn_given(labels.where("kind = 'person'"))
-    parsed = materialise(parse_names(labels, kinds, fields, given), "names-parsed")
+    # parsed where the rows lie, then one row for each
+    parsed = materialise(parse_names(labels, kinds, fields, given).distinct(), "names-parsed")
     # a core seen with a part lends it to its bare spellings: the commonest part of each exact core
     parts = parsed.where("part is not null").groupBy("kind", "core", "part", "extra").count()
     lent = parts.groupBy("kind", "core").agg(F.max_by("part", F.struct("count", "part")).alias("lent_part"), F.max_by("extra", F.struct(F.col("extra").isNotNull(), "count", "extra")).alias("lent_extra"))
