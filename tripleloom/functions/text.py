@@ -12,18 +12,19 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 KEPT = "[^0-9a-z가-힣]"
 #: White space in Unicode's sense, which the JVM's \\s is not.
 SPACE = "[\\s\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def casefold(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else t.casefold())
 

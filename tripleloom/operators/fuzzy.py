@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from tripleloom.functions.text import multiset_cosine, n2, ngrams
 
@@ -83,7 +84,7 @@ def grounded(value: str, evidence: str) -> bool:
 
 
 def _pairwise(function):
-    @pandas_udf("double")
+    @pandas_udf(DoubleType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None else function(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 

@@ -1,0 +1,329 @@
+"""Segmentation of pages, evidence units and selections."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from tripleloom.functions.text import n8, short_hash
+
+_DIVIDER = re.compile(r":?-{3,}:?")
+
+
+def markdown_cells(line: str) -> list[str]:
+    """Cells of a table row; an escaped bar stays in its cell."""
+    text = line.strip()
+    if len(text) < 2 or not text.startswith("|") or not text.endswith("|") or text.endswith("\\|"):
+        raise ValueError(f"no table row: {line!r}")
+    cells, cell, i = [], "", 1
+    while i < len(text):
+        if text[i] == "\\" and i + 1 < len(text) and text[i + 1] in "|\\":
+            cell += "|" if text[i + 1] == "|" else "\\"
+            i += 2
+            continue
+        if text[i] == "|":
+            cells.append(cell.strip())
+            cell = ""
+        else:
+            cell += text[i]
+        i += 1
+    return cells
+
+
+def is_table_start(header: str, divider: str) -> bool:
+    try:
+        a, b = markdown_cells(header), markdown_cells(divider)
+    except ValueError:
+        return False
+    return len(a) == len(b) and all(_DIVIDER.fullmatch(c) for c in b)
+
+
+def push_heading(stack: list[str], level: int, title: str) -> list[str]:
+    """The section path after a heading: cut to its level, padded, pushed."""
+    kept = stack[: level - 1]
+    return kept + [""] * (level - 1 - len(kept)) + [title]
+
+
+def segment_document(pages: list[tuple[int, str]]) -> Iterator[dict]:
+    """Evidence of a document's pages in order; sections and an open table carry over to the next page."""
+    stack: list[str] = []
+    previous: dict | None = None
+    for page, text in pages:
+        lines = text.split("\n")
+        block = table = 0
+        i, first = 0, True
+        while i < len(lines):
+            line = lines[i]
+            heading = re.match(r"^(#{1,6})\s+(.*\S)\s*$", line)
+            if not line.strip():
+                i += 1
+                continue
+            if heading:
+                stack = push_heading(stack, len(heading[1]), heading[2])
+                previous = None
+                i += 1
+                first = False
+                continue
+            if i + 1 < len(lines) and is_table_start(line, lines[i + 1]):
+                table += 1
+                header = markdown_cells(line)
+                same = previous and first and not any(header) and len(previous["header"]) == len(header) and previous["path"] == stack
+                effective = previous["header"] if same else header
+                table_id = f"page-{page:03d}:table-{table:02d}"
+                yield _evidence(page, f"{table_id}:row-0000", "table_header", line, stack, effective, i, previous["id"] if same else None)
+                j, row = i + 2, 0
+                while j < len(lines) and lines[j].strip().startswith("|"):
+                    row += 1
+                    if len(markdown_cells(lines[j])) != len(header):
+                        raise ValueError(f"ragged row on page {page}: {lines[j]!r}")
+                    yield _evidence(page, f"{table_id}:row-{row:04d}", "table_row", lines[j], stack, effective, j, None)
+                    j += 1
+                previous = {"header": effective, "path": list(stack), "id": table_id}
+                i = j
+            else:
+                j = i
+                while j < len(lines) and lines[j].strip() and not re.match(r"^#{1,6}\s", lines[j]) and not (j + 1 < len(lines) and is_table_start(lines[j], lines[j + 1])):
+                    j += 1
+                block += 1
+                yield _evidence(page, f"page-{page:03d}:block-{block:04d}", "block", "\n".join(lines[i:j]), stack, [], i, None)
+                previous = None
+                i = j
+            first = False
+
+
+def _evidence(page: int, locator: str, kind: str, quote: str, stack: list[str], header: list[str], line: int, continued: str | None) -> dict:
+    grounding = "\n".join([*(s for s in stack if s), *([" | ".join(header)] if header else []), quote])
+    return {"page": page, "locator": locator, "kind": kind, "quote": quote, "grounding_text": grounding, "section_path": list(stack), "header": header, "continuation_of": continued, "line_start": line + 1}
+
+
+EVIDENCE = "document string, page int, locator string, kind string, quote string, grounding_text string, section_path array<string>, header array<string>, continuation_of string, line_start int"
+
+
+def segment_pages(pages: DataFrame) -> DataFrame:
+    """Evidence rows of pages (document, page, text): one ordered scan for each document."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ordered = pdf.sort_values("page")
+        rows = list(segment_document(list(zip(ordered["page"], ordered["text"].fillna(""), strict=True))))
+        out = pd.DataFrame(rows, columns=["page", "locator", "kind", "quote", "grounding_text", "section_path", "header", "continuation_of", "line_start"])
+        out.insert(0, "document", ordered["document"].iloc[0])
+        return out
+
+    return pages.select("document", F.col("page").cast("int").alias("page"), "text").groupBy("document").applyInPandas(run, EVIDENCE)
+
+
+# ---- marked units: lines that carry their own locator -------------------------------------
+
+
+def unit_blocks(units: DataFrame) -> DataFrame:
+    """(unit_id, locator, kind, place, quote) of units (unit_id, text) with [BLOCK ..] and [ROW ..] markers."""
+    parts = units.select("unit_id", F.posexplode(F.split("text", r"(?m)^(?=\[(?:BLOCK|ROW) )")).alias("place", "part"))
+    head = r"^\[(BLOCK|ROW) ([^\]\n]*)\] ?"
+    return parts.where(F.col("part").rlike(head)).select(
+        "unit_id",
+        F.regexp_extract("part", head, 2).alias("locator"),
+        F.lower(F.regexp_extract("part", head, 1)).alias("kind"),
+        "place",
+        F.trim(F.regexp_replace(F.regexp_replace("part", head, ""), r"\n+$", "")).alias("quote"),
+    )
+
+
+def evidence_units(lines: DataFrame, least: int = 20) -> DataFrame:
+    """(source_unit_id, locator, quote): lines (place, locator, line) long enough, first of equals, numbered by locator."""
+    shown = F.length(F.regexp_replace("line", r"[|\s*_`#>-]", ""))
+    text = lines.where(~F.col("line").rlike(r"^\s*(?:#|\||-{3,}|<!--)") & (shown >= least)).withColumn("quote", F.trim(F.regexp_replace("line", r"\s*<!--.*?-->\s*", " ")))
+    same = F.row_number().over(Window.partitionBy(n8(F.col("quote"))).orderBy("place"))
+    first = text.withColumn("same", same).where("same = 1")
+    number = F.row_number().over(Window.partitionBy("locator").orderBy("place"))
+    named = F.concat(F.col("locator"), F.lit("-"), F.lpad(number.cast("string"), 3, "0"), F.lit("-"), short_hash(F.col("quote"), 10))
+    return first.select(named.alias("source_unit_id"), "locator", "quote", "place")
+
+
+def round_robin(rows: DataFrame, group: str, place: str, limit: int) -> DataFrame:
+    """The first ``limit`` rows taken in turn from each group in order."""
+    depth = F.row_number().over(Window.partitionBy(group).orderBy(place))
+    return rows.withColumn("depth", depth).orderBy("depth", group).limit(limit)
+
+
+# The tags of a question's style, in order.
+STYLE_TAGS = (
+    ("greeting", r"^\s*(?:안녕|hola|hello|hi\b)"), ("question_mark", r"\?\s*$"), ("polite", r"(?:요|니다|please|por favor)[.?!]*\s*$"), ("number", r"\d"),
+    ("emoticon", r"[ㅠㅜㅋㅎ]{2,}|[:;]\)"), ("emphasis", r"!|¡"), ("multi_sentence", r"[.?!]\s+\S"), ("quote", r"[\"'“”‘’]"),
+)
+SHORT, LONG = 25, 90
+
+
+def style_tags(c: Column) -> Column:
+    """Tags of a question: patterns, and its length."""
+    found = [F.when(c.rlike("(?i)" + pattern), F.lit(tag)) for tag, pattern in STYLE_TAGS]
+    found += [F.when(F.length(c) <= SHORT, F.lit("short")), F.when(F.length(c) >= LONG, F.lit("long"))]
+    return F.array_compact(F.array(*found))
+
+
+def diverse_pick(rows: DataFrame, key: str, column: str, limit: int) -> DataFrame:
+    """(key, tag): rows taken in turn from the tags' buckets in tag order; a row's first turn counts."""
+    order = [t for t, _ in STYLE_TAGS] + ["short", "long"]
+    tagged = rows.select(key, F.explode(style_tags(F.col(column))).alias("tag")).withColumn("tag_place", F.array_position(F.array(*[F.lit(t) for t in order]), F.col("tag")))
+    turn = F.row_number().over(Window.partitionBy("tag").orderBy(key))
+    seats = tagged.withColumn("turn", turn).groupBy(key).agg(F.min(F.struct("turn", "tag_place", "tag")).alias("m"))
+    return seats.orderBy("m.turn", "m.tag_place").limit(limit).select(key, F.col("m.tag").alias("tag"))
+
+
+def chunk_locators(rows: DataFrame, most: int = 1200) -> DataFrame:
+    """(unit_id, chunk, locators): runs of blocks (unit_id, place, locator, quote) of at most ``most`` characters."""
+    items = F.array_sort(F.collect_list(F.struct("place", "locator", F.length("quote").alias("size"))))
+    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("size"), F.array().cast("array<struct<chunk:int,locator:string>>").alias("out"))
+
+    def step(acc, x):
+        full = (acc.size > 0) & (acc.size + x.size > most)
+        chunk = F.when(full, acc.chunk + 1).otherwise(acc.chunk)
+        size = F.when(full, x.size).otherwise(acc.size + x.size)
+        return F.struct(chunk.alias("chunk"), size.alias("size"), F.concat(acc.out, F.array(F.struct(chunk.alias("chunk"), x.locator.alias("locator")))).alias("out"))
+
+    folded = rows.groupBy("unit_id").agg(items.alias("items")).select("unit_id", F.explode(F.aggregate("items", start, step).out).alias("o"))
+    return folded.groupBy("unit_id", F.col("o.chunk").alias("chunk")).agg(F.sort_array(F.collect_list("o.locator")).alias("locators"))
+
+
+def row_batches(rows: DataFrame, size: int = 4) -> DataFrame:
+    """(unit_id, batch, locators): rows in groups of ``size``; headers and rows that name a time stand alone.
+
+    rows: (unit_id, place, locator, quote, header BOOLEAN).
+    """
+    alone = F.col("header") | F.col("quote").rlike(r"\d{1,2}:\d{2}|\d{1,2}월 ?\d{1,2}일.*\d{1,2}시")
+    w = Window.partitionBy("unit_id").orderBy("place")
+    marked = rows.withColumn("alone", alone).withColumn("run", F.sum((F.col("alone") | F.coalesce(F.lag("alone").over(w), F.lit(True))).cast("int")).over(w))
+    inside = F.row_number().over(Window.partitionBy("unit_id", "run").orderBy("place")) - 1
+    batched = marked.withColumn("part", F.floor(inside / size))
+    return batched.groupBy("unit_id", "run", "part").agg(F.sort_array(F.collect_list("locator")).alias("locators")).select("unit_id", F.struct("run", "part").alias("batch"), "locators")
+
+
+def clean_restoration(c: Column) -> Column:
+    """Without code fences and lines that are only a page number."""
+    plain = F.regexp_replace(c, r"(?m)^```[a-z]*\s*$\n?", "")
+    return F.trim(F.regexp_replace(plain, r"(?m)^\s*[-–—·]?\s*\d{1,4}\s*[-–—·]?\s*$\n?", ""))
+
+
+def restoration_status(numbers: Column, words: Column, word_coverage: Column, source_coverage: Column) -> Column:
+    """passed, or needs_review with unsupported numbers or words or low coverage."""
+    bad = (F.size(numbers) > 0) | (F.size(words) > 0) | (F.coalesce(word_coverage, F.lit(0.0)) < 0.98) | (F.coalesce(source_coverage, F.lit(0.0)) < 0.98)
+    return F.when(bad, "needs_review").otherwise("passed")
+
+
+# ---- HTML notices ----------------------------------------------------------------------
+
+
+class _Grid(HTMLParser):
+    """Tables of a page as rectangular grids; nested tables are tables of their own."""
+
+    VOID = {"br", "hr", "img", "input", "meta", "link", "col", "wbr"}
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.tables: list[list[list[str]]] = []
+        self.open: list[dict] = []
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        given = dict(attrs)
+        if tag == "table":
+            self.open.append({"rows": [], "cell": None})
+        elif self.open and tag == "tr":
+            self.open[-1]["rows"].append([])
+        elif self.open and tag in ("td", "th"):
+            t = self.open[-1]
+            if not t["rows"]:
+                t["rows"].append([])
+            span = lambda k: max(1, int(given[k])) if (given.get(k) or "").isdigit() else 1
+            t["cell"] = [span("rowspan"), span("colspan"), ""]
+            t["rows"][-1].append(t["cell"])
+        elif self.open and self.open[-1]["cell"] is not None and tag == "br":
+            self.open[-1]["cell"][2] += "\n"
+
+    def handle_endtag(self, tag: str) -> None:
+        if not self.open:
+            return
+        if tag in ("td", "th", "tr"):
+            self.open[-1]["cell"] = None
+        elif tag == "table":
+            self.tables.append(expand_spans(self.open.pop()["rows"]))
+
+    def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1]["cell"] is not None:
+            self.open[-1]["cell"][2] += data.replace("\xa0", " ")
+
+
+def expand_spans(rows: list[list[list]]) -> list[list[str]]:
+    """A rectangular grid: spans repeat their value, ragged rows are padded."""
+    grid: list[list[str | None]] = [[] for _ in rows]
+    for r, row in enumerate(rows):
+        column = 0
+        for down, across, text in row:
+            value = " ".join(text.split())
+            while column < len(grid[r]) and grid[r][column] is not None:
+                column += 1
+            for y in range(r, min(r + down, len(rows))):
+                grid[y] += [None] * (column + across - len(grid[y]))
+                for x in range(column, column + across):
+                    grid[y][x] = value if grid[y][x] is None else grid[y][x]
+            column += across
+    width = max(map(len, grid), default=0)
+    return [[c or "" for c in row] + [""] * (width - len(row)) for row in grid]
+
+
+def html_tables(html: str | None) -> list[list[list[str]]]:
+    parser = _Grid()
+    parser.feed(html or "")
+    while parser.open:
+        parser.tables.append(expand_spans(parser.open.pop()["rows"]))
+    return parser.tables
+
+
+class _Text(HTMLParser):
+    BLOCK = {"p", "div", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "table", "ul", "ol", "section"}
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.out: list[str] = []
+        self.hidden = 0
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.hidden += tag in ("script", "style")
+        if tag in self.BLOCK or tag == "br":
+            self.out.append("\n")
+
+    def handle_endtag(self, tag: str) -> None:
+        self.hidden -= tag in ("script", "style") and self.hidden > 0
+        if tag in self.BLOCK:
+            self.out.append("\n")
+
+    def handle_data(self, data: str) -> None:
+        if not self.hidden:
+            self.out.append(re.sub(r"\s+", " ", data.replace("\xa0", " ")))
+
+
+def html_text(html: str | None) -> str:
+    parser = _Text()
+    parser.feed(html or "")
+    lines = (re.sub(r" +", " ", x).strip() for x in "".join(parser.out).split("\n"))
+    return "\n".join(x for x in lines if x)
+
+
+def table_grid(pages: DataFrame) -> DataFrame:
+    """(page_id, table_id, row, column, value) of pages (page_id, html)."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(p, t, r, c, v) for p, h in zip(pdf["page_id"], pdf["html"], strict=True) for t, grid in enumerate(html_tables(h)) for r, line in enumerate(grid) for c, v in enumerate(line)]
+            yield pd.DataFrame(rows, columns=["page_id", "table_id", "row", "column", "value"])
+
+    kind = dict(pages.dtypes)["page_id"]
+    return pages.select("page_id", "html").mapInPandas(run, f"page_id {kind}, table_id int, row int, column int, value string")
+
+
+def content_hash(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
