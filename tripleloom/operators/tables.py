@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripleloom.functions.text import n9
+
 
 def islands(values: DataFrame, group: str, value: str) -> DataFrame:
     """(group, first, last, centre): runs of consecutive integers and their rounded mean."""
@@ -146,7 +148,7 @@ def typed_value(c: Column) -> Column:
     none = F.lit(None).cast("string")
     made = lambda kind, i, s, unit, comparator: F.struct(F.lit(kind).alias("kind"), i.alias("value_int"), s.alias("value_str"), unit.alias("unit"), comparator.alias("comparator"))
     return (
-        F.when(F.coalesce(F.trim(c), F.lit("")) == "", made("empty", F.lit(None).cast("int"), none, none, none))
+        F.when(F.coalesce(n9(c), F.lit("")) == "", made("empty", F.lit(None).cast("int"), none, none, none))
         .when(c.rlike(credit), made("integer", number, none, F.lit("credit"), F.when(bound == "이상", ">=").when(bound == "이하", "<=").otherwise("=")))
         .when(F.trim(c) == "미지정", made("not_designated", F.lit(None).cast("int"), none, none, none))
         .otherwise(made("string", F.lit(None).cast("int"), F.trim(c), none, none))
