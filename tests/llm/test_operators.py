@@ -1,0 +1,371 @@
+"""The training-data operators on small fixtures: meaning, edge cases, brute force."""
+
+from __future__ import annotations
+
+import base64
+import os
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tripleloom.llm import leakage, lookalike, mapping, markup, names, nearcopies, pairs, scans, stuffing, tokenise
+
+QA = "conversation_id string, messages array<struct<role:string,content:string>>, evidence array<struct<source_unit_id:string,locator:string,quote:string>>, reference_answer string"
+
+
+def rows(df):
+    return {tuple(r) for r in df.collect()}
+
+
+# ---- near copies ---------------------------------------------------------------------
+
+
+def _texts(seed: int, n: int) -> list[tuple[str, str]]:
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("가나다라마바사아자차카타파하") for _ in range(rng.randint(2, 4))) for _ in range(400)]
+    out = []
+    for i in range(n):
+        base = [rng.choice(words) for _ in range(60)]
+        out.append((f"k{i:03d}", " ".join(base)))
+        if i % 3 == 0:
+            edited = list(base)
+            for _ in range(rng.randint(1, 9)):
+                edited[rng.randrange(60)] = rng.choice(words)
+            out.append((f"k{i:03d}x", " ".join(edited)))
+        if i % 10 == 0:
+            out.append((f"k{i:03d}y", " ".join(base).replace(" ", "  ").upper()))
+    return out
+
+
+def test_near_copies_match_brute_force(spark):
+    texts = _texts(5, 60)
+    qa = spark.createDataFrame([(k, [("user", t)], [], "a") for k, t in texts], QA)
+    found = rows(nearcopies.repeated_records(qa))
+    exact = {(a, b) for i, (a, x) in enumerate(texts) for b, y in texts[i + 1 :] if nearcopies.jaccard(x, y) >= 0.5}
+    exact = {tuple(sorted(p)) for p in exact}
+    assert len(exact) > 20
+    assert found <= exact
+    assert len(found) >= 0.97 * len(exact)
+
+
+def test_near_copies_edge_cases(spark):
+    long = "복수전공을 승인받은 학생은 " * 400
+    data = [
+        ("a", [("user", long)], None, None), ("b", [("user", long)], [], None), ("a", [("user", long)], None, None), ("c", None, None, None),
+        ("d", [("user", None)], [("u", "l", None)], ""), ("e", [("user", "짧")], [], ""), (None, [("user", long)], None, None),
+    ]
+    qa = spark.createDataFrame(data, QA).withColumn("key", F.lit(1)).withColumn("text", F.lit("clash"))
+    assert rows(nearcopies.repeated_records(qa)) == {("a", "b")}
+    assert rows(nearcopies.repeated_records(qa.limit(0))) == set()
+
+
+def test_third_of_all_rows_are_copies(spark):
+    texts = _texts(9, 30)
+    copies = [(f"z{i:02d}", texts[0][1]) for i in range(15)]
+    qa = spark.createDataFrame([(k, [("user", t)], [], "a") for k, t in texts + copies], QA)
+    found = rows(nearcopies.repeated_records(qa))
+    assert sum(a.startswith("z") and b.startswith("z") for a, b in found) == 15 * 14 // 2
+
+
+# ---- markup -------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(
+    ("text", "languages", "shown"),
+    [
+        ("<p>하나<br>둘</p><ul><li>가<li>나</ul>", ["html"], "- 가"),
+        ("A &amp; B", ["html"], "A & B"),
+        ("## 제목\n\n- 하나\n- [x] 둘", ["markdown"], "제목"),
+        ("| a | b |\n| --- | --- |\n| 1 | <b> |", ["markdown"], "a | b"),
+        ("```\n<p>x</p> [[y]]\n```", ["markdown"], "<p>x</p>"),
+        ("== 제목 ==\n[[분류:가]] {{안내문|2030}} '''굵게'''", ["wiki"], "제목"),
+        ('{| class="wikitable"\n! 과목 !! 학점\n|-\n| 가 || 3\n|}', ["wiki"], "과목 | 학점"),
+        ("평점은 $G = \\frac{a}{b}$ 이다. \\textbf{굵게}", ["latex"], "G = \\frac{a}{b}"),
+        ("\\begin{itemize}\n\\item 하나\n\\end{itemize}", ["latex"], "- 하나"),
+        ("정원이 50 < 60 이면, 48$ 정도, <표 3>, 정원* 표시, C# 5*2, HBC_83_A, R&D [제2호]", [], "50 < 60"),
+        ("- 75 -\n— 3 —\n[70]", [], "- 75 -"),
+        ("<table><tr><td>a<td>b<tr><td>c<td>d</table>", ["html"], "a | b"),
+        ("<script>hidden()</script>보임<!-- 숨김 -->", ["html"], "보임"),
+    ],
+)
+def test_markup(text, languages, shown):
+    clean, found = markup.clean_markup(text)
+    assert found == languages
+    assert shown in clean
+    assert "hidden" not in clean
+
+
+def test_markup_table(spark):
+    data = [("1", None), ("2", ""), ("3", "그냥 글"), ("4", "**굵게**"), ("4", "**굵게**"), ("5", "<b>x</b> " * 3000)]
+    df = spark.createDataFrame(data, "id string, body string").withColumn("record_id", F.lit("clash")).withColumn("markups", F.lit("clash"))
+    assert rows(markup.markup_found(df, "id", "body")) == {("4", "markdown"), ("5", "html")}
+    clean = {r["record_id"]: r["clean_text"] for r in markup.render_markup(df, "id", "body").collect()}
+    assert clean["1"] is None and clean["2"] == "" and clean["3"] == "그냥 글" and clean["4"] == "굵게"
+    assert markup.markup_found(df.limit(0), "id", "body").count() == 0
+
+
+# ---- pairs --------------------------------------------------------------------------------
+
+EVIDENCE = ["첫 문장은 여기에서 끝난다. 통합화학특강은 체육역사학부 과목으로서 신청자가 96명 미만일 때 폐강할 수 있다. 마지막 문장이다."]
+
+
+@pytest.mark.parametrize(
+    ("question", "answer", "defect"),
+    [
+        ("폐강 기준이 몇 명이에요?", None, "empty"),
+        ("폐강 기준이 몇 명이에요?", " \u200b—…", "empty"),
+        ("폐강 기준이 몇 명이에요?", "죄송합니다. 제가 답변드릴 수 없는 질문입니다.", "refusal"),
+        ("Where is the desk?", "I must decline to answer; please ask something else.", "refusal"),
+        ("폐강 기준이 몇 명이에요?", "질문: 폐강기준이 몇 명이에요", "copied"),
+        ("폐강 기준이 몇 명이에요?", "폐강 기준이 몇 명이에요? 폐강 기준이 몇 명이에요?", "copied"),
+        ("폐강 기준이 몇 명이에요?", "폐강 기준이 몇 명이에요? 96명 미만", None),
+        ("폐강 기준이 몇 명이에요?", "Students may carry over nine credits in the spring term.", "other_language"),
+        ("Where should the form be handed in?", "신청 확인서는 정보전산팀에 제출하여야 한다.", "other_language"),
+        ("What is the limit?", "Le dossier doit être déposé avant le 19 juin.", "other_language"),
+        ("폐강 기준이 몇 명이에요?", "通合化学特讲的名额为96名。", "other_language"),
+        ("폐강 기준이 몇 명이에요?", "통합화학특강은 체육역사학부 과목으로서 신청자가", "truncated"),
+        ("폐강 기준이 몇 명이에요?", "통합화학특강은 체육역사학부 과목으로서 신청…", "truncated"),
+        ("폐강 기준이 몇 명이에요?", "통합화학특강은 체육역사학부 과목으로서 신청자가 96명 미만일 때 폐강할 수 있다", None),
+        ("폐강 기준이 몇 명이에요?", "96명 미만", None),
+        ("폐강 기준이 몇 명이에요?", "안내가 늦어 죄송합니다. 통합화학특강은 체육역사학부 과목으로서 신청자가 96명 미만일 때 폐강할 수 있다.", None),
+        ("전화로 되나요?", "전화로는 답변하지 않는다.", None),
+    ],
+)
+def test_defects(question, answer, defect):
+    assert pairs.defect_of(question, answer, EVIDENCE) == defect
+
+
+def test_broken_pairs_table(spark):
+    data = [
+        ("a", [("user", "무엇인가요?"), ("assistant", "")], None, ""), ("a", [("user", "무엇인가요?"), ("assistant", "")], None, ""), ("b", None, None, None),
+        ("c", [("assistant", "답")], [], "답이다."), ("d", [("user", None), ("assistant", "x")], [], "좋은 답이다."),
+    ]
+    qa = spark.createDataFrame(data, QA).withColumn("question", F.lit(1)).withColumn("n", F.lit(1)).withColumn("spike", F.lit(1))
+    assert rows(pairs.broken_pairs(qa)) == {("a", "empty"), ("b", "empty")}
+    assert pairs.broken_pairs(qa.limit(0)).count() == 0
+
+
+def test_length_spikes(spark):
+    data = [(str(i), "가" * 40) for i in range(60)] + [(f"x{i}", "나" * (20 + i % 50)) for i in range(100)]
+    found = rows(pairs.length_spikes(spark.createDataFrame(data, "conversation_id string, answer string")))
+    assert found == {(40,)}
+
+
+# ---- look-alikes -------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(
+    ("text", "form"),
+    [
+        ("ＨＢＣ４１４８", "HBC4148"), ("가", "가"), ("a\u200bb\xad", "ab"), ("한\u3000글\xa0x", "한 글 x"), ("lеаst", "least"), ("HΒC", "HBC"),
+        ("Кафедра", "Кафедра"), ("α 반", "α 반"), ("café naïve", "café naïve"), ("a\tb\nc", "a\tb\nc"), ("", ""), (None, None),
+    ],
+)
+def test_canonical(text, form):
+    assert lookalike.canonical(text) == form
+
+
+def test_changed_records(spark):
+    data = [(1, "plain"), (2, "ｗｉｄｅ"), (2, "ｗｉｄｅ"), (3, None), (4, ""), (5, "Кафедра"), (6, "x" * 50000 + "\u200b")]
+    df = spark.createDataFrame(data, "id long, label string").withColumn("value", F.lit(1)).withColumn("record_id", F.lit(1))
+    assert rows(lookalike.changed_records(df, "id", "label")) == {("2",), ("6",)}
+    one = {r["id"]: r["canonical"] for r in lookalike.canonicalise(df.select("id", "label", F.lit(9).alias("canonical")), "label").collect()}
+    assert one[2] == "wide" and one[3] is None and one[1] == "plain"
+    assert lookalike.changed_records(df.limit(0), "id", "label").count() == 0
+
+
+# ---- scans ----------------------------------------------------------------------------------------
+
+
+def test_scan_repair(spark):
+    body = "휴학 중인 학생이라도 학점 교환 신청을 정해진 순서에 따라 제출하여야 한다. 재학생은 수업을 듣는다."
+    data = [(f"u{i}", body) for i in range(60)]
+    words = body.split()  # furniture stands between words, at another place on each page
+    data += [(f"h{i}", f"{' '.join(words[: i + 2])}\n학사 규정집 제{i}편\n{' '.join(words[i + 2 :])}") for i in range(6)]
+    data += [("hy", "휴학 중인 학생이라도 학점 교-\n환 신청을 낸다."), ("mi", "휴학 중인 힉생이라도 l3학점을 낸다."), ("pg", f"{body}\n- 17 -"), ("ok", "신청 기간 -\n9월 1일부터"), ("nu", None), ("em", ""), ("mi", "휴학 중인 힉생이라도 l3학점을 낸다.")]
+    df = spark.createDataFrame(data, "record_id string, text string").withColumn("record_table", F.lit("t")).withColumn("noise", F.lit("clash"))
+    found = {(r["record_id"], r["noise"]) for r in scans.scan_noise(df).collect()}
+    assert {(f"h{i}", "header") for i in range(6)} <= found
+    assert {("hy", "hyphen"), ("mi", "misread"), ("pg", "pageno")} <= found
+    assert not {r for r in found if r[0] in ("ok", "nu", "em") or r[0].startswith("u")}
+    fixed = {r["record_id"]: r["repaired"] for r in scans.repair_pages(df).collect()}
+    assert fixed["hy"] == "휴학 중인 학생이라도 학점 교환 신청을 낸다."
+    assert fixed["mi"] == "휴학 중인 학생이라도 13학점을 낸다."
+    assert fixed["pg"] == body and fixed["h3"] == body and fixed["nu"] is None
+    assert scans.scan_noise(df.limit(0)).count() == 0
+
+
+def test_ranker_on_held_out_words():
+    rng = random.Random(3)
+    words = [("".join(rng.choice("학점정원과목수업년공청간졸생확출교실습") for _ in range(rng.randint(2, 5))), rng.randint(50, 4000)) for _ in range(400)]
+    words = sorted(dict(words).items(), key=lambda w: -w[1])
+    model = scans.fit_ranker(words[::2])
+    import numpy as np
+
+    random_np = np.random.default_rng(1)
+    good = [(scans._corrupted(w, random_np), w, n) for w, n in words[1::2]]
+    good = [g for g in good if g[0]]
+    right = model.probability(np.array([scans.features(c, max(1, n // 100), w, n) for c, w, n in good]))
+    other = model.probability(np.array([scans.features(w[:-1] + "을", n // 3, w[:-1] + "은", n) for w, n in words[1::2]]))
+    assert (right >= 0.5).mean() > 0.9 and (other < 0.5).mean() > 0.95
+
+
+# ---- names ------------------------------------------------------------------------------------------
+
+FIELDS = ["산림자원", "수중고고", "뇌인지", "지역문화", "로봇제어", "언어치료", "방송영상", "평생교육"]
+KINDS = ["연구센터", "위원회", "학생회", "지원실", "연구원", "협의회"]
+
+
+def _bodies(n: int, seed: int = 2) -> list[tuple[int, str, int]]:
+    rng = random.Random(seed)
+    syllables = [chr(0xAC00 + 588 * a + 28 * b + c) for a in (2, 3, 5, 6, 7, 9, 12) for b in (0, 8, 13, 20) for c in (0, 4, 8, 16)]
+    out, key = [], 0
+    for i in range(n):
+        name, field, kind = "".join(rng.choice(syllables) for _ in range(4)), FIELDS[i % 8], KINDS[i % 6]
+        for label in (name + field + kind, f"{kind}, {name} {field}", f"{name} {kind} ({field})", f"(부설){name}{field}{kind}", f"{name}{field[0]}{field[2] if len(field) > 3 else field[1]}{kind}"):
+            out.append((key, label, i))
+            key += 1
+    return out
+
+
+def test_names_link(spark):
+    bodies = _bodies(40)
+    df = spark.createDataFrame([(k, "org", label) for k, label, _ in bodies] + [(None, "org", "x"), (9001, "org", None), (9002, "org", ""), (0, "org", bodies[0][1])], "name_id long, kind string, label string").withColumn("root", F.lit(1))
+    found = rows(names.link_names(df))
+    entity = {k: e for k, _, e in bodies}
+    truth = {(a, b) for a in entity for b in entity if a < b and entity[a] == entity[b]}
+    assert len(found & truth) >= 0.95 * len(truth)
+    assert len(found - truth) <= 0.02 * len(truth)
+    assert names.link_names(df.limit(0)).count() == 0
+
+
+def test_persons_link(spark):
+    labels = [
+        "Katrissa M. Drotitandan", "Drotitandan, Katrissa M.", "K. Drotitandan", "DROTITANDAN, Katrissa", "Drotitandan 교수님", "Katrissa Drotitandna", "Dr. Katrissa Drotitandan",
+        "Katrissa H. Mopifanri", "Katrissa \"Kati\" Mopifanri", "Mopifanri Katrissa", "KatrissaMopifanri", "Samothea E. Krasisekro", "Samothea T. Vutidrese",
+    ]
+    df = spark.createDataFrame([(i, "person", x) for i, x in enumerate(labels)], "name_id long, kind string, label string")
+    found = rows(names.link_names(df))
+    assert found == {(a, b) for a in range(7) for b in range(a + 1, 7)} | {(a, b) for a in range(7, 11) for b in range(a + 1, 11)}
+
+
+def test_radius_join_is_exact(spark):
+    rng = random.Random(11)
+    cores = sorted({"".join(rng.choice("abcdef") for _ in range(rng.randint(5, 8))) for _ in range(700)})
+    nodes = spark.createDataFrame([(i, "person", c, c, "x", None, None) for i, c in enumerate(cores)], "id long, kind string, core string, letters string, part string, extra string, middle string")
+    found = rows(names.radius_pairs(nodes))
+    exact = {(i, j) for i, a in enumerate(cores) for j, b in enumerate(cores) if i < j and names.edit_distance(a, b, 2) <= 2}
+    assert found == exact and len(exact) > 50
+
+
+# ---- mapping ---------------------------------------------------------------------------------------
+
+REFERENCE = [
+    ("urn:x:dept-000", "해양바이오전공", "Marine Bioscience", "HD410", "hbu:Department"), ("urn:x:dept-001", "해양정책학과", "Marine Policy", "HD417", "hbu:Department"),
+    ("urn:x:dept-002", "해양통신공학과", "Marine Telecom", "HD424", "hbu:Department"), ("urn:x:course-000", "기초회로개론", "Basic Circuits Introduction", "HBC2003", "hbu:Course"),
+    ("urn:x:course-001", "기초경제개론", "Basic Economics Introduction", "HBC2016", "hbu:Course"), ("urn:x:action-000", "수강신청 정정", "Enrollment Change", "HA101", "hbu:AdministrativeAction"),
+]
+
+
+@pytest.mark.parametrize(
+    ("value", "iri"),
+    [
+        ("해양 바이오전공", "urn:x:dept-000"), ("해양바이오젼공", "urn:x:dept-000"), ("해양정책학", "urn:x:dept-001"), ("hd-417", "urn:x:dept-001"), ("HBC2016 기초경제개론", "urn:x:course-001"),
+        ("Marine Telecmo", "urn:x:dept-002"), ("ENROLLMENT-CHANGE", "urn:x:action-000"), ("수강신청정정", "urn:x:action-000"), ("rlchghlfhrofhs", "urn:x:course-000"), ("urn:other:dept_2", "urn:x:dept-002"),
+        ("hbu:dept-999", "UNMATCHED"), ("탐험 박물관", "UNMATCHED"), ("없음", "UNMATCHED"), (None, "UNMATCHED"), ("", "UNMATCHED"), ("?!", "UNMATCHED"), ("우리 해양정책학과 쪽", "urn:x:dept-001"),
+    ],
+)
+def test_mapping(value, iri):
+    assert mapping.ReferenceIndex(REFERENCE).match(value) == iri
+
+
+def test_mapping_table(spark):
+    reference = spark.createDataFrame(REFERENCE, "iri string, label string, alt_label string, code string, term_type string")
+    data = [("t", 1, "해양정책학과", None), ("t", 1, "해양정책학과", None), ("t", 2, None, "hbu:Course"), ("u", 3, "x" * 20000, None)]
+    df = spark.createDataFrame(data, "record_table string, record_id long, value string, kind string").withColumn("iri", F.lit("clash"))
+    assert rows(mapping.map_values(df, reference)) == {("t", 1, "urn:x:dept-001"), ("t", 2, "UNMATCHED"), ("u", 3, "UNMATCHED")}
+    assert mapping.map_values(df.limit(0), reference).count() == 0
+    assert rows(mapping.map_values(df.where("record_id = 1"), reference.limit(0))) == {("t", 1, "UNMATCHED")}
+
+
+# ---- tokens ------------------------------------------------------------------------------------------
+
+needs_vocabulary = pytest.mark.skipif(not os.path.isdir(tokenise.VOCABULARY_DIR), reason="no public vocabularies here")
+SAMPLES = ["", "Hello world", "학사경고를 8회 받은 학생은", "  \n\t x", "<|endoftext|> a", "👨‍👩‍👧 é 한자漢字", "zq" * 300, "don't I'll", "\x00\u200b"]
+
+
+@needs_vocabulary
+def test_encoder_equals_the_library(spark):
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(f"{tokenise.VOCABULARY_DIR}/{tokenise.VOCABULARY}", "rb"))}
+    library = tiktoken.Encoding("own", pat_str=tokenise.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    df = spark.createDataFrame([*enumerate(SAMPLES), (3, SAMPLES[3]), (99, None)], "doc_id long, text string").withColumn("ids", F.lit(1))
+    got = {r["doc_id"]: r["ids"] for r in tokenise.encode_table(df, "doc_id", "text").collect()}
+    assert got == {i: library.encode_ordinary(t) for i, t in enumerate(SAMPLES)} | {99: []}
+    assert all(library.decode(got[i]) == t for i, t in enumerate(SAMPLES))
+    assert tokenise.encode_table(df.limit(0), "doc_id", "text").count() == 0
+
+
+@needs_vocabulary
+def test_prefix_table_appends_and_edits():
+    encoder = tokenise.load_encoder()
+    word, more, other = "abcdefghij학점".encode(), "신청 xyz".encode(), "abcdeXghij학점".encode()
+    table = encoder.prefixes(word)
+    assert encoder.append(table, word, more) == encoder.prefixes(word + more)
+    assert encoder.edit(table, word, other) == encoder.prefixes(other)
+    assert encoder.tokens(table) == encoder.encode(word)
+
+
+# ---- leakage ----------------------------------------------------------------------------------------------
+
+
+def test_leakage(spark):
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("가나다라마바사아자차카타파하거너더러머버") for _ in range(rng.randint(2, 4))) for _ in range(3000)]
+    passages = [(i, " ".join(rng.choice(vocabulary) for _ in range(60))) for i in range(12)]
+    filler = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    docs = [(i, filler(200)) for i in range(50)]
+    truth = set()
+    for i, (item, text) in enumerate(passages):
+        words = text.split()
+        whole = list(words)
+        for _ in range(5):
+            whole[rng.randrange(60)] = rng.choice(vocabulary)
+        half = filler(30) + " " + " ".join(words[:18]) + " " + filler(40) + " " + " ".join(words[30:48])
+        docs += [(100 + i, filler(50) + " " + " ".join(whole).upper().replace(" ", "\n", 9)), (200 + i, half), (300 + i, filler(40) + " " + " ".join(words[:15]) + filler(60)), (400 + i, "".join(words))]
+        truth |= {(100 + i, item), (200 + i, item), (400 + i, item)}
+    docs += [(900, None), (901, ""), (902, passages[0][1]), (902, passages[0][1])]
+    truth.add((902, 0))
+    documents = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit("clash"))
+    items = spark.createDataFrame(passages + [(50, None), (51, "")], "item_id long, passage string")
+    assert rows(leakage.leaked(documents, "doc_id", "text", items, "item_id", "passage")) == truth
+    assert leakage.leaked(documents.limit(0), "doc_id", "text", items, "item_id", "passage").count() == 0
+    assert leakage.leaked(documents, "doc_id", "text", items.limit(0), "item_id", "passage").count() == 0
+
+
+# ---- stuffing ------------------------------------------------------------------------------------------------
+
+SOUND = "휴학 중인 학생이라도 실전정치연습 영어 강의를 추가 안내 문자를 받은 날부터 게시판에 올려 알린다. 동일 과목을 최근 기록에 따라 학기 말에 일괄 정산한다. "
+COURSES = "\n".join(f"HBC{2000 + 13 * i} 과목{chr(0xAC00 + 600 * i)} {i}학점 월 1{i % 10}:00 가온관 {100 + i}호 정원 {20 + i}명" for i in range(15))
+
+
+@pytest.mark.parametrize(
+    ("text", "stuffed"),
+    [
+        ("코딩 학원 코딩 학원 최저가. 코딩 학원 이벤트 순위. " * 12, True), ("#이사비용 #코딩학원 [특가] 장학대출 44,000원 코딩학원★무료배송 " * 8, True),
+        ("\n".join(f"원룸 특가 - https://deal{i}.example/p/{i}" for i in range(20)), True), ("cheap textbooks, exam answers price, cheap textbooks best, exam answers, " * 8, True),
+        (SOUND * 4, False), (COURSES, False), (SOUND * 3 + "\n관련 링크\nhttps://a.example/1 https://a.example/2", False), (SOUND + "운전 연수 최저가 운전 연수 문의 " * 15, True),
+        ("", False), (None, False), ("   \n", False), ("Students must return 75 borrowed items before the term ends. They may also ask the office for help with the form. " * 4, False),
+    ],
+)
+def test_stuffing(text, stuffed):
+    assert (stuffing.stuffed_share(text) > stuffing.SHARE) is stuffed
+
+
+def test_stuffed_pages(spark):
+    spam = "운전 연수 최저가 운전 연수 문의 " * 20
+    df = spark.createDataFrame([(1, spam), (1, spam), (2, SOUND), (3, None), (4, "")], "doc_id long, text string").withColumn("__clash", F.lit(1))
+    assert rows(stuffing.stuffed_pages(df, "doc_id", "text")) == {(1,)}
+    assert stuffing.stuffed_pages(df.limit(0), "doc_id", "text").count() == 0

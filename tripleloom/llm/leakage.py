@@ -57,10 +57,10 @@ class PassageIndex:
             lengths = [sum(c.isalnum() for c in w) for w in re.split(r"[^\w]+", folded(text).replace("_", " "))]
             self.word_ends.append(np.cumsum([n for n in lengths if n]))
         sets = [np.unique(h) for h in self.hashes]
-        self.sizes = np.array([len(s) for s in sets])
+        self.sizes = np.array([len(s) for s in sets], np.int64)
         self.vocabulary = np.unique(np.concatenate(sets)) if sets and sum(map(len, sets)) else np.zeros(0, np.uint64)
         item = np.repeat(np.arange(len(ids)), self.sizes)
-        code = np.searchsorted(self.vocabulary, np.concatenate(sets)) if len(item) else np.zeros(0, int)
+        code = np.searchsorted(self.vocabulary, np.concatenate(sets)) if len(item) else np.zeros(0, np.int64)
         order = np.argsort(code, kind="stable")
         self.posting_item, self.posting_code = item[order], code[order]
         self.starts = np.searchsorted(self.posting_code, np.arange(len(self.vocabulary) + 1))

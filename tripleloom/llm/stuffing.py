@@ -82,11 +82,11 @@ def _plainly_sentences(text: str, words: list[str]) -> bool:
     return sum(w in _FUNCTION for w in words) >= 0.2 * len(words)
 
 
-_SENTENCE = re.compile(r"(?:(?<=\s)|^)[A-ZÀ-ÞĂĐƠƯÁẢÃẠẤẦẨẪẬẮẰẲẴẶÉẺẼẸẾỀỂỄỆ][^.!?\n]{20,300}[.!?](?=\s|$)", re.M)
+_SENTENCE = re.compile(r"(?:(?<=\s)|^)[A-ZÀ-ÞĂĐƠƯÁẢÃẠẤẦẨẪẬẮẰẲẴẶÉẺẼẸẾỀỂỄỆ][^.!?\n]{20,300}[.!?](?=\s|$)|[^.!?\n]{12,300}(?:다|요|까)[.!?](?=\s|$)", re.M)
 
 
 def _sentence_places(text: str) -> list[tuple[int, int]]:
-    """Capitalised, ended runs of at least five words that hardly repeat a word."""
+    """Ended runs of at least five words, capitalised or with a verb's ending, that hardly repeat a word."""
     out = []
     for m in _SENTENCE.finditer(text):
         words = m[0].casefold().split()
