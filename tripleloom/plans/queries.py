@@ -88,9 +88,9 @@ sparql(
 )
 sparql(
     "sparql_union",
-    "SELECT ?x ?n WHERE { { ?x a ex:Supplier ; ex:inNation ?n } UNION { ?x a ex:Customer ; ex:inNation ?n } ?n rdfs:label \"JAPAN\" }",
+    "SELECT ?x ?n WHERE { { ?x a ex:Supplier ; ex:inNation ?n } UNION { ?x a ex:Customer ; ex:inNation ?n } ?n rdfs:label \"NATION_7\" }",
     ("nation", "customer", "supplier"),
-    "SELECT 'urn:x:supplier:' || s_suppkey AS x, 'urn:x:nation:' || s_nationkey AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name = 'JAPAN' UNION ALL SELECT 'urn:x:customer:' || c_custkey, 'urn:x:nation:' || c_nationkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'JAPAN'",
+    "SELECT 'urn:x:supplier:' || s_suppkey AS x, 'urn:x:nation:' || s_nationkey AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name = 'NATION_7' UNION ALL SELECT 'urn:x:customer:' || c_custkey, 'urn:x:nation:' || c_nationkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_7'",
 )
 sparql(
     "sparql_minus",
@@ -174,9 +174,9 @@ sparql(
 )
 sparql(
     "sparql_values",
-    'SELECT ?name ?s ?w WHERE { VALUES (?name ?w) { ("FRANCE" 1) ("CHINA" 2) (UNDEF 3) } ?k rdfs:label ?name ; a ex:Nation . ?s a ex:Supplier ; ex:inNation ?k }',
+    'SELECT ?name ?s ?w WHERE { VALUES (?name ?w) { ("NATION_3" 1) ("NATION_7" 2) (UNDEF 3) } ?k rdfs:label ?name ; a ex:Nation . ?s a ex:Supplier ; ex:inNation ?k }',
     ("nation", "supplier"),
-    "WITH v AS (SELECT * FROM (VALUES ('FRANCE', 1::BIGINT), ('CHINA', 2), (NULL, 3)) t(name, w)) SELECT n_name AS name, 'urn:x:supplier:' || s_suppkey AS s, w FROM nation JOIN supplier ON s_nationkey = n_nationkey JOIN v ON v.name = n_name OR v.name IS NULL",
+    "WITH v AS (SELECT * FROM (VALUES ('NATION_3', 1::BIGINT), ('NATION_7', 2), (NULL, 3)) t(name, w)) SELECT n_name AS name, 'urn:x:supplier:' || s_suppkey AS s, w FROM nation JOIN supplier ON s_nationkey = n_nationkey JOIN v ON v.name = n_name OR v.name IS NULL",
     (),
     ("w",),
 )
