@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 #: A position is dense if so large a share of the window around it recurs within the lag window.
 WINDOW, LAGS, DENSE = 12, 24, 0.62
 SHARE = 0.5
+#: Characters up to a sentence's end that an ordinary sentence has at most.
+LONGEST_SENTENCE = 160
 
 # Signs of links and tags.
 _LINK = re.compile(r"(?:https?://|www\.)\S+|[\w.-]+\.(?:com|net|org|kr|example|test|invalid|info|shop|biz|xyz)(?:/\S*)?", re.I)
@@ -71,25 +73,27 @@ def _spans(text: str) -> np.ndarray:
 
 
 def _plainly_sentences(text: str, words: list[str]) -> bool:
-    """So many sentence ends or function words that half of the page can't be lists, and no link.
-
-    The bound is exact for what follows: stretches with function words near them are never stuffed.
-    """
+    """No link, and nearly all of the page in ended sentences of ordinary length or with function words."""
     if "://" in text or "www." in text or "★" in text or "](" in text or "<a" in text or text.count("#") > 3:
         return False
-    if 8 * text.count("다.") >= 0.8 * len(words):
+    parts = text.split("다.")
+    loose = len(parts[-1]) + sum(len(p) for p in parts[:-1] if len(p) > LONGEST_SENTENCE)
+    if loose < 0.45 * len(text) and len(set(words)) >= 0.5 * len(words):
         return True
     return sum(w in _FUNCTION for w in words) >= 0.2 * len(words)
 
 
-_SENTENCE = re.compile(r"(?:(?<=\s)|^)[A-ZÀ-ÞĂĐƠƯÁẢÃẠẤẦẨẪẬẮẰẲẴẶÉẺẼẸẾỀỂỄỆ][^.!?\n]{20,300}[.!?](?=\s|$)|[^.!?\n]{12,300}(?:다|요|까)[.!?](?=\s|$)", re.M)
+_CLAUSE = re.compile(r"[^.!?\n]+[.!?](?=\s|$)")
 
 
 def _sentence_places(text: str) -> list[tuple[int, int]]:
     """Ended runs of at least five words, capitalised or with a verb's ending, that hardly repeat a word."""
     out = []
-    for m in _SENTENCE.finditer(text):
-        words = m[0].casefold().split()
+    for m in _CLAUSE.finditer(text):
+        clause = m[0].lstrip(" \t-*•0123456789")
+        if not 12 <= len(clause) <= 400 or not (clause[0].isupper() or clause[-2:-1] in ("다", "요", "까")):
+            continue
+        words = clause.casefold().split()
         if len(words) >= 5 and len(set(words)) >= 0.8 * len(words):
             out.append(m.span())
     return out
