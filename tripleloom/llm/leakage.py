@@ -30,9 +30,9 @@ from tripleloom.llm.shingles import alnum_table, folded, inside, rolling, stream
 
 WIDTH = 8
 #: Overlap that half a passage keeps if more than one word in ten differs.
-OVERLAP = 0.25
+OVERLAP = 0.22
 #: Places in which the rarity-ordered prefix must be met, as a share of the set.
-MEET = 0.20
+MEET = 0.17
 #: Share of the passage's words that one or two stretches must span.
 LEAST = 0.48
 #: A stretch goes on over a gap of so many characters and a shift of so many.
