@@ -23,7 +23,8 @@ def term_candidates(mentions: DataFrame, triples: DataFrame, top: int = TOP) ->
     types = triples.where(F.col("p") == TYPE).select("s", F.col("o_value").alias("cls"))
     schema = types.where(F.col("cls").isin(*SCHEMA_TYPES)).select("s").distinct()
     resources = label_index(triples).join(schema, "s", "left_anti").select("s", F.explode("labels").alias("label")).withColumn("key", n1(F.col("label")))
-    wide = types.join(class_closure(triples), "cls").select("s", F.col("ancestor").alias("expected_type")).distinct()
+    above = types.join(class_closure(triples), "cls").select("s", F.col("ancestor").alias("expected_type"))
+    wide = above.unionByName(types.select("s", F.col("cls").alias("expected_type"))).distinct()
     asked = mentions.withColumn("mention_key", n1(F.col("mention")))
     typed = asked.where("expected_type is not null").join(wide, "expected_type").join(resources, "s")
     free = asked.where("expected_type is null").crossJoin(resources)
