@@ -76,11 +76,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back.
 
     This cuts the lineage: a lost executor re-reads the table instead of
-    re-running the Python stages before it.
+    re-running the Python stages before it. The table is deleted when the driver ends.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tripleloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
