@@ -30,9 +30,9 @@ from tripleloom.llm.shingles import alnum_table, folded, inside, rolling, stream
 
 WIDTH = 8
 #: Overlap that half a passage keeps if more than one word in ten differs.
-OVERLAP = 0.22
+OVERLAP = 0.20
 #: Places in which the rarity-ordered prefix must be met, as a share of the set.
-MEET = 0.17
+MEET = 0.15
 #: Share of the passage's words that one or two stretches must span.
 LEAST = 0.48
 #: A stretch goes on over a gap of so many characters and a shift of so many.
@@ -157,6 +157,11 @@ def leaked_share(index: PassageIndex, item: int, at: np.ndarray, codes: np.ndarr
     mask[ordered] = True
     chosen = np.flatnonzero(mask[codes])
     mask[ordered] = False
+    # positional bound: two windows of the passage's length must hold the overlap
+    where = at[chosen]
+    most = int((np.searchsorted(where, where + int(1.3 * len(places)) + WIDTH, "right") - np.arange(len(where))).max(initial=0))
+    if 2 * most < OVERLAP * index.sizes[item]:
+        return 0.0
     low = np.searchsorted(ordered, codes[chosen], "left")
     counts = np.searchsorted(ordered, codes[chosen], "right") - low
     doc = np.repeat(at[chosen], counts)
@@ -166,6 +171,14 @@ def leaked_share(index: PassageIndex, item: int, at: np.ndarray, codes: np.ndarr
     words = len(ends)
     if not words or not len(doc):
         return 0.0
+    # no more words can match in stretches than match anywhere in the document
+    change = np.zeros(len(index.codes[item]) + 1, np.int64)
+    met = np.unique(places[slots])
+    change[met] += 1
+    change[met + WIDTH] -= 1
+    covered = np.concatenate(([0], np.cumsum(np.cumsum(change)[:-1] > 0)))
+    if int((covered[ends] - covered[begins] == ends - begins).sum()) < PURITY * LEAST * words:
+        return 0.0
     chains = []
     for p0, p1, d0, d1, runs in _stretches(doc, places[slots]):
         # words that begin and end inside, give or take two characters
