@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-from tripleloom.functions.text import multiset_cosine, n2, ngrams
+from tripleloom.functions.text import n2, ngrams
 
 
 def common_length(a: str, b: str) -> int:
@@ -97,10 +99,31 @@ weighted = _pairwise(weighted_ratio)
 sequence_ratio = _pairwise(lambda a, b: SequenceMatcher(None, a, b).ratio())
 
 
+@lru_cache(maxsize=100_000)
+def _trigrams(plain: str) -> tuple[Counter, float]:
+    grams = Counter([plain] if 0 < len(plain) <= 3 else [plain[i : i + 3] for i in range(len(plain) - 2)])
+    return grams, math.sqrt(sum(n * n for n in grams.values()))
+
+
+def trigram_cosine(a: str, b: str) -> float:
+    (x, nx), (y, ny) = _trigrams(a), _trigrams(b)
+    if not nx or not ny:
+        return 0.0
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    return sum(n * large.get(g, 0) for g, n in small.items()) / (nx * ny)
+
+
+@pandas_udf(DoubleType())
+def _lexical(a: pd.Series, b: pd.Series, plain_a: pd.Series, plain_b: pd.Series) -> pd.Series:
+    out = []
+    for x, y, p, q in zip(a, b, plain_a, plain_b, strict=True):
+        out.append(None if x is None or y is None else max(ratio(p, q) / 100, token_set_ratio(x, y) / 100, trigram_cosine(p, q)))
+    return pd.Series(out, dtype="float64")
+
+
 def lexical_similarity(a: Column, b: Column) -> Column:
     """Greatest of the plain ratio, the token-set ratio of the raw texts and the trigram cosine; 0..1."""
-    x, y = n2(a), n2(b)
-    return F.greatest(indel_ratio(x, y) / 100, token_sets(a, b) / 100, multiset_cosine(ngrams(x, 3), ngrams(y, 3)))
+    return _lexical(a, b, n2(a), n2(b))
 
 
 def combined_score(lexical: Column, semantic: Column) -> Column:

@@ -34,7 +34,8 @@ def alignment_scores(terms: DataFrame, targets: DataFrame) -> DataFrame:
 
     terms, targets: (term_key or iri, kind, label, domains, ranges, vector).
     """
-    t, u = terms.alias("t"), targets.alias("u")
+    # the pairs are much work for few bytes: the terms are spread over the cores first
+    t, u = terms.repartition(2 * terms.sparkSession.sparkContext.defaultParallelism).alias("t"), targets.alias("u")
     pairs = t.join(u, F.col("t.kind") == F.col("u.kind"))
     lexical = lexical_similarity(F.col("t.label"), F.col("u.label"))
     scored = pairs.select(

@@ -437,7 +437,7 @@ def term_candidates(spark, d):
     triples = r.select(F.col("iri").alias("s"), F.explode(F.array(row(PREF, "label", "literal"), row(ALT, "alt_label", "literal"), row(TYPE, "term_type", "iri"))).alias("t"))
     triples = triples.select("s", "t.*", F.lit("").alias("o_datatype"), F.lit("").alias("o_lang"), F.lit("list").alias("component"))
     asked = table(spark, d, "query_terms").groupBy("mention", "expected_type").agg(F.min("mention_id").alias("mention_id"))
-    return linking.term_candidates(asked.where("mention is not null and expected_type is not null"), triples)
+    return linking.term_candidates(asked.where("mention is not null"), triples)
 
 
 # ---- documents ---------------------------------------------------------------------------
@@ -577,7 +577,7 @@ def alignment_scores(spark, d):
     none = F.array().cast("array<double>")
     empty = F.array().cast("array<string>")
     terms = t.groupBy("label").agg(F.min("name_id").cast("string").alias("term_key")).select("term_key", F.lit("class").alias("kind"), "label", empty.alias("domains"), empty.alias("ranges"), none.alias("vector"))
-    targets = table(spark, d, "reference_terms").where("term_type in ('hbu:Place', 'hbu:AdministrativeAction')").select("iri", F.lit("class").alias("kind"), "label", empty.alias("domains"), empty.alias("ranges"), none.alias("vector"))
+    targets = table(spark, d, "reference_terms").select("iri", F.lit("class").alias("kind"), "label", empty.alias("domains"), empty.alias("ranges"), none.alias("vector"))
     return reconcile.alignment_scores(terms, targets).where("lexical >= 0.6").select("term_key", "iri", "lexical", "combined", "compatible")
 
 
