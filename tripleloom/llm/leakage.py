@@ -56,6 +56,12 @@ class PassageIndex:
         for text in texts:
             lengths = [sum(c.isalnum() for c in w) for w in re.split(r"[^\w]+", folded(text).replace("_", " "))]
             self.word_ends.append(np.cumsum([n for n in lengths if n]))
+        # words that end up to, and that begin before, each character
+        self.word_counts = []
+        for codes_of, ends in zip(self.codes, self.word_ends, strict=True):
+            characters = np.arange(len(codes_of) + 3)
+            begins = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+            self.word_counts.append((np.searchsorted(ends, characters, "right").tolist(), np.searchsorted(begins, characters, "left").tolist()))
         sets = [np.unique(h) for h in self.hashes]
         self.sizes = np.array([len(s) for s in sets], np.int64)
         self.vocabulary = np.unique(np.concatenate(sets)) if sets and sum(map(len, sets)) else np.zeros(0, np.uint64)
@@ -179,10 +185,11 @@ def leaked_share(index: PassageIndex, item: int, at: np.ndarray, codes: np.ndarr
     covered = np.concatenate(([0], np.cumsum(np.cumsum(change)[:-1] > 0)))
     if int((covered[ends] - covered[begins] == ends - begins).sum()) < PURITY * LEAST * words:
         return 0.0
+    ended, begun = index.word_counts[item]
     chains = []
     for p0, p1, d0, d1, runs in _stretches(doc, places[slots]):
         # words that begin and end inside, give or take two characters
-        spanned = int(np.searchsorted(ends, p1 + 2, "right") - np.searchsorted(begins, p0 - 2, "left"))
+        spanned = ended[p1 + 2] - begun[max(p0 - 2, 0)]
         if spanned >= 3 and p1 - p0 >= 1.5 * WIDTH:
             chains.append((spanned, p0, p1, d0, d1, runs))
     chains.sort(key=lambda c: -c[0])
