@@ -309,7 +309,7 @@ def test_files(spark, tmp_path):
     with pytest.raises(Exception, match="not an object"):
         files.read_jsonl(spark, str(tmp_path / "b.jsonl"), "k int").collect()
     (tmp_path / "q.csv").write_text("Pregunta;x\n¿uno?;1\n;2\ndos;3\n", encoding="utf-8-sig")
-    assert [tuple(r) for r in files.style_questions(spark, str(tmp_path / "q.csv")).orderBy("style_id").collect()] == [("uvabot-0001", "¿uno?"), ("uvabot-0003", "dos")]
+    assert [tuple(r) for r in files.style_questions(spark, str(tmp_path / "q.csv")).orderBy("style_id").collect()] == [("style-0001", "¿uno?"), ("style-0003", "dos")]
     (tmp_path / "m.md").write_text("하나\n\n---\n\n둘")
     assert [(r["page"], r["text"]) for r in files.read_pages(spark, str(tmp_path / "m.md")).orderBy("page").collect()] == [(1, "하나"), (2, "둘")]
     assert files.parse_pages("1-3, 7") == [1, 2, 3, 7] and files.parse_pages("all") is None

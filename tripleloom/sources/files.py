@@ -24,7 +24,7 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
-def style_questions(spark: SparkSession, path: str, column: str = "Pregunta", prefix: str = "uvabot") -> DataFrame:
+def style_questions(spark: SparkSession, path: str, column: str = "Pregunta", prefix: str = "style") -> DataFrame:
     """(style_id, question) of a semicolon CSV; numbers count the file's rows, blank ones too."""
     rows = spark.read.csv(path, sep=";", header=True, encoding="UTF-8", multiLine=True)
     first = rows.columns[0]
