@@ -28,7 +28,7 @@ def school_year(date: Column, grounding: Column) -> Column:
     year = F.regexp_extract(grounding, r"(\d{4})학년도 ?2학기", 1).try_cast("int")
     month = F.month(date)
     fixed = F.when(month >= 7, year).when(month <= 3, year + 1).otherwise(F.year(date))
-    return F.when(year.isNull(), date).otherwise(F.try_make_date(fixed, month, F.dayofmonth(date)) if hasattr(F, "try_make_date") else F.make_date(fixed, month, F.dayofmonth(date)))
+    return F.when(year.isNull(), date).otherwise(F.concat_ws("-", F.lpad(fixed.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(F.dayofmonth(date).cast("string"), 2, "0")).try_cast("date"))
 
 
 def date_supported(date: Column, quote: Column, grounding: Column) -> Column:
