@@ -369,3 +369,30 @@ def test_stuffed_pages(spark):
     df = spark.createDataFrame([(1, spam), (1, spam), (2, SOUND), (3, None), (4, "")], "doc_id long, text string").withColumn("__clash", F.lit(1))
     assert rows(stuffing.stuffed_pages(df, "doc_id", "text")) == {(1,)}
     assert stuffing.stuffed_pages(df.limit(0), "doc_id", "text").count() == 0
+
+
+ENGLISH = "Students must return borrowed items before the term ends. They may also ask the office for help with the form. The library is open until ten on Friday. Fees are due at the end of the month. "
+OFFICE = "If you can not be at the office by the end of the term you may ask for it with the form. "
+LISTED = "노트북 할인 키보드 헤드폰 모니터 중고 청소 렌탈 대출 보험 상담 견적 학원 코딩 과외 번역 논술 토익 유학 비자 항공 호텔 펜션 렌트 골프 낚시 캠핑 텐트 침낭 등산 신발 양말 장갑 모자 안경 렌즈".split()
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        OFFICE * 4 + "cheap laptops discount headphones wireless keyboards premium monitors " * 13,  # a third of the words are function words
+        " ".join(" ".join(LISTED[12 * i : 12 * i + 12] * 2) + f" {end}니다." for i, end in enumerate(("삽", "팝", "줍"))),  # keywords before a short ending
+    ],
+)
+def test_pages_that_mix_sentences_and_keywords_are_measured(text):
+    assert stuffing.stuffed(text) and stuffing.stuffed_share(text) > stuffing.SHARE
+
+
+def test_early_exit_implies_the_share():
+    rng = random.Random(9)
+    pieces = [ENGLISH, SOUND, COURSES + "\n", "운전 연수 최저가 운전 연수 문의 " * 3, "cheap laptops discount monitors " * 4, "https://a.example/x ", "- — : – Word. ", "3.Foo is the right one to ask for.", "x" * 90 + ".Foo is the right one to ask for. "]
+    left = 0
+    for _ in range(400):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 9)))
+        left += stuffing.mostly_sentences(text)
+        assert stuffing.stuffed(text) is (stuffing.stuffed_share(text) > stuffing.SHARE)
+    assert 50 < left < 350

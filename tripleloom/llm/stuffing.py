@@ -32,8 +32,6 @@ from pyspark.sql import functions as F
 #: A position is dense if so large a share of the window around it recurs within the lag window.
 WINDOW, LAGS, DENSE = 12, 24, 0.62
 SHARE = 0.5
-#: Characters up to a sentence's end that an ordinary sentence has at most.
-LONGEST_SENTENCE = 160
 
 # Signs of links and tags.
 _LINK = re.compile(r"(?:https?://|www\.)\S+|[\w.-]+\.(?:com|net|org|kr|example|test|invalid|info|shop|biz|xyz)(?:/\S*)?", re.I)
@@ -72,18 +70,7 @@ def _spans(text: str) -> np.ndarray:
     return mask
 
 
-def _plainly_sentences(text: str, words: list[str]) -> bool:
-    """No link, and nearly all of the page in ended sentences of ordinary length or with function words."""
-    if "://" in text or "www." in text or "★" in text or "](" in text or "<a" in text or text.count("#") > 3:
-        return False
-    parts = text.split("다.")
-    loose = len(parts[-1]) + sum(len(p) for p in parts[:-1] if len(p) > LONGEST_SENTENCE)
-    if loose < 0.45 * len(text) and len(set(words)) >= 0.5 * len(words):
-        return True
-    return sum(w in _FUNCTION for w in words) >= 0.2 * len(words)
-
-
-_CLAUSE = re.compile(r"[^.!?\n]+[.!?](?=\s|$)")
+_CLAUSE = re.compile(r"(?<![^.!?\n])[^.!?\n]++[.!?](?=\s|$)")
 
 
 def _sentence_places(text: str) -> list[tuple[int, int]]:
@@ -122,8 +109,6 @@ def stuffed_share(text: str | None) -> float:
     """Share of the page's visible characters in links, tags and keyword runs."""
     if not text or not text.strip():
         return 0.0
-    if _plainly_sentences(text, text.split()):
-        return 0.0
     letters = np.frombuffer(text.encode("utf-32-le"), np.uint32) > 32
     spam = _spans(text) & letters
     at, keys, closed, ending, numbered = [], [], [], [], []
@@ -142,9 +127,12 @@ def stuffed_share(text: str | None) -> float:
     n = len(keys)
     if n >= 8:
         again = recurrence(keys)
+        placed = np.zeros(n, bool)
         for begin, end in _sentence_places(text):
-            for i in range(bisect_left(at, (begin, 0)), bisect_left(at, (end, 0))):
-                closed[i] = True
+            first = bisect_left(at, (begin, 0))
+            first -= first > 0 and at[first - 1][1] > begin
+            for i in range(first, bisect_left(at, (end, 0))):
+                closed[i] = placed[i] = True
         # a noun may look like a word with a particle, but words of sentences come again less often
         function = np.array(closed) | (np.array(ending) & ~again)
         digits = np.array(numbered)
@@ -158,7 +146,7 @@ def stuffed_share(text: str | None) -> float:
         stuffed = (dense >= DENSE) & (near_function < 0.15) & (near_digits < 0.45)
         stuffed |= (dense >= DENSE - 0.12) & (_smooth(even) > 0.2) & (near_function < 0.12) & (near_digits < 0.3)
         stuffed |= (dense >= DENSE - 0.2) & (near_function < 0.05) & (near_digits < 0.2) & ~(np.array(closed))
-        for i in np.flatnonzero(stuffed):
+        for i in np.flatnonzero(stuffed & ~placed):
             spam[at[i][0] : at[i][1]] = True
     spam &= letters
     total = int(letters.sum())
@@ -182,12 +170,30 @@ def _regularity(keys: list[str], counts: Counter) -> dict[str, float]:
     return out
 
 
+def mostly_sentences(text: str) -> bool:
+    """Whether sentences without links hold at least half of the visible characters.
+
+    No token of a sentence place is ever part of a keyword run, so ``stuffed_share`` is
+    at most ``SHARE`` then and need not be measured.
+    """
+    safe = sum(len("".join(text[begin:end].split())) for begin, end in _sentence_places(text))
+    total = len("".join(text.split()))
+    if safe < (1 - SHARE) * total:
+        return False
+    return safe - int(_spans(text).sum()) >= (1 - SHARE) * total
+
+
+def stuffed(text: str | None) -> bool:
+    """Whether more than half of the page is matter other than sentences."""
+    return bool(text) and not mostly_sentences(text) and stuffed_share(text) > SHARE
+
+
 def stuffed_pages(df: DataFrame, key: str, column: str) -> DataFrame:
     """(key): pages of which more than half is keywords, links or tags."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = pa.array([stuffed_share(t) > SHARE for t in batch.column(1).to_pylist()], pa.bool_())
+            keep = pa.array([stuffed(t) for t in batch.column(1).to_pylist()], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep)], names=[key])
 
     rows = df.where(F.col(column).isNotNull()).select(F.col(key), F.col(column).alias("__text"))
