@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import os
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -396,3 +397,25 @@ def test_early_exit_implies_the_share():
         left += stuffing.mostly_sentences(text)
         assert stuffing.stuffed(text) is (stuffing.stuffed_share(text) > stuffing.SHARE)
     assert 50 < left < 350
+
+
+NOUNS = [a + b for a in ("노트북", "키보드", "헤드폰", "모니터", "운동화", "텐트", "냉장고", "책상") for b in ("할인", "중고", "렌탈", "견적", "추천")]
+
+
+@pytest.mark.parametrize(
+    ("text", "stuffed"),
+    [
+        (" ".join(NOUNS), True),  # distinct nouns
+        (SOUND + " ".join(NOUNS * 3), True),
+        (" ".join(LISTED[:30] * 6), True),  # a cycle of 30 terms
+        (" ".join(f"{w} 수강강의" if i % 2 else w for i, w in enumerate(LISTED[:30] * 6)), True),  # nouns that look like words with a particle
+        (ENGLISH + " ".join(f"item{chr(97 + i)}" for i in range(26)) * 6, True),
+        (COURSES * 3, False),
+        ("\n".join(f"{a}: {b} {c}" for a, b, c in zip(NOUNS, NOUNS[20:] + NOUNS[:20], LISTED + LISTED[:4], strict=True)), False),  # a glossary
+        ("申请表必须提交, 逾期的不予受理, 学生应到办公室, 课程将于下周开始, 成绩在网上公布, 费用不退, 请到教务处办理的, 名单已经公布了, " + "在" + ", 在".join(LISTED[:30]), False),
+        (SOUND * 6 + " ".join(NOUNS), False),
+        (unicodedata.normalize("NFD", SOUND), False),  # decomposed
+    ],
+)
+def test_noun_lists_and_long_cycles(text, stuffed):
+    assert stuffing.stuffed(text) is stuffed

@@ -6,9 +6,9 @@ stretches of it as matter other than sentences:
 * links: addresses, anchors with their labels, and tags, in runs that no sentence
   interrupts;
 * regular recurrence: for each term the gaps between its occurrences and, over
-  the page, the share of positions whose token comes again within a lag window
-  (positional autocorrelation). Sentences repeat words rarely and at uneven gaps;
-  stuffed lists repeat a few terms at short, even ones;
+  the page, the share of positions whose token comes again within a lag window, or
+  within about the term's own gap if its gaps are even (positional autocorrelation).
+  Sentences repeat words rarely and at uneven gaps; stuffed lists repeat terms at even ones;
 * bare lists: runs of distinct nouns without the particles, endings and function
   words of sentences, whose entries carry no numbers that tell them apart.
 
@@ -29,10 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tripleloom.llm.lookalike import SUSPECT_JAVA, canonical
+
 #: A position is dense if so large a share of the window around it recurs within the lag window.
 WINDOW, LAGS, DENSE = 12, 24, 0.62
+#: A term of so many gaps or more, whose deviation is at most this part of their mean, recurs in a cycle of any length.
+CYCLES, EVEN = 2, 0.6
+#: Tokens that a run of distinct nouns has at least.
+LIST = 24
 SHARE = 0.5
 
+_SUSPECT = re.compile(SUSPECT_JAVA)
 # Signs of links and tags.
 _LINK = re.compile(r"(?:https?://|www\.)\S+|[\w.-]+\.(?:com|net|org|kr|example|test|invalid|info|shop|biz|xyz)(?:/\S*)?", re.I)
 _ANCHOR = re.compile(r"<a\s[^>]*>.*?</a>|!?\[[^\[\]\n]{0,80}\]\([^()\s]*\)", re.I | re.S)
@@ -54,6 +61,10 @@ _NUMBERED = re.compile(r"\d")
 _CJK_SENTENCE = re.compile(r"[぀-ゟ]{2}|[的了在是须将应不前于]")
 
 
+def _clean(text: str) -> str:
+    return canonical(text) if _SUSPECT.search(text) else text
+
+
 def _spans(text: str) -> np.ndarray:
     """Characters that belong to links, anchors or tags."""
     mask = np.zeros(len(text), bool)
@@ -72,6 +83,8 @@ def _spans(text: str) -> np.ndarray:
 
 _CLAUSE = re.compile(r"(?<![^.!?\n])[^.!?\n]++[.!?](?=\s|$)")
 
+_ENTRY = re.compile(r"^[ \t]*(?:[-*|•][ \t]*)?([^\n:|\t–—]{1,40}?)(?:[ \t]*[:|\t–—]|[ \t]-[ \t])[ \t]*\S[^\n]*", re.M)
+
 
 def _sentence_places(text: str) -> list[tuple[int, int]]:
     """Ended runs of at least five words, capitalised or with a verb's ending, that hardly repeat a word."""
@@ -86,15 +99,31 @@ def _sentence_places(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _entry_places(text: str) -> list[tuple[int, int]]:
+    """Lines of a glossary or table: a head, a separator and more, if the heads tell the lines apart."""
+    found = list(_ENTRY.finditer(text))
+    heads = {m[1].strip().casefold() for m in found}
+    return [m.span() for m in found] if len(found) >= 3 and len(heads) >= 0.8 * len(found) else []
+
+
 def recurrence(keys: list[str]) -> np.ndarray:
-    """For each token: whether it comes again within the lag window on either side."""
+    """For each token: whether it comes again within the lag window, or within its term's own even gap, on either side."""
     n = len(keys)
-    codes = np.fromiter((hash(k) for k in keys), np.int64, n)
+    ids: dict[str, int] = {}
+    codes = np.fromiter((ids.setdefault(k, len(ids)) for k in keys), np.int64, n)
+    order = np.argsort(codes, kind="stable")
+    term, gap = codes[order[1:]], np.diff(order)
+    inside = term == codes[order[:-1]]
+    term, gap, left, right = term[inside], gap[inside], order[:-1][inside], order[1:][inside]
+    # lags scaled to the term: a cycle of any length gives gaps of about its length
+    count = np.bincount(term, minlength=len(ids))
+    mean = np.bincount(term, gap, len(ids)) / np.maximum(count, 1)
+    spread = np.sqrt(np.maximum(np.bincount(term, gap.astype(float) ** 2, len(ids)) / np.maximum(count, 1) - mean**2, 0))
+    lags = np.where((count >= CYCLES) & (spread <= EVEN * mean), np.maximum(2 * mean, LAGS), LAGS)
+    near = gap <= lags[term]
     again = np.zeros(n, bool)
-    for lag in range(1, min(LAGS, n - 1) + 1):
-        same = codes[lag:] == codes[:-lag]
-        again[lag:] |= same
-        again[:-lag] |= same
+    again[left[near]] = True
+    again[right[near]] = True
     return again
 
 
@@ -109,6 +138,7 @@ def stuffed_share(text: str | None) -> float:
     """Share of the page's visible characters in links, tags and keyword runs."""
     if not text or not text.strip():
         return 0.0
+    text = _clean(text)
     letters = np.frombuffer(text.encode("utf-32-le"), np.uint32) > 32
     spam = _spans(text) & letters
     at, keys, closed, ending, numbered = [], [], [], [], []
@@ -146,6 +176,10 @@ def stuffed_share(text: str | None) -> float:
         stuffed = (dense >= DENSE) & (near_function < 0.15) & (near_digits < 0.45)
         stuffed |= (dense >= DENSE - 0.12) & (_smooth(even) > 0.2) & (near_function < 0.12) & (near_digits < 0.3)
         stuffed |= (dense >= DENSE - 0.2) & (near_function < 0.05) & (near_digits < 0.2) & ~(np.array(closed))
+        told = np.array([bool(_CJK_SENTENCE.search(k)) for k in keys])
+        for begin, end in _entry_places(text):
+            told[bisect_left(at, (begin, 0)) : bisect_left(at, (end, 0))] = True
+        stuffed |= _bare_list(np.array(closed) | np.array(ending) | told, digits)
         for i in np.flatnonzero(stuffed & ~placed):
             spam[at[i][0] : at[i][1]] = True
     spam &= letters
@@ -153,8 +187,19 @@ def stuffed_share(text: str | None) -> float:
     return float(spam.sum()) / total if total else 0.0
 
 
+def _bare_list(function: np.ndarray, digits: np.ndarray) -> np.ndarray:
+    """Tokens of runs of at least ``LIST`` tokens almost without function words, endings and numbers, recurring or not."""
+    bare = (_smooth(function) < 0.15) & (_smooth(digits) < 0.15) & ~digits
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], bare.view(np.int8), [0]))))
+    out = np.zeros(len(bare), bool)
+    for begin, end in zip(edges[::2], edges[1::2], strict=True):
+        if end - begin >= LIST:
+            out[begin:end] = True
+    return out
+
+
 def _regularity(keys: list[str], counts: Counter) -> dict[str, float]:
-    """Terms of at least six occurrences whose gaps are short and more even than chance.
+    """Terms of at least six occurrences whose gaps are more even than chance, and short or a cycle's.
 
     Occurrences thrown at random have a coefficient of variation of about 1.
     """
@@ -165,7 +210,7 @@ def _regularity(keys: list[str], counts: Counter) -> dict[str, float]:
     out = {}
     for k, p in places.items():
         gap = np.diff(p)
-        if gap.mean() <= LAGS and gap.std() <= 1.1 * gap.mean():
+        if gap.std() <= (1.1 if gap.mean() <= LAGS else EVEN) * gap.mean():
             out[k] = 1.0
     return out
 
@@ -176,6 +221,7 @@ def mostly_sentences(text: str) -> bool:
     No token of a sentence place is ever part of a keyword run, so ``stuffed_share`` is
     at most ``SHARE`` then and need not be measured.
     """
+    text = _clean(text)
     safe = sum(len("".join(text[begin:end].split())) for begin, end in _sentence_places(text))
     total = len("".join(text.split()))
     if safe < (1 - SHARE) * total:
