@@ -197,6 +197,17 @@ def test_scan_repair(spark):
     assert scans.scan_noise(df.limit(0)).count() == 0
 
 
+def test_copies_of_a_page_do_not_hide_its_misreading(spark):
+    words = [a + b for a in ("수업", "과목", "졸업", "등록", "휴학", "복학", "장학", "교직") for b in ("신청", "안내", "명단", "기간", "변경")]
+    sound = [(f"s{i}", f"{words[i]} {words[-i]} 담당 학생이라도 {i}일까지 {words[i // 2]} 서류를 낸다.") for i in range(40)]
+    copied = [(f"c{i}", "교직 과정을 마친 힉생이라도 추천서를 낸다.") for i in range(20)]
+    df = spark.createDataFrame(sound + copied, "record_id string, text string").withColumn("record_table", F.lit("t"))
+    found = {(r["record_id"], r["noise"]) for r in scans.scan_noise(df).collect()}
+    assert found == {(f"c{i}", "misread") for i in range(20)}
+    counts = {(r["kind"], r["key"]): (r["n"], r["alone"]) for r in scans.page_counts(df).collect()}
+    assert counts["w", "힉생이라도"] == (1, 0) and counts["w", "학생이라도"] == (40, 0)
+
+
 def test_ranker_on_held_out_words():
     rng = random.Random(3)
     words = [("".join(rng.choice("학점정원과목수업년공청간졸생확출교실습") for _ in range(rng.randint(2, 5))), rng.randint(50, 4000)) for _ in range(400)]

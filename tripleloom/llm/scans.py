@@ -1,7 +1,7 @@
 """Noise in text from scanned pages.
 
-Two passes over the pages. The first counts, over all pages, the words and the
-short lines that stand alone. Correction candidates of a word come from an inverted
+Two passes over the pages. The first counts, over all pages, the words (once for each
+distinct text) and the short lines that stand alone. Correction candidates of a word come from an inverted
 join on character q-grams: its rarest q-grams meet those of commoner words, pairs
 of close edit distance stay. Gradient-boosted trees rank the candidates and accept
 a replacement. Classifiers over pairs of neighbouring lines tell a word broken at
@@ -110,17 +110,19 @@ def line_words(line: str) -> list[str]:
 def page_counts(rows: DataFrame) -> DataFrame:
     """(kind, key, n, alone) over all rows (record_id, text, page).
 
-    kind w: a word and how often it is read; kind t: a word of a line and how often
-    it stands in a short line (alone) and anywhere (n); kind l: a short line's template.
+    kind w: a word and how often it is read in distinct texts, so that copies of a page
+    don't make its misreadings common; kind t: a word of a line and how often it stands
+    in a short line (alone) and anywhere (n); kind l: a short line's template.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
+        more: Counter = Counter()
         alone: Counter = Counter()
         anywhere: Counter = Counter()
         templates: Counter = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text, copies in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not text:
                     continue
                 lines = _lines(_clean(text))
@@ -130,20 +132,24 @@ def page_counts(rows: DataFrame) -> DataFrame:
                         continue
                     kept.append(line)
                     if marker == "" and short_line(line) and not _setext(lines, i) and not _continues(lines, i):
-                        templates[template(line)] += 1
-                        alone.update(set(line_words(line)))
+                        templates[template(line)] += copies
+                        for w in set(line_words(line)):
+                            alone[w] += copies
                 body = _ADDRESS.sub(" ", _BREAK.sub(r"\1\2", "\n".join(kept)))
                 found = _WORD.findall(body)
                 words.update(found)
+                if copies > 1:
+                    more.update({w: n * (copies - 1) for w, n in Counter(found).items()})
         for w, n in words.items():
-            anywhere[w.casefold()] += n
+            anywhere[w.casefold()] += n + more[w]
         out = [("w", w, n, 0) for w, n in words.items()] + [("l", t, n, 0) for t, n in templates.items()]
         out += [("t", t, anywhere.get(t, 0), n) for t, n in alone.items()]
         columns = list(zip(*out, strict=True)) if out else [[]] * 4
         types = [pa.string(), pa.string(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["kind", "key", "n", "alone"])
 
-    return rows.select("text").mapInArrow(run, "kind string, key string, n long, alone long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("alone").alias("alone"))
+    texts = rows.groupBy("text").agg(F.count("*").alias("copies"))
+    return texts.mapInArrow(run, "kind string, key string, n long, alone long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("alone").alias("alone"))
 
 
 def _setext(lines: list[tuple[str, str]], i: int) -> bool:
