@@ -208,6 +208,21 @@ def test_copies_of_a_page_do_not_hide_its_misreading(spark):
     assert counts["w", "힉생이라도"] == (1, 0) and counts["w", "학생이라도"] == (40, 0)
 
 
+def test_joined_corrections_equal_broadcast_ones(spark, monkeypatch):
+    sound = [(f"s{i}", f"{chr(0xAC00 + 700 * i)}{chr(0xB098 + 30 * i)} 담당 학생이라도 {i}일까지 서류를 낸다.") for i in range(12)]
+    odd = [("ty", "3힉생이라도 낸다."), ("br", "휴가 중인 힉생-\n이라도 낸다."), ("de", unicodedata.normalize("NFD", "힉생이라도 낸다.")), ("zw", "힉생\u200b이라도 낸다."), ("mi", "힉생이라도 낸다."), ("mi", "힉생이라도 낸다."), (None, "또 힉생이라도 낸다."), ("nu", None)]
+    df = spark.createDataFrame(sound + odd, "record_id string, text string").withColumn("record_table", F.lit("t"))
+    monkeypatch.setattr(scans, "corrections", lambda counts: counts.where("key = '힉생이라도'").select(F.col("key").alias("word"), F.lit("학생이라도").alias("other")).distinct())
+
+    def repaired():
+        return sorted((str(r["record_id"]), r["repaired"] or "", r["noise"]) for r in scans.repair_pages(df).collect())
+
+    shared = repaired()
+    monkeypatch.setattr(scans, "CORRECTION_LIMIT", 0)
+    assert repaired() == shared
+    assert {r[0] for r in shared if "misread" in r[2]} == {"ty", "br", "de", "zw", "mi", "None"}
+
+
 def test_ranker_on_held_out_words():
     rng = random.Random(3)
     words = [("".join(rng.choice("학점정원과목수업년공청간졸생확출교실습") for _ in range(rng.randint(2, 5))), rng.randint(50, 4000)) for _ in range(400)]

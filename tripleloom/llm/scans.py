@@ -554,6 +554,29 @@ def _replace(text: str, fixed: dict[str, str], noise: set[str]) -> str:
     return text
 
 
+class _Asked(dict):
+    """No corrections; keeps the words it is asked for."""
+
+    def __init__(self):
+        super().__init__()
+        self.words: set[str] = set()
+
+    def __contains__(self, word) -> bool:
+        self.words.add(word)
+        return False
+
+    def get(self, word, default=None):
+        self.words.add(word)
+        return default
+
+
+def looked_up(text: str | None, model: LineModel) -> list[str]:
+    """The words that ``repair_page`` looks up among the corrections."""
+    asked = _Asked()
+    repair_page(text, model, asked)
+    return sorted(asked.words)
+
+
 def repair_pages(rows: DataFrame) -> DataFrame:
     """(record_table, record_id, repaired, noise) of rows (record_table, record_id, text)."""
     spark = rows.sparkSession
@@ -574,16 +597,24 @@ def repair_pages(rows: DataFrame) -> DataFrame:
                 yield emit(batch, [repair_page(t, model, shared.value) for t in batch.column(2).to_pylist()])
 
         return rows.select("record_table", "record_id", "text").mapInArrow(run, schema)
-    # too many corrections to broadcast: each page gets its own through a join on its words
-    page_words = rows.select("record_table", "record_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([가-힣A-Za-z0-9]+)"), 1))).alias("word"))
-    own = page_words.join(fixes, "word").groupBy("record_table", "record_id").agg(F.collect_list("word").alias("wrong"), F.collect_list("other").alias("right"))
+    # too many corrections to broadcast: each page gets its own through a join on the words its repair looks up
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked = [looked_up(t, model) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(asked, pa.list_(pa.string()))], names=["record_table", "record_id", "words"])
+
+    pages = rows.select("record_table", "record_id", "text")
+    asked = pages.mapInArrow(ask, "record_table string, record_id string, words array<string>")
+    page_words = asked.select(F.col("record_table").alias("own_table"), F.col("record_id").alias("own_id"), F.explode("words").alias("word"))
+    own = page_words.join(fixes, "word").groupBy("own_table", "own_id").agg(F.collect_set(F.struct("word", "other")).alias("own"))
+    joined = pages.join(own, F.col("record_table").eqNullSafe(F.col("own_table")) & F.col("record_id").eqNullSafe(F.col("own_id")), "left")
 
     def run_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in (2, 3, 4)]
-            yield emit(batch, [repair_page(t, model, dict(zip(w or [], r or [], strict=True))) for t, w, r in zip(*columns, strict=True)])
+            columns = [batch.column(i).to_pylist() for i in (2, 3)]
+            yield emit(batch, [repair_page(t, model, {f["word"]: f["other"] for f in own or []}) for t, own in zip(*columns, strict=True)])
 
-    return rows.select("record_table", "record_id", "text").join(own, ["record_table", "record_id"], "left").mapInArrow(run_own, schema)
+    return joined.select("record_table", "record_id", "text", "own").mapInArrow(run_own, schema)
 
 
 def page_rows(units: DataFrame, restorations: DataFrame) -> DataFrame:
