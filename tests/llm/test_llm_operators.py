@@ -106,6 +106,15 @@ def test_markup_table(spark):
     assert markup.markup_found(df.limit(0), "id", "body").count() == 0
 
 
+def test_markup_filter_is_no_narrower_than_the_reader(spark):
+    texts = ["제목\n---\n본문", "목록\n  - 하나\n  - 둘", " 1. 하나\n 2. 둘", "#\t제목", "-\t하나", "＃ 제목", "＜b＞굵게＜/b＞", "#\u00a0제목", "a | b\n--- | ---\n1 | 2", "본문만\u200b 있다.", "본문만 있다."]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, body string")
+    read = {(str(i), m) for i, t in enumerate(texts) for m in markup.clean_markup(t)[1]}
+    assert rows(markup.markup_found(df, "id", "body")) == read and {r[0] for r in read} >= {str(i) for i in range(8)}
+    clean = {r["record_id"]: r["clean_text"] for r in markup.render_markup(df, "id", "body").collect()}
+    assert clean["9"] == texts[9] and clean["10"] == texts[10]
+
+
 # ---- pairs --------------------------------------------------------------------------------
 
 EVIDENCE = ["첫 문장은 여기에서 끝난다. 통합화학특강은 체육역사학부 과목으로서 신청자가 96명 미만일 때 폐강할 수 있다. 마지막 문장이다."]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripleloom.llm.lookalike import canonical
+from tripleloom.llm.lookalike import SUSPECT_JAVA, canonical
 
 # Element names of HTML, by how they are laid out.
 INVISIBLE = {"script", "style", "head", "template", "noscript", "title", "meta", "link"}
@@ -42,10 +42,10 @@ ELEMENTS = INVISIBLE | VOID | BLOCK | HEADING | TABLE | INLINE | {"li", "pre", "
 IMPLIED_END = {"li": {"li"}, "p": BLOCK | HEADING | {"p", "li", "table", "pre"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"},
                "tr": {"tr"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 
-#: Rows without any of this hold no markup; tested in the JVM.
+#: Rows without any of this or a suspect character hold no markup; tested in the JVM. A superset of the reader's patterns.
 SIGNS_JAVA = (
-    r"<[^\s<>0-9]|&(?:#|[^\s&;]{1,12};)|\\[^\s]|\$[^$]*\$|\[\[|\{\{|\{\||'''|`|~~|\*\*|__|\]\(|"
-    r"(?m)^(?:\[(?:BLOCK|ROW) [^\]\n]*\] ?)?(?:=|#{1,6} |>|[-*+] |[0-9lOISB]{1,2}\. |\|)"
+    r"<[^\s<>0-9]|&(?:#|[^\s&;]{1,31};)|\\[^\s]|\$[^$]*\$|\[\[|\{\{|\{\||'''|`|~~|\*\*|__|\]\(|"
+    r"(?m)^(?:\[(?:BLOCK|ROW) [^\]\n]*\] ?)?[ \t]*(?:=|#{1,6}[ \t]|>|[-*+][ \t]|[0-9lOISB]{1,2}\.[ \t]|\||:?-{3,})"
 )
 _MARKER = re.compile(r"^\[(?:BLOCK|ROW) [^\]\n]*\] ?", re.M)
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9]{0,11})((?:\s[^<>]*)?)(/?)>", re.S)
@@ -381,12 +381,16 @@ def clean_markup(text: str | None) -> tuple[str | None, list[str]]:
 def render_markup(df: DataFrame, key: str, column: str) -> DataFrame:
     """(record_id, clean_text, markups): clean text and markup languages of each row.
 
-    Rows without any sign of markup keep their text and skip the Python stage.
+    Rows without any sign of markup keep their text and skip the Python stage; rows
+    that are read only for a suspect character keep their text if they hold no markup.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [clean_markup(t) for t in batch.column(1).to_pylist()]
+            done = []
+            for text, sign in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                clean, found = clean_markup(text)
+                done.append((clean if sign or found else text, found))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([t for t, _ in done], pa.string()), pa.array([m for _, m in done], pa.list_(pa.string()))],
                 names=["record_id", "clean_text", "markups"],
@@ -394,8 +398,9 @@ def render_markup(df: DataFrame, key: str, column: str) -> DataFrame:
 
     rows = df.select(F.col(key).cast("string").alias("record_id"), F.col(column).alias("clean_text"))
     signed = F.coalesce(F.col("clean_text").rlike(SIGNS_JAVA), F.lit(False))
-    plain = rows.where(~signed).withColumn("markups", F.array().cast("array<string>"))
-    return rows.where(signed).mapInArrow(run, "record_id string, clean_text string, markups array<string>").unionByName(plain)
+    read = signed | F.coalesce(F.col("clean_text").rlike(SUSPECT_JAVA), F.lit(False))
+    plain = rows.where(~read).withColumn("markups", F.array().cast("array<string>"))
+    return rows.where(read).withColumn("sign", signed).mapInArrow(run, "record_id string, clean_text string, markups array<string>").unionByName(plain)
 
 
 def markup_found(df: DataFrame, key: str, column: str) -> DataFrame:
