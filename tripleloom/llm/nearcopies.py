@@ -32,8 +32,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tripleloom.llm.components import components
 from tripleloom.llm.shingles import folded, inside, rolling, stream
-from tripleloom.session import materialise, rows_of_keys
+from tripleloom.session import BROADCAST_KEY_LIMIT, materialise, rows_of_keys
 
 WIDTH = 5
 SIMILARITY = 0.5
@@ -43,6 +44,8 @@ SYMBOLS = SEGMENTS * CELLS
 PACKED = 3
 #: Pairs whose packed signatures agree in fewer symbols are dropped unseen: 3.3 deviations under the mean at 0.5.
 LEAST_SYMBOLS = 14
+#: A variant of about so many rows is hot; it is guessed from one id in ``SAMPLED`` and spread over ``SALTS`` blocks.
+HOT, SAMPLED, SALTS = 4096, 64, 16
 
 
 def _space_table() -> np.ndarray:
@@ -126,23 +129,14 @@ def _packed(symbols: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _variants(symbols: np.ndarray) -> np.ndarray:
-    """32-bit keys of the deletion variants: (segment, symbol left out, the other symbols)."""
-    keys = np.zeros((len(symbols), SYMBOLS), np.uint32)
-    for segment in range(SEGMENTS):
-        word = symbols[:, segment * CELLS : (segment + 1) * CELLS]
-        for out in range(CELLS):
-            seed = (segment * CELLS + out + 1) * 0x9E3779B97F4A7C15 % (1 << 64)
-            key = np.full(len(symbols), seed, np.uint64)
-            for j in range(CELLS):
-                if j != out:
-                    key = (key ^ word[:, j]) * np.uint64(0xBF58476D1CE4E5B9)
-                    key ^= key >> np.uint64(31)
-            keys[:, segment * CELLS + out] = (key >> np.uint64(32)).astype(np.uint32)
-    return keys.view(np.int32)
+def variant_index(classes: DataFrame) -> DataFrame:
+    """(variant, id): 64-bit keys of the deletion variants, (segment, symbol left out, the other symbols)."""
+    parts = classes.select("id", F.posexplode("segments").alias("segment", "word"))
+    keys = [F.xxhash64(F.lit(out), "segment", *[f"word.s{j}" for j in range(CELLS) if j != out]) for out in range(CELLS)]
+    return parts.select(F.explode(F.array(*keys)).alias("variant"), "id")
 
 
-SIGNATURE_SCHEMA = "key string, digest long, size int, variants array<int>, " + ", ".join(f"w{k} long" for k in range(PACKED))
+SIGNATURE_SCHEMA = "key string, digest long, size int, segments array<struct<" + ",".join(f"s{j}:int" for j in range(CELLS)) + ">>, " + ", ".join(f"w{k} long" for k in range(PACKED))
 
 
 def signed(rows: DataFrame) -> DataFrame:
@@ -155,17 +149,17 @@ def signed(rows: DataFrame) -> DataFrame:
                 digest, symbols, size = signatures(part.column(1).to_pylist())
                 have = np.flatnonzero(size)
                 symbols = symbols[have]
-                variants = _variants(symbols)
-                offsets = pa.array(np.arange(0, (len(have) + 1) * SYMBOLS, SYMBOLS, dtype=np.int32))
+                words = ((symbols * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32).view(np.int32).reshape(-1, CELLS)
+                offsets = pa.array(np.arange(0, (len(have) + 1) * SEGMENTS, SEGMENTS, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0).take(pa.array(have)),
                         pa.array(digest[have]),
                         pa.array(size[have].astype(np.int32)),
-                        pa.ListArray.from_arrays(offsets, pa.array(variants.reshape(-1))),
+                        pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(words[:, j])) for j in range(CELLS)], names=[f"s{j}" for j in range(CELLS)])),
                         *[pa.array(w) for w in _packed(symbols)],
                     ],
-                    names=["key", "digest", "size", "variants", *[f"w{k}" for k in range(PACKED)]],
+                    names=["key", "digest", "size", "segments", *[f"w{k}" for k in range(PACKED)]],
                 )
 
     return rows.select("key", "text").mapInArrow(run, SIGNATURE_SCHEMA)
@@ -180,6 +174,29 @@ def _agreeing(a: str, b: str) -> Column:
     return F.lit(16 * PACKED) - reduce(lambda p, q: p + q, differing)
 
 
+def _meeting(index: DataFrame) -> DataFrame:
+    """(a, b): distinct pairs of ids that share a variant, a < b, of rows (variant, id).
+
+    Hot variants are guessed from a hashed sample of the ids, which only decides how the
+    work is spread: their rows are split into ``SALTS`` blocks and every row meets every
+    block, so that no task holds a whole hot variant. All other rows join by the variant.
+    """
+    sampled = index.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).groupBy("variant").count()
+    hot = materialise(sampled.where(F.col("count") >= HOT // SAMPLED).select("variant"), "near-copy-hot")
+
+    def pairs(left: DataFrame, right: DataFrame, *on: str) -> DataFrame:
+        x, y = left.alias("l"), right.alias("r")
+        same = reduce(lambda p, q: p & q, [F.col(f"l.{c}") == F.col(f"r.{c}") for c in on])
+        return x.join(y, same & (F.col("l.id") < F.col("r.id"))).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+
+    if hot.limit(1).count() == 0:
+        return pairs(index, index, "variant").distinct()
+    cold = rows_of_keys(index, hot, "variant", present=False)
+    placed = rows_of_keys(index, hot, "variant").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    everywhere = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return pairs(cold, cold, "variant").unionByName(pairs(everywhere, placed, "variant", "block")).distinct()
+
+
 def near_copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Near copies among rows (key, text).
 
@@ -189,29 +206,40 @@ def near_copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     signature = materialise(signed(rows).withColumn("id", F.monotonically_increasing_id()), "near-copy-signatures")
     # one key stands for each class of copies; only keys and digests are aggregated
-    least = signature.groupBy("digest").agg(F.min_by(F.struct("key", "id"), F.struct("key", "id")).alias("first"), F.count("*").alias("n"))
-    members = materialise(signature.select("key", "id", "digest").join(least, "digest").select("key", "id", F.col("first.key").alias("class"), F.col("first.id").alias("class_id")), "near-copy-members")
-    classes = rows_of_keys(signature, members.where("id != class_id").select("id"), "id", present=False)
-    index = classes.select(F.explode("variants").alias("variant"), "id")
-    left, right = index.alias("l"), index.alias("r")
-    met = left.join(right, (F.col("l.variant") == F.col("r.variant")) & (F.col("l.id") < F.col("r.id"))).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
-    packed = signature.select("id", "size", *[f"w{k}" for k in range(PACKED)])
+    least = signature.groupBy("digest").agg(F.min(F.struct("key", "id")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    repeated = materialise(least, "near-copy-repeated")
+    few = repeated.limit(BROADCAST_KEY_LIMIT + 1).count() <= BROADCAST_KEY_LIMIT
+    named = signature.select("key", "id", "digest").join(F.broadcast(repeated) if few else repeated, "digest", "left")
+    members = named.select("key", "id", F.coalesce("first.key", "key").alias("class"), F.coalesce("first.id", "id").alias("class_id"))
+    spare = materialise(members.where("id != class_id"), "near-copy-spare")
+    classes = rows_of_keys(signature, spare.select("id"), "id", present=False)
+    met = _meeting(variant_index(classes))
+    packed = signature.select("id", "key", "size", *[f"w{k}" for k in range(PACKED)])
     x, y = packed.alias("x"), packed.alias("y")
     close = (
         met.join(x, F.col("a") == F.col("x.id"))
         .join(y, F.col("b") == F.col("y.id"))
         # a set can't be similar to one more than twice its size; sizes here count repeated pieces, hence the slack
         .where((F.least("x.size", "y.size") * 3 >= F.greatest("x.size", "y.size")) & (_agreeing("x", "y") >= LEAST_SYMBOLS))
-        .select("a", "b")
+        .select(F.col("x.key").alias("p"), F.col("y.key").alias("q"))
     )
-    names = members.where("id = class_id").select(F.col("id"), "class")
-    named = close.join(names.select(F.col("id").alias("a"), F.col("class").alias("p")), "a").join(names.select(F.col("id").alias("b"), F.col("class").alias("q")), "b").select("p", "q")
-    close = materialise(named, "near-copy-candidates")
+    close = materialise(close, "near-copy-candidates")
     wanted = close.select(F.explode(F.array("p", "q")).alias("key")).distinct()
     texts = rows_of_keys(rows, wanted, "key").dropDuplicates(["key"])
     return members.select("key", "class").distinct(), _verified(close, texts)
 
 
+def record_classes(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(key, class_id, links): each key with the least key of its connected class and its number of linked classes of copies.
+
+    Links of a key are the pairs of its class of exact copies; copies are not expanded.
+    """
+    ends = pairs.select(F.col("class_a").alias("class")).unionByName(pairs.select(F.col("class_b").alias("class"))).groupBy("class").agg(F.count("*").alias("links"))
+    roots = components(members.select(F.col("class").alias("id")).distinct(), pairs.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")))
+    out = members.join(roots.withColumnRenamed("id", "class"), "class").join(ends, "class", "left")
+    return out.select("key", F.col("root").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def _verified(close: DataFrame, texts: DataFrame) -> DataFrame:
     a = texts.select(F.col("key").alias("p"), F.col("text").alias("text_p"))
     b = texts.select(F.col("key").alias("q"), F.col("text").alias("text_q"))
@@ -239,11 +267,21 @@ def record_text(qa: DataFrame) -> DataFrame:
 def repeated_records(qa: DataFrame) -> DataFrame:
     """(conversation_id_a, conversation_id_b): all pairs of near copies, smaller first."""
     members, pairs = near_copies(record_text(qa))
-    members = materialise(members, "near-copy-members")
-    a = members.select(F.col("class").alias("class_a"), F.col("key").alias("ka"))
-    b = members.select(F.col("class").alias("class_b"), F.col("key").alias("kb"))
-    across = pairs.select("class_a", "class_b").join(a, "class_a").join(b, "class_b").select("ka", "kb")
-    # only classes of more than one key have pairs inside; these pairs are the result itself
-    within = a.join(b, (F.col("class_a") == F.col("class_b")) & (F.col("ka") < F.col("kb"))).select("ka", "kb")
-    both = across.unionByName(within)
+    # only keys that do not stand for their class have to be added
+    spare = materialise(members.where("key != class"), "near-copy-members")
+
+    def with_copies(df: DataFrame, column: str) -> DataFrame:
+        return df.unionByName(df.join(spare.select(F.col("class").alias(column), "key"), column).drop(column).withColumnRenamed("key", column))
+
+    across = with_copies(with_copies(pairs.select("class_a", "class_b"), "class_a"), "class_b").select(F.col("class_a").alias("ka"), F.col("class_b").alias("kb"))
+    # pairs inside a class of copies are the result itself
+    first = spare.select(F.col("class").alias("ka"), F.col("key").alias("kb"))
+    a, b = spare.alias("a"), spare.alias("b")
+    others = a.join(b, (F.col("a.class") == F.col("b.class")) & (F.col("a.key") < F.col("b.key"))).select(F.col("a.key").alias("ka"), F.col("b.key").alias("kb"))
+    both = across.unionByName(first).unionByName(others)
     return both.select(F.least("ka", "kb").alias("conversation_id_a"), F.greatest("ka", "kb").alias("conversation_id_b")).distinct()
+
+
+def classed_records(qa: DataFrame) -> DataFrame:
+    """(conversation_id, class_id, links): one row for each record with pieces."""
+    return record_classes(*near_copies(record_text(qa))).withColumnRenamed("key", "conversation_id")

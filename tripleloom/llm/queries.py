@@ -19,6 +19,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.repeated_records(table(spark, sf_dir, "qa_records"))
 
 
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.classed_records(table(spark, sf_dir, "qa_records"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = markup.markup_found(table(spark, sf_dir, "evidence_units"), "unit_id", "text")
     pages = markup.markup_found(table(spark, sf_dir, "restorations"), "restoration_id", "markdown")
@@ -72,6 +76,6 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p2_clean, p3_found, p4_found, p4_canonical_labels, p5_found, p6_found, p7_found, p8_ids, p9_found, p10_found)
+    f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_clean, p3_found, p4_found, p4_canonical_labels, p5_found, p6_found, p7_found, p8_ids, p9_found, p10_found)
 }
 SQL: dict[str, str] = {}
