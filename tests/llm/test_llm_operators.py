@@ -10,7 +10,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from tripleloom.llm import leakage, lookalike, mapping, markup, names, nearcopies, pairs, scans, stuffing, tokenise
+from tripleloom.llm import components, leakage, lookalike, mapping, markup, names, nearcopies, pairs, scans, stuffing, tokenise
 
 QA = "conversation_id string, messages array<struct<role:string,content:string>>, evidence array<struct<source_unit_id:string,locator:string,quote:string>>, reference_answer string"
 
@@ -61,6 +61,24 @@ def test_near_copies_edge_cases(spark):
     assert rows(nearcopies.repeated_records(qa.limit(0))) == set()
 
 
+def test_classes_have_one_row_for_each_record(spark):
+    texts = _texts(7, 40)
+    qa = spark.createDataFrame([(k, [("user", t)], [], "a") for k, t in texts], QA)
+    near = {tuple(sorted((a, b))) for i, (a, x) in enumerate(texts) for b, y in texts[i + 1 :] if nearcopies.jaccard(x, y) >= 0.5}
+    found = {r["conversation_id"]: (r["class_id"], r["links"]) for r in nearcopies.classed_records(qa).collect()}
+    assert set(found) == {k for k, _ in texts}
+    assert all(found[a][0] == found[b][0] for a, b in near) and len({c for c, _ in found.values()}) == 40
+
+
+def test_hot_variants_are_split_without_loss(spark, monkeypatch):
+    texts = _texts(13, 50)
+    qa = spark.createDataFrame([(k, [("user", t)], [], "a") for k, t in texts], QA)
+    plain = rows(nearcopies.repeated_records(qa))
+    monkeypatch.setattr(nearcopies, "HOT", 2)
+    monkeypatch.setattr(nearcopies, "SAMPLED", 1)
+    assert rows(nearcopies.repeated_records(qa)) == plain and len(plain) > 15
+
+
 def test_third_of_all_rows_are_copies(spark):
     texts = _texts(9, 30)
     copies = [(f"z{i:02d}", texts[0][1]) for i in range(15)]
@@ -286,15 +304,49 @@ def test_persons_link(spark):
     assert found == {(a, b) for a in range(7) for b in range(a + 1, 7)} | {(a, b) for a in range(7, 11) for b in range(a + 1, 11)}
 
 
-def test_radius_join_is_exact(spark):
+def _linked(spark, kind, labels):
+    df = spark.createDataFrame([(i, kind, x) for i, x in enumerate(labels)], "name_id long, kind string, label string")
+    return rows(names.link_names(df))
+
+
+def test_a_person_is_a_full_name(spark):
+    labels = ["Anna Smith", "Robert Smith", "Smith, Carol", "Zoe Q. Smith", "Liam Baker", "Noah Baker", "Baker, Liam", "Smith", "L. Baker", "B. Smith", "Zoe Smith", "Z. Q. Smith", "Anne Miller", "Anna Miller", "Annna Miller"]
+    found = _linked(spark, "person", labels)
+    # an ambiguous surname stays alone; an initial with one owner does not
+    assert {(4, 6), (4, 8), (6, 8), (3, 10), (3, 11), (10, 11)} <= found
+    assert not {p for p in found if 7 in p or 9 in p or set(p) & {0, 1, 2} and set(p) != {0}}
+    assert (4, 5) not in found and (0, 1) not in found
+
+
+def test_bodies_in_latin_letters(spark):
+    assert _linked(spark, "org", ["Harvard University", "University of Harvard", "Stanford University", "Standford University", "Oxford University"]) == {(0, 1), (2, 3)}
+
+
+def test_radius_join_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(names, "PER_PIVOT", 50)
     rng = random.Random(11)
-    cores = sorted({"".join(rng.choice("abcdef") for _ in range(rng.randint(5, 8))) for _ in range(700)})
-    nodes = spark.createDataFrame([(i, "person", c, c, "x", None, None) for i, c in enumerate(cores)], "id long, kind string, core string, letters string, part string, extra string, middle string")
-    found = rows(names.radius_pairs(nodes))
-    exact = {(i, j) for i, a in enumerate(cores) for j, b in enumerate(cores) if i < j and names.edit_distance(a, b, 2) <= 2}
+    cores = sorted({"".join(rng.choice("abcdef") for _ in range(rng.randint(4, 7))) for _ in range(700)})
+    nodes = spark.createDataFrame([(i, c, "x") for i, c in enumerate(cores)], "id long, name string, about string")
+    found = {(r["a"], r["b"]) for r in names.near_names(nodes).collect()}
+    swapped = {c: {c[:k] + c[k + 1] + c[k] + c[k + 2 :] for k in range(len(c) - 1)} for c in cores}
+    exact = {(i, j) for i, a in enumerate(cores) for j, b in enumerate(cores) if i < j and (names.edit_distance(a, b, 1) <= 1 or a in swapped[b])}
     assert found == exact and len(exact) > 50
 
 
+def test_nearest_forms_equal_brute_force():
+    rng = random.Random(2)
+    forms = ["".join(rng.choice("abcde") for _ in range(rng.randint(3, 7))) for _ in range(200)]
+    near = names.Nearest(forms)
+    for text in ("abc", "abcdef", "zzz", ""):
+        assert near.within(text, 2) == sorted((d, i) for i, f in enumerate(forms) if (d := names.edit_distance(text, f, 2)) <= 2)
+
+
+def test_components_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 90) if i != 40], "a long, b long")
+    found = {r["id"]: r["root"] for r in components.components(spark.range(92), edges).collect()}
+    assert found == {i: 0 if i <= 40 else 41 if i <= 90 else 91 for i in range(92)}
+
+
 # ---- mapping ---------------------------------------------------------------------------------------
 
 REFERENCE = [

@@ -1,24 +1,26 @@
 """Variant spellings of names typed by people.
 
-Labels are parsed into a core (the four-syllable name of an organisation, the
-surname of a person) and the parts that may be missing, abbreviated, reordered or
-decorated (field and kind of body; given name, initials, titles). The parts are
-learnt from counts over all labels. Distinct cores are then linked by a radius
-join in a metric space: the metric is the edit distance of the cores (letters; for
-syllables their jamo) plus a term that is large if the parts contradict each
-other. Pivots are drawn in each part group, every core is assigned to its nearest
-pivot's cell and, by the triangle inequality, replicated to every cell whose pivot
-is not farther than the nearest one's distance plus twice the radius. Inside each
-cell an exact radius join compares the cores of the cell with its visitors.
-Neighbours' syllables that changed places are found by equality of the swapped
-core. Connected cores are one entity.
-
-Pivots are at most ``PIVOTS`` a group and groups at most ``PARTS`` of a kind, so
-the broadcast pivot table has a fixed bound; a core without a known group visits
-all of them.
-
-Defined results: null and empty labels, and labels without a letter, link to
-nothing; equal labels link; repeated rows give one pair.
+Labels are parsed into the parts of a name: the name, field and kind of a body; given
+name, middle initial and surname of a person. The parts that many labels share (kinds,
+fields, given names, usual lengths of a body's name) are learnt from counts over all
+labels. Parts may be missing, abbreviated, reordered or decorated.
+
+A node is a full name as parsed, not a part of it: a body's name and field, or a person's
+given name, middle initial and surname. Nodes are linked by a radius join in a metric
+space: pivots are drawn from the names, every name is assigned to the cell of its nearest
+pivot and, by the triangle inequality, replicated to every cell whose pivot is not
+farther than the nearest one's distance plus twice the radius. Inside each cell an exact
+radius join by edit distance (of syllables or letters) compares the names of the cell
+with its visitors: names within one edit meet in a common deletion variant. Names whose
+neighbouring characters changed places are found by equality of the swapped name.
+
+A name with a part missing (an initial, a bare surname, a nickname, no field) is linked
+only if all complete names it may stand for are one entity; an ambiguous one stays alone.
+Connected nodes are one entity.
+
+Defined results: null and empty labels, and labels without a letter, link to nothing;
+equal labels link; repeated rows give one pair. Two given names that are both common
+are different names, however alike they are.
 """
 
 from __future__ import annotations
@@ -30,23 +32,34 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tripleloom.llm.components import components
 from tripleloom.llm.lookalike import canonical
 from tripleloom.session import materialise
 
-#: Edit distance within which two cores of compatible parts are one name: of jamo for bodies, of letters for persons.
-RADIUS, PERSON_RADIUS = 3, 2
-#: Pivots of a group, names for which one pivot is drawn, and learnt parts of one kind.
-PIVOTS, PER_PIVOT, PARTS = 64, 256, 500
+#: Edits within which two names are one, beside an exchange of neighbours; jamo in which Hangul names may differ then.
+RADIUS, JAMO_RADIUS = 1, 3
+#: Pivots of a kind of names, and names for which one is drawn. More names make larger cells, whose joins are equi-joins.
+PIVOTS, PER_PIVOT = 32, 16_384
 #: Least share of all labels for a part, and the share beyond which a longer suffix explains a shorter one.
 PART_SHARE, EXPLAINED = 0.004, 0.55
+#: Longest suffix that is counted as a part; with the share it bounds the number of learnt parts (a label has so many suffixes).
+LONGEST_PART = 7
+#: Least share of the labels for a given name, of a body's names for a usual length, and of a name's labels for a field of its own.
+GIVEN_SHARE, LENGTH_SHARE, FIELD_SHARE = 0.003, 0.05, 0.25
+#: A given name of at most so many letters may be a nickname.
+NICKNAME = 6
 
 # Decorations that belong to no name.
 _TITLE = re.compile(r"\b(?:dr|prof|professor|mr|mrs|ms|sir)\b\.?|교수님?|박사님?|선생님?|님$", re.I)
-_NOISE = re.compile(r"^\s*\((?:부설|사|재|주|학)\)|\((?:HBU|서울|본부|신)\)\s*$|(?<=\S)\s*(?:담당|소속|귀중)\s*$|^\s*한별누리대학교\s+", re.I)
+_NOISE = re.compile(r"^\s*\([^()]{1,12}\)|(?<=\S)\s*(?:담당|소속|귀중)\s*$", re.I)
+#: An abbreviation in brackets at the end, and a school before the name.
+_TRAILING = re.compile(r"\([A-Za-z]{1,8}\)\s*$|^\s*\S+대학교\s+(?=\S)")
+_ASIDE = "네쪽"
 _QUOTES = re.compile(r"[\"'“”‘’`]")
+_CONNECTING = {"of", "the", "for", "and", "at", "de", "du", "der", "des", "et", "und"}
 _HANGUL = re.compile("[가-힣]")
 
 
@@ -79,6 +92,36 @@ def edit_distance(a: str, b: str, most: int = 99) -> int:
     return row[-1]
 
 
+def _plain(label: str | None) -> str:
+    """A body's label without decorations."""
+    text = _QUOTES.sub("", canonical(label or "")).strip()
+    for _ in range(2):
+        text = _TRAILING.sub("", _NOISE.sub("", text)).strip()
+    return text
+
+
+class Nearest:
+    """Forms within an edit distance; letters that can't be matched bound the distance from below."""
+
+    def __init__(self, forms: list[str]):
+        self.forms = forms
+        self.column = {c: i for i, c in enumerate(sorted({c for f in forms for c in f}))}
+        self.bags = np.zeros((len(forms), len(self.column) + 1), np.int16)
+        for i, form in enumerate(forms):
+            for c in form:
+                self.bags[i, self.column[c]] += 1
+
+    def within(self, text: str, most: int) -> list[tuple[int, int]]:
+        """(distance, index), nearest first."""
+        bag = np.zeros(len(self.column) + 1, np.int16)
+        for c in text:
+            bag[self.column.get(c, -1)] += 1
+        more = self.bags - bag
+        lower = np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1))
+        near = ((edit_distance(text, self.forms[i], most), int(i)) for i in np.flatnonzero(lower <= most))
+        return sorted(x for x in near if x[0] <= most)
+
+
 # ---- parts learnt from counts over all labels --------------------------------
 
 
@@ -90,13 +133,13 @@ def _suffix_counts(labels: DataFrame, strip: tuple[str, ...] = ()) -> DataFrame:
         kinds = sorted(strip, key=len, reverse=True)
         for batch in batches:
             for label in batch.column(0).to_pylist():
-                letters = "".join(_HANGUL.findall(_NOISE.sub("", canonical(label or ""))))
+                letters = "".join(_HANGUL.findall(_plain(label)))
                 if strip:
                     kind = next((k for k in kinds if letters.endswith(k) and len(letters) >= len(k) + 6), None)
                     if kind is None:
                         continue
                     letters = letters[: -len(kind)]
-                for size in range(1, 8):
+                for size in range(1, LONGEST_PART + 1):
                     if size <= len(letters):
                         counts[letters[-size:]] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["suffix", "n"])
@@ -111,21 +154,39 @@ def _own_suffixes(counts: dict[str, int], least: float, shortest: int) -> list[s
         if len(s) > 1:
             extended[s[1:]] = max(extended.get(s[1:], 0), n)
     own = [(n, s) for s, n in counts.items() if len(s) >= shortest and n >= least and extended.get(s, 0) <= EXPLAINED * n]
-    return [s for _, s in sorted(own, reverse=True)[:PARTS]]
+    return [s for _, s in sorted(own, reverse=True)]
+
 
+def learn_parts(labels: DataFrame) -> tuple[list[str], list[str], list[int]]:
+    """(kinds, fields, usual lengths of the name) of organisations.
 
-def learn_parts(labels: DataFrame) -> tuple[list[str], list[str]]:
-    """(kinds, fields) of organisations; only suffixes above the share leave the executors."""
+    Only suffixes above the share leave the executors: at most ``LONGEST_PART / (PART_SHARE / 2)``.
+    """
     labels = labels.select("label").where("label is not null")
     total = max(1, labels.count())
 
     def frequent(counts: DataFrame) -> dict[str, int]:
         least = max(3, PART_SHARE * total * 0.5)
-        return {r[0]: r[1] for r in counts.where(F.col("n") >= least).orderBy(F.desc("n")).limit(20 * PARTS).collect()}
+        return {r[0]: r[1] for r in counts.where(F.col("n") >= least).collect()}
+
+    ends = frequent(_suffix_counts(labels))
+    kinds = _own_suffixes(ends, max(3, 2 * PART_SHARE * total), 2)
+    before = frequent(_suffix_counts(labels, tuple(kinds))) if kinds else {}
+    fields = _own_suffixes(before, max(3, PART_SHARE * total * 0.75), 3)
+    # a part found in both places is what it is more often
+    fields = [f for f in fields if f not in kinds or before[f] >= ends[f]]
+    kinds = [k for k in kinds if k not in fields and not any(k != f and k.startswith(f) for f in fields)]
+    return kinds, fields, _name_lengths(labels, kinds, fields)
 
-    kinds = _own_suffixes(frequent(_suffix_counts(labels)), max(3, 2 * PART_SHARE * total), 2)
-    fields = _own_suffixes(frequent(_suffix_counts(labels, tuple(kinds))), max(3, PART_SHARE * total * 0.75), 3) if kinds else []
-    return kinds, fields
+
+def _name_lengths(labels: DataFrame, kinds: list[str], fields: list[str]) -> list[int]:
+    """Lengths that names before a known field and kind often have."""
+    if not kinds or not fields:
+        return []
+    form = f"^([가-힣]{{2,12}}?)(?:{'|'.join(sorted(fields, key=len, reverse=True))})(?:{'|'.join(sorted(kinds, key=len, reverse=True))})$"
+    counts = labels.select(F.length(F.regexp_extract("label", form, 1)).alias("size")).where("size > 0").groupBy("size").count().collect()
+    total = sum(r["count"] for r in counts)
+    return sorted(r["size"] for r in counts if r["count"] >= LENGTH_SHARE * total)
 
 
 # The forms in which the place of the given name is certain.
@@ -139,11 +200,11 @@ _GIVEN_FORMS = (
 
 
 def learn_given(labels: DataFrame) -> list[str]:
-    """Given names: what stands in a given name's place often enough, over all labels."""
+    """Given names: what stands in a given name's place often enough, over all labels; at most ``1 / GIVEN_SHARE``."""
     found = F.lower(F.coalesce(*[F.nullif(F.regexp_extract("label", form, 1), F.lit("")) for form in _GIVEN_FORMS]))
     counts = labels.select(found.alias("given")).where("given is not null").groupBy("given").count()
     total = counts.agg(F.sum("count")).first()[0] or 0
-    return [r[0] for r in counts.where(F.col("count") >= max(2, 0.003 * total)).orderBy(F.desc("count"), "given").limit(PARTS).collect()]
+    return [r[0] for r in counts.where(F.col("count") >= max(2, GIVEN_SHARE * total)).orderBy(F.desc("count"), "given").collect()]
 
 
 # ---- parsing -------------------------------------------------------------------
@@ -152,8 +213,13 @@ def learn_given(labels: DataFrame) -> list[str]:
 class OrganisationParser:
     """Label -> (core, field, kind); core is empty if there is no name."""
 
-    def __init__(self, kinds: list[str], fields: list[str]):
+    def __init__(self, kinds: list[str], fields: list[str], lengths: list[int]):
         self.kinds, self.fields = kinds, fields
+        self.lengths = lengths or [4]
+        sizes = {n + d for n in self.lengths for d in (-1, 0, 1, 2) if n + d >= 2}
+        #: Lengths to try, with what an unusual one costs.
+        self.sizes = sorted((min(2.5 * abs(n - m) for m in self.lengths), n) for n in sizes)
+        self.sizes.sort(key=lambda x: (x[0], -x[1]))
         self.long_kinds = sorted((k for k in kinds if len(k) > 1), key=len, reverse=True)
         self.by_rest: dict[str, tuple[str | None, str | None]] = {}
         shorts = {f: {f} | self._short(f) for f in fields}
@@ -173,12 +239,8 @@ class OrganisationParser:
                 self.by_rest[f + k] = (f, k)
         self.whole = [(jamo(f + k), f, k) for f in fields for k in self.long_kinds] + [(jamo(f), f, None) for f in fields] + [(jamo(k), None, k) for k in self.long_kinds]
         self._known: dict[str, tuple[int, str | None, str | None]] = {}
-        self.characters = {c for f, _, _ in ((a, b, c) for a, b, c in self.whole_texts()) for c in f}
-        width = max((len(w[0]) for w in self.whole), default=1)
-        self._table = np.zeros((len(self.whole), width), np.uint32)
-        for i, (form, _, _) in enumerate(self.whole):
-            self._table[i, : len(form)] = [ord(c) for c in form]
-        self._lengths = np.array([len(w[0]) for w in self.whole], int)
+        self.characters = {c for form, _, _ in self.whole_texts() for c in form}
+        self._near = Nearest([w[0] for w in self.whole])
 
     def whole_texts(self) -> Iterator[tuple[str, str | None, str | None]]:
         for f in self.fields:
@@ -187,25 +249,9 @@ class OrganisationParser:
             yield k, None, k
 
     def _nearest(self, letters: str, most: int) -> tuple[int, str | None, str | None]:
-        """The whole form nearest to ``letters``, if within ``most``; all forms at once."""
-        chosen = np.flatnonzero(np.abs(self._lengths - len(letters)) <= most)
-        if not len(chosen):
-            return 99, None, None
-        table, lengths = self._table[chosen], self._lengths[chosen]
-        columns = int(lengths.max())
-        rows = [np.full(len(chosen), j, np.int16) for j in range(columns + 1)]
-        for i, c in enumerate(letters, 1):
-            above, rows[0] = rows[0], np.full(len(chosen), i, np.int16)
-            differs = (table[:, :columns] != ord(c)).astype(np.int16)
-            for j in range(1, columns + 1):
-                value = np.minimum(np.minimum(rows[j], rows[j - 1]) + 1, above + differs[:, j - 1])
-                above, rows[j] = rows[j], value
-        final = np.stack(rows)[lengths, np.arange(len(chosen))]
-        at = int(final.argmin())
-        if final[at] > most:
-            return 99, None, None
-        _, f, k = self.whole[chosen[at]]
-        return int(final[at]), f, k
+        """The whole form nearest to ``letters``, if within ``most``."""
+        near = self._near.within(letters, most)
+        return (near[0][0], *self.whole[near[0][1]][1:]) if near else (99, None, None)
 
     @staticmethod
     def _short(field: str) -> set[str]:
@@ -248,14 +294,17 @@ class OrganisationParser:
         return known
 
     def parse(self, label: str | None) -> tuple[str, str | None, str | None]:
-        text = _QUOTES.sub("", canonical(label or "")).strip()
-        for _ in range(2):
-            text = _NOISE.sub("", text).strip()
-        text = re.sub(r"[(),·/\[\]]", " ", text)
+        text = re.sub(r"[(),·/\[\]]", " ", _plain(label))
+        if 2 * len(_HANGUL.findall(text)) < sum(c.isalpha() for c in text):
+            # other scripts: the words in one order, connecting words aside
+            words = [w for w in re.findall(r"[^\W_]+", text.casefold()) if w not in _CONNECTING]
+            return " ".join(sorted(words)), None, None
         tokens = ["".join(_HANGUL.findall(t)) for t in text.split()]
         tokens = [t for t in tokens if t]
         if not tokens:
             return "", None, None
+        if not self.whole:
+            return "".join(tokens), None, None
         # which token begins with the name: the one that is worst explained as field and kind
         parts: list[tuple[int, str | None, str | None]] = [self.rest(t) for t in tokens]
         best: tuple[float, str, str | None, str | None] | None = None
@@ -265,8 +314,8 @@ class OrganisationParser:
             if parts[i][0] == 0 and len(tokens) > 1 and len(token) > 1:
                 other_cost += 8
             joined = "".join(tokens[i + 1 :])
-            for size in (4, 5, 3, 6):
-                if best is not None and best[0] <= abs(size - 4) * 2.5 - 2.5:
+            for unusual, size in self.sizes:
+                if best is not None and best[0] <= unusual - 2.5:
                     break
                 if size > len(token):
                     continue
@@ -277,12 +326,12 @@ class OrganisationParser:
                     c2, f2, k2 = self.rest(after + joined)
                     if c2 < cost and i == 0:
                         cost, f, k, extra = c2, f2, k2, sum(min(p[0], 12) for p in parts[:i])
-                        total = cost + extra + abs(size - 4) * 2.5
+                        total = cost + extra + unusual
                         if best is None or total < best[0]:
                             best = (total, token[:size], f, k)
                         continue
-                total = min(cost, 12) + other_cost + abs(size - 4) * 2.5
-                if token[size - 1 : size] in {"네", "쪽"} and size == 5:
+                total = min(cost, 12) + other_cost + unusual
+                if token[size - 1 : size] in set(_ASIDE) and size - 1 in self.lengths:
                     total -= 2.5
                 for _, fo, ko in others:
                     f, k = f or fo, k or ko
@@ -291,10 +340,10 @@ class OrganisationParser:
         if best is None:
             return ("".join(tokens), None, None) if len("".join(tokens)) >= 3 else ("", None, None)
         core = best[1]
-        if len(core) == 5 and core[-1] in "네쪽":
-            core = core[:4]
+        if core[-1] in _ASIDE and len(core) - 1 in self.lengths:
+            core = core[:-1]
         # a space inside the name
-        if len(tokens) > 1 and len(tokens[0]) < 3 and best[0] > 6:
+        if len(tokens) > 1 and len(tokens[0]) < min(self.lengths) - 1 and best[0] > 6:
             glued = self.parse("".join(tokens))
             if glued[0]:
                 return glued
@@ -302,25 +351,29 @@ class OrganisationParser:
 
 
 class PersonParser:
-    """Label -> (surname, given name or None, its initial or None, middle initial or None)."""
+    """Label -> (surname, given name or None, whether it is a common one, initial, middle initial, quoted nickname)."""
 
     def __init__(self, given: list[str]):
-        self.given = sorted(given, key=len, reverse=True)
+        self.given = given
         self._set = set(given)
+        self._nearest = Nearest(given)
         self._near: dict[str, str | None] = {}
 
     def _as_given(self, token: str) -> str | None:
         if token in self._set:
             return token
         if token not in self._near:
-            near = [g for g in self.given if len(token) >= 5 and g[0] == token[0] and edit_distance(token, g, 2) <= 2] or [
-                g for g in self.given if len(token) >= 5 and edit_distance(token, g, 2) <= 2
-            ]
-            self._near[token] = near[0] if near else None
+            near = self._nearest.within(token, 2) if len(token) >= 5 else []
+            near.sort(key=lambda x: (self.given[x[1]][0] != token[0], x))
+            if len(self._near) < 300_000:
+                self._near[token] = self.given[near[0][1]] if near else None
+            return self.given[near[0][1]] if near else None
         return self._near[token]
 
-    def parse(self, label: str | None) -> tuple[str, str | None, str | None, str | None]:
+    def parse(self, label: str | None) -> tuple:
         text = canonical(label or "")
+        quoted = re.search(r"[\"“”‘’]([^\W\d_]{2,})[\"“”‘’]", text)
+        nick = quoted[1].casefold() if quoted else None
         text = re.sub(r"[\"'“”‘’(][^\"'“”‘’()]*[\"'“”‘’)]", " ", text)
         text = _TITLE.sub(" ", text).strip(" .,")
         # a name typed without its space
@@ -333,141 +386,185 @@ class PersonParser:
         long = [t for t in tokens if len(t) > 2]
         initials = [t for t in tokens if len(t) <= 2]
         if not long:
-            return "", None, None, None
+            return "", None, False, None, None, None
         middle = initials[-1][0] if initials and (len(long) > 1 or len(initials) > 1) else None
         if len(long) == 1:
             whole = long[0]
             for g in self.given:
                 if not initials and len(g) >= 6 and whole.startswith(g) and len(whole) >= len(g) + 4:
-                    return whole[len(g) :].strip("-"), g, g[0], None
-            return whole, None, initials[0][0] if initials else None, middle
+                    return whole[len(g) :].strip("-"), g, True, g[0], None, nick
+            return whole, None, False, initials[0][0] if initials else None, middle, nick
         known = [self._as_given(t) for t in long]
         if comma and left and len(left[-1]) > 2:
-            surname, rest = left[-1], [t for t in long if t != left[-1]]
-            given = next((self._as_given(t) for t in rest if self._as_given(t)), None)
-            return surname, given, (given or rest[0])[0] if rest else None, middle
-        if known[0] and not known[-1]:
-            return long[-1], known[0], known[0][0], middle
-        if known[-1] and not known[0]:
-            return long[0], known[-1], known[-1][0], middle
-        return long[-1], known[0], (known[0] or long[0])[0], middle
+            surname = left[-1]
+            rest = [(t, k) for t, k in zip(long, known, strict=True) if t != surname]
+            first = next(((t, k) for t, k in rest if k), rest[0] if rest else (None, None))
+        elif known[-1] and not known[0]:
+            surname, first = long[0], (long[-1], known[-1])
+        else:
+            surname, first = long[-1], (long[0], known[0])
+        given = first[1] or first[0]
+        return surname, given, bool(first[1]), given[0] if given else None, middle, nick
 
 
 # ---- linking -------------------------------------------------------------------
 
-NODE = "name_id long, kind string, core string, letters string, part string, extra string, middle string"
+NODE = "name_id long, kind string, core string, letters string, part string, extra string, given string, known boolean, initial string, middle string, nick string"
 
 
-def parse_names(labels: DataFrame, kinds: list[str], fields: list[str], given: list[str]) -> DataFrame:
-    """Rows (name_id, kind, core, letters, part, extra) of rows (name_id, kind, label)."""
+def parse_names(labels: DataFrame, kinds: list[str], fields: list[str], lengths: list[int], given: list[str]) -> DataFrame:
+    """Parsed rows of rows (name_id, kind, label); core is a body's name or a person's surname."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        organisations, persons = OrganisationParser(kinds, fields), PersonParser(given)
+        organisations, persons = OrganisationParser(kinds, fields, lengths), PersonParser(given)
         for batch in batches:
             out = []
             for key, kind, label in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if kind == "person":
-                    core, extra, part, middle = persons.parse(label)
+                    core, *rest = persons.parse(label)
+                    about = (None, None, *rest)
                 else:
-                    (core, part, extra), middle = organisations.parse(label), None
+                    core, part, extra = organisations.parse(label)
+                    about = (part, extra, None, False, None, None, None)
                 if core:
-                    out.append((key, kind, core, jamo(core), part, extra, middle))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 7
-            types = [pa.int64(), *[pa.string()] * 6]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["name_id", "kind", "core", "letters", "part", "extra", "middle"])
+                    out.append((key, kind, core, jamo(core), *about))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 11
+            types = [pa.int64(), *[pa.string()] * 6, pa.bool_(), *[pa.string()] * 3]
+            names = [f.split()[0] for f in NODE.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     return labels.select("name_id", "kind", "label").mapInArrow(run, NODE)
 
 
-def radius_pairs(nodes: DataFrame) -> DataFrame:
-    """(a, b): ids of nodes (id, kind, letters, part, extra, middle) within the radius and with compatible parts."""
-    spark = nodes.sparkSession
-    groups = nodes.where("part is not null").groupBy("kind", "part").count()
-    table = [(r[0], r[1], r[2]) for r in groups.orderBy(F.desc("count"), "kind", "part").limit(2 * PARTS).collect()]
-    if not table:
-        table = [("org", "", 1), ("person", "", 1)]
-    sizes = F.broadcast(spark.createDataFrame(table, "kind string, part string, size long"))
-    # a core of unknown part belongs to every group of its kind
-    known = nodes.where("part is not null").join(sizes, ["kind", "part"]).withColumn("home", F.lit(True))
-    loose = nodes.where("part is null").drop("part").join(sizes, "kind").withColumn("home", F.lit(True))
-    placed = known.unionByName(loose.select(known.columns))
-    rate = F.least(F.lit(PIVOTS), F.greatest(F.lit(1), (F.col("size") / PER_PIVOT).cast("int"))) / F.col("size")
-    chance = (F.pmod(F.xxhash64("letters"), F.lit(1 << 30)) / F.lit(float(1 << 30))) < rate * 1.25
-    drawn = placed.where(chance).groupBy("kind", "part").agg(F.slice(F.sort_array(F.collect_set("letters")), 1, PIVOTS).alias("pivots"))
-    pivots = F.broadcast(spark.createDataFrame(drawn.limit(2 * PARTS).collect(), "kind string, part string, pivots array<string>"))
-    distances = F.transform(F.coalesce("pivots", F.array(F.lit(""))), lambda p: F.levenshtein(F.col("letters"), p))
-    cells = (
-        placed.join(pivots, ["kind", "part"], "left")
-        .select("id", "kind", "part", "letters", "extra", "middle", distances.alias("d"))
-        .withColumn("nearest", F.array_min("d"))
-        .withColumn("cell0", F.array_position("d", F.col("nearest")) - 1)
-    )
-    homes = cells.select("kind", "part", F.col("cell0").cast("int").alias("cell"), "id", "letters", "extra", "middle", F.col("nearest").alias("far"))
-    visits = cells.select("kind", "part", "id", "letters", "extra", "middle", "nearest", F.posexplode("d").alias("cell", "far")).where(F.col("far") <= F.col("nearest") + 2 * RADIUS)
+def near_names(nodes: DataFrame) -> DataFrame:
+    """(a, b, x, y): pairs of nodes (id, name, about) whose names are within the radius or have two neighbours exchanged.
+
+    ``x`` and ``y`` are the nodes' ``about``. Names under three characters must be equal.
+    """
+    size = nodes.count()
+    wanted = min(PIVOTS, max(1, size // PER_PIVOT))
+    # pivots are drawn by the hash of their name: at most PIVOTS strings leave the executors
+    pivots = [r[0] for r in nodes.select("name").distinct().orderBy(F.xxhash64("name"), "name").limit(wanted).collect()] or [""]
+    table = F.array(*[F.lit(p) for p in pivots])
+    cells = nodes.select("id", "name", "about", F.transform(table, lambda p: F.levenshtein(F.col("name"), p)).alias("d")).withColumn("nearest", F.array_min("d"))
+    place = F.sequence(F.lit(1), F.length("name"))
+    shorter = F.transform(place, lambda i: F.concat(F.col("name").substr(F.lit(1), i - 1), F.col("name").substr(i + 1, F.length("name"))))
+    variants = F.explode(F.array_distinct(F.when(F.length("name") >= 3, F.concat(F.array("name"), shorter)).otherwise(F.array("name"))))
+    homes = cells.select((F.array_position("d", F.col("nearest")) - 1).cast("int").alias("cell"), "id", "name", "about", variants.alias("variant"))
+    visitors = cells.select("id", "name", "about", "nearest", F.posexplode("d").alias("cell", "far")).where(F.col("far") <= F.col("nearest") + 2 * RADIUS)
+    visits = visitors.select("cell", "id", "name", "about", variants.alias("variant"))
     h, v = homes.alias("h"), visits.alias("v")
-    near = (
-        (F.col("h.kind") == F.col("v.kind"))
-        & (F.col("h.part") == F.col("v.part"))
-        & (F.col("h.cell") == F.col("v.cell"))
-        & (F.col("h.id") < F.col("v.id"))
-        & (F.abs(F.col("h.far") - F.col("v.far")) <= RADIUS)
-        & (F.col("h.extra").isNull() | F.col("v.extra").isNull() | (F.col("h.extra") == F.col("v.extra")))
-        & (F.col("h.middle").isNull() | F.col("v.middle").isNull() | (F.col("h.middle") == F.col("v.middle")))
-        & F.expr(f"levenshtein(h.letters, v.letters, if(h.kind = 'person', {PERSON_RADIUS}, {RADIUS})) >= 0")
-    )
-    return h.join(v, near).select(F.col("h.id").alias("a"), F.col("v.id").alias("b")).distinct()
-
-
-def swapped_pairs(nodes: DataFrame) -> DataFrame:
-    """(a, b): nodes of which one core is the other with two neighbouring characters swapped."""
-    place = F.sequence(F.lit(1), F.greatest(F.length("core") - 1, F.lit(1)))
-    swapped = F.transform(
-        place,
-        lambda i: F.concat(F.col("core").substr(F.lit(1), i - 1), F.col("core").substr(i + 1, F.lit(1)), F.col("core").substr(i, F.lit(1)), F.col("core").substr(i + 2, F.lit(1000))),
-    )
-    x = nodes.where(F.length("core") > 2).select("kind", F.col("id").alias("a"), F.explode(swapped).alias("core"), F.col("part").alias("pa"))
-    y = nodes.select("kind", F.col("id").alias("b"), "core", F.col("part").alias("pb"))
-    return x.join(y, ["kind", "core"]).where((F.col("a") != F.col("b")) & (F.col("pa").isNull() | F.col("pb").isNull() | (F.col("pa") == F.col("pb")))).select("a", "b").distinct()
-
-
-def components(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, root): the least id reachable from each node; labels spread by joins until none changes."""
-    both = materialise(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "name-edges")
-    touched = both.select(F.col("a").alias("id")).distinct()
-    state = materialise(touched.withColumn("root", F.col("id")), "name-roots")
-    for _ in range(64):
-        lower = both.join(state.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
-        spread = state.join(lower, "id", "left").select("id", F.least("root", F.coalesce("near", "root")).alias("root"), F.col("root").alias("was"))
-        # pointer jumping: take the root of the root
-        jump = spread.select(F.col("id").alias("root"), F.col("root").alias("top"))
-        following = materialise(spread.join(jump, "root", "left").select("id", F.least("root", F.coalesce("top", "root")).alias("root"), "was"), "name-roots")
-        if following.where("root < was").limit(1).count() == 0:
-            break
-        state = following.select("id", "root")
-    return nodes.select("id").join(following.select("id", "root"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+    meet = (F.col("h.cell") == F.col("v.cell")) & (F.col("h.variant") == F.col("v.variant")) & (F.col("h.id") < F.col("v.id"))
+    out = [F.col("h.id").alias("a"), F.col("v.id").alias("b"), F.col("h.about").alias("x"), F.col("v.about").alias("y")]
+    within = h.join(v, meet & F.expr(f"levenshtein(h.name, v.name, {RADIUS}) >= 0")).select(*out)
+    pair = F.sequence(F.lit(1), F.greatest(F.length("name") - 1, F.lit(1)))
+    turned = F.transform(pair, lambda i: F.concat(F.col("name").substr(F.lit(1), i - 1), F.col("name").substr(i + 1, F.lit(1)), F.col("name").substr(i, F.lit(1)), F.col("name").substr(i + 2, F.length("name"))))
+    h, v = nodes.where(F.length("name") >= 3).select("id", "about", F.explode(F.array_distinct(turned)).alias("name")).alias("h"), nodes.alias("v")
+    swapped = h.join(v, (F.col("h.name") == F.col("v.name")) & (F.col("h.id") < F.col("v.id"))).select(*out)
+    return within.unionByName(swapped).dropDuplicates(["a", "b"])
+
+
+def _only(df: DataFrame, key: str, target: str) -> DataFrame:
+    """(a, b): keys all of whose targets are one, with it."""
+    return df.groupBy(F.col(key).alias("a")).agg(F.min(target).alias("b"), F.max(target).alias("other")).where("b = other").select("a", "b")
+
+
+def _agree(a: Column, b: Column) -> Column:
+    return a.isNull() | b.isNull() | (a == b)
+
+
+def _settled(pairs: DataFrame, part: str) -> DataFrame:
+    """(a, b): pairs that both have ``part``, equal, or both lack it; a node that lacks it is linked only if its partners agree on it."""
+    x, y = F.col(f"x.{part}"), F.col(f"y.{part}")
+    sure = pairs.where(x.eqNullSafe(y)).select("a", "b")
+    loose = pairs.where(x.isNull() != y.isNull())
+    ends = loose.select(F.when(x.isNull(), F.col("a")).otherwise(F.col("b")).alias("bare"), F.when(x.isNull(), F.col("b")).otherwise(F.col("a")).alias("full"), F.coalesce(x, y).alias("value"))
+    agreed = _only(ends, "bare", "value").select(F.col("a").alias("bare"))
+    return sure.unionByName(ends.join(agreed, "bare").select(F.col("bare").alias("a"), F.col("full").alias("b")))
+
+
+def body_edges(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows (name_id, id), edges (a, b)) of organisations."""
+    counts = parsed.groupBy("core", "part", "extra").agg(F.count("*").alias("n"), F.first("letters").alias("letters"))
+    counts = materialise(counts, "name-bodies")
+    # a field that few labels of a name have is a slip of theirs; a name without a field takes the name's only one
+    fields = counts.where("part is not null").groupBy("core", "part").agg(F.sum("n").alias("n"))
+    most = fields.groupBy("core").agg(F.sum("n").alias("total"), F.max_by("part", F.struct("n", "part")).alias("main"))
+    own = fields.join(most, "core").select("core", "part", F.when(F.col("n") >= FIELD_SHARE * F.col("total"), F.col("part")).otherwise(F.col("main")).alias("field"))
+    sole = own.groupBy("core").agg(F.min("field").alias("least"), F.max("field").alias("sole")).where("least = sole").select("core", "sole")
+    named = parsed.select("name_id", "core", "part", "extra", "letters").join(own, ["core", "part"], "left").join(sole, "core", "left")
+    named = named.withColumn("field", F.coalesce("field", "sole")).withColumn("id", F.xxhash64(F.lit("org"), "core", "field"))
+    rows = materialise(named.select("name_id", "id", "core", "letters", "field", "extra"), "name-body-rows")
+    kinds = rows.groupBy("id", "core", "letters", "field", "extra").count()
+    nodes = kinds.groupBy("id", "core", "letters", "field").agg(F.max_by("extra", F.struct(F.col("extra").isNotNull(), "count", "extra")).alias("extra"))
+    pairs = near_names(nodes.select("id", F.col("core").alias("name"), F.struct("core", "letters", "field", "extra").alias("about")))
+    close = F.expr(f"levenshtein(x.letters, y.letters, {JAMO_RADIUS}) >= 0") | (F.length("x.core") == F.length("y.core")) & F.expr("translate(x.core, y.core, '') = ''")
+    pairs = pairs.where(close & _agree(F.col("x.extra"), F.col("y.extra")) & _agree(F.col("x.field"), F.col("y.field")))
+    return rows.select("name_id", "id"), _settled(materialise(pairs, "name-body-pairs"), "field")
+
+
+def person_edges(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows (name_id, id), edges (a, b)) of persons."""
+    named = parsed.withColumn("id", F.xxhash64(F.lit("person"), "core", "given", "initial", "middle"))
+    rows = named.select("name_id", "id")
+    nodes = materialise(named.groupBy("id", "core", "given", "initial", "middle").agg(F.max("known").alias("known"), F.min("nick").alias("nick")), "name-persons")
+    full = nodes.where("given is not null")
+    about = F.struct("given", "known", "middle")
+    pairs = near_names(full.select("id", F.concat_ws(" ", "given", "core").alias("name"), about.alias("about")))
+    other_given = F.col("x.known") & F.col("y.known") & (F.col("x.given") != F.col("y.given"))
+    strict = materialise(_settled(materialise(pairs.where(~other_given & _agree(F.col("x.middle"), F.col("y.middle"))), "name-person-pairs"), "middle"), "name-person-edges")
+    roots = components(full, strict)
+    # one row for each spelling of a complete name, with its entity and the entity's middle initial
+    spelt = full.select("id", "core", "given", "known", "initial", "middle").join(roots, "id")
+    middles = spelt.groupBy("root").agg(F.max("middle").alias("root_middle"))
+    entities = materialise(spelt.select("core", "given", "known", "initial", "root").distinct().join(middles, "root"), "name-entities")
+    bare = nodes.where("given is null")
+    # a surname that no complete name has is read as the only one near it
+    surnames = entities.select("core").distinct().withColumn("whole", F.lit(True))
+    lost = bare.select("core").distinct().join(surnames, "core", "left_anti").withColumn("whole", F.lit(False))
+    about = F.struct("core", "whole")
+    beside = near_names(surnames.unionByName(lost).select(F.xxhash64("core").alias("id"), F.col("core").alias("name"), about.alias("about"))).where("x.whole != y.whole")
+    read = _only(beside.select(F.expr("if(x.whole, y.core, x.core)").alias("typed"), F.expr("if(x.whole, x.core, y.core)").alias("meant")), "typed", "meant").select(F.col("a").alias("core"), F.col("b").alias("meant"))
+    bare = materialise(bare.join(read, "core", "left").withColumn("core", F.coalesce("meant", "core")).select("id", "core", "initial", "middle"), "name-bare")
+    keyed = entities.select("core", "initial", "root", "root_middle").distinct()
+    # an initial and a surname
+    initials = bare.where("initial is not null")
+    meant = initials.join(keyed, ["core", "initial"]).where(_agree(F.col("middle"), F.col("root_middle")))
+    by_initial = materialise(_only(meant, "id", "root"), "name-initials")
+    # initials without a complete name are entities of their own, those without a middle initial the only one of theirs
+    alone = initials.join(by_initial.select(F.col("a").alias("id")), "id", "left_anti").join(meant.select("id").distinct(), "id", "left_anti")
+    with_middle = alone.where("middle is not null").select("core", "initial", F.col("id").alias("with"))
+    by_middle = _only(alone.where("middle is null").join(with_middle, ["core", "initial"]), "id", "with")
+    # a bare surname
+    owners = keyed.select("core", F.col("root").alias("owner")).unionByName(alone.where("middle is not null").select("core", F.col("id").alias("owner")))
+    owners = owners.unionByName(alone.where("middle is null").join(by_middle.select(F.col("a").alias("id")), "id", "left_anti").select("core", F.col("id").alias("owner"))).distinct()
+    by_surname = _only(bare.where("initial is null").join(owners, "core"), "id", "owner")
+    # a nickname: a shorter form with the given name's beginning, or learnt from names that quote it
+    nicks = full.where(~F.col("known") & (F.length("given") <= NICKNAME)).select("id", "core", F.col("given").alias("nick"), "middle").join(roots, "id").withColumnRenamed("root", "own")
+    known = entities.where("known").withColumn("start", F.col("given").substr(1, 2))
+    same_start = nicks.withColumn("start", F.col("nick").substr(1, 2)).join(known, ["core", "start"]).where(F.length("given") >= F.length("nick") + 2)
+    learnt = full.where("known and nick is not null").groupBy("given", "nick").count().select("given", "nick")
+    quoted = nicks.join(learnt, "nick").join(known, ["core", "given"])
+    columns = ["id", "own", "middle", "root", "root_middle"]
+    called = same_start.select(columns).unionByName(quoted.select(columns)).where((F.col("own") != F.col("root")) & _agree(F.col("middle"), F.col("root_middle")))
+    by_nick = _only(called, "id", "root")
+    edges = strict
+    for more in (by_initial, by_middle, by_surname, by_nick):
+        edges = edges.unionByName(more)
+    return rows, edges
 
 
 def link_names(labels: DataFrame) -> DataFrame:
     """(name_id_a, name_id_b) of rows (name_id, kind in org/person, label): all pairs of one entity."""
-    spark = labels.sparkSession
     labels = labels.where("label is not null and name_id is not null")
-    kinds, fields = learn_parts(labels.where("kind = 'org'"))
+    kinds, fields, lengths = learn_parts(labels.where("kind = 'org'"))
     given = learn_given(labels.where("kind = 'person'"))
-    # parsed where the rows lie, then one row for each
-    parsed = materialise(parse_names(labels, kinds, fields, given).distinct(), "names-parsed")
-    # a core seen with a part lends it to its bare spellings: the commonest part of each exact core
-    parts = parsed.where("part is not null").groupBy("kind", "core", "part", "extra").count()
-    lent = parts.groupBy("kind", "core").agg(F.max_by("part", F.struct("count", "part")).alias("lent_part"), F.max_by("extra", F.struct(F.col("extra").isNotNull(), "count", "extra")).alias("lent_extra"))
-    nodes = (
-        parsed.groupBy("kind", "core")
-        .agg(F.first("letters").alias("letters"), F.mode("middle", True).alias("middle"))
-        .join(lent, ["kind", "core"], "left")
-        .select(F.xxhash64("kind", "core").alias("id"), "kind", "core", "letters", F.col("lent_part").alias("part"), F.col("lent_extra").alias("extra"), "middle")
-    )
-    nodes = materialise(nodes, "name-nodes")
-    edges = radius_pairs(nodes).unionByName(swapped_pairs(nodes))
-    roots = components(spark, nodes, edges)
-    members = materialise(parsed.select("name_id", F.xxhash64("kind", "core").alias("id")).join(roots, "id").select("name_id", "root").distinct(), "name-members")
+    parsed = materialise(parse_names(labels, kinds, fields, lengths, given).distinct(), "names-parsed")
+    body_rows, bodies = body_edges(parsed.where("kind = 'org'"))
+    person_rows, persons = person_edges(parsed.where("kind = 'person'"))
+    rows = body_rows.unionByName(person_rows)
+    roots = components(rows.select("id").distinct(), bodies.unionByName(persons))
+    members = materialise(rows.join(roots, "id").select("name_id", "root").distinct(), "name-members")
     a, b = members.alias("a"), members.alias("b")
     linked = a.join(b, (F.col("a.root") == F.col("b.root")) & (F.col("a.name_id") < F.col("b.name_id")))
     return linked.select(F.col("a.name_id").alias("name_id_a"), F.col("b.name_id").alias("name_id_b")).distinct()
