@@ -503,6 +503,9 @@ NOUNS = [a + b for a in ("노트북", "키보드", "헤드폰", "모니터", "
 @pytest.mark.parametrize(
     ("text", "stuffed"),
     [
+        ("cheap shoes for buy online " * 60, True),  # a period with a function word
+        ("cheap shoes for you, buy online for less, " * 40, True),
+        (" ".join(f"noun{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)), True),
         (" ".join(NOUNS), True),  # distinct nouns
         (SOUND + " ".join(NOUNS * 3), True),
         (" ".join(LISTED[:30] * 6), True),  # a cycle of 30 terms

@@ -5,6 +5,9 @@ stretches of it as matter other than sentences:
 
 * links: addresses, anchors with their labels, and tags, in runs that no sentence
   interrupts;
+* periods: runs in which every token equals the one a fixed lag before it, at least
+  ``PERIODS`` times over (positional autocorrelation at each lag of the window), whatever
+  their words;
 * regular recurrence: for each term the gaps between its occurrences and, over
   the page, the share of positions whose token comes again within a lag window, or
   within about the term's own gap if its gaps are even (positional autocorrelation).
@@ -35,6 +38,8 @@ from tripleloom.llm.lookalike import SUSPECT_JAVA, canonical
 WINDOW, LAGS, DENSE = 12, 24, 0.62
 #: A term of so many gaps or more, whose deviation is at most this part of their mean, recurs in a cycle of any length.
 CYCLES, EVEN = 2, 0.6
+#: Times that a period of at most ``LAGS`` tokens is repeated, and tokens that the repetition holds at least.
+PERIODS, PERIOD_LEAST = 4, 16
 #: Tokens that a run of distinct nouns has at least.
 LIST = 24
 SHARE = 0.5
@@ -127,6 +132,24 @@ def recurrence(keys: list[str]) -> np.ndarray:
     return again
 
 
+def periodic(keys: list[str]) -> np.ndarray:
+    """Tokens of runs that repeat with one lag of the window, ``PERIODS`` times over after the first."""
+    n = len(keys)
+    ids: dict[str, int] = {}
+    codes = np.fromiter((ids.setdefault(k, len(ids)) for k in keys), np.int64, n)
+    out = np.zeros(n, bool)
+    for lag in range(1, min(LAGS, n // (PERIODS + 1)) + 1):
+        same = codes[lag:] == codes[:-lag]
+        least = max(PERIODS * lag, PERIOD_LEAST)
+        if int(same.sum()) < least:
+            continue
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], same.view(np.int8), [0]))))
+        for begin, end in zip(edges[::2], edges[1::2], strict=True):
+            if end - begin >= least:
+                out[begin : end + lag] = True
+    return out
+
+
 def _smooth(flags: np.ndarray) -> np.ndarray:
     width = min(WINDOW, len(flags))
     total = np.convolve(flags.astype(float), np.ones(width), "same")
@@ -179,6 +202,7 @@ def stuffed_share(text: str | None) -> float:
         told = np.array([bool(_CJK_SENTENCE.search(k)) for k in keys])
         for begin, end in _entry_places(text):
             told[bisect_left(at, (begin, 0)) : bisect_left(at, (end, 0))] = True
+        stuffed |= periodic(keys)
         stuffed |= _bare_list(np.array(closed) | np.array(ending) | told, digits)
         for i in np.flatnonzero(stuffed & ~placed):
             spam[at[i][0] : at[i][1]] = True
