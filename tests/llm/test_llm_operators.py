@@ -115,6 +115,28 @@ def test_markup(text, languages, shown):
     assert "hidden" not in clean
 
 
+@pytest.mark.parametrize(
+    ("text", "shown"),
+    [
+        ('<div style="display:none">hidden</div><p hidden>hidden</p><span aria-hidden="true">hidden</span>seen', "seen"),
+        ("<table><tr><td>A<table><tr><td>in1</td><td>in2</td></tr></table></td><td>B</td></tr><tr><td>C</td><td>D</td></tr></table>", "A (in1 | in2) | B\nC             | D"),
+        ("<ol start=3><li>one<ul><li>a<li>b</ul><li>two</ol>", "3. one\n  - a\n  - b\n4. two"),
+        ("<ul><li><p>para</p></li><li>b</li></ul>", "- para\n- b"),
+        ("<table><tr><td rowspan=2>r</td><td colspan='2'>c</td></tr><tr><td>x</td><td>y</td></tr></table>", "r | c |\n  | x | y"),
+        ("x \\frac{1}{2} y \\textbf{\\emph{z}}", "x \\frac{1}{2} y z"),
+        ("\\begin{tabular}{ll}\na & b \\\\ \\hline\n1 & \\textbf{2} \\\\\n\\end{tabular}", "a | b\n1 | 2"),
+        ("\\begin{verbatim}\n\\textbf{x}\n\\end{verbatim}", "    \\textbf{x}"),
+        ("\\begin{enumerate}\n\\item a\n\\begin{itemize}\n\\item b\n\\end{itemize}\n\\item c\n\\end{enumerate}", "1. a\n  - b\n2. c"),
+        ("## h\n*it* and _em_ but 5*2 a_b_c", "h\n\nit and em but 5*2 a_b_c"),
+        ("정원* 표시, 비고* 표시", "정원* 표시, 비고* 표시"),
+        ("| a \\| b | **c** |\n| --- | --- |\n| 1 | 2 |", "a | b | c\n1     | 2"),
+        ("<p>x<p>y</b></i> z", "x\n\ny z"),
+    ],
+)
+def test_markup_layout(text, shown):
+    assert markup.clean_markup(text)[0].strip("\n") == shown
+
+
 def test_markup_table(spark):
     data = [("1", None), ("2", ""), ("3", "그냥 글"), ("4", "**굵게**"), ("4", "**굵게**"), ("5", "<b>x</b> " * 3000)]
     df = spark.createDataFrame(data, "id string, body string").withColumn("record_id", F.lit("clash")).withColumn("markups", F.lit("clash"))
@@ -164,6 +186,32 @@ def test_defects(question, answer, defect):
     assert pairs.defect_of(question, answer, EVIDENCE) == defect
 
 
+@pytest.mark.parametrize(
+    ("question", "answer", "defect"),
+    [
+        ("Where is it?", "That is outside my remit.", "refusal"), ("Wo ist das Büro?", "Das kann ich leider nicht beantworten.", "refusal"), ("Who answers?", "Staff were unable to answer the phone before nine.", None),
+        ("Where is the office located?", "Das Formular muss vor dem ersten Mai abgegeben werden.", "other_language"), ("Where is the office located?", "Форма должна быть подана до первого мая.", "other_language"),
+    ],
+)
+def test_defects_in_other_languages(question, answer, defect):
+    assert pairs.defect_of(question, answer, EVIDENCE) == defect
+
+
+def test_sorted_neighbours_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "RANGE_KEYS", 12)
+    rng = random.Random(8)
+    sentence = lambda: " ".join("".join(rng.choice("가나다라") for _ in range(3)) for _ in range(4)) + "."
+    quotes = [[" ".join(sentence() for _ in range(4))] for _ in range(60)]
+    answers = [q[0][: rng.randint(8, 70)] for q in quotes] + ["가나다 라가나 다라", "없는 말로 쓴 답", None, ""]
+    data = [(f"c{i}", "물음", a, quotes[i] if i < 60 else None) for i, a in enumerate(answers)]
+    table = pairs.with_piece(spark.createDataFrame(data, "conversation_id string, question string, answer string, quotes array<string>")).cache()
+    keys = {r["key"] for r in pairs.sentence_keys(table).collect()}
+    pieces = {r["piece"] for r in table.collect() if r["piece"]}
+    exact = {(p, "whole" if p in keys else "inside") for p in pieces if any(k.startswith(p) for k in keys)}
+    assert rows(pairs.shortened_pieces(table)) == exact and len(exact) > 20
+    table.unpersist()
+
+
 def test_broken_pairs_table(spark):
     data = [
         ("a", [("user", "무엇인가요?"), ("assistant", "")], None, ""), ("a", [("user", "무엇인가요?"), ("assistant", "")], None, ""), ("b", None, None, None),

@@ -1,11 +1,12 @@
 """Broken prompt and response pairs.
 
-Each response is checked against its question and its evidence. Responses and the
-evidence sentences they may come from are brought to one key (letters and digits
-only), sorted by text, and neighbours' common prefixes are compared: a response
-whose next neighbour goes on inside a sentence is a shortened version. Lengths at
-which unended responses pile up over the whole corpus (a length limit) make the
-comparison tolerant of edits. Copies, refusals and languages are found by rules.
+Responses and the sentences of all evidence are brought to one key (letters and digits
+only) and sorted by text over the whole table, in ranges of keys. Neighbours' common
+prefixes are compared: an unended response whose next sentence begins with all of it is
+a shortened version, one that equals it is whole. Lengths at which unended responses
+pile up over the whole corpus (a length limit) make the following check tolerant of
+edits. A shortened version is a truncated answer if a sentence of its own evidence
+completes it. Copies, refusals and languages are found by rules.
 
 The first defect that applies of empty, refusal, copied, other_language and
 truncated is given. Defined results: a null or letterless response is empty; a
@@ -18,18 +19,23 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripleloom.session import BROADCAST_KEY_LIMIT, materialise
+
 #: An unended length is a spike if it has so many responses and so many times the mean of its neighbours.
 SPIKE_LEAST, SPIKE_TIMES, SPIKE_WINDOW = 20, 4.0, 10
 #: Similarity of a response to the beginning of a sentence that counts as shortened, at and off a spike.
 NEAR_AT_SPIKE, NEAR = 0.75, 0.85
 SHORTEST_CUT = 6
+#: Keys of a sorted range, and ranges that the sampled splitters make at most.
+RANGE_KEYS, RANGES = 20_000, 2_000
 
 # How an answer is declined.
 _REFUSAL = re.compile(
@@ -38,7 +44,10 @@ _REFUSAL = re.compile(
     r"답변을?\s*거절|답변이\s*(?:곤란|불가|어렵)|(?:안내|답변|응답)[이가]?\s*불가능(?:합니다|해요)|권한이\s*없\S*\s*답변|말씀드릴\s*수\s*있는\s*내용이\s*없|제\s*능력\s*밖|"
     r"대답을?\s*드리지\s*못|응답해?\s*드리지\s*못|답을?\s*드릴\s*수\s*없|답변드릴\s*수\s*없|"
     r"\b(?:i|we)\s+(?:can(?:no|')t|can not|am not able to|are not able to|am unable to|must decline to|will not|won't|have to decline)\s+(?:\w+\s+){0,3}?(?:help|answer|assist|provide|respond|discuss|comment|share)|"
-    r"\b(?:unable|not able|decline|refuse)\s+to\s+(?:answer|help|assist|respond|comment)|beyond what i can|not (?:something|a question) i can|i'?m sorry,? but i|i'?d rather not|no answer can be given|"
+    r"(?:^|[.!;,]\s*|\b(?:i|we|i'm|we're|am|are|must|have to)\s+)(?:unable|not able|decline|refuse)\s+to\s+(?:answer|help|assist|respond|comment)\b(?!\s+the\s+(?:phone|door|call))|beyond what i can|"
+    r"\b(?:outside|beyond|not within|not in)\s+(?:of\s+)?(?:my|our)\s+(?:remit|scope|competence|expertise|area|power|abilit|capabilit)|no comment\b|"
+    r"\b(?:ich|wir)\b[^.!?]{0,40}\bnicht\s+(?:beantworten|helfen|weiterhelfen|antworten|sagen)|\b(?:kann|können|darf|möchte)\s+(?:ich|wir)\b[^.!?]{0,40}\bnicht\s+(?:beantworten|helfen|weiterhelfen|antworten|sagen)|"
+    r"\bnon posso (?:rispondere|aiutar|fornire)|\bnão posso (?:responder|ajudar|fornecer)|\bik kan (?:u |je )?(?:hier|dit|die vraag)[^.!?]{0,30}niet\b|не могу (?:ответить|помочь|предоставить)|not (?:something|a question) i can|i'?m sorry,? but i|i'?d rather not|no answer can be given|"
     r"je (?:ne peux pas|ne suis pas en mesure|refuse|ne saurais)|je suis désolé|désolé,? (?:mais )?je|no puedo (?:responder|ayudar|contestar|proporcionar)|lo siento,? (?:pero )?no|no me es posible|"
     r"(?:tôi|chúng tôi) (?:không thể|rất tiếc|xin phép không)|xin lỗi,? (?:nhưng )?(?:tôi|chúng tôi)|"
     r"(?:お答え|回答|お手伝い|ご案内|返答|対応)(?:する(?:こと(?:は|が))?)?(?:いた)?(?:でき(?:ません|かねます)|しかねます|致しかねます)|お答えを控え|(?:无法|不能|没法|難以|无权)(?:为您)?(?:回答|提供|解答|协助|帮助|答复)|拒绝回答|抱歉[,，]",
@@ -59,6 +68,10 @@ _WORDS = {
     "en": set("the of to and a in is are be for with on at by may must not from students student after before this that your you can or than if when until no how what".split()),
     "fr": set("le la les des du de un une est sont et à au aux avec pour par pas que qui dans doit doivent chaque avant après sans cours plus être ne sur en ce".split()),
     "es": set("el la los las de del un una es son y a con para por no que en se debe deben antes después sin cada más al su como hay".split()),
+    "de": set("der die das und ist sind ein eine nicht mit für auf dem den vor nach muss müssen darf kann wird werden bei ersten jeder ohne oder zu im zum zur".split()),
+    "it": set("il lo gli della delle nel alla sono deve devono dopo prima senza ogni anche essere".split()),
+    "pt": set("os uma não são deve devem antes depois sem cada mais até pelo pela dos das".split()),
+    "nl": set("het een niet van voor naar moet moeten zijn worden elke zonder ook bij dit".split()),
     "vi": set("và của là được các cho không phải có trong trước sau một những với này sẽ học sinh viên kỳ tối đa ngày tháng nộp vào bản thì dưới mỗi".split()),
 }
 _PAREN = re.compile(r"[(（\[【][^()（）\[\]【】]*[)）\]】]")
@@ -120,10 +133,20 @@ def is_copy(question: str | None, answer: str, evidence_keys: list[str]) -> bool
     return False
 
 
+# Blocks of scripts that stand for a language here.
+_SCRIPTS = (("el", "\u0370", "\u03ff"), ("ru", "\u0400", "\u052f"), ("hy", "\u0530", "\u058f"), ("he", "\u0590", "\u05ff"), ("ar", "\u0600", "\u06ff"), ("hi", "\u0900", "\u097f"), ("bn", "\u0980", "\u09ff"),
+            ("ta", "\u0b80", "\u0bff"), ("th", "\u0e00", "\u0e7f"), ("ka", "\u10a0", "\u10ff"), ("km", "\u1780", "\u17ff"))
+
+
+def _script(c: str) -> str | None:
+    return next((lang for lang, first, last in _SCRIPTS if first <= c <= last), None) if c > "\u036f" else None
+
+
 def language_of(text: str | None) -> str | None:
     """ko, ja, zh, vi, fr, es or en; None if names and abbreviations are all there is."""
     plain = _CODE.sub(" ", _PAREN.sub(" ", unicodedata.normalize("NFKC", text or "")))
     counts = {"ko": 0, "kana": 0, "han": 0, "latin": 0}
+    other = Counter(script for c in plain if c > "\u036f" and (script := _script(c)))
     for c in plain:
         if "가" <= c <= "힣":
             counts["ko"] += 1
@@ -131,8 +154,10 @@ def language_of(text: str | None) -> str | None:
             counts["kana"] += 1
         elif "一" <= c <= "鿿":
             counts["han"] += 1
-        elif c.isalpha():
+        elif c.isalpha() and not _script(c):
             counts["latin"] += 1
+    if other and sum(other.values()) > counts["ko"] * 3 + counts["kana"] * 3 + counts["han"] * 3 + counts["latin"]:
+        return other.most_common(1)[0][0]
     total = counts["ko"] * 3 + counts["kana"] * 3 + counts["han"] * 3 + counts["latin"]
     if not total:
         return None
@@ -175,8 +200,12 @@ class _Evidence:
         self.starts.sort()
         self._sorted = [s for s, _ in self.starts]
 
-    def shortened(self, answer: str, near: float) -> bool:
-        """The answer begins with a sentence and ends inside one."""
+    def shortened(self, answer: str, near: float, state: str | None = "inside") -> bool:
+        """The answer begins with a sentence and ends inside one.
+
+        ``state``: what the sorted neighbours say of the answer's last piece, inside a
+        sentence, a whole one, or neither; only the first can break off without an edit.
+        """
         answer = _TAIL_NOTE.sub("", answer)
         if _ENDED.search(answer.rstrip()) and not answer.rstrip().endswith(("..", "…")):
             return False
@@ -187,8 +216,10 @@ class _Evidence:
         if len(said) < SHORTEST_CUT:
             return False
         at = bisect_right(self._sorted, said)
+        if state == "whole":
+            return False
         if at < len(self.starts) and self._sorted[at].startswith(said):
-            return len(said) not in self.starts[at][1]
+            return state == "inside" and len(said) not in self.starts[at][1]
         if at and self._sorted[at - 1] == said or any(said in k for k in self.keys):
             return False  # whole sentences, or a value from inside one
         if len(said) < 3 * SHORTEST_CUT:
@@ -213,7 +244,7 @@ class _Evidence:
         return best > 0 and verdict
 
 
-def defect_of(question: str | None, answer: str | None, quotes: list[str | None], near: float = NEAR) -> str | None:
+def defect_of(question: str | None, answer: str | None, quotes: list[str | None], near: float = NEAR, state: str | None = "inside") -> str | None:
     """The first defect of the pair, or None for a sound one."""
     if is_empty(answer):
         return "empty"
@@ -224,7 +255,7 @@ def defect_of(question: str | None, answer: str | None, quotes: list[str | None]
         return "copied"
     if is_other_language(question, answer):
         return "other_language"
-    return "truncated" if evidence.shortened(answer, near) else None
+    return "truncated" if evidence.shortened(answer, near, state) else None
 
 
 def length_spikes(rows: DataFrame) -> DataFrame:
@@ -249,18 +280,82 @@ def pair_rows(qa: DataFrame) -> DataFrame:
     return qa.select("conversation_id", question.alias("question"), F.col("reference_answer").alias("answer"), F.col("evidence.quote").alias("quotes"))
 
 
+# The same sentences and keys as in Python, for the sort in the JVM.
+_SENTENCE_JAVA = r"(?<=[.!?。！？])\s+|(?<=[^\s마보]다)\s+(?=\S)|\n+"
+_KEY_JAVA = r"[^\p{L}\p{N}]+"
+
+
+def _key(text: Column) -> Column:
+    return F.lower(F.regexp_replace(text, _KEY_JAVA, ""))
+
+
+def with_piece(rows: DataFrame) -> DataFrame:
+    """Rows with ``piece``: the key of the last sentence of an unended answer, else null."""
+    bare = F.regexp_replace(F.regexp_replace("answer", r"(?<=[다요까.!?])\s*[(（\[][^()（）\[\]]{1,60}[)）\]]\s*$", ""), r"[\s.…,;:\-–—~·]+$", "")
+    last = F.element_at(F.split(bare, _SENTENCE_JAVA), -1)
+    ended = F.col("answer").rlike(r"[^.…\s][.!?。！？][\"'”’)\]]*\s*$")
+    piece = _key(last)
+    return rows.withColumn("piece", F.when(~F.coalesce(ended, F.lit(True)) & (F.length(piece) >= SHORTEST_CUT), piece))
+
+
+def sentence_keys(rows: DataFrame) -> DataFrame:
+    """(key): keys of all sentences of the evidence."""
+    quotes = rows.select(F.explode("quotes").alias("quote")).where("quote is not null")
+    return quotes.select(F.explode(F.split("quote", _SENTENCE_JAVA)).alias("sentence")).select(_key(F.col("sentence")).alias("key")).where("key != ''")
+
+
+def shortened_pieces(rows: DataFrame) -> DataFrame:
+    """(piece, state) of rows (.., piece, quotes): pieces that some sentence begins with (inside) or equals (whole).
+
+    Pieces and sentences are sorted together, in ranges between splitters that are
+    sentences of a hashed sample: if a piece and the sentence after it lie in two ranges,
+    the splitter between them begins with the piece too. The splitters only decide how
+    the work is spread.
+    """
+    spark = rows.sparkSession
+    total = rows.count()
+    wanted = min(RANGES, total * 5 // RANGE_KEYS)
+    splitters: list[str] = []
+    if wanted:
+        part = max(1, total // (20 * wanted))
+        sample = sentence_keys(rows.where(F.pmod(F.xxhash64("conversation_id"), F.lit(part)) == 0)).distinct().orderBy(F.xxhash64("key")).limit(20 * wanted).toArrow().column(0).to_pylist()
+        sample.sort()
+        splitters = sample[:: max(1, len(sample) // wanted)]
+    shared = spark.sparkContext.broadcast(splitters)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            at = [bisect_right(known, k) for k in batch.column(0).to_pylist()]
+            following = [known[i] if i < len(known) else None for i in at]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.int32()), pa.array(following, pa.string())], names=["key", "sentence", "range", "following"])
+
+    pieces = rows.select(F.col("piece").alias("key")).where("key is not null").distinct().withColumn("sentence", F.lit(False))
+    both = sentence_keys(rows).distinct().withColumn("sentence", F.lit(True)).unionByName(pieces)
+    placed = both.mapInArrow(place, "key string, sentence boolean, range int, following string")
+    # from the end of a range backwards, the last sentence seen is the next neighbour
+    order = Window.partitionBy("range").orderBy(F.desc("key"), F.desc("sentence")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = placed.withColumn("next", F.last(F.when(F.col("sentence"), F.col("key")), ignorenulls=True).over(order)).where(~F.col("sentence"))
+    after = after.withColumn("next", F.coalesce("next", "following")).where(F.expr("startswith(next, key)"))
+    return after.select(F.col("key").alias("piece"), F.when(F.col("next") == F.col("key"), "whole").otherwise("inside").alias("state"))
+
+
 def broken_pairs(qa: DataFrame) -> DataFrame:
     """(conversation_id, defect): each broken pair with its first defect."""
     rows = pair_rows(qa)
     spikes = length_spikes(rows).withColumn("spike", F.lit(True))
+    # at most one length in SPIKE_WINDOW can be a spike of lengths that exist
     rows = rows.withColumn("n", F.length("answer")).join(spikes, "n", "left") if spikes.limit(1).count() else rows.withColumn("spike", F.lit(None).cast("boolean"))
-    rows = rows.select("conversation_id", "question", "answer", "quotes", "spike")
+    rows = with_piece(rows.select("conversation_id", "question", "answer", "quotes", "spike"))
+    states = materialise(shortened_pieces(rows), "pair-pieces")
+    few = states.limit(BROADCAST_KEY_LIMIT + 1).count() <= BROADCAST_KEY_LIMIT
+    rows = rows.join(F.broadcast(states) if few else states, "piece", "left").select("conversation_id", "question", "answer", "quotes", "spike", "state")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, defects = [], []
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                defect = defect_of(row[1], row[2], row[3] or [], NEAR_AT_SPIKE if row[4] else NEAR)
+            for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                defect = defect_of(row[1], row[2], row[3] or [], NEAR_AT_SPIKE if row[4] else NEAR, row[5])
                 if defect:
                     keys.append(row[0])
                     defects.append(defect)
