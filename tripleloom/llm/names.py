@@ -469,6 +469,20 @@ def _only(df: DataFrame, key: str, target: str) -> DataFrame:
     return df.groupBy(F.col(key).alias("a")).agg(F.min(target).alias("b"), F.max(target).alias("other")).where("b = other").select("a", "b")
 
 
+def _owner(df: DataFrame, target: str) -> DataFrame:
+    """(a, b): the owners of incomplete names (id, core, meant, target, owner_given).
+
+    All must be one entity; for a surname that no complete name has, misspelt owners of
+    one common given name are.
+    """
+    found = df.groupBy("id").agg(
+        F.min(target).alias("least"), F.max(target).alias("most"), F.max(F.col("core") != F.col("meant")).alias("odd"),
+        F.min("owner_given").alias("g"), F.max("owner_given").alias("h"), (F.count("owner_given") == F.count("*")).alias("all"),
+    )
+    found = found.where("least = most or (odd and `all` and g = h)")
+    return found.select(F.col("id").alias("a"), F.explode(F.array_distinct(F.array("least", "most"))).alias("b"))
+
+
 def _agree(a: Column, b: Column) -> Column:
     return a.isNull() | b.isNull() | (a == b)
 
@@ -490,7 +504,7 @@ def body_edges(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     # a field that few labels of a name have is a slip of theirs; a name without a field takes the name's only one
     fields = counts.where("part is not null").groupBy("core", "part").agg(F.sum("n").alias("n"))
     most = fields.groupBy("core").agg(F.sum("n").alias("total"), F.max_by("part", F.struct("n", "part")).alias("main"))
-    own = fields.join(most, "core").select("core", "part", F.when(F.col("n") >= FIELD_SHARE * F.col("total"), F.col("part")).otherwise(F.col("main")).alias("field"))
+    own = fields.join(most, "core").select("core", "part", F.when(F.col("n") >= F.greatest(F.lit(2), FIELD_SHARE * F.col("total")), F.col("part")).otherwise(F.col("main")).alias("field"))
     sole = own.groupBy("core").agg(F.min("field").alias("least"), F.max("field").alias("sole")).where("least = sole").select("core", "sole")
     named = parsed.select("name_id", "core", "part", "extra", "letters").join(own, ["core", "part"], "left").join(sole, "core", "left")
     named = named.withColumn("field", F.coalesce("field", "sole")).withColumn("id", F.xxhash64(F.lit("org"), "core", "field"))
@@ -518,36 +532,41 @@ def person_edges(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     spelt = full.select("id", "core", "given", "known", "initial", "middle").join(roots, "id")
     middles = spelt.groupBy("root").agg(F.max("middle").alias("root_middle"))
     entities = materialise(spelt.select("core", "given", "known", "initial", "root").distinct().join(middles, "root"), "name-entities")
+    # a nickname: a shorter form with the given name's beginning, or learnt from names that quote it
+    nicks = entities.where(F.length("given") <= NICKNAME).select(F.col("known").alias("common"), "core", F.col("given").alias("nick"), F.col("root").alias("own"), F.col("root_middle").alias("own_middle"))
+    known = entities.where("known").select("core", "given", "root", "root_middle", F.col("given").substr(1, 2).alias("start"))
+    same_start = nicks.where("not common").withColumn("start", F.col("nick").substr(1, 2)).join(known, ["core", "start"]).where(F.length("given") >= F.length("nick") + 2)
+    learnt = full.where("known and nick is not null").select("given", "nick").distinct()
+    quoted = nicks.join(learnt, "nick").join(known, ["core", "given"])
+    columns = ["own", "own_middle", "root", "root_middle"]
+    called = same_start.select(columns).unionByName(quoted.select(columns)).where((F.col("own") != F.col("root")) & _agree(F.col("own_middle"), F.col("root_middle")))
+    by_nick = materialise(_only(called, "own", "root"), "name-nicks")
+    # from here on a nickname's names are those of its owner
+    owned = entities.join(by_nick.select(F.col("a").alias("root"), "b"), "root", "left").withColumn("root", F.coalesce("b", "root"))
+    keyed = owned.select("core", "initial", "root", "root_middle", F.when(F.col("known"), F.col("given")).alias("owner_given")).distinct()
     bare = nodes.where("given is null")
-    # a surname that no complete name has is read as the only one near it
+    # a surname that no complete name has is read as those near it
     surnames = entities.select("core").distinct().withColumn("whole", F.lit(True))
     lost = bare.select("core").distinct().join(surnames, "core", "left_anti").withColumn("whole", F.lit(False))
     about = F.struct("core", "whole")
     beside = near_names(surnames.unionByName(lost).select(F.xxhash64("core").alias("id"), F.col("core").alias("name"), about.alias("about"))).where("x.whole != y.whole")
-    read = _only(beside.select(F.expr("if(x.whole, y.core, x.core)").alias("typed"), F.expr("if(x.whole, x.core, y.core)").alias("meant")), "typed", "meant").select(F.col("a").alias("core"), F.col("b").alias("meant"))
-    bare = materialise(bare.join(read, "core", "left").withColumn("core", F.coalesce("meant", "core")).select("id", "core", "initial", "middle"), "name-bare")
-    keyed = entities.select("core", "initial", "root", "root_middle").distinct()
+    near = beside.select(F.expr("if(x.whole, y.core, x.core)").alias("core"), F.expr("if(x.whole, x.core, y.core)").alias("meant"))
+    read = materialise(near.unionByName(surnames.select("core", F.col("core").alias("meant"))), "name-surnames")
+    bare = materialise(bare.select("id", "core", "initial", "middle").join(read, "core", "left").withColumn("meant", F.coalesce("meant", "core")), "name-bare")
     # an initial and a surname
     initials = bare.where("initial is not null")
-    meant = initials.join(keyed, ["core", "initial"]).where(_agree(F.col("middle"), F.col("root_middle")))
-    by_initial = materialise(_only(meant, "id", "root"), "name-initials")
+    keyed_as = keyed.withColumnRenamed("core", "meant")
+    meant = initials.join(keyed_as, ["meant", "initial"]).where(_agree(F.col("middle"), F.col("root_middle")))
+    by_initial = materialise(_owner(meant, "root"), "name-initials")
     # initials without a complete name are entities of their own, those without a middle initial the only one of theirs
-    alone = initials.join(by_initial.select(F.col("a").alias("id")), "id", "left_anti").join(meant.select("id").distinct(), "id", "left_anti")
+    alone = initials.select("id", "core", "initial", "middle").distinct().join(meant.select("id").distinct(), "id", "left_anti")
     with_middle = alone.where("middle is not null").select("core", "initial", F.col("id").alias("with"))
     by_middle = _only(alone.where("middle is null").join(with_middle, ["core", "initial"]), "id", "with")
     # a bare surname
-    owners = keyed.select("core", F.col("root").alias("owner")).unionByName(alone.where("middle is not null").select("core", F.col("id").alias("owner")))
-    owners = owners.unionByName(alone.where("middle is null").join(by_middle.select(F.col("a").alias("id")), "id", "left_anti").select("core", F.col("id").alias("owner"))).distinct()
-    by_surname = _only(bare.where("initial is null").join(owners, "core"), "id", "owner")
-    # a nickname: a shorter form with the given name's beginning, or learnt from names that quote it
-    nicks = full.where(~F.col("known") & (F.length("given") <= NICKNAME)).select("id", "core", F.col("given").alias("nick"), "middle").join(roots, "id").withColumnRenamed("root", "own")
-    known = entities.where("known").withColumn("start", F.col("given").substr(1, 2))
-    same_start = nicks.withColumn("start", F.col("nick").substr(1, 2)).join(known, ["core", "start"]).where(F.length("given") >= F.length("nick") + 2)
-    learnt = full.where("known and nick is not null").groupBy("given", "nick").count().select("given", "nick")
-    quoted = nicks.join(learnt, "nick").join(known, ["core", "given"])
-    columns = ["id", "own", "middle", "root", "root_middle"]
-    called = same_start.select(columns).unionByName(quoted.select(columns)).where((F.col("own") != F.col("root")) & _agree(F.col("middle"), F.col("root_middle")))
-    by_nick = _only(called, "id", "root")
+    no_given = F.lit(None).cast("string").alias("owner_given")
+    owners = keyed.select("core", F.col("root").alias("owner"), "owner_given").unionByName(alone.where("middle is not null").select("core", F.col("id").alias("owner"), no_given))
+    owners = owners.unionByName(alone.where("middle is null").join(by_middle.select(F.col("a").alias("id")), "id", "left_anti").select("core", F.col("id").alias("owner"), no_given)).distinct()
+    by_surname = _owner(bare.where("initial is null").join(owners.withColumnRenamed("core", "meant"), "meant"), "owner")
     edges = strict
     for more in (by_initial, by_middle, by_surname, by_nick):
         edges = edges.unionByName(more)
