@@ -416,17 +416,24 @@ def test_mapping(value, iri):
     assert mapping.ReferenceIndex(REFERENCE).match(value) == iri
 
 
-def test_mapping_beyond_the_shortlist(monkeypatch):
+def test_every_entry_is_compared(monkeypatch):
     fields = [a + b for a in ("해양", "산림", "도시", "언어", "체육", "문화", "정보", "지역") for b in ("정책", "통신", "역사", "관리", "공예")]
     reference = [(f"urn:x:dept-{i:03d}", f"{f}학과", f"Dept {i}", f"HD{400 + i}", "hbu:Department") for i, f in enumerate(fields)]
     index = mapping.ReferenceIndex(reference)
-    monkeypatch.setattr(index, "rank", lambda text: [(1.0, i) for i in range(len(fields))])  # entries with equal tokens
-    assert index.match("지역공에학과") == f"urn:x:dept-{len(fields) - 1:03d}"
-    monkeypatch.setattr(index, "rank", lambda text: [])  # no token repaired
+    monkeypatch.setattr(index, "rank", lambda text, repair=None: [])  # no token repaired
     assert index.match("지역공에학과") == f"urn:x:dept-{len(fields) - 1:03d}"
     assert index.match("탐험 박물관") == "UNMATCHED"
 
 
+def test_joined_repairs_equal_direct_ones(spark):
+    reference = spark.createDataFrame(REFERENCE, "iri string, label string, alt_label string, code string, term_type string")
+    values = ["해양바이오젼공", "해양정책 학콰", "Marine Telecmo", "Basic Econmics Introduction", "기쵸회로개론", "기초경재개론", "수강 신청정쩡", "전혀 다른 말", "marine bioscence"]
+    df = spark.createDataFrame([("t", i, v, None) for i, v in enumerate(values)], "record_table string, record_id long, value string, kind string")
+    index = mapping.ReferenceIndex(REFERENCE)
+    assert rows(mapping.map_values(df, reference)) == {("t", i, index.match(v)) for i, v in enumerate(values)}
+    assert all(set(index.tokens(v, index.repair)) <= set(index.pieces(v)) for v in values)
+
+
 def test_mapping_table(spark):
     reference = spark.createDataFrame(REFERENCE, "iri string, label string, alt_label string, code string, term_type string")
     data = [("t", 1, "해양정책학과", None), ("t", 1, "해양정책학과", None), ("t", 2, None, "hbu:Course"), ("u", 3, "x" * 20000, None)]
