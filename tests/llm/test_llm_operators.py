@@ -283,6 +283,25 @@ def test_copies_of_a_page_do_not_hide_its_misreading(spark):
     assert counts["w", "힉생이라도"] == (1, 0) and counts["w", "학생이라도"] == (40, 0)
 
 
+def test_compounds_keep_their_hyphen_at_a_line_end(spark):
+    lines = [(f"s{i}", f"The well-known desk number {i} is open, and students ask for admission there.") for i in range(12)]
+    odd = [("cw", "It is the well-\nknown desk."), ("br", "They ask for admis-\nsion there."), ("ko", "학생이 학점 교-\n환 신청을 낸다.")]
+    df = spark.createDataFrame(lines + odd, "record_id string, text string").withColumn("record_table", F.lit("t"))
+    done = {r["record_id"]: (r["repaired"], r["noise"]) for r in scans.repair_pages(df).collect()}
+    assert done["cw"] == ("It is the well-known desk.", [])
+    assert done["br"] == ("They ask for admission there.", ["hyphen"]) and done["ko"][1] == ["hyphen"]
+
+
+def test_joined_headers_equal_broadcast_ones(spark, monkeypatch):
+    words = "휴학 중인 학생이라도 학점 교환 신청을 정해진 순서에 따라 제출하여야 한다. 재학생은 수업을 듣는다.".split()
+    data = [(f"h{i}", f"{' '.join(words[: i + 2])}\n학사 규정집 제{i}편\n{' '.join(words[i + 2 :])}") for i in range(8)] + [(f"u{i}", " ".join(words)) for i in range(40)]
+    df = spark.createDataFrame(data, "record_id string, text string").withColumn("record_table", F.lit("t"))
+    shared = sorted((r["record_id"], r["repaired"], r["noise"]) for r in scans.repair_pages(df).collect())
+    monkeypatch.setattr(scans, "CORRECTION_LIMIT", 0)
+    assert sorted((r["record_id"], r["repaired"], r["noise"]) for r in scans.repair_pages(df).collect()) == shared
+    assert sum("header" in r[2] for r in shared) == 8
+
+
 def test_joined_corrections_equal_broadcast_ones(spark, monkeypatch):
     sound = [(f"s{i}", f"{chr(0xAC00 + 700 * i)}{chr(0xB098 + 30 * i)} 담당 학생이라도 {i}일까지 서류를 낸다.") for i in range(12)]
     odd = [("ty", "3힉생이라도 낸다."), ("br", "휴가 중인 힉생-\n이라도 낸다."), ("de", unicodedata.normalize("NFD", "힉생이라도 낸다.")), ("zw", "힉생\u200b이라도 낸다."), ("mi", "힉생이라도 낸다."), ("mi", "힉생이라도 낸다."), (None, "또 힉생이라도 낸다."), ("nu", None)]

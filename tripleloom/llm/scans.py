@@ -10,8 +10,10 @@ repairs each page: joins, drops furniture and page numbers, replaces misread wor
 and digits, and flows the lines into paragraphs.
 
 All models are fitted here on bounded samples: ``SAMPLE_WORDS`` common words with
-synthetic misreadings and ``SAMPLE_LINES`` lines labelled by their surroundings.
-Counts, candidates and repairs cover all pages and words.
+synthetic misreadings or hyphens and about ``SAMPLE_PAGES`` pages whose lines are
+labelled by their surroundings. Counts, candidates and repairs cover all pages and
+words: what a page has to look up (shares of words, templates, corrections, compounds)
+is broadcast if it is counted few, else joined to the pages that ask for it.
 
 Defined results: null stays null without noise; empty stays empty; look-alike
 characters are brought to their one form first and are no noise; repeated rows
@@ -35,10 +37,10 @@ from tripleloom.llm.names import edit_distance, jamo
 from tripleloom.session import materialise
 
 #: Bounds of the samples the models are fitted on.
-SAMPLE_WORDS, SAMPLE_LINES = 1_500, 20_000
+SAMPLE_WORDS, SAMPLE_PAGES = 1_500, 2_000
 #: A word is corrected only to one at least so many times as common.
 RATIO = 8
-#: Corrections up to this number are broadcast; more are joined to the words of each page.
+#: Entries up to this number are broadcast; more are joined to the pages that look them up.
 CORRECTION_LIMIT = 200_000
 #: Rarest q-grams that are probed: one edit destroys two, two edits side by side three.
 Q, PROBES = 2, 4
@@ -47,6 +49,9 @@ SHORT_LINE = 60
 _SUSPECT = re.compile(SUSPECT_JAVA)
 _MARKER = re.compile(r"^\[(?:BLOCK|ROW) [^\]\n]*\] ?", re.M)
 _BREAK = re.compile(r"([가-힣A-Za-z])[-¬‐][ \t]*\n[ \t]*([가-힣A-Za-z])")
+#: A hyphenated word inside a line, and the halves of one at a line end.
+_COMPOUND = re.compile(r"(?<![\w-])(?:[A-Za-z]+|[가-힣]+)-(?:[A-Za-z]+|[가-힣]+)(?![\w-])")
+_BROKEN = re.compile(r"([A-Za-z]+|[가-힣]+)[-¬‐][ \t]*\n[ \t]*([A-Za-z]+|[가-힣]+)")
 _WORD = re.compile(r"[가-힣]+|[A-Za-z0-9]*[A-Za-z][A-Za-z0-9]*")
 _ADDRESS = re.compile(r"https?://\S+|\]\([^)\s]*\)|<[^<>\n]{1,200}>|`[^`\n]*`|\\[A-Za-z]+|&[A-Za-z#0-9]+;|\$[^$\n]*\$")
 # The forms of a line that is only a page number; digits may be misread.
@@ -112,7 +117,8 @@ def page_counts(rows: DataFrame) -> DataFrame:
 
     kind w: a word and how often it is read in distinct texts, so that copies of a page
     don't make its misreadings common; kind t: a word of a line and how often it stands
-    in a short line (alone) and anywhere (n); kind l: a short line's template.
+    in a short line (alone) and anywhere (n); kind l: a short line's template; kind h: a
+    word with a hyphen inside a line; kind b: the two halves at a hyphenated line end.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,6 +127,8 @@ def page_counts(rows: DataFrame) -> DataFrame:
         alone: Counter = Counter()
         anywhere: Counter = Counter()
         templates: Counter = Counter()
+        compounds: Counter = Counter()
+        broken: Counter = Counter()
         for batch in batches:
             for text, copies in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not text:
@@ -135,7 +143,12 @@ def page_counts(rows: DataFrame) -> DataFrame:
                         templates[template(line)] += copies
                         for w in set(line_words(line)):
                             alone[w] += copies
-                body = _ADDRESS.sub(" ", _BREAK.sub(r"\1\2", "\n".join(kept)))
+                whole = "\n".join(kept)
+                for m in _COMPOUND.finditer(whole):
+                    compounds[m[0].casefold()] += 1
+                for m in _BROKEN.finditer(whole):
+                    broken[f"{m[1]}-{m[2]}".casefold()] += 1
+                body = _ADDRESS.sub(" ", _BREAK.sub(r"\1\2", whole))
                 found = _WORD.findall(body)
                 words.update(found)
                 if copies > 1:
@@ -144,6 +157,7 @@ def page_counts(rows: DataFrame) -> DataFrame:
             anywhere[w.casefold()] += n + more[w]
         out = [("w", w, n, 0) for w, n in words.items()] + [("l", t, n, 0) for t, n in templates.items()]
         out += [("t", t, anywhere.get(t, 0), n) for t, n in alone.items()]
+        out += [("h", t, n, 0) for t, n in compounds.items()] + [("b", t, n, 0) for t, n in broken.items()]
         columns = list(zip(*out, strict=True)) if out else [[]] * 4
         types = [pa.string(), pa.string(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["kind", "key", "n", "alone"])
@@ -356,10 +370,12 @@ def candidates(words: DataFrame) -> DataFrame:
     exploded = marked.select("word", "n", "letters", F.explode(F.array_distinct(grams)).alias("gram"))
     frequency = exploded.groupBy("gram").agg(F.count("*").alias("df"))
     ranked = exploded.join(frequency, "gram").withColumn("place", F.row_number().over(Window.partitionBy("word").orderBy("df", "gram")))
-    probe = ranked.where(F.col("place") <= PROBES).select("gram", "word", "n", "letters")
-    index = exploded.select("gram", F.col("word").alias("other"), F.col("n").alias("m"), F.col("letters").alias("other_letters"))
-    close = (F.col("m") >= RATIO * F.col("n")) & (F.abs(F.length("word") - F.length("other")) <= 1) & (F.col("word") != F.col("other"))
-    return probe.join(index, "gram").where(close & F.expr("levenshtein(letters, other_letters, 2) >= 0")).select("word", "n", "other", "m").distinct()
+    # a common q-gram is split by the length of the words, which differs by one at most
+    size = F.length("word")
+    probe = ranked.where(F.col("place") <= PROBES).select("gram", "word", "n", "letters", F.explode(F.array(size - 1, size, size + 1)).alias("size"))
+    index = exploded.select("gram", size.alias("size"), F.col("word").alias("other"), F.col("n").alias("m"), F.col("letters").alias("other_letters"))
+    close = (F.col("m") >= RATIO * F.col("n")) & (F.col("word") != F.col("other"))
+    return probe.join(index, ["gram", "size"]).where(close & F.expr("levenshtein(letters, other_letters, 2) >= 0")).select("word", "n", "other", "m").distinct()
 
 
 def corrections(counts: DataFrame) -> DataFrame:
@@ -386,6 +402,66 @@ def corrections(counts: DataFrame) -> DataFrame:
     return best.where("p >= 0.5").select("word", "other")
 
 
+# ---- compounds at a line end -----------------------------------------------------
+
+
+def _join_features(compound: int, joined: int, left: int, right: int) -> list[float]:
+    return [1.0, math.log(1 + compound), math.log(1 + joined), math.log(1 + min(left, right)), math.log((1 + compound) / (1 + joined))]
+
+
+def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of a logistic classifier whose classes count alike."""
+    balance = np.where(y > 0, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))
+    w = np.zeros(x.shape[1])
+    for _ in range(400):
+        p = 1 / (1 + np.exp(-(x @ w)))
+        w += 0.8 * (x.T @ (balance * (y - p)) / len(y) - 0.001 * w)
+    return w
+
+
+def fit_joins(words: list[tuple[str, int]], compounds: list[tuple[str, int]]) -> np.ndarray:
+    """Weights that tell a compound, which keeps its hyphen at a line end, from a broken word.
+
+    Broken words are common words cut anywhere; compounds are the hyphenated words of
+    lines, as seen a few times and often.
+    """
+    random = np.random.default_rng(11)
+    counts = dict(words)
+    x, y = [], []
+    for word, n in words:
+        if len(word) >= 4:
+            cut = int(random.integers(1, len(word)))
+            x.append(_join_features(0, n, counts.get(word[:cut], 0), counts.get(word[cut:], 0)))
+            y.append(0.0)
+            x.append(_join_features(0, 0, 0, counts.get(word[cut:], 0)))
+            y.append(0.0)
+    for word, n in compounds:
+        left, right = word.split("-", 1)
+        x.append(_join_features(n, counts.get(left + right, 0), counts.get(left, 0), counts.get(right, 0)))
+        y.append(1.0)
+    # compounds of a language without any in the sample
+    for n in (1, 3, 10, 100):
+        x.append(_join_features(n, 0, n, n))
+        y.append(1.0)
+        x.append(_join_features(n, 20 * n, n, n))
+        y.append(0.0)
+    return _logistic(np.array(x), np.array(y))
+
+
+def compounds_at_line_ends(counts: DataFrame) -> DataFrame:
+    """(key): pairs "left-right" met at line ends that are compounds and keep their hyphen."""
+    bounded = lambda kind, least: [(r[0], r[1]) for r in counts.where(f"kind = '{kind}' and n >= {least}").orderBy(F.desc("n"), "key").limit(SAMPLE_WORDS).select("key", "n").collect()]
+    w = fit_joins(bounded("w", 8), bounded("h", 2))
+    met = counts.where("kind = 'b'").select("key").join(counts.where("kind = 'h'").select("key", F.col("n").alias("compound")), "key")
+    left, right = F.substring_index("key", "-", 1), F.substring_index("key", "-", -1)
+    words = counts.where("kind = 'w'").select(F.lower("key").alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
+    for name, column in (("joined", F.concat(left, right)), ("left_n", left), ("right_n", right)):
+        met = met.withColumn("word", column).join(words.withColumnRenamed("n", name), "word", "left").drop("word").fillna(0, [name])
+    log = F.log1p
+    score = w[0] + w[1] * log("compound") + w[2] * log("joined") + w[3] * log(F.least("left_n", "right_n")) + w[4] * F.log((1 + F.col("compound")) / (1 + F.col("joined")))
+    return met.where(score > 0).select("key")
+
+
 # ---- line pairs ------------------------------------------------------------------
 
 
@@ -413,16 +489,10 @@ class LineModel:
         ]
 
     def fit(self, samples: list[list[float]], labels: list[float]) -> LineModel:
-        x, y = np.array(samples, float), np.array(labels, float)
         if len(set(labels)) < 2:
             self.header = np.array([-5.0, 5.0, 2.0, 1.0, 0.5, 0.0, -1.5, -2.0])
-            return self
-        balance = np.where(y > 0, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))
-        w = np.zeros(x.shape[1])
-        for _ in range(400):
-            p = 1 / (1 + np.exp(-(x @ w)))
-            w += 0.8 * (x.T @ (balance * (y - p)) / len(y) - 0.001 * w)
-        self.header = w
+        else:
+            self.header = _logistic(np.array(samples, float), np.array(labels, float))
         return self
 
     def is_header(self, lines: list[tuple[str, str]], i: int) -> bool:
@@ -433,14 +503,17 @@ class LineModel:
         return f[1] >= 0.4 and float(np.dot(self.header, f)) > 0
 
 
-def fit_lines(rows: DataFrame, counts: DataFrame) -> LineModel:
-    """The furniture classifier, fitted on lines labelled by what their words do elsewhere."""
-    shares = counts.where("kind = 't' and alone >= 3 and alone >= 0.02 * n").orderBy(F.desc("alone"), "key").limit(SAMPLE_LINES).collect()
-    share = {r["key"]: min(1.0, r["alone"] / max(r["n"], r["alone"], 1)) for r in shares}
-    repeated = counts.where("kind = 'l' and n >= 2").orderBy(F.desc("n"), "key").limit(SAMPLE_LINES).collect()
-    model = LineModel(share, {r["key"]: r["n"] for r in repeated})
+def line_facts(counts: DataFrame) -> DataFrame:
+    """(kind, key, value): shares of words that stand alone (s) and counts of repeated short lines (l), of all pages."""
+    share = counts.where("kind = 't' and alone >= 3 and alone >= 0.02 * n").select(F.lit("s").alias("kind"), "key", F.least(F.lit(1.0), F.col("alone") / F.greatest("n", "alone", F.lit(1))).alias("value"))
+    return share.unionByName(counts.where("kind = 'l' and n >= 2").select("kind", "key", F.col("n").cast("double").alias("value")))
+
+
+def fit_lines(pages: list[str], facts: dict[str, dict[str, float]]) -> np.ndarray:
+    """Weights of the furniture classifier, fitted on lines labelled by what their words do elsewhere."""
+    model = LineModel(facts["s"], facts["l"])
     samples, labels = [], []
-    for (text,) in rows.where("text like '%\n%'").select("text").orderBy(F.xxhash64("record_id")).limit(SAMPLE_LINES // 10).collect():
+    for text in pages:
         lines = _lines(_clean(text))
         for i, (marker, line) in enumerate(lines):
             if marker or not short_line(line) or _setext(lines, i) or _continues(lines, i):
@@ -456,18 +529,25 @@ def fit_lines(rows: DataFrame, counts: DataFrame) -> LineModel:
     # what a sentence cut by furniture leaves behind
     samples += [[1.0, s, s / 2, t, float(s > 0.2), 1.0, 1.0, 0.0] for s in (0.0, 0.1, 0.2, 0.3) for t in (0.0, 0.3, 0.6, 1.0)]
     labels += [0.0] * 16
-    return model.fit(samples, labels)
+    return model.fit(samples, labels).header
 
 
-def broken_word(left: str, right: str, known: dict[str, int] | None = None) -> bool:
-    """Whether a hyphen between two line ends breaks a word: letters on both sides, no space before."""
-    return bool(re.search(r"[가-힣A-Za-z]$", left)) and bool(re.match(r"[가-힣A-Za-z]", right))
+def line_keys(text: str | None) -> list[tuple[str, str]]:
+    """(kind, key) of the facts that the lines of a page look up."""
+    if not text:
+        return []
+    asked: set[tuple[str, str]] = set()
+    for marker, line in _lines(_clean(text)):
+        if marker == "" and short_line(line):
+            asked.add(("l", template(line)))
+            asked.update(("s", w) for w in line_words(line))
+    return sorted(asked)
 
 
 # ---- second pass -----------------------------------------------------------------
 
 
-def repair_page(text: str | None, model: LineModel, fixed: dict[str, str]) -> tuple[str | None, list[str]]:
+def repair_page(text: str | None, model: LineModel, fixed: dict[str, str], compounds: set[str] | frozenset[str] = frozenset()) -> tuple[str | None, list[str]]:
     """The page as paragraphs, and the kinds of noise in it."""
     if not text:
         return text, []
@@ -497,9 +577,12 @@ def repair_page(text: str | None, model: LineModel, fixed: dict[str, str]) -> tu
     for marker, line, after_furniture in kept:
         previous = out[-1] if out else ""
         m = re.search(r"([가-힣A-Za-z])[-¬‐][ \t]*$", previous)
-        if m and not marker and broken_word(previous[: m.end(1)], line.lstrip()):
-            noise.add("hyphen")
-            out[-1] = previous[: m.end(1)] + line.lstrip()
+        if m and not marker and re.match(r"\s*[가-힣A-Za-z]", line):
+            pair = _BROKEN.search(previous[-200:].rstrip() + "\n" + line.lstrip()[:200])
+            kept_hyphen = pair is not None and f"{pair[1]}-{pair[2]}".casefold() in compounds
+            if not kept_hyphen:
+                noise.add("hyphen")
+            out[-1] = previous[: m.end(1)] + ("-" if kept_hyphen else "") + line.lstrip()
         elif after_furniture and previous.strip() and line.strip() and not marker and not _ENDED.search(previous) and not _MARKUP_LINE.match(line):
             out[-1] = previous.rstrip() + " " + line.lstrip()
         else:
@@ -570,51 +653,105 @@ class _Asked(dict):
         return default
 
 
-def looked_up(text: str | None, model: LineModel) -> list[str]:
+def looked_up(text: str | None, model: LineModel, compounds: set[str]) -> list[str]:
     """The words that ``repair_page`` looks up among the corrections."""
     asked = _Asked()
-    repair_page(text, model, asked)
+    repair_page(text, model, asked, compounds)
     return sorted(asked.words)
 
 
+FACT = "array<struct<kind:string,key:string,value:double>>"
+
+
+def _sampled(rows: DataFrame) -> list[str]:
+    """About ``SAMPLE_PAGES`` texts of several lines, by the hash of their key; only those leave the executors."""
+    several = rows.where("text like '%\n%'")
+    part = max(1, several.count() // SAMPLE_PAGES)
+    return [r[0] for r in several.where(F.pmod(F.xxhash64("record_id"), F.lit(part)) == 0).select("text").orderBy(F.xxhash64("text")).limit(2 * SAMPLE_PAGES).collect()]
+
+
+def _joined(pages: DataFrame, asked: DataFrame, entries: DataFrame, out: str) -> DataFrame:
+    """``pages`` (.., row) with the ``entries`` (kind, key, ..) that ``asked`` (row, kind, key) names, as an array ``out``."""
+    own = asked.join(entries, ["kind", "key"]).groupBy("row").agg(F.collect_list(F.struct(*entries.columns)).alias(out))
+    return pages.join(own, "row", "left")
+
+
 def repair_pages(rows: DataFrame) -> DataFrame:
     """(record_table, record_id, repaired, noise) of rows (record_table, record_id, text)."""
     spark = rows.sparkSession
     counts = materialise(page_counts(rows), "scan-counts")
-    model = fit_lines(rows, counts)
+    facts = line_facts(counts)
     fixes = materialise(corrections(counts), "scan-corrections")
-    few = fixes.limit(CORRECTION_LIMIT + 1).count() <= CORRECTION_LIMIT
+    kept = materialise(compounds_at_line_ends(counts), "scan-compounds")
+    sample = _sampled(rows)
+    shared: dict[str, dict] = {}
+    total = facts.limit(CORRECTION_LIMIT + 1).count() + fixes.limit(CORRECTION_LIMIT + 1).count() + kept.limit(CORRECTION_LIMIT + 1).count()
+    wanted = facts
+    if total > CORRECTION_LIMIT:
+        # the classifier is fitted with the facts of its sample only
+        keys = sorted({k for text in sample for k in line_keys(text)})
+        wanted = facts.join(spark.createDataFrame(keys or [("", "")], "kind string, key string"), ["kind", "key"])
+    shared = {"s": {}, "l": {}}
+    for r in wanted.toLocalIterator():
+        shared[r["kind"]][r["key"]] = r["value"]
+    header = fit_lines(sample, shared)
     schema = "record_table string, record_id string, repaired string, noise array<string>"
 
     def emit(batch: pa.RecordBatch, done: list[tuple[str | None, list[str]]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t for t, _ in done], pa.string()), pa.array([n for _, n in done], pa.list_(pa.string()))], names=["record_table", "record_id", "repaired", "noise"])
 
-    if few:
-        shared = spark.sparkContext.broadcast({r[0]: r[1] for r in fixes.toLocalIterator()})
+    def model_of(share: dict[str, float], templates: dict[str, float]) -> LineModel:
+        model = LineModel(share, templates)
+        model.header = header
+        return model
+
+    if total <= CORRECTION_LIMIT:
+        known = spark.sparkContext.broadcast((shared["s"], shared["l"], {r[0]: r[1] for r in fixes.toLocalIterator()}, {r[0] for r in kept.toLocalIterator()}))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            share, templates, fixed, compounds = known.value
+            model = model_of(share, templates)
             for batch in batches:
-                yield emit(batch, [repair_page(t, model, shared.value) for t in batch.column(2).to_pylist()])
+                yield emit(batch, [repair_page(t, model, fixed, compounds) for t in batch.column(2).to_pylist()])
 
         return rows.select("record_table", "record_id", "text").mapInArrow(run, schema)
-    # too many corrections to broadcast: each page gets its own through a join on the words its repair looks up
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # too many to broadcast: each page gets its own facts and compounds, then the corrections its repair looks up
+    pages = materialise(rows.select("record_table", "record_id", "text").withColumn("row", F.monotonically_increasing_id()), "scan-pages")
+
+    def ask_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            asked = [looked_up(t, model) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(asked, pa.list_(pa.string()))], names=["record_table", "record_id", "words"])
+            asked = [line_keys(t) + [("b", f"{m[1]}-{m[2]}".casefold()) for m in _BROKEN.finditer(_clean(t or ""))] for t in batch.column(1).to_pylist()]
+            keys = [[{"kind": a, "key": b} for a, b in page] for page in asked]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.struct([("kind", pa.string()), ("key", pa.string())])))], names=["row", "keys"])
 
-    pages = rows.select("record_table", "record_id", "text")
-    asked = pages.mapInArrow(ask, "record_table string, record_id string, words array<string>")
-    page_words = asked.select(F.col("record_table").alias("own_table"), F.col("record_id").alias("own_id"), F.explode("words").alias("word"))
-    own = page_words.join(fixes, "word").groupBy("own_table", "own_id").agg(F.collect_set(F.struct("word", "other")).alias("own"))
-    joined = pages.join(own, F.col("record_table").eqNullSafe(F.col("own_table")) & F.col("record_id").eqNullSafe(F.col("own_id")), "left")
+    asked = pages.select("row", "text").mapInArrow(ask_lines, "row long, keys array<struct<kind:string,key:string>>").select("row", F.inline("keys")).distinct()
+    entries = facts.unionByName(kept.select(F.lit("b").alias("kind"), "key", F.lit(1.0).alias("value")))
+    pages = materialise(_joined(pages, asked, entries, "facts"), "scan-facts")
 
-    def run_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def own_model(own: list[dict] | None) -> tuple[LineModel, set[str]]:
+        by_kind: dict[str, dict] = {"s": {}, "l": {}, "b": {}}
+        for f in own or []:
+            by_kind[f["kind"]][f["key"]] = f["value"]
+        return model_of(by_kind["s"], by_kind["l"]), set(by_kind["b"])
+
+    def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in (2, 3)]
-            yield emit(batch, [repair_page(t, model, {f["word"]: f["other"] for f in own or []}) for t, own in zip(*columns, strict=True)])
+            words = [looked_up(t, *own_model(f)) for t, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], names=["row", "words"])
 
-    return joined.select("record_table", "record_id", "text", "own").mapInArrow(run_own, schema)
+    words = pages.select("row", "text", "facts").mapInArrow(ask_words, "row long, words array<string>").select("row", F.lit("c").alias("kind"), F.explode("words").alias("key"))
+    fixed = fixes.select(F.lit("c").alias("kind"), F.col("word").alias("key"), "other")
+
+    def run_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in (2, 3, 4)]
+            done = []
+            for text, own, fixes_of in zip(*columns, strict=True):
+                model, compounds = own_model(own)
+                done.append(repair_page(text, model, {f["key"]: f["other"] for f in fixes_of or []}, compounds))
+            yield emit(batch, done)
+
+    return _joined(pages, words, fixed, "own").select("record_table", "record_id", "text", "facts", "own").mapInArrow(run_own, schema)
 
 
 def page_rows(units: DataFrame, restorations: DataFrame) -> DataFrame:
