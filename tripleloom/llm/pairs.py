@@ -22,6 +22,7 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -82,9 +83,16 @@ _TAIL_NOTE = re.compile(r"(?<=[다요까.!?])\s*[(（\[][^()（）\[\]]{1,60}[)
 _CUT = re.compile(r"[\s.…,;:\-–—~·]+$")
 
 
+_NO_KEY = re.compile(r"[\W_]+")
+
+
 def key_of(text: str | None) -> str:
     """Letters and digits of ``text`` in compatibility form without case."""
-    return "".join(c for c in unicodedata.normalize("NFKC", text or "").casefold() if c.isalnum())
+    if not text:
+        return ""
+    if not text.isascii() and not unicodedata.is_normalized("NFKC", text):
+        text = unicodedata.normalize("NFKC", text)
+    return _NO_KEY.sub("", text.casefold())
 
 
 def is_empty(text: str | None) -> bool:
@@ -99,7 +107,11 @@ def is_refusal(text: str) -> bool:
         return False
     for sentence in re.split(r"(?<=[.!?;])\s+", plain):
         said = key_of(sentence)
-        for known in _DECLINE_KEYS:
+        letters = Counter(said)
+        for known, bag in _DECLINE_KEYS:
+            # no more can be common than letters are
+            if sum((letters & bag).values()) < 0.85 * len(known):
+                continue
             if 0.7 <= len(said) / len(known) <= 1.9:
                 blocks = SequenceMatcher(None, known, said, False).get_matching_blocks()
                 if sum(b.size for b in blocks) >= 0.85 * len(known):
@@ -107,17 +119,17 @@ def is_refusal(text: str) -> bool:
     return False
 
 
-_DECLINE_KEYS = [key_of(s) for s in _DECLINES]
+_DECLINE_KEYS = [(key_of(s), Counter(key_of(s))) for s in _DECLINES]
 
 
-def is_copy(question: str | None, answer: str, evidence_keys: list[str]) -> bool:
+def is_copy(question: str | None, answer: str, evidence: _Evidence) -> bool:
     """Nothing but the question: labelled, re-punctuated, repeated or lightly edited."""
     asked, said = key_of(question), key_of(_LABEL.sub("", unicodedata.normalize("NFKC", answer).strip(" \"'“”‘’[]()<>「」\n\t")))
     if len(asked) < 4 or not said:
         return False
     if len(said) % len(asked) == 0 and said == asked * (len(said) // len(asked)):
         return True
-    if len(said) >= 8 and said in asked and 2 * len(said) >= len(asked) and not any(said in e for e in evidence_keys):
+    if len(said) >= 8 and said in asked and 2 * len(said) >= len(asked) and not any(said in e for e in evidence.keys):
         return True
     if key_of(answer) == asked:
         return True
@@ -142,23 +154,22 @@ def _script(c: str) -> str | None:
     return next((lang for lang, first, last in _SCRIPTS if first <= c <= last), None) if c > "\u036f" else None
 
 
+_OTHER_SCRIPTS = re.compile("[" + "".join(f"{first}-{last}" for _, first, last in _SCRIPTS) + "]")
+_COUNTED = {"ko": re.compile("[가-힣]"), "kana": re.compile("[\u3040-\u30ff]"), "han": re.compile("[一-鿿]"), "latin": re.compile("(?![가-힣\u3040-\u30ff一-鿿])[^\\W\\d_]")}
+
+
 def language_of(text: str | None) -> str | None:
     """ko, ja, zh, vi, fr, es or en; None if names and abbreviations are all there is."""
     plain = _CODE.sub(" ", _PAREN.sub(" ", unicodedata.normalize("NFKC", text or "")))
-    counts = {"ko": 0, "kana": 0, "han": 0, "latin": 0}
-    other = Counter(script for c in plain if c > "\u036f" and (script := _script(c)))
-    for c in plain:
-        if "가" <= c <= "힣":
-            counts["ko"] += 1
-        elif "぀" <= c <= "ヿ":
-            counts["kana"] += 1
-        elif "一" <= c <= "鿿":
-            counts["han"] += 1
-        elif c.isalpha() and not _script(c):
-            counts["latin"] += 1
-    if other and sum(other.values()) > counts["ko"] * 3 + counts["kana"] * 3 + counts["han"] * 3 + counts["latin"]:
-        return other.most_common(1)[0][0]
-    total = counts["ko"] * 3 + counts["kana"] * 3 + counts["han"] * 3 + counts["latin"]
+    counts = {name: len(pattern.findall(plain)) for name, pattern in _COUNTED.items()}
+    weight = counts["ko"] * 3 + counts["kana"] * 3 + counts["han"] * 3
+    if _OTHER_SCRIPTS.search(plain):
+        other = Counter(script for c in plain if (script := _script(c)))
+        foreign = sum(other.values())
+        counts["latin"] -= foreign
+        if foreign > weight + counts["latin"]:
+            return other.most_common(1)[0][0]
+    total = weight + counts["latin"]
     if not total:
         return None
     if counts["ko"] * 3 >= 0.5 * total:
@@ -187,18 +198,25 @@ class _Evidence:
     """Sentences of a record's evidence as sorted keys with their ends."""
 
     def __init__(self, quotes: list[str | None]):
-        self.starts: list[tuple[str, list[int]]] = []
-        self.keys = [key_of(q) for q in quotes if q]
-        for quote in quotes:
+        self.quotes = quotes
+
+    @cached_property
+    def keys(self) -> list[str]:
+        return [key_of(q) for q in self.quotes if q]
+
+    @cached_property
+    def starts(self) -> list[tuple[str, list[int]]]:
+        """(text from a sentence to its quote's end, ends of the sentences in it), sorted."""
+        out: list[tuple[str, list[int]]] = []
+        for quote in self.quotes:
             keys = [k for k in (key_of(s) for s in _SENTENCE.split(quote or "")) if k]
             for i in range(len(keys)):
                 ends, total = [], 0
                 for k in keys[i:]:
                     total += len(k)
                     ends.append(total)
-                self.starts.append(("".join(keys[i:]), ends))
-        self.starts.sort()
-        self._sorted = [s for s, _ in self.starts]
+                out.append(("".join(keys[i:]), ends))
+        return sorted(out)
 
     def shortened(self, answer: str, near: float, state: str | None = "inside") -> bool:
         """The answer begins with a sentence and ends inside one.
@@ -215,12 +233,12 @@ class _Evidence:
         said = key_of(cut)
         if len(said) < SHORTEST_CUT:
             return False
-        at = bisect_right(self._sorted, said)
         if state == "whole":
             return False
-        if at < len(self.starts) and self._sorted[at].startswith(said):
+        at = bisect_right(self.starts, said, key=lambda x: x[0])
+        if at < len(self.starts) and self.starts[at][0].startswith(said):
             return state == "inside" and len(said) not in self.starts[at][1]
-        if at and self._sorted[at - 1] == said or any(said in k for k in self.keys):
+        if at and self.starts[at - 1][0] == said or any(said in k for k in self.keys):
             return False  # whole sentences, or a value from inside one
         if len(said) < 3 * SHORTEST_CUT:
             return False
@@ -251,7 +269,7 @@ def defect_of(question: str | None, answer: str | None, quotes: list[str | None]
     if is_refusal(answer):
         return "refusal"
     evidence = _Evidence(quotes)
-    if is_copy(question, answer, evidence.keys):
+    if is_copy(question, answer, evidence):
         return "copied"
     if is_other_language(question, answer):
         return "other_language"
