@@ -145,7 +145,7 @@ def test_citations(spark):
     assert [r[0] for r in df.select(linking.repaired_citations(F.col("c"), F.col("n"))).collect()] == [[0, 1], [1], [0, 1], []]
     pages = spark.createDataFrame([(["urn:p:page-2", None, "urn:q:page-1", "x:page-2"],)], "p array<string>")
     assert pages.select(linking.source_pages(F.col("p"))).first()[0] == ["page-2", "page-1"]
-    issues = spark.createDataFrame([("정보가 부족합니다", [5], 2, False)], "a string, c array<int>, n int, i boolean")
+    issues = spark.createDataFrame([("자료로는 확인할 수 없습니다", [5], 2, False)], "a string, c array<int>, n int, i boolean")
     assert issues.select(linking.answer_issues(F.col("a"), F.col("c"), F.col("n"), F.col("i"))).first()[0] == ["citation out of range", "answer says it is insufficient"]
 
 
@@ -157,7 +157,7 @@ def test_markdown_segments(spark):
     rows = segments.segment_pages(spark.createDataFrame(pages, "document string, page int, text string")).orderBy("page", "line_start").collect()
     by = {r["locator"]: r for r in rows}
     assert by["page-001:block-0001"]["section_path"] == ["장"]
-    assert by["page-002:table-01:row-0001"]["header"] == ["a | b", "c"]
+    assert by["page-002:table-01:row-0001"]["header"] == ["a \\| b", "c"]
     assert by["page-002:table-01:row-0000"]["continuation_of"] == "page-001:table-01"
     assert by["page-002:block-0001"]["section_path"] == ["장", "절"]
     with pytest.raises(ValueError, match="ragged"):
@@ -180,7 +180,8 @@ def test_selections(spark):
     assert sorted(len(r["locators"]) for r in segments.row_batches(df).collect()) == [1, 1, 4]
     lines = spark.createDataFrame([(1, "a", "같은 문장이 두 번 나온다 그러면 그 가운데 하나만 남는다"), (2, "a", "같은 문장이  두 번 나온다 그러면 그 가운데 하나만 남는다"), (3, "b", "# 제목은 증거가 아니므로 빠지고 남지 않는다"), (4, "b", "짧다")], "place int, locator string, line string")
     assert segments.evidence_units(lines).count() == 1
-    assert one(spark, segments.style_tags, "안녕하세요? 3월인가요?") == ["greeting", "question_mark", "polite", "number", "multi_sentence", "short"]
+    assert one(spark, segments.style_tags, "Hola, ¿cuándo puedo pedir una cita si no tengo plazo?") == ["greeting", "first_person", "time", "yes_no", "conditional", "explicit_question"]
+    assert one(spark, segments.style_tags, "휴학") == ["fragment"] and one(spark, segments.style_tags, "휴학 신청은 다음 주") == ["fragment"] and one(spark, segments.style_tags, "휴학 신청은 다음 주 월요일에 합니다") == ["other"]
 
 
 # ---- tables ------------------------------------------------------------------------------------------
@@ -219,9 +220,17 @@ def test_dates(spark):
     assert [r[0] for r in df.select(facts.date_supported(F.col("d"), F.col("q"), F.col("g"))).collect()] == [True, False, True, False]
     year = spark.createDataFrame([(dt.date(2020, 9, 1), "2031학년도 2학기 학사일정"), (dt.date(2020, 2, 1), "2031학년도 2학기"), (dt.date(2020, 2, 1), "x")], "d date, g string")
     assert [r[0].year for r in year.select(facts.school_year(F.col("d"), F.col("g"))).collect()] == [2031, 2032, 2020]
-    stamp = spark.createDataFrame([(dt.date(2031, 12, 31), 24, 0), (dt.date(2031, 1, 2), 9, 5)], "d date, h int, m int")
-    assert [r[0] for r in stamp.select(facts.seoul_datetime(F.col("d"), F.col("h"), F.col("m"))).collect()] == ["2032-01-01T00:00:00+09:00", "2031-01-02T09:05:00+09:00"]
-    assert [tuple(m) for m in one(spark, facts.datetime_mentions, "3월 5일(목) 12:00 ~ 13월 9일 10:00, 4월 6일 9시")] == [(3, 5, 12, 0), (4, 6, 9, 0)]
+    stamp = spark.createDataFrame([(dt.date(2031, 12, 31), 24, 0), (dt.date(2031, 1, 2), 9, 5), (dt.date(2031, 1, 2), 25, 0)], "d date, h int, m int")
+    assert [r[0] for r in stamp.select(facts.local_stamp(F.col("d"), F.col("h"), F.col("m"))).collect()] == ["2032-01-01T00:00:00+09:00", "2031-01-02T09:05:00+09:00", None]
+    cases = [
+        ("3월 5일(목) 12:00 ~ 13월 9일 10:00", "2031학년도", ["2032-03-05T12:00:00+09:00"]), ("2031. 9. 1. 09:30", "", ["2031-09-01T09:30:00+09:00"]), ("9월 1일 10:00", "", []),
+        ("9월 1일 10:00 - 24:00", "2031학년도 2학기", ["2031-09-01T10:00:00+09:00", "2031-09-02T00:00:00+09:00"]), ("2월 30일 10:00", "2031학년도", []), ("9월 1일 9시", "2031학년도", []),
+    ]
+    df = spark.createDataFrame([(q, g) for q, g, _ in cases], "q string, g string")
+    assert [r[0] for r in df.select(facts.source_datetimes(F.col("q"), F.col("g"))).collect()] == [c for _, _, c in cases]
+    typed = ["2031-09-01T10:00", "2031-09-01T24:00", "2031-09-01T10:00:00Z", "2031-09-01T10:00:05+09:00", "2031-9-1", "2031-02-30T10:00"]
+    df = spark.createDataFrame([(t,) for t in typed], "t string")
+    assert [r[0] for r in df.select(facts.normalised_datetime(F.col("t"))).collect()] == ["2031-09-01T10:00:00+09:00", "2031-09-02T00:00:00+09:00", None, "2031-09-01T10:00:05+09:00", None, None]
 
 
 ENTITIES = "unit_id string, entity_id string, label string, identifier string, types array<string>"
@@ -232,7 +241,7 @@ def test_fact_rules(spark):
     entities = spark.createDataFrame([("u", "e1", "학과", "X9", ["urn:C"]), ("u", "e2", "없는 것", None, ["urn:Z"]), ("u", "1x", "", None, [])], ENTITIES)
     rows = [
         ("u", 1, "e1", "urn:n", "integer", "5", "l", "5명", "5명", 1.0), ("u", 2, "e1", "urn:n", "integer", "5", "l", "5명", "5명", 1.0), ("u", 3, "e1", "urn:n", "integer", "6", "l", "5명", "5명", 2.0),
-        ("u", 4, "e9", "urn:o", "entity", "e1", "l", "q", "g", 1.0), ("u", 5, "e1", "urn:o", "entity", "e1", "l", "q", "g", 1.0), ("u", 6, "e1", "urn:b", "boolean", "true", "l", "가능하다", "g", 1.0), ("u", 7, "e1", "urn:b", "boolean", "true", "l", "불가하다", "g", 1.0),
+        ("u", 4, "e9", "urn:o", "entity", "e1", "l", "q", "g", 1.0), ("u", 5, "e1", "urn:o", "entity", "e1", "l", "q", "g", 1.0), ("u", 6, "e1", "urn:b", "boolean", "true", "l", "가능하다", "가능하다", 1.0), ("u", 7, "e1", "urn:b", "boolean", "true", "l", "불가하다", "불가하다", 1.0),
     ]
     f = spark.createDataFrame(rows, FACTS)
     assert {r["fact_id"] for r in facts.valid_facts(f, entities).collect()} == {1, 6}
@@ -342,3 +351,55 @@ def test_streams(spark, tmp_path):
     stream = logs.latest_stream(logs.read_log(spark, str(source), "k string, seq int, v string"), "k", "seq", "v")
     logs.run_to_memory(stream, "latest", "complete", str(tmp_path / "ck"))
     assert {(r["k"], r["v"]) for r in spark.table("latest").collect()} == {("u1", "c"), ("u2", "b")}
+
+
+# ---- operators of the second round ---------------------------------------------------------------------
+
+
+def test_notice_needs_its_parts(spark):
+    good = "<div class='board-default-view'><p class='subject'><strong>제목</strong> 부제</p><p class='datetime'>2031</p><div class='content'><p>가</p><p>나 &amp; 다</p></div></div>"
+    made = segments.parse_notice(good)
+    assert (made["title"], made["published_at"], made["body"], made["tables"]) == ("제목", "2031", "가\n나 & 다", [])
+    for bad in ("", "<div class='content'>x</div>", good.replace("datetime", "other")):
+        with pytest.raises(ValueError):
+            segments.parse_notice(bad)
+
+
+def test_few_shot_forces_a_category(spark):
+    rows = [("a", "rule", "졸업 학점 기준", 1), ("b", "rule", "졸업 학점 조건", 2), ("c", "table", "수강 일정", 3), ("z", "no_fact", "안내", 4), ("y", "no_fact", "제목", 5)]
+    df = spark.createDataFrame(rows, "example_id string, category string, text string, at int")
+    order = lambda r: [x["example_id"] for x in r.orderBy("place").collect()]
+    assert order(linking.few_shot(df, "졸업 학점", 3)) == ["a", "b", "z"]
+    assert order(linking.few_shot(df, "졸업 학점", 3, "table")) == ["a", "c", "z"]
+    assert linking.few_shot(df.limit(0), "x").count() == 0
+
+
+def test_close_matches_equal_brute_force(spark):
+    from difflib import SequenceMatcher
+
+    words, source = ["해양정첵학과", "도시경영", "xx"], ["해양정책학과", "해양통신공학과", "도시경영학과", "도시정책학과"]
+    found = {(r["word"], r["other"]) for r in fuzzy.close_matches(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame([(w,) for w in source], "word string")).collect()}
+    exact = {(w, o) for w in words for o in sorted(source, key=lambda o: -SequenceMatcher(None, w, o).ratio())[:3] if SequenceMatcher(None, w, o).ratio() >= 0.65}
+    assert found == exact and len(exact) >= 2
+
+
+def test_keys_and_decisions(spark):
+    columns = spark.createDataFrame([("t", 0), ("t", 1), ("t", 2)], "table_id string, base_column int")
+    keys = spark.createDataFrame([("t", 0, "name"), ("t", 1, "name"), ("t", 9, "Bad key"), ("t", 2, None)], "table_id string, base_column int, key string")
+    assert {r["issue"] for r in tables.key_issues(columns, keys).collect()} == {"repeated key", "unknown column", "bad key", "missing column"}
+    assert tables.key_issues(columns.limit(0), keys.limit(0)).count() == 0
+    d = spark.createDataFrame([(1, "accept", "success", True, None), (2, "reject", None, None, " "), (3, None, None, None, None), (4, "amend", "success", None, "x")], "decision_id int, decision string, status string, complete boolean, reason string")
+    assert {r["decision_id"]: r["issues"] for r in reconcile.unit_decision_issues(d).collect()} == {1: [], 2: ["no reason"], 3: ["unknown decision"], 4: ["candidate is not complete"]}
+
+
+def test_median_and_blocks(spark):
+    t = spark.createDataFrame([(1, 10), (1, 30), (1, 20), (1, 40), (2, 5)], "page int, height int")
+    assert {(r["page"], r["median_height"]) for r in tables.median_heights(t).collect()} == {(1, 30), (2, 5)}
+
+
+def test_provenance_leaves_nulls_out(spark):
+    schema = "unit_id string, document_id string, locator string, content_hash string, source_status string, source_hash string, source_issues array<string>, text string, pdf_page int, printed_page int, created_at timestamp_ntz"
+    df = spark.createDataFrame([("u 1", "d", None, None, "ok", None, ["x", "x"], None, None, 3, None), ("u 1", "d", None, None, "ok", None, None, None, None, 3, None)], schema)
+    made = {(r["p"].split("#")[-1].split(":")[-1].split("/")[-1], r["o_value"]) for r in graph.provenance(df, "r").collect()}
+    assert ("sourceIssue", "x") in made and ("printedPage", "3") in made and not {p for p, _ in made} & {"pdfPage", "locator", "text"}
+    assert graph.provenance(df.limit(0), "r").count() == 0

@@ -15,7 +15,12 @@ from tripleloom.functions.text import n4, number_tokens
 
 KINDS = ("entity", "string", "integer", "decimal", "boolean", "date", "datetime")
 # Cues of a yes and of a no.
-POSITIVE, NEGATIVE = r"가능|할 수 있|허용|인정한|해당한|필수|yes|allowed", r"불가|할 수 없|않는|않은|없다|제외|금지|no\b|not"
+POSITIVE, NEGATIVE = "가능|허용|포함|인정|승인|운영", "불가|금지|제외|없|않|못|미운영|불허|처리되지"
+# A time of day in the source, the form of a typed one, and the document's offset.
+MENTION = r"(?:(\d{4})\s*[.년]\s*)?(\d{1,2})\s*[.월]\s*(\d{1,2})\s*(?:[.일])?\s*(?:\([^)]*\))?\s*(\d{1,2}):(\d{2})"
+SAME_DAY = MENTION + r"\s*[-~]\s*(\d{1,2}):(\d{2})"
+STAMP = r"^(\d{4}-\d{2}-\d{2})T(\d{2}):(\d{2})(?::(\d{2}))?(Z|[+-]\d{2}:\d{2})?$"
+OFFSET = "+09:00"
 XSD_KIND = {"integer": "integer", "nonNegativeInteger": "integer", "positiveInteger": "integer", "decimal": "decimal", "boolean": "boolean", "date": "date", "dateTimeStamp": "datetime", "dateTime": "datetime", "string": "string"}
 
 
@@ -36,28 +41,50 @@ def date_supported(date: Column, quote: Column, grounding: Column) -> Column:
     numbers = number_tokens(quote)
     month, day, year = (part(date).cast("string") for part in (F.month, F.dayofmonth, F.year))
     both = F.when(month == day, count_of(numbers, month) >= 2).otherwise((count_of(numbers, month) >= 1) & (count_of(numbers, day) >= 1))
-    implied = F.regexp_extract(grounding, r"(\d{4})학년도", 1).try_cast("int")
-    by_school = (F.year(date) == implied) | ((F.year(date) == implied + 1) & (F.month(date) <= 3))
+    implied = F.regexp_extract(grounding, r"(\d{4})\s*학년도", 1).try_cast("int")
+    by_school = F.year(date) == implied + F.when(F.month(date) <= 3, 1).otherwise(0)
     return F.coalesce(both & (F.array_contains(number_tokens(grounding), year) | F.coalesce(by_school, F.lit(False))), F.lit(False))
 
 
-def datetime_mentions(quote: Column) -> Column:
-    """struct(month, day, hour, minute) of every 'M월 D일 HH:MM' or 'HH시'; impossible ones are left out."""
-    found = F.regexp_extract_all(quote, F.lit(r"(\d{1,2}월 ?\d{1,2}일(?:\([가-힣]\))? ?\d{1,2}(?::\d{2}|시))"), 1)
+def local_stamp(day: Column, hour: Column, minute: Column, second: Column | None = None) -> Column:
+    """ISO text of a local time of the documents; 24:00 is the next day's 00:00, an impossible time null."""
+    second = second if second is not None else F.lit(0)
+    midnight = (hour == 24) & (minute == 0) & (second == 0)
+    date = F.when(midnight, F.date_add(day, 1)).otherwise(day)
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    text = F.concat(F.date_format(date, "yyyy-MM-dd"), F.lit("T"), two(F.when(midnight, 0).otherwise(hour)), F.lit(":"), two(minute), F.lit(":"), two(second), F.lit(OFFSET))
+    return F.when((midnight | hour.between(0, 23)) & minute.between(0, 59) & second.between(0, 59), text)
 
-    def read(text: Column) -> Column:
-        part = lambda p: F.regexp_extract(text, p, 1).try_cast("int")
-        minute = F.coalesce(part(r":(\d{2})$"), F.lit(0))
-        return F.struct(part(r"^(\d{1,2})월").alias("month"), part(r"(\d{1,2})일").alias("day"), part(r"(\d{1,2})(?::\d{2}|시)$").alias("hour"), minute.alias("minute"))
 
-    return F.filter(F.transform(found, read), lambda m: m.month.between(1, 12) & m.day.between(1, 31) & m.hour.between(0, 24) & m.minute.between(0, 59))
+def normalised_datetime(c: Column) -> Column:
+    """A typed datetime as ISO text at the documents' offset; without an offset it is local, with another it is null."""
+    part = lambda i: F.regexp_extract(c, STAMP, i)
+    second = F.coalesce(part(4).try_cast("int"), F.lit(0))
+    made = local_stamp(part(1).try_cast("date"), part(2).try_cast("int"), part(3).try_cast("int"), second)
+    return F.when(part(5).isin("", OFFSET), made)
 
 
-def seoul_datetime(date: Column, hour: Column, minute: Column) -> Column:
-    """ISO text at +09:00; 24:00 is the next day's 00:00."""
-    next_day = hour == 24
-    day = F.when(next_day, F.date_add(date, 1)).otherwise(date)
-    return F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T"), F.lpad(F.when(next_day, 0).otherwise(hour).cast("string"), 2, "0"), F.lit(":"), F.lpad(minute.cast("string"), 2, "0"), F.lit(":00+09:00"))
+def source_datetimes(quote: Column, grounding: Column) -> Column:
+    """ISO texts of all times of day that the quote names; years come from the mention or the grounding's school year.
+
+    January to March belong to the year after the school year's. Both ends of a range
+    within a day count. Impossible times and those without a year are left out.
+    """
+    school = F.regexp_extract(grounding, r"(\d{4})\s*학년도", 1).try_cast("int")
+
+    def read(pattern: str, hour: int):
+        def one(text: Column) -> Column:
+            part = lambda i: F.regexp_extract(text, pattern, i).try_cast("int")
+            month = part(2)
+            year = F.coalesce(part(1), school + F.when(month <= 3, 1).otherwise(0))
+            day = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(part(3).cast("string"), 2, "0"))
+            return F.when(year.isNotNull(), local_stamp(day.try_cast("date"), part(hour), part(hour + 1)))
+
+        return one
+
+    every = lambda pattern, hour: F.transform(F.regexp_extract_all(quote, F.lit(f"({pattern})"), 1), read(pattern, hour))
+    found = F.concat(every(MENTION, 4), every(SAME_DAY, 4), every(SAME_DAY, 6))
+    return F.sort_array(F.array_distinct(F.array_compact(found)))
 
 
 def numbers_within(value: Column, evidence: Column) -> Column:
@@ -80,9 +107,9 @@ def valid_facts(facts: DataFrame, entities: DataFrame) -> DataFrame:
         .when(F.col("object_kind") == "string", (value != "") & F.contains(n4(grounding), n4(value)))
         .when(F.col("object_kind") == "integer", value.rlike(r"^-?\d+$") & numbers_within(value, quote))
         .when(F.col("object_kind") == "decimal", value.try_cast("double").isNotNull() & numbers_within(value, quote))
-        .when(F.col("object_kind") == "boolean", F.when(value == "true", quote.rlike(POSITIVE)).when(value == "false", quote.rlike(NEGATIVE)).otherwise(F.lit(False)))
+        .when(F.col("object_kind") == "boolean", F.when(value == "true", grounding.rlike(POSITIVE)).when(value == "false", grounding.rlike(NEGATIVE)).otherwise(F.lit(False)))
         .when(F.col("object_kind") == "date", date.isNotNull() & date_supported(date, quote, grounding))
-        .when(F.col("object_kind") == "datetime", value.endswith("+09:00"))
+        .when(F.col("object_kind") == "datetime", F.array_contains(source_datetimes(quote, grounding), normalised_datetime(value)))
         .otherwise(F.lit(False))
     )
     declared = entities.select("unit_id", F.col("entity_id").alias("subject")).distinct()
@@ -164,9 +191,11 @@ def candidate_issues(units: DataFrame, entities: DataFrame, facts: DataFrame, te
     add(facts.where(F.col("object_kind").isin("integer", "decimal") & ~numbers_within(value, quote)), "number not in the quote")
     add(facts.where((F.col("object_kind") == "string") & ((value == "") | ~F.contains(n4(grounding), n4(value)))), "string not in the grounding")
     add(facts.where((F.col("object_kind") == "date") & ~date_supported(value.try_cast("date"), quote, grounding)), "date not supported")
-    add(facts.where((F.col("object_kind") == "datetime") & ~value.endswith("+09:00")), "datetime not at +09:00")
-    add(facts.where((value == "true") & (F.col("object_kind") == "boolean") & ~quote.rlike(POSITIVE)), "yes without a cue")
-    add(facts.where((value == "false") & (F.col("object_kind") == "boolean") & ~quote.rlike(NEGATIVE)), "no without a cue")
+    stamp = normalised_datetime(value)
+    add(facts.where((F.col("object_kind") == "datetime") & stamp.isNull()), "datetime not at +09:00")
+    add(facts.where((F.col("object_kind") == "datetime") & stamp.isNotNull() & ~F.coalesce(F.array_contains(source_datetimes(quote, grounding), value), F.lit(False))), "datetime not in the quote")
+    add(facts.where((value == "true") & (F.col("object_kind") == "boolean") & ~grounding.rlike(POSITIVE)), "yes without a cue")
+    add(facts.where((value == "false") & (F.col("object_kind") == "boolean") & ~grounding.rlike(NEGATIVE)), "no without a cue")
     add(facts.where("coalesce(quote, '') = ''"), "no quote")
     add(facts.where("locator is null or grounding is null"), "unknown locator")
     add(facts.where("confidence is null or confidence < 0 or confidence > 1"), "confidence outside 0..1")
@@ -188,3 +217,58 @@ def contract_terms(terms: DataFrame, examples: DataFrame) -> DataFrame:
     named = terms.join(examples, F.contains(examples["text"], terms["iri"]), "left_semi")
     near = named.select(F.explode(F.concat(F.coalesce("domains", F.array()), F.coalesce("ranges", F.array()))).alias("iri")).distinct()
     return named.unionByName(terms.join(near, "iri", "left_semi").select(terms.columns)).distinct()
+
+
+# Wrappers of a scalar, in order.
+WRAPPERS = ("entity_id", "value", "text", "ko")
+
+
+def unwrapped(c: Column, depth: int = 4) -> Column:
+    """A JSON scalar without the objects that wrap it; an object of no known wrapper is empty text."""
+    for _ in range(depth):
+        inner = F.coalesce(*[F.get_json_object(c, f"$.{w}") for w in WRAPPERS], F.lit(""))
+        c = F.when(c.rlike(r"^\s*\{"), inner).otherwise(c)
+    return c
+
+
+TIME = "http://www.w3.org/2006/time#"
+
+
+def recovered_instants(facts: DataFrame, entities: DataFrame, dates: tuple[str, ...]) -> DataFrame:
+    """(unit_id, entity_id, label, types): instants that date facts (predicates ``dates``) name but the entities lack."""
+    named = facts.where(F.col("predicate").isin(*dates)).select("unit_id", F.col("subject").alias("entity_id"), F.col("object_value").alias("label")).distinct()
+    first = named.groupBy("unit_id", "entity_id").agg(F.min("label").alias("label"))
+    return first.join(entities.select("unit_id", "entity_id"), ["unit_id", "entity_id"], "left_anti").select("unit_id", "entity_id", "label", F.array(F.lit(TIME + "Instant")).alias("types"))
+
+
+def admitted_entities(entities: DataFrame, units: DataFrame, classes: DataFrame) -> DataFrame:
+    """Entities of a known class (type) whose label stands in the unit, or, for an instant, whose numbers do."""
+    known = classes.select(F.col("type")).distinct()
+    typed = entities.select("unit_id", "entity_id", F.explode("types").alias("type")).join(known, "type", "left_semi").select("unit_id", "entity_id").distinct()
+    rows = entities.join(typed, ["unit_id", "entity_id"], "left_semi").join(units.select("unit_id", "text"), "unit_id")
+    instant = F.array_contains("types", TIME + "Instant") & numbers_within(F.col("label"), F.col("text"))
+    return rows.where(F.coalesce(F.contains(n4(F.col("text")), n4(F.col("label"))) | instant, F.lit(False))).select(entities.columns)
+
+
+def domain_range_issues(facts: DataFrame, entities: DataFrame, terms: DataFrame, closure: DataFrame) -> DataFrame:
+    """(unit_id, fact_id, issue): ends whose types, with their ancestors (cls, ancestor), miss the property's domain or range.
+
+    terms: (iri, domains, ranges). An empty domain or range admits everything.
+    """
+    wide = entities.select("unit_id", "entity_id", F.explode("types").alias("cls")).join(closure, "cls", "left").groupBy("unit_id", "entity_id").agg(F.array_union(F.collect_set("cls"), F.collect_set("ancestor")).alias("wide"))
+    rows = facts.join(terms.select(F.col("iri").alias("predicate"), "domains", "ranges"), "predicate")
+    of = lambda end, name: wide.select("unit_id", F.col("entity_id").alias(end), F.col("wide").alias(name))
+    rows = rows.join(of("subject", "subject_types"), ["unit_id", "subject"], "left").join(of("object_value", "object_types"), ["unit_id", "object_value"], "left")
+    misses = lambda wanted, have: (F.coalesce(F.size(wanted), F.lit(0)) > 0) & ~F.coalesce(F.arrays_overlap(wanted, have), F.lit(False))
+    issues = F.array_compact(F.array(F.when(misses("domains", "subject_types"), "domain"), F.when((F.col("object_kind") == "entity") & misses("ranges", "object_types"), "range")))
+    return rows.select("unit_id", "fact_id", F.explode(issues).alias("issue"))
+
+
+def without_reversed(facts: DataFrame, begin: str, end: str, date: str) -> DataFrame:
+    """Facts without the boundaries, and their dates, of intervals that begin after they end."""
+    at = facts.where(F.col("predicate") == date).select("unit_id", F.col("subject").alias("instant"), F.col("object_value").alias("at"))
+    bound = lambda p: facts.where(F.col("predicate") == p).select("unit_id", F.col("subject").alias("interval"), F.col("object_value").alias("instant")).join(at, ["unit_id", "instant"])
+    b, e = bound(begin).alias("b"), bound(end).alias("e")
+    bad = b.join(e, (F.col("b.unit_id") == F.col("e.unit_id")) & (F.col("b.interval") == F.col("e.interval")) & (F.col("b.at") > F.col("e.at")))
+    bad = bad.select(F.col("b.unit_id").alias("unit_id"), F.col("b.interval").alias("subject")).distinct()
+    return facts.where(F.col("predicate").isin(begin, end)).join(bad, ["unit_id", "subject"], "left_anti").select(facts.columns).unionByName(facts.where(~F.col("predicate").isin(begin, end)))

@@ -157,3 +157,25 @@ def typo_corrections(words: DataFrame, source: DataFrame) -> DataFrame:
     two = scored.withColumn("place", place).where("place <= 2")
     best = two.groupBy("word").agg(F.max(F.when(F.col("place") == 1, F.col("score"))).alias("best"), F.max(F.when(F.col("place") == 2, F.col("score"))).alias("second"), F.max(F.when(F.col("place") == 1, F.col("other"))).alias("other"))
     return best.where("best >= 0.75 and coalesce(second, 0) <= 0.67").select("word", "other")
+
+
+def close_matches(words: DataFrame, source: DataFrame, top: int = 3, cutoff: float = 0.65) -> DataFrame:
+    """(word, other, score, place): the best source words of each word. words, source: (word).
+
+    Words meet on a shared two-character piece and a compatible length before they are scored.
+    """
+    pieces = lambda df, name: df.select(F.col("word").alias("w")).distinct().select(F.col("w").alias(name), F.explode(F.array_distinct(ngrams(F.col("w"), 2))).alias("piece"))
+    pairs = pieces(words, "word").join(pieces(source, "other"), "piece").select("word", "other").distinct()
+    # a ratio of c needs 2 * min / sum of the lengths of at least c
+    pairs = pairs.where(2 * F.least(F.length("word"), F.length("other")) >= cutoff * (F.length("word") + F.length("other")))
+    scored = pairs.withColumn("score", sequence_ratio("word", "other")).where(F.col("score") >= cutoff)
+    place = F.row_number().over(Window.partitionBy("word").orderBy(F.desc("score"), F.desc("other")))
+    return scored.withColumn("place", place).where(F.col("place") <= top)
+
+
+def replaced_words(texts: DataFrame, corrections: DataFrame) -> DataFrame:
+    """(text_id, text, n): whole words of texts (text_id, text) replaced by corrections (word, other), with their number."""
+    parts = texts.select("text_id", F.posexplode(F.split("text", r"(?<=[가-힣A-Za-z])(?![가-힣A-Za-z])|(?<![가-힣A-Za-z])(?=[가-힣A-Za-z])")).alias("place", "word"))
+    fixed = parts.join(corrections.select("word", "other"), "word", "left")
+    piece = F.struct("place", F.coalesce("other", "word").alias("t"))
+    return fixed.groupBy("text_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p.t), "").alias("text"), F.count("other").alias("n"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripleloom.session import materialise
-from tripleloom.sources.star import ALT, LABEL, OWL, PREF, RDF, RDFS, SUBCLASS, TYPE
+from tripleloom.sources.star import ALT, LABEL, OWL, PREF, RDF, RDFS, SUBCLASS, TYPE, XSD
 from tripleloom.sparql.compile import closure
 
 SCHEMA_NAME = "http://schema.org/name"
@@ -103,8 +103,12 @@ def schema_catalog(triples: DataFrame, prefixes: dict[str, str]) -> DataFrame:
 
 
 def duplicated_triples(triples: DataFrame) -> DataFrame:
-    """(s, p, o_value, components): triples that stand in more than one component."""
-    return triples.groupBy("s", "p", "o_value").agg(F.count_distinct("component").alias("components")).where("components > 1")
+    """(s, p, o_kind, o_value, o_datatype, o_lang, components): triples that stand in more than one component.
+
+    Literals of another datatype or language are other triples.
+    """
+    same = [F.coalesce(c, F.lit("")).alias(c) for c in ("o_datatype", "o_lang")]
+    return triples.groupBy("s", "p", "o_kind", "o_value", *same).agg(F.count_distinct("component").alias("components")).where("components > 1")
 
 
 def undeclared_predicates(triples: DataFrame, root: str) -> DataFrame:
@@ -215,3 +219,73 @@ def implicit_classes(labels: DataFrame, known: DataFrame) -> DataFrame:
 def cached_graph(triples: DataFrame) -> DataFrame:
     """The graph written once, sorted by predicate so that bound predicates skip row groups."""
     return materialise(triples.repartitionByRange("p", "s").sortWithinPartitions("p", "s"), "graph")
+
+
+def page_set_issues(triples: DataFrame, page_class: str, pages: DataFrame) -> DataFrame:
+    """(iri, issue): page subjects of the graph against the expected pages (iri)."""
+    declared = triples.where((F.col("p") == TYPE) & (F.col("o_value") == page_class)).select(F.col("s").alias("iri")).distinct().withColumn("there", F.lit(True))
+    both = declared.join(pages.select("iri").distinct().withColumn("wanted", F.lit(True)), "iri", "full")
+    issue = F.when(F.col("there").isNull(), "missing page").when(F.col("wanted").isNull(), "unexpected page")
+    return both.select("iri", issue.alias("issue")).where("issue is not null")
+
+
+def source_texts(triples: DataFrame, predicate: str) -> DataFrame:
+    """(s, text): the evidence texts of resources."""
+    return triples.where((F.col("p") == predicate) & (F.col("o_kind") == "literal")).select("s", F.col("o_value").alias("text")).distinct()
+
+
+UNIT, DOCUMENT, RUN, VOCABULARY = "urn:x:unit:", "urn:x:document:", "urn:x:run:", "urn:x:"
+PROV, DCTERMS = "http://www.w3.org/ns/prov#", "http://purl.org/dc/terms/"
+
+
+def _safe(c: Column) -> Column:
+    return F.regexp_replace(c, "[^A-Za-z0-9_.-]+", "-")
+
+
+def _lines(df: DataFrame, *parts: tuple) -> DataFrame:
+    """Triples of rows from (subject, predicate, kind, value, datatype, language); null values give none."""
+    made = [
+        df.select(s.alias("s"), F.lit(p).alias("p"), F.lit(k).alias("o_kind"), v.cast("string").alias("o_value"), F.lit(d).alias("o_datatype"), F.lit(lang).alias("o_lang")).where("o_value is not null and s is not null")
+        for s, p, k, v, d, lang in parts
+    ]
+    out = made[0]
+    for more in made[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def provenance(units: DataFrame, run_id: str) -> DataFrame:
+    """Triples about units, their documents and the activity that read them; a set.
+
+    units: (unit_id, document_id, locator, content_hash, source_status, source_hash,
+    source_issues, text, pdf_page, printed_page, created_at). Absent values give no triple.
+    """
+    string, integer = XSD + "string", XSD + "integer"
+    unit, document = F.concat(F.lit(UNIT), _safe(F.col("unit_id"))), F.concat(F.lit(DOCUMENT), _safe(F.col("document_id")))
+    activity = F.concat(F.lit(f"{RUN}{run_id}:"), _safe(F.col("unit_id")))
+    rows = _lines(
+        units,
+        (unit, TYPE, "iri", F.lit(VOCABULARY + "EvidenceUnit"), "", ""), (unit, DCTERMS + "isPartOf", "iri", document, "", ""), (unit, VOCABULARY + "locator", "literal", F.col("locator"), string, ""),
+        (unit, VOCABULARY + "contentHash", "literal", F.col("content_hash"), string, ""), (unit, VOCABULARY + "sourceStatus", "literal", F.col("source_status"), string, ""), (unit, VOCABULARY + "sourceHash", "literal", F.col("source_hash"), string, ""),
+        (unit, "http://schema.org/text", "literal", F.col("text"), "", "ko"), (unit, VOCABULARY + "pdfPage", "literal", F.col("pdf_page"), integer, ""), (unit, VOCABULARY + "printedPage", "literal", F.col("printed_page"), integer, ""),
+        (document, TYPE, "iri", F.lit(PROV + "Entity"), "", ""), (document, DCTERMS + "identifier", "literal", F.col("document_id"), "", ""), (activity, TYPE, "iri", F.lit(PROV + "Activity"), "", ""),
+        (activity, PROV + "generatedAtTime", "literal", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss"), XSD + "dateTime", ""),
+    )
+    issues = units.select(unit.alias("s"), F.explode("source_issues").alias("o_value")).select("s", F.lit(VOCABULARY + "sourceIssue").alias("p"), F.lit("literal").alias("o_kind"), "o_value", F.lit(string).alias("o_datatype"), F.lit("").alias("o_lang"))
+    return rows.unionByName(issues).distinct()
+
+
+def entity_triples(entities: DataFrame, types: dict[str, str]) -> DataFrame:
+    """Triples of entities (iri, label, identifier, types): label, identifier and each type, prefixed names expanded by ``types``."""
+    iri = F.col("iri")
+    about = _lines(entities, (iri, LABEL, "literal", F.col("label"), "", "ko"), (iri, DCTERMS + "identifier", "literal", F.col("identifier"), "", ""))
+    prefix = F.substring_index("t", ":", 1)
+    space = F.coalesce(*[F.when(prefix == p, F.lit(ns)) for p, ns in types.items()])
+    typed = entities.select(iri.alias("s"), F.explode("types").alias("t")).select("s", F.lit(TYPE).alias("p"), F.lit("iri").alias("o_kind"), F.coalesce(F.concat(space, F.substring_index("t", ":", -1)), "t").alias("o_value"), F.lit("").alias("o_datatype"), F.lit("").alias("o_lang"))
+    return about.unionByName(typed).distinct()
+
+
+def draft_graph(units: DataFrame, entities: DataFrame, facts: DataFrame, run_id: str, types: dict[str, str]) -> DataFrame:
+    """The draft of a run: provenance, entities and reified facts as one set of triples."""
+    reified = reify(facts).select("s", "p", "o_kind", "o_value", F.lit("").alias("o_datatype"), F.lit("").alias("o_lang"))
+    return provenance(units, run_id).unionByName(entity_triples(entities, types)).unionByName(reified).distinct()

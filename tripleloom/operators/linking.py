@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripleloom.functions.text import n1
+from tripleloom.functions.text import multiset_cosine, n1, n2, ngrams
 from tripleloom.operators.fuzzy import weighted
 from tripleloom.operators.graph import SCHEMA_TYPES, class_closure, label_index
 from tripleloom.sources.star import TYPE
@@ -58,19 +58,35 @@ def repaired_citations(cited: Column, rows: Column) -> Column:
     return F.when(one_based, F.transform(cited, lambda i: i - 1)).otherwise(cited)
 
 
+# Phrases of an answer that has not enough evidence.
+INSUFFICIENT = ("확인할 수 없", "판단할 수 없", "알 수 없", "포함되어 있지 않", "추가 확인")
+
+
 def answer_issues(answer: Column, cited: Column, rows: Column, insufficient: Column) -> Column:
-    """Issues of a grounded answer."""
-    phrase = answer.rlike("(?:정보|근거|자료)[가이]? ?부족|확인할 수 없|찾을 수 없|insufficient")
-    found = F.array(
-        F.when(F.exists(cited, lambda i: (i < 0) | (i >= rows)), "citation out of range"),
-        F.when(insufficient & (F.size(cited) > 0), "insufficient answer cites rows"),
-        F.when(~insufficient & (F.size(cited) == 0), "answer cites nothing"),
-        F.when(~insufficient & phrase, "answer says it is insufficient"),
-        F.when((F.length(answer) < 1) | (F.length(answer) > 600), "answer length"),
-    )
+    """Issues of a grounded answer: rows cited that are not there, and words that deny its own flag."""
+    phrase = answer.rlike("|".join(INSUFFICIENT))
+    found = F.array(F.when(F.exists(cited, lambda i: (i < 0) | (i >= rows)), "citation out of range"), F.when(~insufficient & phrase, "answer says it is insufficient"))
     return F.array_compact(found)
 
 
 def source_pages(cited_pages: Column) -> Column:
     """Last parts of the cited pages' names, in order of first sight."""
     return F.array_distinct(F.transform(F.filter(cited_pages, lambda p: p.isNotNull()), lambda p: F.element_at(F.split(p, ":"), -1)))
+
+
+def few_shot(examples: DataFrame, text: str, limit: int = 4, required: str | None = None) -> DataFrame:
+    """(place, example_id, category): the examples nearest to a text, and always the first without facts.
+
+    examples: (example_id, category, text, at), ``at`` being their order. Only ``limit``
+    rows leave the executors. The required category replaces the last if it is absent.
+    """
+    plain, asked = n2(F.col("text")), n2(F.lit(text))
+    scored = examples.where("category != 'no_fact'").select("example_id", "category", multiset_cosine(ngrams(plain, 3), ngrams(asked, 3)).alias("score"))
+    none = examples.where("category = 'no_fact'").orderBy("at").limit(1).select("example_id", "category").collect()
+    best = scored.orderBy(F.desc("score"), "example_id")
+    chosen = [(r["example_id"], r["category"]) for r in best.limit(max(0, limit - len(none))).collect()]
+    if required and all(c != required for _, c in chosen):
+        forced = [(r["example_id"], r["category"]) for r in best.where(F.col("category") == required).limit(1).collect()]
+        chosen = chosen[: len(chosen) - len(forced)] + forced if chosen else forced
+    rows = [(i, *r) for i, r in enumerate(chosen + [(r["example_id"], r["category"]) for r in none])]
+    return examples.sparkSession.createDataFrame(rows, "place int, example_id string, category string")

@@ -20,15 +20,14 @@ BLOCKS = "page int, block int, kind string, x0 int, y0 int, x1 int, y1 int, text
 
 
 def merge_blocks(blocks: DataFrame) -> DataFrame:
-    """Neighbours of one kind that touch become one; the merged box decides about the next."""
+    """A paragraph joins the paragraph, note or list item before it that it touches; the merged box decides about the next."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[list] = []
         for r in pdf.sort_values(["y0", "x0"]).itertuples(index=False):
             last = out[-1] if out else None
-            mergeable = last and r.kind == last[2] and r.kind in ("paragraph", "note", "list_item")
-            if mergeable and abs(r.x0 - last[3]) <= SIDE and GAP[0] <= r.y0 - last[6] <= GAP[1]:
-                last[3:8] = [min(last[3], r.x0), last[4], max(last[5], r.x1), max(last[6], r.y1), f"{last[7]} {r.text}"]
+            if last and r.kind == "paragraph" and last[2] in ("paragraph", "note", "list_item") and abs(r.x0 - last[3]) <= SIDE and GAP[0] <= r.y0 - last[6] <= GAP[1]:
+                last[3:8] = [min(last[3], r.x0), min(last[4], r.y0), max(last[5], r.x1), max(last[6], r.y1), f"{last[7]} {r.text}"]
             else:
                 out.append([r.page, len(out), r.kind, r.x0, r.y0, r.x1, r.y1, r.text])
         return pd.DataFrame(out, columns=["page", "block", "kind", "x0", "y0", "x1", "y1", "text"])
@@ -93,7 +92,7 @@ def align_table(lines: list[str], columns: int, spans: list[int] | None = None)
             cells = wide
         elif missing > 0:
             cells += [""] * missing
-        out.append("| " + " | ".join(c.replace("|", "\\|") for c in cells[:columns]) + " |")
+        out.append("| " + " | ".join(cells[:columns]) + " |")
     return out
 
 
@@ -130,3 +129,9 @@ def document_counts(pages: DataFrame) -> DataFrame:
     """(document, generated, needs_review, pending, failed) of pages (document, status)."""
     one = lambda s: F.count_if(F.col("status") == s).alias(s)
     return pages.groupBy("document").agg(one("generated"), one("needs_review"), one("pending"), one("failed"))
+
+
+def status_after_alignment(status: Column, alignment_issues: Column, table_issues: Column, numbers: Column, words: Column, coverage: Column) -> Column:
+    """Status of a restoration once its tables are aligned: issues of the alignment always need a review."""
+    sound = (F.size(table_issues) == 0) & (F.size(numbers) == 0) & (F.size(words) == 0) & (F.coalesce(coverage, F.lit(0.0)) >= 0.98)
+    return F.when(F.size(alignment_issues) > 0, "needs_review").when(sound, "generated").otherwise(status)

@@ -223,3 +223,54 @@ def embed_missing(missing: DataFrame, embed, size: int = 64) -> DataFrame:
                 yield pd.DataFrame({"key": part["key"], "vector": [list(map(float, v)) for v in vectors]})
 
     return missing.mapInPandas(run, "key string, vector array<double>")
+
+
+def grouped_proposals(proposals: DataFrame, mapping: DataFrame, root: str) -> DataFrame:
+    """(target, n, candidates): proposals (candidate_iri) by their canonical term (candidate_iri, target) of the local vocabulary."""
+    met = proposals.select("candidate_iri").distinct().join(mapping.select("candidate_iri", "target").distinct(), "candidate_iri").where(F.col("target").startswith(root))
+    return met.groupBy("target").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("candidate_iri")).alias("candidates"))
+
+
+def stale_inputs(recorded: DataFrame, current: DataFrame) -> DataFrame:
+    """(name, issue): recorded hashes (name, sha256) against what is there now (name, sha256)."""
+    both = recorded.select("name", F.col("sha256").alias("was")).join(current.select("name", F.col("sha256").alias("now")), "name", "full")
+    issue = F.when(F.col("now").isNull(), "missing input").when(F.col("was").isNull(), "new input").when(F.col("was") != F.col("now"), "changed input")
+    return both.select("name", issue.alias("issue")).where("issue is not null")
+
+
+# Decisions about candidates and about alignments, and the form of a target.
+UNIT_DECISIONS, ALIGNMENT_DECISIONS = ("accept", "reject", "amend"), ("merge", "keep_separate", "select_upstream", "amend")
+TARGET = r"^(?:https?://|urn:)[^\s<>\"]+$"
+
+
+def unit_decision_issues(decisions: DataFrame) -> DataFrame:
+    """(decision_id, issues) of decisions (decision_id, decision, status, complete, reason)."""
+    d = F.coalesce("decision", F.lit(""))
+    approved = (F.col("status") == "success") & F.coalesce("complete", F.lit(False))
+    found = F.array(
+        F.when(~d.isin(*UNIT_DECISIONS), "unknown decision"),
+        F.when(d.isin("accept", "amend") & ~F.coalesce(approved, F.lit(False)), "candidate is not complete"),
+        F.when((d == "reject") & (F.trim(F.coalesce("reason", F.lit(""))) == ""), "no reason"),
+    )
+    return decisions.select("decision_id", F.array_compact(found).alias("issues"))
+
+
+def alignment_decision_issues(decisions: DataFrame, upstream: DataFrame) -> DataFrame:
+    """(decision_id, issues) of decisions (decision_id, decision, target_iri, amended_label, amended_definition); upstream: (iri)."""
+    known = upstream.select(F.col("iri").alias("target_iri")).distinct().withColumn("known", F.lit(True))
+    d, target = F.coalesce("decision", F.lit("")), F.coalesce("target_iri", F.lit(""))
+    given = (F.coalesce("amended_label", F.lit("")) != "") & (F.coalesce("amended_definition", F.lit("")) != "")
+    found = F.array(
+        F.when(~d.isin(*ALIGNMENT_DECISIONS), "unknown decision"),
+        F.when(d.isin("merge", "select_upstream") & (target == ""), "no target"),
+        F.when((target != "") & ~target.rlike(TARGET), "bad target"),
+        F.when((d == "select_upstream") & F.col("known").isNull(), "target outside the profile"),
+        F.when((d == "amend") & ~given, "no amended text"),
+    )
+    return decisions.join(known, "target_iri", "left").select("decision_id", F.array_compact(found).alias("issues"))
+
+
+def amended_facts(facts: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Facts (unit_id, fact_id, locator, ..) with the authoritative quote of their locator (unit_id, locator, quote); without one they fall out."""
+    rest = [c for c in facts.columns if c != "quote"]
+    return facts.select(rest).join(evidence.select("unit_id", "locator", "quote"), ["unit_id", "locator"]).select(*rest, "quote")

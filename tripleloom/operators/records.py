@@ -10,52 +10,102 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripleloom.functions.text import n5, n6, number_tokens, short_hash
+from tripleloom.functions.text import SPACE, n5, n6, number_tokens, short_hash
 
 CONTEXTUAL = ("contextual_followup", "user_correction", "clarification", "confirmation")
 MODE_WEIGHTS = {"standalone": 6}
 
 
-def conversation_issues(records: DataFrame, known_types: list[str] | None = None) -> DataFrame:
-    """(conversation_id, issues): the broken rules of each record, in order."""
+# Types of questions, traces of the parser's review, the one clarifying question and signs of a correction.
+QUESTION_TYPES = (
+    "direct_fact", "deadline", "time_range", "eligibility", "procedure", "yes_no", "min_max", "prerequisite", "exception", "restriction", "comparison", "condition_chain", "ordering",
+    "negative_question", "consequence", "what_if", "list", "clarification", "contextual_followup", "user_correction", "confirmation",
+)
+METADATA = r"(?i)검수\s*필요|자동\s*승인|OCR|마크다운"
+CLARIFYING = "어떤 조건을 기준으로 확인할까요?"
+CORRECTION = "아니|정정|잘못|다시|제가 말한"
+#: Numbers that an answer may name without evidence.
+FREE_NUMBERS = ("2", "2026")
+
+
+def conversation_issues(records: DataFrame, known_types: tuple[str, ...] | None = None, known_styles: Column | None = None, foreign: str | None = None, locator: str | None = None) -> DataFrame:
+    """(conversation_id, issues): the broken rules of each record, in order.
+
+    ``known_types`` and ``known_styles`` (an array) are not checked if absent, nor are
+    ``foreign``, a pattern of what must not leak into a text, and ``locator``, the
+    pattern of an evidence's locator. If the records have a column ``context``, quotes
+    must stand in it.
+    """
     m = F.coalesce("messages", F.array().cast("array<struct<role:string,content:string>>"))
     n = F.size(m)
     roles = F.transform(m, lambda x: x.role)
-    answer, last = F.coalesce("reference_answer", F.lit("")), F.coalesce(F.get(m, n - 1).content, F.lit(""))
+    text_of = lambda xs: F.array_join(F.transform(xs, lambda x: F.coalesce(x.content, F.lit(""))), " ")
+    content = lambda i: F.coalesce(F.get(m, i).content, F.lit(""))
+    answer = F.coalesce("reference_answer", F.lit(""))
+    plain_answer, plain_last = n5(answer), n5(content(n - 1))
     same_side = F.exists(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.get(roles, i) == F.get(roles, i - 1))
-    texts = F.array_join(F.transform(m, lambda x: F.coalesce(x.content, F.lit(""))), " ")
-    evidence = F.coalesce(F.array_join(F.transform("evidence", lambda e: F.coalesce(e.quote, F.lit(""))), " "), F.lit(""))
-    supported = F.array_union(F.regexp_extract_all(evidence, F.lit(r"([0-9]+)"), 1), F.array(F.lit("2"), F.lit("2026")))
-    loose = F.size(F.array_except(F.regexp_extract_all(answer, F.lit(r"([0-9]+)"), 1), supported)) > 0
-    year = F.regexp_extract(texts, r"저는 (\d)학년", 1)
+    everything = F.concat(text_of(m), F.lit(" "), answer)
+    e = F.coalesce("evidence", F.array().cast("array<struct<source_unit_id:string,locator:string,quote:string>>"))
+    evidence = F.array_join(F.transform(e, lambda x: F.coalesce(x.quote, F.lit(""))), " ")
+    numbers = lambda c: F.regexp_extract_all(c, F.lit(r"([0-9]+)"), 1)
+    loose = F.array_except(F.array_except(numbers(answer), numbers(evidence)), F.array(*[F.lit(x) for x in FREE_NUMBERS]))
+    asked = text_of(F.filter(m, lambda x: x.role == "user"))
+    later = text_of(F.filter(F.slice(m, 3, F.greatest(n, F.lit(1))), lambda x: x.role == "user"))
+    years = F.regexp_extract_all(asked, F.lit(r"저는\s*(\d)\s*학년"), 1)
+    mode, kind = F.coalesce("dialogue_mode", F.lit("standalone")), F.coalesce("question_type", F.lit(""))
+    contextual = mode.isin(*CONTEXTUAL)
+    never = F.lit(False)
+    styles = F.coalesce("style_source_ids", F.array().cast("array<string>"))
+    context = n5(F.col("context")) if "context" in records.columns else None
     rules = [
-        (~F.coalesce(F.col("question_type").isin(*known_types), F.lit(False)) if known_types else F.lit(False), "question type"),
-        (F.coalesce(F.size("style_source_ids"), F.lit(0)) < 1, "style ids"),
+        (~kind.isin(*known_types) if known_types else never, "question type"),
+        ((F.size(styles) < 1) | (F.size(F.array_except(styles, known_styles)) > 0 if known_styles is not None else never), "style ids"),
         (n < 2, "fewer than two messages"),
-        ((n >= 1) & ~((F.get(roles, F.lit(0)) == "user") & (F.get(roles, n - 1) == "assistant")), "first and last role"),
+        ((n >= 2) & ~((F.get(roles, F.lit(0)) == "user") & (F.get(roles, n - 1) == "assistant")), "first and last role"),
         ((n >= 2) & same_side, "roles do not alternate"),
-        ((answer == "") | (last == "") | ~(F.contains(n5(last), n5(answer)) | F.contains(n5(answer), n5(last))), "answer and last message"),
-        (texts.rlike("[¿¡]"), "foreign marks"),
-        ((F.col("dialogue_mode") == "standalone") & (n != 2), "standalone length"),
-        (F.col("dialogue_mode").isin(*CONTEXTUAL) & (n < 4), "contextual length"),
-        (F.col("query_ir").isNull() | F.col("query_ir.requested_fields").isNull(), "query ir"),
-        (F.coalesce(F.size("evidence"), F.lit(0)) < 1, "no evidence"),
-        (~F.contains(n5(evidence), n5(answer)), "answer not in the evidence"),
-        (loose, "unsupported numbers"),
-        (answer.rlike("^아니요") & answer.rlike("가능") & ~answer.rlike("불가능"), "negative but possible"),
-        ((year != "") & ~F.contains(answer, year), "stated school year"),
+        ((n >= 1) & ((plain_answer == "") | (plain_last == "") | ~(F.contains(plain_last, plain_answer) | F.contains(plain_answer, plain_last))), "answer and last message"),
+        (everything.rlike(foreign) if foreign else never, "foreign content"),
+        (everything.rlike("[¿¡]"), "foreign marks"),
+        (everything.rlike(METADATA), "review metadata"),
+        ((mode == "standalone") & (n != 2), "standalone length"),
+        ((mode == "standalone") & kind.isin(*CONTEXTUAL), "standalone with a contextual type"),
+        (contextual & (n < 4), "contextual length"),
+        (contextual & (kind != mode), "mode and type differ"),
+        (~contextual & (mode != "standalone"), "unknown mode"),
+        ((mode == "clarification") & (n >= 2) & ~F.contains(content(F.lit(1)), F.lit("?")), "clarification asks nothing"),
+        ((mode == "clarification") & (n >= 2) & (content(F.lit(1)) != CLARIFYING), "clarification in other words"),
+        (contextual & (mode != "clarification") & (n >= 2) & (n5(content(F.lit(1))) != plain_answer), "intermediate answer"),
+        ((mode == "user_correction") & ~later.rlike(CORRECTION), "no correction"),
+        (F.col("query_ir").isNull() | F.col("query_ir.intent").isNull() | F.col("query_ir.subject").isNull() | F.col("query_ir.constraints").isNull() | F.col("query_ir.requested_fields").isNull(), "query ir"),
+        (F.size(e) < 1, "no evidence"),
+        (F.exists(e, lambda x: (F.trim(F.coalesce(x.quote, F.lit(""))) == "") | ~F.contains(context, F.regexp_replace(x.quote, SPACE + "+", ""))) if context is not None else never, "quote not in the context"),
+        (F.exists(e, lambda x: ~F.coalesce(x.locator, F.lit("")).rlike(locator)) if locator else never, "evidence locator"),
+        ((F.trim(answer) != "") & ~F.contains(n5(evidence), plain_answer), "answer not in the evidence"),
+        (F.size(loose) > 0, "unsupported numbers"),
+        (F.trim(answer).startswith("아니요") & answer.rlike("(?<!불)가능"), "negative but possible"),
+        ((F.size(years) > 0) & ~F.coalesce(F.regexp(answer, F.concat(F.element_at(years, -1), F.lit(r"\s*학년"))), F.lit(True)), "stated school year"),
     ]
     return records.select("conversation_id", F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.lit(name)) for test, name in rules])).alias("issues"))
 
 
 def fingerprints(records: DataFrame) -> DataFrame:
-    """(conversation_id, question, query, bundle): short hashes for distinctness."""
+    """(conversation_id, question, query, bundle): short hashes for distinctness.
+
+    Of the last user message; of the query as JSON with sorted keys; of the evidence ids,
+    an id that is missing being the hash of locator and quote.
+    """
     m = F.coalesce("messages", F.array().cast("array<struct<role:string,content:string>>"))
-    asked = F.array_join(F.transform(F.filter(m, lambda x: x.role == "user"), lambda x: F.coalesce(x.content, F.lit(""))), " ")
-    keys = F.array_sort(F.map_keys(F.coalesce("query_ir.constraints", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))))
-    query = F.concat_ws("|", "query_ir.intent", "query_ir.subject", F.array_join(keys, ","), F.array_join(F.coalesce("query_ir.requested_fields", F.array().cast("array<string>")), ","))
-    units = F.array_sort(F.array_distinct(F.coalesce(F.transform("evidence", lambda e: F.coalesce(e.source_unit_id, short_hash(F.concat(F.coalesce(e.locator, F.lit("")), F.coalesce(e.quote, F.lit(""))), 16))), F.array().cast("array<string>"))))
-    return records.select("conversation_id", short_hash(n6(asked), 16).alias("question"), short_hash(F.lower(n5(query)), 16).alias("query"), short_hash(F.array_join(units, ","), 16).alias("bundle"))
+    asked = F.coalesce(F.element_at(F.filter(m, lambda x: x.role == "user"), -1).content, F.lit(""))
+    text = lambda c: F.coalesce(F.expr("substring(to_json(array({0})), 2, length(to_json(array({0}))) - 2)".format(c)), F.lit("null"))
+    pair = lambda x: F.concat(F.to_json(F.array(x.key)).substr(F.lit(2), F.length(F.to_json(F.array(x.key))) - 2), F.lit(":"), F.to_json(F.array(x.value)).substr(F.lit(2), F.length(F.to_json(F.array(x.value))) - 2))
+    constraints = F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_entries("query_ir.constraints")), pair), ","), F.lit("}"))
+    query = F.concat(
+        F.lit('{"constraints":'), F.coalesce(constraints, F.lit("null")), F.lit(',"intent":'), text("query_ir.intent"),
+        F.lit(',"requested_fields":'), F.coalesce(F.to_json("query_ir.requested_fields"), F.lit("null")), F.lit(',"subject":'), text("query_ir.subject"), F.lit("}"),
+    )
+    squeezed = lambda c: F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), SPACE + "+", ""))
+    ids = F.transform(F.coalesce("evidence", F.array().cast("array<struct<source_unit_id:string,locator:string,quote:string>>")), lambda x: F.coalesce(F.nullif(F.trim(x.source_unit_id), F.lit("")), short_hash(F.concat(squeezed(x.locator), F.lit("\n"), squeezed(x.quote)), 16)))
+    return records.select("conversation_id", short_hash(n6(asked), 16).alias("question"), short_hash(F.lower(n5(query)), 16).alias("query"), short_hash(F.array_join(F.array_sort(ids), "\n"), 16).alias("bundle"))
 
 
 def repeated_flags(prints: DataFrame, order: str = "conversation_id") -> DataFrame:
@@ -84,9 +134,10 @@ def fact_distinct(records: DataFrame, wanted: int) -> list[str]:
 
     records: (conversation_id, passed, issues INT, mode, question_type, round, question,
     query, bundle). The candidates are first reduced in parallel to the best of each
-    (question, query, bundle); the fold itself is sequential by definition.
+    (question, query, bundle, mode, question_type); the fold itself is sequential by definition.
     """
-    rank = Window.partitionBy("question", "query", "bundle").orderBy("issues", "round", "conversation_id")
+    # records of one question, query, bundle, mode and type can only stand in for each other
+    rank = Window.partitionBy("question", "query", "bundle", "mode", "question_type").orderBy("issues", "round", "conversation_id")
     best = records.where("passed").withColumn("place", F.row_number().over(rank)).where("place = 1").drop("place")
     pdf = best.select("conversation_id", "issues", "mode", "question_type", "round", "question", "query", "bundle").toPandas()
     used: set[tuple[str, str]] = set()
@@ -107,13 +158,24 @@ def fact_distinct(records: DataFrame, wanted: int) -> list[str]:
     return out
 
 
-def similar_evidence(pairs: DataFrame) -> Column:
-    """Whether two evidences (locator, quote) say the same: five-character Jaccard 0.72, equality or containment, one locator."""
+def similar_evidence(pairs: DataFrame) -> DataFrame:
+    """Pairs (locator_a, quote_a, locator_b, quote_b, ..) of evidence that says the same.
+
+    If both have an id (columns id_a, id_b), equal ids alone count; else one locator and
+    equality, containment or a five-character Jaccard of at least 0.72. Pairs are to be
+    joined by locator or id first.
+    """
     from tripleloom.functions.text import jaccard, ngrams
 
-    a, b = n5(F.col("quote_a")), n5(F.col("quote_b"))
+    # the normalised texts are columns of their own: a lambda can't hold a Python function
+    rows = pairs.withColumn("plain_a", n5(F.col("quote_a"))).withColumn("plain_b", n5(F.col("quote_b")))
+    a, b = F.col("plain_a"), F.col("plain_b")
     near = (jaccard(F.array_distinct(ngrams(a, 5)), F.array_distinct(ngrams(b, 5))) >= 0.72) | F.contains(a, b) | F.contains(b, a)
-    return (F.col("locator_a") == F.col("locator_b")) & near
+    same = (F.col("locator_a") == F.col("locator_b")) & near
+    if {"id_a", "id_b"} <= set(pairs.columns):
+        known = F.col("id_a").isNotNull() & F.col("id_b").isNotNull()
+        same = F.when(known, F.col("id_a") == F.col("id_b")).otherwise(same)
+    return rows.where(same).drop("plain_a", "plain_b")
 
 
 def rotation(index: Column, names: list[str]) -> Column:
@@ -130,3 +192,31 @@ def summary(records: pd.DataFrame) -> str:
 
 def unsupported_numbers(answer: Column, evidence: Column) -> Column:
     return F.array_except(number_tokens(answer), number_tokens(evidence))
+
+
+def bundle_messages(bundles: DataFrame) -> DataFrame:
+    """(bundle_id, turn, role, content): roles in turn from the user; forced assistant turns; the answer at the end.
+
+    bundles: (bundle_id, mode, contents ARRAY<STRING>, answer). In a clarification the
+    second turn is the one clarifying question, in another contextual mode the answer.
+    """
+    forced = F.when(F.col("mode") == "clarification", F.lit(CLARIFYING)).when(F.col("mode").isin(*CONTEXTUAL), F.col("answer"))
+    said = F.transform("contents", lambda c, i: F.when((i == 1) & forced.isNotNull(), forced).otherwise(c))
+    whole = F.concat(said, F.array("answer"))
+    rows = bundles.select("bundle_id", F.posexplode(whole).alias("turn", "content"))
+    return rows.select("bundle_id", "turn", F.when(F.col("turn") % 2 == 0, "user").otherwise("assistant").alias("role"), "content")
+
+
+def finalised(records: DataFrame, order: str) -> DataFrame:
+    """(record_id, duplicate, status) of records (order, text, json, issues): all but the first of equal texts are flagged."""
+    place = F.row_number().over(Window.partitionBy(F.regexp_replace("text", SPACE + "+", "")).orderBy(order))
+    duplicate = place > 1
+    rows = records.select(F.substring(F.sha2("json", 256), 1, 16).alias("record_id"), duplicate.alias("duplicate"), F.size("issues").alias("n"))
+    return rows.select("record_id", "duplicate", F.when(F.col("duplicate") | (F.col("n") > 0), "failed").otherwise("passed").alias("status"))
+
+
+def coverage_summary(records: DataFrame, known: tuple[str, ...] = QUESTION_TYPES) -> DataFrame:
+    """(types, least, most, missing): counts of the known question types."""
+    counts = type_coverage(records.where(F.col("question_type").isin(*known)))
+    out = counts.agg(F.count("*").alias("types"), F.min("n").alias("least"), F.max("n").alias("most"), F.collect_set("question_type").alias("seen"))
+    return out.select("types", "least", "most", F.sort_array(F.array_except(F.array(*[F.lit(k) for k in known]), "seen")).alias("missing"))

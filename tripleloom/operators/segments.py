@@ -11,29 +11,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripleloom.functions.text import n8, short_hash
+from tripleloom.functions.text import SPACE, n8, short_hash
 
 _DIVIDER = re.compile(r":?-{3,}:?")
 
 
 def markdown_cells(line: str) -> list[str]:
-    """Cells of a table row; an escaped bar stays in its cell."""
+    """Cells of a table row; an escaped bar stays in its cell, with its backslash."""
     text = line.strip()
-    if len(text) < 2 or not text.startswith("|") or not text.endswith("|") or text.endswith("\\|"):
+    if not text.startswith("|") or not text.endswith("|"):
         raise ValueError(f"no table row: {line!r}")
-    cells, cell, i = [], "", 1
-    while i < len(text):
-        if text[i] == "\\" and i + 1 < len(text) and text[i + 1] in "|\\":
-            cell += "|" if text[i + 1] == "|" else "\\"
-            i += 2
-            continue
-        if text[i] == "|":
-            cells.append(cell.strip())
-            cell = ""
-        else:
-            cell += text[i]
-        i += 1
-    return cells
+    # what follows a backslash is hidden while the row is split
+    hidden = re.sub(r"\\\|", "\\\\\x00", re.sub(r"\\\\", "\x01", text[1:-1]))
+    return [cell.replace("\x00", "|").replace("\x01", "\\\\").strip() for cell in hidden.split("|")]
 
 
 def is_table_start(header: str, divider: str) -> bool:
@@ -41,7 +31,7 @@ def is_table_start(header: str, divider: str) -> bool:
         a, b = markdown_cells(header), markdown_cells(divider)
     except ValueError:
         return False
-    return len(a) == len(b) and all(_DIVIDER.fullmatch(c) for c in b)
+    return len(a) == len(b) and all(_DIVIDER.fullmatch(c.replace(" ", "")) for c in b)
 
 
 def push_heading(stack: list[str], level: int, title: str) -> list[str]:
@@ -151,27 +141,39 @@ def round_robin(rows: DataFrame, group: str, place: str, limit: int) -> DataFram
     return rows.withColumn("depth", depth).orderBy("depth", group).limit(limit)
 
 
-# The tags of a question's style, in order.
-STYLE_TAGS = (
-    ("greeting", r"^\s*(?:안녕|hola|hello|hi\b)"), ("question_mark", r"\?\s*$"), ("polite", r"(?:요|니다|please|por favor)[.?!]*\s*$"), ("number", r"\d"),
-    ("emoticon", r"[ㅠㅜㅋㅎ]{2,}|[:;]\)"), ("emphasis", r"!|¡"), ("multi_sentence", r"[.?!]\s+\S"), ("quote", r"[\"'“”‘’]"),
-)
-SHORT, LONG = 25, 90
+# The tags of a question's style in order, and the words that show them.
+STYLE_TAGS = ("fragment", "long_scenario", "greeting", "first_person", "time", "procedure", "yes_no", "conditional", "explicit_question", "other")
+STYLE_WORDS = {
+    "greeting": "hola|buenos días|buenas",
+    "first_person": "yo|me|mi|estoy|tengo|quiero|he",
+    "time": "cuando|cuándo|fecha|plazo",
+    "procedure": "como|cómo|donde|dónde|que pasos",
+    "yes_no": "puedo|podría|se puede|hay que|tengo que",
+    "conditional": "si",
+}
+#: Words of a fragment at most, and of a long scenario at least.
+SHORT, LONG = 4, 25
 
 
 def style_tags(c: Column) -> Column:
-    """Tags of a question: patterns, and its length."""
-    found = [F.when(c.rlike("(?i)" + pattern), F.lit(tag)) for tag, pattern in STYLE_TAGS]
-    found += [F.when(F.length(c) <= SHORT, F.lit("short")), F.when(F.length(c) >= LONG, F.lit("long"))]
-    return F.array_compact(F.array(*found))
+    """Tags of a question in their order: its number of words, marks and words; ``other`` if there is none."""
+    lower = F.lower(c)
+    words = F.size(F.filter(F.split(lower, SPACE + "+"), lambda w: w != ""))
+    found = {"fragment": words <= SHORT, "long_scenario": words >= LONG, "explicit_question": c.rlike("[?¿]")}
+    found |= {tag: lower.rlike(rf"(?U)\b(?:{pattern})\b") for tag, pattern in STYLE_WORDS.items()}
+    tags = F.array_compact(F.array(*[F.when(found[tag], F.lit(tag)) for tag in STYLE_TAGS if tag in found]))
+    return F.when(F.size(tags) == 0, F.array(F.lit("other"))).otherwise(tags)
 
 
-def diverse_pick(rows: DataFrame, key: str, column: str, limit: int) -> DataFrame:
-    """(key, tag): rows taken in turn from the tags' buckets in tag order; a row's first turn counts."""
-    order = [t for t, _ in STYLE_TAGS] + ["short", "long"]
-    tagged = rows.select(key, F.explode(style_tags(F.col(column))).alias("tag")).withColumn("tag_place", F.array_position(F.array(*[F.lit(t) for t in order]), F.col("tag")))
+def diverse_pick(rows: DataFrame, key: str, column: str, limit: int = 48) -> DataFrame:
+    """(key, tag): rows taken in turn from the tags' buckets in tag order; a row's first turn counts.
+
+    Every row has a tag, so that all rows get a turn; if there are no more than ``limit``, all are taken.
+    """
+    tagged = rows.select(key, F.explode(style_tags(F.col(column))).alias("tag")).withColumn("tag_place", F.array_position(F.array(*[F.lit(t) for t in STYLE_TAGS]), F.col("tag")))
+    # only the first rows of a bucket can have a turn, which bounds each bucket's window
     turn = F.row_number().over(Window.partitionBy("tag").orderBy(key))
-    seats = tagged.withColumn("turn", turn).groupBy(key).agg(F.min(F.struct("turn", "tag_place", "tag")).alias("m"))
+    seats = tagged.withColumn("turn", turn).where(F.col("turn") <= limit).groupBy(key).agg(F.min(F.struct("turn", "tag_place", "tag")).alias("m"))
     return seats.orderBy("m.turn", "m.tag_place").limit(limit).select(key, F.col("m.tag").alias("tag"))
 
 
@@ -327,3 +329,70 @@ def table_grid(pages: DataFrame) -> DataFrame:
 
 def content_hash(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+class _Notice(HTMLParser):
+    """Texts of the elements of a notice by class: the first of each inside the first view."""
+
+    PARTS = ("subject", "datetime", "content")
+
+    def __init__(self, view: str) -> None:
+        super().__init__(convert_charrefs=True)
+        self.view, self.depth = view, 0
+        self.inside: dict[str, int] = {}
+        self.done: set[str] = set()
+        self.found: dict[str, list[str]] = {}
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        names = (dict(attrs).get("class") or "").split()
+        if tag not in _Grid.VOID:
+            self.depth += 1
+            for name in (self.view, *self.PARTS):
+                opens = name in names and name not in self.inside and name not in self.done and (name == self.view or self.view in self.inside)
+                if opens:
+                    self.inside[name] = self.depth
+                    self.found[name] = []
+            if tag == "strong" and "subject" in self.inside and "title" not in self.done and "title" not in self.inside:
+                self.inside["title"], self.found["title"] = self.depth, []
+        self._add(self.get_starttag_text() or "")
+
+    def handle_endtag(self, tag: str) -> None:
+        self._add(f"</{tag}>")
+        if tag in _Grid.VOID:
+            return
+        for name in [n for n, d in self.inside.items() if d == self.depth]:
+            del self.inside[name]
+            self.done.add(name)
+        self.depth -= 1
+
+    def handle_data(self, data: str) -> None:
+        self._add(data.replace("&", "&amp;").replace("<", "&lt;"))
+
+    def _add(self, markup: str) -> None:
+        for name in self.inside:
+            self.found[name].append(markup)
+
+
+def parse_notice(html: str, view: str = "board-default-view") -> dict:
+    """title, published_at, body and tables of a notice page; a page of another form is an error."""
+    parser = _Notice(view)
+    parser.feed(html)
+    if view not in parser.found or any(p not in parser.found for p in _Notice.PARTS):
+        raise ValueError(f"the page has no .{view} with subject, datetime and content")
+    text = lambda name: " ".join(html_text("".join(parser.found[name])).split())
+    content = "".join(parser.found["content"])
+    return {"title": text("title") if "title" in parser.found else text("subject"), "published_at": text("datetime"), "body": html_text(content), "tables": html_tables(content)}
+
+
+NOTICE = "page_id {kind}, title string, published_at string, body string, tables int"
+
+
+def notices(pages: DataFrame) -> DataFrame:
+    """(page_id, title, published_at, body, tables) of notice pages (page_id, html)."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(p, n["title"], n["published_at"], n["body"], len(n["tables"])) for p, n in ((p, parse_notice(h or "")) for p, h in zip(pdf["page_id"], pdf["html"], strict=True))]
+            yield pd.DataFrame(rows, columns=["page_id", "title", "published_at", "body", "tables"])
+
+    return pages.select("page_id", "html").mapInPandas(run, NOTICE.format(kind=dict(pages.dtypes)["page_id"]))

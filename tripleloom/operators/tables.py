@@ -128,18 +128,33 @@ def continued_tables(tables: DataFrame) -> DataFrame:
     return met.groupBy("table_id").agg(F.count("*").alias("n"), F.first("continues").alias("continues")).where("n = 1").select("table_id", "continues")
 
 
-def block_kind(text: Column, top: Column, height: Column, page_height: Column) -> Column:
-    """footer, note, heading, list_item or paragraph."""
+# How a note and a list item begin.
+NOTE, LIST_ITEM = r"^\s*(?:※|주\)|주:|\*)", r"^\s*(?:[■▣◆]|\d+[.)]|[가-힣][.)])"
+#: A footer begins in the last tenth of its page; a heading is so short and so much higher than the page's median.
+FOOTER, HEADING_LENGTH, HEADING_HEIGHT = 0.90, 60, 1.2
+
+
+def block_kind(text: Column, top: Column, height: Column, page_height: Column, median_height: Column, titled: Column | None = None) -> Column:
+    """footer, note, heading, list_item or paragraph; ``titled`` tells the lines of a table's title."""
     return (
-        F.when(top >= page_height * 0.9, "footer")
-        .when(text.rlike(r"^\s*(?:※|\*|주\)|비고)"), "note")
-        .when(text.rlike(r"^\s*(?:제\s?\d+\s?[장절조]|\d+\.\s|[IVX]+\.|[가-하]\.\s)\s*\S{0,30}$"), "heading")
-        .when(text.rlike(r"^\s*(?:[-•○●□■▪]|[①-⑳]|\d+\))"), "list_item")
-        .when((F.length(text) <= 30) & (height >= 24), "heading")
+        F.when(top >= page_height * FOOTER, "footer")
+        .when(text.rlike(NOTE), "note")
+        .when(titled if titled is not None else F.lit(False), "heading")
+        .when(text.rlike(LIST_ITEM), "list_item")
+        .when((F.length(text) <= HEADING_LENGTH) & (height >= median_height * HEADING_HEIGHT), "heading")
         .otherwise("paragraph")
     )
 
 
+def median_heights(tokens: DataFrame, page: str = "page", height: str = "height") -> DataFrame:
+    """(page, median_height): the upper median of the tokens' heights, from counts of each height."""
+    counts = tokens.groupBy(page, height).agg(F.count("*").alias("n"))
+    up = Window.partitionBy(page).orderBy(height)
+    whole = F.sum("n").over(Window.partitionBy(page))
+    placed = counts.withColumn("until", F.sum("n").over(up)).withColumn("middle", F.floor(whole / 2) + 1)
+    return placed.where(F.col("until") >= F.col("middle")).groupBy(page).agg(F.min(height).alias("median_height"))
+
+
 def typed_value(c: Column) -> Column:
     """struct(kind, value_int, value_str, unit, comparator) of a cell."""
     credit = r"^\s*(\d+)\s*학점\s*(이상|이하)?\s*$"
@@ -165,3 +180,58 @@ def row_issues(columns: Column, values: Column, mode: Column, evidence: Column,
         F.when(F.coalesce(columns, F.lit("")) == "", "no column key"),
     )
     return F.array_compact(found)
+
+
+def key_issues(columns: DataFrame, keys: DataFrame) -> DataFrame:
+    """(table_id, issue): suggested keys (table_id, base_column, key) against the columns (table_id, base_column)."""
+    both = columns.select("table_id", "base_column").distinct().withColumn("there", F.lit(True)).join(keys.select("table_id", "base_column", "key"), ["table_id", "base_column"], "full")
+    each = both.select(
+        "table_id",
+        F.explode(
+            F.array_compact(
+                F.array(
+                    F.when(F.col("there").isNull(), "unknown column"),
+                    F.when(F.col("there") & F.col("key").isNull(), "missing column"),
+                    F.when(F.col("key").isNotNull() & ~F.col("key").rlike("^[a-z][a-z0-9_]*$"), "bad key"),
+                )
+            )
+        ).alias("issue"),
+    )
+    repeated = keys.where("key is not null").groupBy("table_id", "key").count().where("count > 1").select("table_id", F.lit("repeated key").alias("issue"))
+    return each.unionByName(repeated).distinct()
+
+
+def attached_keys(columns: DataFrame, keys: DataFrame) -> DataFrame:
+    """(table_id, base_column, key, suggested): the physical key stays; the suggestion stands beside it."""
+    named = F.concat(F.lit("column_"), F.col("base_column").cast("string"))
+    return columns.select("table_id", "base_column").distinct().join(keys.select("table_id", "base_column", F.col("key").alias("suggested")), ["table_id", "base_column"], "left").select("table_id", "base_column", named.alias("key"), "suggested")
+
+
+def inherited_titles(tables: DataFrame) -> DataFrame:
+    """(table_id, title, continues): a continued table takes the title of the one it continues.
+
+    tables as for ``continued_tables``.
+    """
+    owner = tables.select(F.col("table_id").alias("continues"), F.col("title").alias("own_title"))
+    linked = continued_tables(tables).join(owner, "continues")
+    return tables.select("table_id", "title").join(linked, "table_id", "left").select("table_id", F.coalesce(F.nullif("title", F.lit("")), "own_title").alias("title"), "continues")
+
+
+def review_rows(rows: DataFrame) -> DataFrame:
+    """Rows (.., table_issues, row_issues) with an issue of the table or of the row."""
+    return rows.where((F.coalesce(F.size("table_issues"), F.lit(0)) > 0) | (F.coalesce(F.size("row_issues"), F.lit(0)) > 0))
+
+
+def viewer_match(token: Column, viewer: Column) -> Column:
+    """Whether a token's text stands in the viewer's, white space aside."""
+    return F.coalesce(F.contains(n9(viewer), n9(token)), F.lit(False))
+
+
+def geometry_summary(tokens: DataFrame) -> DataFrame:
+    """(table_id, rows, columns, cells): physical size and the cells' texts in token order.
+
+    tokens: (table_id, base_row, base_column, y0, x0, text).
+    """
+    texts = reading_order(tokens, "table_id", "base_row", "base_column")
+    cell = F.struct("base_row", "base_column", "text")
+    return texts.groupBy("table_id").agg(F.count_distinct("base_row").alias("rows"), F.count_distinct("base_column").alias("columns"), F.sort_array(F.collect_list(cell)).alias("cells"))

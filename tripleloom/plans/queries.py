@@ -290,11 +290,6 @@ def _broken_graph(spark: SparkSession, d: str) -> DataFrame:
     return base.unionByName(extra).unionByName(again)
 
 
-@query("integrity_duplicates", f"SELECT 'urn:x:nation:0' AS s, '{LABEL}' AS p, n_name AS o_value, 2::BIGINT AS components FROM nation WHERE n_nationkey = 0")
-def integrity_duplicates(spark, d):
-    return graph.duplicated_triples(_broken_graph(spark, d))
-
-
 @query("integrity_undeclared_predicates", "SELECT 'urn:x:notDeclared' AS p")
 def integrity_predicates(spark, d):
     return graph.undeclared_predicates(_broken_graph(spark, d), EX)
@@ -310,11 +305,6 @@ def integrity_dangling(spark, d):
     return graph.dangling_resources(_broken_graph(spark, d), EX)
 
 
-@query("graph_counts", "SELECT 'orders' AS component, 5 * count(*) AS triples, count(DISTINCT o_orderkey) AS subjects FROM orders")
-def graph_counts(spark, d):
-    return graph.graph_counts(star_triples(spark, d, "orders")).where("component = 'orders'")
-
-
 def _order_facts(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
     return o.select(
@@ -330,11 +320,6 @@ def _order_facts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("reify", "SELECT p, n FROM (SELECT unnest(['urn:x:status', 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'http://www.w3.org/1999/02/22-rdf-syntax-ns#subject', 'http://www.w3.org/1999/02/22-rdf-syntax-ns#predicate', 'http://www.w3.org/1999/02/22-rdf-syntax-ns#object', 'http://www.w3.org/ns/prov#wasDerivedFrom', 'http://www.w3.org/ns/prov#wasGeneratedBy', 'urn:x:evidenceLocator', 'urn:x:evidenceQuote', 'urn:x:confidence']) AS p, count(*) AS n FROM orders)")
-def reify(spark, d):
-    return graph.reify(_order_facts(spark, d)).groupBy("p").agg(F.count("*").alias("n"))
-
-
 @query("iri_substitute", "SELECT 'urn:x:customer:' || c_custkey AS s, CASE WHEN n_regionkey = 0 THEN 'urn:y:nation:' || n_nationkey ELSE 'urn:x:nation:' || n_nationkey END AS o_value FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def iri_substitute(spark, d):
     n = table(spark, d, "nation").where("n_regionkey = 0")
@@ -348,12 +333,6 @@ def residual(spark, d):
     return graph.residual_iris(star_triples(spark, d, "customer"), "urn:x:nation:")
 
 
-@query("transport_resources", "SELECT 'urn:x:supplier:' || s_suppkey AS iri, 'urn:x:Supplier' AS types, s_name AS labels, 2::INTEGER AS facts FROM supplier")
-def transport(spark, d):
-    out = graph.transport_resources(star_triples(spark, d, "supplier"), "urn:x:supplier:")
-    return out.select("iri", F.array_join("types", ",").alias("types"), F.array_join("labels", ",").alias("labels"), F.size("facts").alias("facts"))
-
-
 # ---- text, similarity -----------------------------------------------------------------
 
 
@@ -449,16 +428,6 @@ def unit_blocks(spark, d):
     return blocks.groupBy("unit_id").agg(F.count("*").alias("blocks"), F.count_if(F.col("kind") == "row").alias("rows"))
 
 
-@query("coverage_sets")
-def coverage_sets(spark, d):
-    u = table(spark, d, "evidence_units").dropDuplicates(["unit_id"])
-    targets = u.select("unit_id", F.explode("context.locators").alias("locator"))
-    found = u.select("unit_id", F.explode(F.map_keys("context.evidence")).alias("locator"))
-    none = targets.limit(0)
-    out = E.coverage(targets, found, none, none)
-    return out.select("unit_id", F.size("target").alias("targets"), F.size("fact").alias("facts"), F.size("unresolved").alias("unresolved"), "complete")
-
-
 @query("round_robin", "SELECT name_id FROM (SELECT name_id, document_id, row_number() OVER (PARTITION BY document_id ORDER BY name_id) AS depth FROM (SELECT DISTINCT name_id, document_id FROM candidate_entities WHERE document_id IS NOT NULL)) ORDER BY depth, document_id LIMIT 200")
 def round_robin(spark, d):
     rows = table(spark, d, "candidate_entities").select("name_id", "document_id").where("document_id is not null").distinct()
@@ -474,34 +443,6 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("question is not null").distinct()
 
 
-@query(
-    "style_tags",
-    "SELECT conversation_id, array_to_string(list_filter(["
-    + ", ".join(f"CASE WHEN regexp_matches(question, '(?i){p.replace(chr(39), chr(39) * 2)}') THEN '{t}' END" for t, p in segments.STYLE_TAGS)
-    + f", CASE WHEN length(question) <= {segments.SHORT} THEN 'short' END, CASE WHEN length(question) >= {segments.LONG} THEN 'long' END], lambda x: x IS NOT NULL), ',') AS tags FROM ({_QUESTIONS})",
-)
-def style_tags(spark, d):
-    return _questions(spark, d).select("conversation_id", F.array_join(segments.style_tags(F.col("question")), ",").alias("tags"))
-
-
-@query("diverse_pick")
-def diverse_pick(spark, d):
-    return segments.diverse_pick(_questions(spark, d), "conversation_id", "question", 100)
-
-
-@query("locator_chunks")
-def locator_chunks(spark, d):
-    blocks = segments.unit_blocks(table(spark, d, "evidence_units").select("unit_id", "text").distinct())
-    return segments.chunk_locators(blocks).select("unit_id", "chunk", F.size("locators").alias("blocks"))
-
-
-@query("evidence_selection")
-def evidence_selection(spark, d):
-    blocks = segments.unit_blocks(table(spark, d, "evidence_units").select("unit_id", "text").distinct())
-    lines = blocks.select(F.concat_ws("#", "unit_id", F.lpad(F.col("place").cast("string"), 4, "0")).alias("place"), "locator", F.col("quote").alias("line"))
-    return segments.evidence_units(lines).select("source_unit_id", "locator")
-
-
 @query(
     "restoration_status",
     "SELECT restoration_id, CASE WHEN coalesce(len(validation.unsupported_numbers), 0) > 0 OR coalesce(validation.word_coverage, 0) < 0.98 OR coalesce(validation.source_coverage, 0) < 0.98 THEN 'needs_review' ELSE 'passed' END AS status FROM (SELECT DISTINCT restoration_id, validation FROM restorations)",
@@ -571,16 +512,6 @@ def canonical_entities(spark, d):
     return reconcile.canonical_entities(rows).select("entity_key", "canonical_iri", "scope").distinct()
 
 
-@query("alignment_scores")
-def alignment_scores(spark, d):
-    t = table(spark, d, "ontology_terms").where("kind = 'class' and label is not null").dropDuplicates(["name_id"])
-    none = F.array().cast("array<double>")
-    empty = F.array().cast("array<string>")
-    terms = t.groupBy("label").agg(F.min("name_id").cast("string").alias("term_key")).select("term_key", F.lit("class").alias("kind"), "label", empty.alias("domains"), empty.alias("ranges"), none.alias("vector"))
-    targets = table(spark, d, "reference_terms").select("iri", F.lit("class").alias("kind"), "label", empty.alias("domains"), empty.alias("ranges"), none.alias("vector"))
-    return reconcile.alignment_scores(terms, targets).where("lexical >= 0.6").select("term_key", "iri", "lexical", "combined", "compatible")
-
-
 @query("latest_by", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS place FROM events WHERE user_id IS NOT NULL) WHERE place = 1")
 def latest_by(spark, d):
     return reconcile.latest_by(table(spark, d, "events"), "user_id", "event_id").select("user_id", "event_id", "event_type")
@@ -604,13 +535,6 @@ def resume_set(spark, d):
     return reconcile.resume_set(log, "event_id")
 
 
-@query("consolidated_schema", "WITH p AS (SELECT p_brand AS target, p_type AS kind, p_name AS label FROM part), k AS (SELECT target, arg_min(kind, (-n, kind)) AS kind FROM (SELECT target, kind, count(*) AS n FROM p GROUP BY ALL) GROUP BY target) SELECT p.target, any_value(k.kind) AS kind, arg_min(label, (length(label), label)) AS label FROM p JOIN k ON p.target = k.target GROUP BY p.target")
-def consolidated_schema(spark, d):
-    none = F.array().cast("array<string>")
-    p = table(spark, d, "part").select(F.col("p_brand").alias("target"), F.col("p_type").alias("kind"), F.col("p_name").alias("label"), F.lit("").alias("definition"), none.alias("domains"), none.alias("ranges"))
-    return reconcile.consolidated_schema(p).select("target", "kind", "label")
-
-
 @query("missing_embeddings", "SELECT DISTINCT sha256(label) AS key, label AS text FROM ontology_terms WHERE label IS NOT NULL AND label NOT IN (SELECT label FROM candidate_entities WHERE label IS NOT NULL)")
 def missing_embeddings(spark, d):
     texts = table(spark, d, "ontology_terms").where("label is not null").select(F.col("label").alias("text"))
@@ -635,26 +559,6 @@ def flattened_messages(spark, d):
     return records.flattened_messages(table(spark, d, "qa_records").select("conversation_id", "messages").distinct())
 
 
-@query("conversation_rules")
-def conversation_rules(spark, d):
-    return records.conversation_issues(table(spark, d, "qa_records").dropDuplicates(["conversation_id"])).select("conversation_id", F.array_join("issues", "; ").alias("issues"))
-
-
-@query("issue_histogram")
-def issue_histogram(spark, d):
-    return records.issue_histogram(records.conversation_issues(table(spark, d, "qa_records").dropDuplicates(["conversation_id"])))
-
-
-@query("fingerprints")
-def fingerprints(spark, d):
-    return records.fingerprints(table(spark, d, "qa_records").dropDuplicates(["conversation_id"]))
-
-
-@query("repeated_flags")
-def repeated_flags(spark, d):
-    return records.repeated_flags(records.fingerprints(table(spark, d, "qa_records").dropDuplicates(["conversation_id"])))
-
-
 @query("review_counters", "SELECT review_status, count(*) AS n, count(*) FILTER (automatic_validation.status = 'passed') AS passed FROM (SELECT DISTINCT conversation_id, review_status, automatic_validation FROM qa_records) GROUP BY review_status")
 def review_counters(spark, d):
     rows = table(spark, d, "qa_records").select("conversation_id", "review_status", "automatic_validation").distinct()

@@ -61,11 +61,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only where it is unset, as in tests, a temporary folder is made and set.
+    Only where it is unset, as in tests, a temporary folder is made and set; off a local
+    master that is an error, since executors could not share it.
     """
     context = spark.sparkContext
     configured = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not configured:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tripleloom-")
         atexit.register(shutil.rmtree, configured, True)
         context.setCheckpointDir(configured)

@@ -110,3 +110,25 @@ def write_records(df: DataFrame, path: str, append: bool = False) -> None:
 def published_only(root: str | Path, allowed: set[str]) -> list[str]:
     """Entries of a published folder that do not belong there."""
     return sorted(p.name for p in Path(root).iterdir() if p.name not in allowed)
+
+
+def run_manifest(outputs: dict[str, DataFrame]) -> DataFrame:
+    """(name, rows, digest): number of rows and an order-free digest of each output of a run.
+
+    The digest is the sum of the first 32 bits of the MD5 of each row's fields, so that it
+    is computed in one pass with partial sums.
+    """
+    made = []
+    for name, df in outputs.items():
+        row = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(df.columns)])
+        made.append(df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.conv(F.substring(F.md5(row), 1, 8), 16, 10).cast("bigint")), F.lit(0)).alias("digest")).select(F.lit(name).alias("name"), "rows", "digest"))
+    out = made[0]
+    for more in made[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """(name, sha256) of the files under a path, to be held against a lock."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"))

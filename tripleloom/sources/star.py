@@ -29,12 +29,16 @@ def _text(value: Column, datatype: str = "", lang: str = "") -> tuple:
 
 
 def facts(df: DataFrame, subject: Column, pairs: list[tuple[str, tuple]], component: str) -> DataFrame:
-    """Triples of each row: one for each (predicate, object); a null object gives none."""
-    rows = [
-        F.struct(F.lit(p).alias("p"), F.lit(o[0]).alias("o_kind"), o[1].alias("o_value"), F.lit(o[2]).alias("o_datatype"), F.lit(o[3]).alias("o_lang")) for p, o in pairs
+    """Triples of each row: one for each (predicate, object); a null object gives none.
+
+    Every predicate is a projection of its own: a pattern with a known predicate is
+    folded to that projection, so that a scan reads the two columns it needs.
+    """
+    parts = [
+        df.select(subject.alias("s"), F.lit(p).alias("p"), F.lit(o[0]).alias("o_kind"), o[1].alias("o_value"), F.lit(o[2]).alias("o_datatype"), F.lit(o[3]).alias("o_lang"), F.lit(component).alias("component")).where("o_value is not null")
+        for p, o in pairs
     ]
-    made = df.select(subject.alias("s"), F.explode(F.array(*rows)).alias("t"))
-    return made.select("s", "t.*", F.lit(component).alias("component")).where("o_value is not null")
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def _node(name: str, column: str) -> Column:

@@ -185,7 +185,18 @@ class Compiler:
         out = reduce(lambda a, b: a.unionByName(b), aligned)
         return Rel(out, variables, certain if certain is not None else set.intersection(*[p.certain for p in parts]))
 
+    def _halves(self, rel: Rel, v: Var) -> tuple[Rel, Rel]:
+        """Rows that bind ``v``, and those that don't, without it."""
+        c = name_of(v)
+        bound = Rel(rel.df.where(F.col(c).isNotNull()), rel.variables, rel.certain | {v})
+        return bound, Rel(rel.df.where(F.col(c).isNull()).drop(c), [x for x in rel.variables if x != v], rel.certain - {v})
+
     def left_join(self, left: Rel, right: Rel, conditions: list) -> Rel:
+        loose = next((v for v in left.variables if v in right.certain and v not in left.certain), None)
+        if loose is not None:
+            # rows that bind the variable join by equality, the others without it
+            parts = [self.left_join(half, right, conditions) for half in self._halves(left, loose)]
+            return self.union(parts, certain=set(left.certain))
         shared = [v for v in left.variables if v in right.variables]
         renamed = right.df.select(*[F.col(name_of(v)).alias(("r_" if v in shared else "") + name_of(v)) for v in right.variables])
         merged = list(dict.fromkeys(left.variables + right.variables))
@@ -202,6 +213,18 @@ class Compiler:
         shared = [v for v in left.variables if v in right.variables]
         if need_shared and not shared:
             return left
+        loose = next((v for v in shared if v in right.certain and v not in left.certain), None)
+        if loose is not None:
+            bound, bare = self._halves(left, loose)
+            parts = [self.anti_or_semi(half, right, how, need_shared, conditions) for half in (bound, bare)]
+            return self.union(parts, certain=set(left.certain))
+        odd = next((v for v in shared if v in left.certain and v not in right.certain), None)
+        if odd is not None and len(shared) > 0 and not conditions:
+            with_it, without = self._halves(right, odd)
+            if how == "left_anti":
+                return self.anti_or_semi(self.anti_or_semi(left, with_it, how, need_shared), without, how, need_shared)
+            rest = self.anti_or_semi(left, with_it, "left_anti", False)
+            return self.union([self.anti_or_semi(left, with_it, how, need_shared), self.anti_or_semi(rest, without, how, need_shared)], certain=set(left.certain))
         renamed = right.df.select(*[F.col(name_of(v)).alias(("r_" if v in shared else "") + name_of(v)) for v in right.variables])
         tests = [F.col(name_of(v)) == F.col("r_" + name_of(v)) if v in left.certain and v in right.certain else self._compatible(v) for v in shared]
         if need_shared and not any(v in left.certain and v in right.certain for v in shared):
@@ -273,9 +296,38 @@ class Compiler:
             # always a connected pattern if there is one: no cartesian product arises
             after = max(left, key=lambda p: (bool(variables(p) & set(rel.variables)) or not variables(p), fixed(p)))
             left.remove(after)
-            rel = self.join(rel, self.pattern(after))
+            rel = self.then(rel, after)
         return rel
 
+    def then(self, rel: Rel, p: P.Pattern) -> Rel:
+        """``rel`` joined with a pattern; a reflexive path from or to a bound variable starts from its values."""
+        if isinstance(p.p, P.Path) and p.p.kind in ("star", "opt"):
+            if isinstance(p.s, Var) and p.s in rel.certain:
+                return self._reached(rel, p.s, p.p, p.o, False)
+            if isinstance(p.o, Var) and p.o in rel.certain:
+                return self._reached(rel, p.o, p.p, p.s, True)
+        return self.join(rel, self.pattern(p))
+
+    def _reached(self, rel: Rel, s: Var, path: P.Path, o: Any, back: bool) -> Rel:
+        """Solutions extended by the nodes reached from ``s``: itself, and others over one step or more."""
+        a, b = Var(".ca"), Var(".cb")
+        inner = self.path_pattern(a, path.parts[0], b)
+        first, second = (b, a) if back else (a, b)
+        pairs = inner.df.select(F.col(name_of(first)).alias("a"), F.col(name_of(second)).alias("b")).distinct()
+        pairs = (pairs if path.kind == "opt" else closure(pairs, None)).where(F.col("a") != F.col("b"))
+        target = o if isinstance(o, Var) else self.hidden()
+        if not isinstance(o, Var):
+            pairs = pairs.where(F.col("b") == constant(o))
+        if target in rel.variables:
+            same = Rel(rel.df.where(F.col(name_of(target)) == F.col(name_of(s))), rel.variables, rel.certain)
+        else:
+            itself = rel.df.withColumn(name_of(target), F.col(name_of(s)))
+            same = Rel(itself if isinstance(o, Var) else itself.where(F.col(name_of(s)) == constant(o)), [*rel.variables, target], rel.certain | {target})
+        others = self.join(rel, Rel(pairs.select(F.col("a").alias(name_of(s)), F.col("b").alias(name_of(target))), [s, target], {s, target})) if target != s else Rel(rel.df.limit(0), rel.variables, rel.certain)
+        out = self.union([same, others], certain=same.certain & others.certain)
+        keep = [v for v in out.variables if isinstance(o, Var) or v != target]
+        return Rel(out.df.select(*[name_of(v) for v in keep]), keep, out.certain & set(keep))
+
     def pattern(self, p: P.Pattern) -> Rel:
         if isinstance(p.p, P.Path):
             return self.path_pattern(p.s, p.p, p.o)
@@ -319,8 +371,7 @@ class Compiler:
             nodes = [s, *[self.hidden() for _ in path.parts[1:]], o]
             rel = None
             for part, (a, b) in zip(path.parts, zip(nodes[:-1], nodes[1:], strict=True), strict=True):
-                step = self.path_pattern(a, part, b)
-                rel = step if rel is None else self.join(rel, step)
+                rel = self.path_pattern(a, part, b) if rel is None else self.then(rel, P.Pattern(a, part, b))
             keep = [v for v in rel.variables if not v.name.startswith(".c") or v in (s, o)]
             return Rel(rel.df.select(*[name_of(v) for v in keep]), keep, rel.certain & set(keep))
         if path.kind == "alt":
