@@ -91,6 +91,14 @@ sparql(
 )
 
 
+sparql(
+    "sparql_exists_in_expression",
+    "SELECT ?c ?rich WHERE { ?c a ex:Customer ; ex:acctbal ?b FILTER(?b > 9000 || EXISTS { ?o ex:placedBy ?c ; ex:total ?t FILTER(?t > 350000) }) BIND(!EXISTS { ?p ex:placedBy ?c ; ex:status \"P\" } && ?b > 0 AS ?rich) }",
+    ("customer", "orders"),
+    "SELECT 'urn:x:customer:' || c_custkey AS c, (c_acctbal > 0 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P'))::VARCHAR AS rich FROM customer WHERE c_acctbal > 9000 OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 350000)",
+)
+
+
 @query("sparql_abstract_class", "SELECT 'urn:x:supplier:' || s_suppkey AS x FROM supplier UNION ALL SELECT 'urn:x:customer:' || c_custkey FROM customer")
 def sparql_abstract_class(spark, d):
     text = gate.spread_class(HEAD + "SELECT ?x WHERE { ?x a ex:Party }", EX + "Party", PREFIXES)

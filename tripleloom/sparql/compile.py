@@ -130,6 +130,10 @@ class E:
         )
 
 
+def _has_exists(expr: Any) -> bool:
+    return isinstance(expr, tuple) and not isinstance(expr, Var) and (expr[:1] in (("EXISTS",), ("NOT EXISTS",)) or any(_has_exists(x) for x in expr[1:]))
+
+
 def order_key(term: Column) -> Column:
     """Unbound, blank nodes, IRIs, literals; numbers and dates by value."""
     e = E("term", term)
@@ -252,6 +256,10 @@ class Compiler:
             child = self.compile(node.child)
             if node.var in child.variables:
                 raise SparqlError(f"?{node.var.name} is already bound")
+            if _has_exists(node.expr):
+                flagged, expr = self._flagged(child, node.expr)
+                value = self.expression(expr, self.columns(child)).term().alias(name_of(node.var))
+                return Rel(flagged.df.select(*[name_of(v) for v in child.variables], value), [*child.variables, node.var], child.certain)
             value = self.expression(node.expr, self.columns(child))
             sure = isinstance(node.expr, tuple) and node.expr[:1] in (("iri",), ("literal",))
             return Rel(child.df.withColumn(name_of(node.var), value.term()), [*child.variables, node.var], child.certain | ({node.var} if sure else set()))
@@ -281,8 +289,34 @@ class Compiler:
                 pattern = pattern.child
             return self.anti_or_semi(rel, self.compile(pattern), "left_semi" if condition[0] == "EXISTS" else "left_anti", False, tests)
         bound = {condition[1]} if isinstance(condition, tuple) and condition[0] == "BOUND" else set()
+        if _has_exists(condition):
+            flagged, test = self._flagged(rel, condition)
+            return Rel(flagged.df.where(self.expression(test, self.columns(rel)).bool()).select(*[name_of(v) for v in rel.variables]), rel.variables, rel.certain)
         return Rel(rel.df.where(self.expression(condition, self.columns(rel)).bool()), rel.variables, rel.certain | bound)
 
+    def _flagged(self, rel: Rel, expr: Any) -> tuple[Rel, Any]:
+        """``rel`` with a boolean column for each EXISTS inside ``expr``, and the expression over those columns."""
+        if not _has_exists(expr):
+            return rel, expr
+        if expr[0] not in ("EXISTS", "NOT EXISTS"):
+            parts = [expr[0]]
+            for part in expr[1:]:
+                rel, part = self._flagged(rel, part)
+                parts.append(part)
+            return rel, tuple(parts)
+        row, flag = self.hidden(), f"x_{self.fresh}"
+        # numbered once and written: the numbers must not change between the two uses
+        rows = materialise(rel.df.withColumn(name_of(row), F.monotonically_increasing_id()), "exists-rows")
+        asked = Rel(rows.select(*[name_of(v) for v in rel.variables], name_of(row)), [*rel.variables, row], rel.certain | {row})
+        pattern, tests = expr[1], []
+        while isinstance(pattern, P.Filter):
+            tests.append(pattern.condition)
+            pattern = pattern.child
+        met = self.anti_or_semi(asked, self.compile(pattern), "left_semi", False, tests).df.select(name_of(row)).distinct().withColumn(flag, F.lit(True))
+        found = F.coalesce(F.col(flag), F.lit(False))
+        out = rows.join(met, name_of(row), "left").withColumn(flag, found if expr[0] == "EXISTS" else ~found).drop(name_of(row))
+        return Rel(out, rel.variables, rel.certain), ("flag", flag)
+
     def bgp(self, patterns: list) -> Rel:
         if not patterns:
             return Rel(self.spark.range(1).select(), [], set())
@@ -544,7 +578,9 @@ class Compiler:
                 return E("str", F.lit(expr[1]), F.lit(expr[3]))
             return E("term", constant(expr))
         if expr[0] in ("EXISTS", "NOT EXISTS"):
-            raise SparqlError("EXISTS is supported as a filter's conjunct only")
+            raise SparqlError("EXISTS is supported in filters and bindings only")
+        if expr[0] == "flag":
+            return E("bool", F.col(expr[1]))
         if expr[0] == "BOUND":
             return E("bool", columns[expr[1]].isNotNull() if expr[1] in columns else F.lit(False))
         return call(expr[0], [a if isinstance(a, str) else self.expression(a, columns) for a in expr[1:]])
