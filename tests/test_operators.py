@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tripleloom.functions import text as X
-from tripleloom.operators import facts, fuzzy, graph, linking, reconcile, records, segments, tables
+from tripleloom.operators import facts, fuzzy, graph, linking, reconcile, records, segments, tables, vectors
 from tripleloom.session import one_row_per_key, rows_of_keys
 from tripleloom.sources import files, turtle
 from tripleloom.sparql.compile import TRIPLES
@@ -403,3 +403,23 @@ def test_provenance_leaves_nulls_out(spark):
     made = {(r["p"].split("#")[-1].split(":")[-1].split("/")[-1], r["o_value"]) for r in graph.provenance(df, "r").collect()}
     assert ("sourceIssue", "x") in made and ("printedPage", "3") in made and not {p for p, _ in made} & {"pdfPage", "locator", "text"}
     assert graph.provenance(df.limit(0), "r").count() == 0
+
+
+def test_nearest_vectors_equal_brute_force(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(vectors, "BASE_BLOCK", 11)
+    rng = random.Random(5)
+    rows = [(i, [float(rng.randint(-3, 3)) for _ in range(4)]) for i in range(60)] + [(60, None), (61, [0.0] * 4), (62, [1.0]), (63, [])]
+    df = spark.createDataFrame(rows, "id long, v array<double>").withColumn("raw", F.lit("clash"))
+
+    def cosine(a, b):
+        if not a or not b or len(a) != len(b):
+            return 0.0
+        n = (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+        return round(sum(x * y for x, y in zip(a, b)) / n, 12) if n else 0.0
+
+    exact = {(i, j) for i, a in rows[:20] for j in [j for _, j in sorted((-cosine(a, b), j) for j, b in rows if j != i)][:3]}
+    assert {(r["id"], r["other"]) for r in vectors.top_similar(df.where("id < 20"), df, "id", "v", 3).collect()} == exact
+    assert vectors.top_similar(df.limit(0), df, "id", "v", 3).count() == 0

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tripleloom.functions import text as X
 from tripleloom.operators import facts as E
-from tripleloom.operators import fuzzy, graph, linking, reconcile, records, segments, tables
+from tripleloom.operators import fuzzy, graph, linking, reconcile, records, segments, tables, vectors
 from tripleloom.session import table
 from tripleloom.sources.star import EX, LABEL, PREFIXES, star_triples
 from tripleloom.sparql.compile import lexical
@@ -384,14 +384,8 @@ def ngram_cosine(spark, d):
     "SELECT vec_id, other, round(score, 5) AS score FROM (SELECT a.vec_id, b.vec_id AS other, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS place FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) WHERE place <= 5",
 )
 def embedding_topk(spark, d):
-    from pyspark.sql import Window
-
     v = table(spark, d, "embeddings").select("vec_id", "embedding")
-    asked = v.where("vec_id % 20 = 0")
-    pairs = asked.alias("a").join(v.alias("b"), F.col("a.vec_id") != F.col("b.vec_id"))
-    scored = pairs.select("a.vec_id", F.col("b.vec_id").alias("other"), X.vector_cosine(F.col("a.embedding"), F.col("b.embedding")).alias("raw"))
-    place = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("raw"), "other"))
-    return scored.withColumn("place", place).where("place <= 5").select("vec_id", "other", F.round("raw", 5).alias("score"))
+    return vectors.top_similar(v.where("vec_id % 20 = 0"), v, "vec_id", "embedding", 5).select("vec_id", "other", F.round("raw", 5).alias("score"))
 
 
 @query("lexical_similarity")
