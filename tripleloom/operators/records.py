@@ -6,9 +6,14 @@ messages, query_ir, reference_answer, evidence, ..) as the pipeline writes them.
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BooleanType
 
 from tripleloom.functions.text import SPACE, n5, n6, number_tokens, short_hash
 
@@ -158,24 +163,30 @@ def fact_distinct(records: DataFrame, wanted: int) -> list[str]:
     return out
 
 
+def _same_text(a: str, b: str) -> bool:
+    x, y = (re.sub(r"\s+", "", unicodedata.normalize("NFKC", t)) for t in (a, b))
+    if x in y or y in x:
+        return True
+    grams = [{t} if len(t) <= 5 else {t[i : i + 5] for i in range(len(t) - 4)} for t in (x, y)]
+    return len(grams[0] & grams[1]) >= 0.72 * len(grams[0] | grams[1])
+
+
+@pandas_udf(BooleanType())
+def _same_texts(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else _same_text(x, y) for x, y in zip(a, b, strict=True)], dtype="object")
+
+
 def similar_evidence(pairs: DataFrame) -> DataFrame:
     """Pairs (locator_a, quote_a, locator_b, quote_b, ..) of evidence that says the same.
 
     If both have an id (columns id_a, id_b), equal ids alone count; else one locator and
     equality, containment or a five-character Jaccard of at least 0.72. Pairs are to be
-    joined by locator or id first.
+    joined by locator or id first; null quotes say nothing.
     """
-    from tripleloom.functions.text import jaccard, ngrams
-
-    # the normalised texts are columns of their own: a lambda can't hold a Python function
-    rows = pairs.withColumn("plain_a", n5(F.col("quote_a"))).withColumn("plain_b", n5(F.col("quote_b")))
-    a, b = F.col("plain_a"), F.col("plain_b")
-    near = (jaccard(F.array_distinct(ngrams(a, 5)), F.array_distinct(ngrams(b, 5))) >= 0.72) | F.contains(a, b) | F.contains(b, a)
-    same = (F.col("locator_a") == F.col("locator_b")) & near
-    if {"id_a", "id_b"} <= set(pairs.columns):
-        known = F.col("id_a").isNotNull() & F.col("id_b").isNotNull()
-        same = F.when(known, F.col("id_a") == F.col("id_b")).otherwise(same)
-    return rows.where(same).drop("plain_a", "plain_b")
+    with_ids = {"id_a", "id_b"} <= set(pairs.columns)
+    known = F.col("id_a").isNotNull() & F.col("id_b").isNotNull() if with_ids else F.lit(False)
+    near = pairs.where(~known & (F.col("locator_a") == F.col("locator_b"))).where(_same_texts("quote_a", "quote_b"))
+    return near.unionByName(pairs.where(known & (F.col("id_a") == F.col("id_b")))) if with_ids else near
 
 
 def rotation(index: Column, names: list[str]) -> Column:
@@ -198,7 +209,8 @@ def bundle_messages(bundles: DataFrame) -> DataFrame:
     """(bundle_id, turn, role, content): roles in turn from the user; forced assistant turns; the answer at the end.
 
     bundles: (bundle_id, mode, contents ARRAY<STRING>, answer). In a clarification the
-    second turn is the one clarifying question, in another contextual mode the answer.
+    second turn is the one clarifying question, in another contextual mode the answer; a
+    null answer forces nothing.
     """
     forced = F.when(F.col("mode") == "clarification", F.lit(CLARIFYING)).when(F.col("mode").isin(*CONTEXTUAL), F.col("answer"))
     said = F.transform("contents", lambda c, i: F.when((i == 1) & forced.isNotNull(), forced).otherwise(c))

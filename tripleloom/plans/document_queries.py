@@ -857,7 +857,7 @@ def repeated_flags(spark, d):
 
 @query(
     "bundle_messages",
-    f"WITH {_RECORDS}, c AS (SELECT conversation_id, dialogue_mode AS md, reference_answer AS a, list_concat(list_transform(messages, lambda m: m.content)[:-2], [reference_answer]) AS c FROM r WHERE messages IS NOT NULL), x AS (SELECT conversation_id, md, a, unnest(c) AS content, generate_subscripts(c, 1) - 1 AS turn, len(c) AS n FROM c) SELECT conversation_id AS bundle_id, turn::INTEGER AS turn, CASE WHEN turn % 2 = 0 THEN 'user' ELSE 'assistant' END AS role, CASE WHEN turn = 1 AND turn < n - 1 AND md = 'clarification' THEN '어떤 조건을 기준으로 확인할까요?' WHEN turn = 1 AND turn < n - 1 AND md IN {_CONTEXTUAL} THEN a ELSE content END AS content FROM x",
+    f"WITH {_RECORDS}, c AS (SELECT conversation_id, dialogue_mode AS md, reference_answer AS a, list_concat(list_transform(messages, lambda m: m.content)[:-2], [reference_answer]) AS c FROM r WHERE messages IS NOT NULL), x AS (SELECT conversation_id, md, a, unnest(c) AS content, generate_subscripts(c, 1) - 1 AS turn, len(c) AS n FROM c) SELECT conversation_id AS bundle_id, turn::INTEGER AS turn, CASE WHEN turn % 2 = 0 THEN 'user' ELSE 'assistant' END AS role, CASE WHEN turn = 1 AND turn < n - 1 AND md = 'clarification' THEN '어떤 조건을 기준으로 확인할까요?' WHEN turn = 1 AND turn < n - 1 AND md IN {_CONTEXTUAL} THEN coalesce(a, content) ELSE content END AS content FROM x",
 )
 def bundle_messages(spark, d):
     r = _one(table(spark, d, "qa_records"), "conversation_id").where("messages is not null")
