@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -81,8 +82,8 @@ def weighted_ratio(a: str, b: str) -> float:
 
 
 def grounded(value: str, evidence: str) -> bool:
-    """Similar (0.98) to its evidence; the argument order counts."""
-    return SequenceMatcher(None, value, evidence).ratio() >= 0.98
+    """Similar (0.98) to its evidence, with the same numbers in order; the argument order counts."""
+    return re.findall(r"\d+", value) == re.findall(r"\d+", evidence) and SequenceMatcher(None, value, evidence).ratio() >= 0.98
 
 
 def _pairwise(function):

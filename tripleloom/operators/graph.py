@@ -289,3 +289,10 @@ def draft_graph(units: DataFrame, entities: DataFrame, facts: DataFrame, run_id:
     """The draft of a run: provenance, entities and reified facts as one set of triples."""
     reified = reify(facts).select("s", "p", "o_kind", "o_value", F.lit("").alias("o_datatype"), F.lit("").alias("o_lang"))
     return provenance(units, run_id).unionByName(entity_triples(entities, types)).unionByName(reified).distinct()
+
+
+def compatible_types(rows: DataFrame, closure: DataFrame) -> DataFrame:
+    """(row_id, compatible) of rows (row_id, types, expected): a type or an ancestor (cls, ancestor) is expected, or nothing is."""
+    wide = rows.select("row_id", F.explode("types").alias("cls")).join(closure, "cls", "left").groupBy("row_id").agg(F.array_union(F.collect_set("cls"), F.collect_set("ancestor")).alias("wide"))
+    none = F.coalesce(F.size("expected"), F.lit(0)) == 0
+    return rows.join(wide, "row_id", "left").select("row_id", (none | F.coalesce(F.arrays_overlap("wide", "expected"), F.lit(False))).alias("compatible"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tripleloom.functions.text import n2, short_hash, stable_json, vector_cosine
 from tripleloom.operators.fuzzy import combined_score, lexical_similarity
-from tripleloom.operators.graph import residual_iris, substitute_iris
+from tripleloom.operators.graph import SCHEMA_TYPES, residual_iris, substitute_iris
+from tripleloom.sources.star import TYPE
 
 AUTO_COMBINED, AUTO_LEXICAL, AUTO_EMBEDDING = 0.93, 0.85, 0.90
 REVIEW_COMBINED, REVIEW_EMBEDDING = 0.78, 0.82
@@ -183,10 +184,16 @@ def consolidated_schema(proposals: DataFrame) -> DataFrame:
     return kind.join(rest, "target")
 
 
-def publish(profile: DataFrame, drafts: DataFrame, mapping: DataFrame, schema: DataFrame, candidate_root: str) -> DataFrame:
-    """The published graph: profile, mapped drafts without candidate schema, local schema; residual candidates fail."""
-    mapped = substitute_iris(drafts, mapping)
-    graph = profile.unionByName(mapped).unionByName(schema).distinct()
+def publish(profile: DataFrame, drafts: DataFrame, mapping: DataFrame, schema: DataFrame, candidate_root: str, header: DataFrame | None = None) -> DataFrame:
+    """The published graph: profile, mapped drafts without candidate schema, local schema and the header.
+
+    Every statement of a draft about a candidate class or property falls out, since the
+    consolidated schema takes its place. Candidate IRIs that are left are an error.
+    """
+    declared = drafts.where((F.col("p") == TYPE) & F.col("o_value").isin(*SCHEMA_TYPES) & F.col("s").startswith(candidate_root)).select("s").distinct()
+    mapped = substitute_iris(drafts.join(declared, "s", "left_anti").select(drafts.columns), mapping)
+    graph = profile.unionByName(mapped).unionByName(schema)
+    graph = (graph if header is None else graph.unionByName(header)).distinct()
     left = residual_iris(graph, candidate_root).limit(5).collect()
     if left:
         raise ValueError(f"candidate IRIs are left: {[r[0] for r in left]}")

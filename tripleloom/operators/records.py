@@ -232,3 +232,14 @@ def coverage_summary(records: DataFrame, known: tuple[str, ...] = QUESTION_TYPES
     counts = type_coverage(records.where(F.col("question_type").isin(*known)))
     out = counts.agg(F.count("*").alias("types"), F.min("n").alias("least"), F.max("n").alias("most"), F.collect_set("question_type").alias("seen"))
     return out.select("types", "least", "most", F.sort_array(F.array_except(F.array(*[F.lit(k) for k in known]), "seen")).alias("missing"))
+
+
+def preview_counts(records: DataFrame) -> DataFrame:
+    """(name, n): records, their distinct question types, queries and bundles, and the records of each mode.
+
+    records: (question_type, dialogue_mode, query, bundle).
+    """
+    totals = records.agg(F.count("*").alias("records"), F.count_distinct("question_type").alias("question types"), F.count_distinct("query").alias("queries"), F.count_distinct("bundle").alias("bundles"))
+    names = ("records", "question types", "queries", "bundles")
+    first = totals.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"`{n}`").alias("n")) for n in names])))
+    return first.unionByName(records.groupBy(F.concat(F.lit("mode "), F.coalesce("dialogue_mode", F.lit(""))).alias("name")).agg(F.count("*").alias("n")))

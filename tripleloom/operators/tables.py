@@ -235,3 +235,11 @@ def geometry_summary(tokens: DataFrame) -> DataFrame:
     texts = reading_order(tokens, "table_id", "base_row", "base_column")
     cell = F.struct("base_row", "base_column", "text")
     return texts.groupBy("table_id").agg(F.count_distinct("base_row").alias("rows"), F.count_distinct("base_column").alias("columns"), F.sort_array(F.collect_list(cell)).alias("cells"))
+
+
+def token_scopes(tokens: DataFrame, cells: DataFrame) -> DataFrame:
+    """Tokens (table_id, token_id, base_row, base_column) with their cell and the rows and columns it spans."""
+    covered = cell_coordinates(cells).select(
+        "table_id", "cell", "base_row", "base_column", F.col("row").alias("first_row"), (F.col("row") + F.col("rowspan") - 1).alias("last_row"), F.col("column").alias("first_column"), (F.col("column") + F.col("colspan") - 1).alias("last_column")
+    )
+    return tokens.join(covered, ["table_id", "base_row", "base_column"])

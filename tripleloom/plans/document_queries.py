@@ -962,3 +962,95 @@ def close_matches(spark, d):
 def replaced_words(spark, d):
     r = table(spark, d, "qa_records").select(F.col("conversation_id").alias("text_id"), F.col("reference_answer").alias("text")).distinct().where("text is not null and text != '' and not text rlike '기간[^가-힣A-Za-z]기간'")
     return fuzzy.replaced_words(r, spark.createDataFrame([("기간", "기한")], "word string, other string")).select("text_id", "text")
+
+
+# ---- sources and publication ---------------------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    return f"{checkpoint_dir(spark).rstrip('/')}/tripleloom/{name}-{uuid.uuid4().hex}"
+
+
+@query("style_file", "SELECT 'style-' || lpad((row_number() OVER (ORDER BY n_nationkey))::VARCHAR, 4, '0') AS style_id, '¿' || n_name || '?' AS question FROM nation")
+def style_file(spark, d):
+    folder = _folder(spark, "csv")
+    n = table(spark, d, "nation").orderBy("n_nationkey").coalesce(1)
+    n.select(F.col("n_nationkey").cast("string").alias("id"), F.concat(F.lit(" ¿"), F.col("n_name"), F.lit("? ")).alias("Pregunta")).write.option("header", True).csv(folder, sep=";")
+    return files.style_questions(spark, folder)
+
+
+@query("page_file", "SELECT (r_regionkey + 1)::INTEGER AS page, '# ' || r_name AS text FROM region")
+def page_file(spark, d):
+    folder = _folder(spark, "pages")
+    r = table(spark, d, "region").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r_regionkey", "r_name"))), lambda x: F.concat(F.lit("# "), x.r_name)), files.PAGE_SEPARATOR).alias("value"))
+    r.write.text(folder)
+    return files.read_pages(spark, folder).select("page", F.trim(F.regexp_replace("text", "\n+$", "")).alias("text"))
+
+
+@query("preview_sections", "SELECT (n_nationkey + 1)::INTEGER AS printed_page, (n_nationkey + 5)::INTEGER AS pdf_page, n_name AS body FROM nation WHERE n_nationkey < 12")
+def preview_sections(spark, d):
+    one = F.format_string("## 인쇄 페이지 %d (PDF %d)\n\n%s\n\n", F.col("n_nationkey") + 1, F.col("n_nationkey") + 5, F.col("n_name"))
+    text = table(spark, d, "nation").select("n_nationkey", one.alias("part")).agg(F.concat(F.lit("# 앞\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "part"))), lambda x: x.part), "")).alias("value"))
+    return files.preview_sections(text, files.parse_pages("1-10,11,12"))
+
+
+@query(
+    "manifest_issues",
+    "WITH p AS (SELECT o_custkey AS document, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS page, sha256(o_orderpriority) AS h FROM orders), own AS (SELECT * FROM p WHERE NOT (page = 2 AND document % 3 = 0)), m AS (SELECT document, page, CASE WHEN document % 7 = 0 AND page = 1 THEN 'x' ELSE h END AS h FROM p WHERE NOT (page = 1 AND document % 5 = 0)), b AS (SELECT coalesce(own.document, m.document) AS document, CASE WHEN own.h IS NULL THEN 'missing page' WHEN m.h IS NULL THEN 'unlisted page' WHEN own.h <> m.h THEN 'changed page' END AS issue FROM own FULL JOIN m ON own.document = m.document AND own.page = m.page) SELECT DISTINCT * FROM (SELECT * FROM b WHERE issue IS NOT NULL UNION ALL SELECT document, 'page sequence' FROM own GROUP BY document HAVING min(page) <> 1 OR max(page) <> count(DISTINCT page))",
+)
+def manifest_issues(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("document"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("page"), F.col("o_orderpriority").alias("text"))
+    listed = o.where("not (page = 1 and document % 5 = 0)").select("document", "page", F.when((F.col("document") % 7 == 0) & (F.col("page") == 1), "x").otherwise(F.sha2("text", 256)).alias("sha256"))
+    return files.manifest_issues(o.where("not (page = 2 and document % 3 = 0)"), listed)
+
+
+@query("unknown_names", "SELECT * FROM (VALUES ('urn:x:Ghost'), ('urn:x:notThere'), ('urn:x:res:one')) t(iri)")
+def unknown_names(spark, d):
+    text = HEAD + 'SELECT ?x WHERE { ?x a ex:Ghost ; ex:notThere <urn:x:res:one> ; ex:acctbal ?b ; ex:inNation <urn:query-term:n> FILTER(?b > xsd:decimal("1")) }'
+    names = gate.unknown_names(text, gate.known_iris(star_triples(spark, d, "customer")), PREFIXES, "urn:x:res:")
+    return spark.createDataFrame([(n,) for n in names], "iri string")
+
+
+@query("compatible_types", "SELECT p_partkey AS row_id, p_size % 4 = 0 OR p_size % 4 = 1 OR (p_size % 4 = 2 AND p_partkey % 2 = 0) AS compatible FROM part")
+def compatible_types(spark, d):
+    line = lambda s, p, o: (s, p, "iri", o, "", "", "profile")
+    rows = [line("A", graph.SUBCLASS, "B"), line("B", graph.SUBCLASS, "C"), line("C", graph.SUBCLASS, "B"), line("q", graph.RDFS + "subPropertyOf", "C")]
+    closure = graph.class_closure(spark.createDataFrame(rows, "s string, p string, o_kind string, o_value string, o_datatype string, o_lang string, component string"), graph.SUBCLASS, graph.RDFS + "subPropertyOf")
+    k = F.col("p_size") % 4
+    expected = F.when(k == 0, F.array().cast("array<string>")).when(k == 1, F.array(F.lit("C"))).when(k == 2, F.array(F.lit("q"), F.lit("z"))).otherwise(F.array(F.lit("z")))
+    types = F.when(F.col("p_partkey") % 2 == 0, F.array(F.lit("A"), F.lit("q"))).otherwise(F.array(F.lit("A")))
+    return graph.compatible_types(table(spark, d, "part").select(F.col("p_partkey").alias("row_id"), types.alias("types"), expected.alias("expected")), closure)
+
+
+@query("token_scopes", f"WITH {_CELLS}, c AS (SELECT DISTINCT table_id, cell, \"row\", \"column\" FROM cells), w AS (SELECT *, unnest(range(\"row\", \"row\" + 2)) AS base_row FROM c) SELECT table_id, cell, base_row::INTEGER AS base_row, \"column\" AS base_column, \"row\" AS first_row, \"row\" + 1 AS last_row FROM w WHERE base_row % 2 = 0")
+def token_scopes(spark, d):
+    c = _cells(spark, d).distinct().select("table_id", "cell", "row", "column", F.lit(2).alias("rowspan"), F.lit(1).alias("colspan"))
+    tokens = tables.cell_coordinates(c).where("base_row % 2 = 0").select("table_id", "base_row", "base_column").distinct()
+    return tables.token_scopes(tokens, c).select("table_id", "cell", "base_row", "base_column", "first_row", "last_row")
+
+
+@query(
+    "preview_counts",
+    f"WITH {_PRINTS}, q AS (SELECT r.question_type, r.dialogue_mode, f.query, f.bundle FROM r JOIN f ON r.conversation_id = f.conversation_id) SELECT 'records' AS name, count(*) AS n FROM q UNION ALL SELECT 'question types', count(DISTINCT question_type) FROM q UNION ALL SELECT 'queries', count(DISTINCT query) FROM q UNION ALL SELECT 'bundles', count(DISTINCT bundle) FROM q UNION ALL SELECT 'mode ' || coalesce(dialogue_mode, ''), count(*) FROM q GROUP BY dialogue_mode",
+)
+def preview_counts(spark, d):
+    r = _one(table(spark, d, "qa_records"), "conversation_id")
+    return records.preview_counts(r.select("conversation_id", "question_type", "dialogue_mode").join(records.fingerprints(r), "conversation_id"))
+
+
+@query(
+    "published_graph",
+    f"SELECT 'urn:y:customer:' || c_custkey AS s, '{LABEL}' AS p, c_name AS o_value FROM customer UNION ALL SELECT 'urn:y:customer:' || c_custkey, '{_RDF}type', 'urn:y:Customer' FROM customer UNION ALL SELECT 'urn:y:Customer', '{_RDF}type', 'http://www.w3.org/2002/07/owl#Class' UNION ALL SELECT 'urn:y:', '{_RDF}type', 'http://www.w3.org/2002/07/owl#Ontology' UNION ALL SELECT 'urn:y:Thing', '{_RDF}type', 'http://www.w3.org/2002/07/owl#Class'",
+)
+def published_graph(spark, d):
+    schema = "s string, p string, o_kind string, o_value string, o_datatype string, o_lang string"
+    owl = graph.OWL
+    made = lambda *rows: spark.createDataFrame([(s, p, k, o, "", "") for s, p, k, o in rows], schema)
+    c = table(spark, d, "customer").select(F.concat(F.lit("urn:cand:customer:"), F.col("c_custkey").cast("string")).alias("s"), "c_name")
+    about = c.select("s", F.lit(LABEL).alias("p"), F.lit("literal").alias("o_kind"), F.col("c_name").alias("o_value"), F.lit("").alias("o_datatype"), F.lit("").alias("o_lang"))
+    typed = c.select("s", F.lit(graph.TYPE).alias("p"), F.lit("iri").alias("o_kind"), F.lit("urn:cand:Customer").alias("o_value"), F.lit("").alias("o_datatype"), F.lit("").alias("o_lang"))
+    drafts = about.unionByName(typed).unionByName(made(("urn:cand:Customer", graph.TYPE, "iri", owl + "Class"), ("urn:cand:Customer", LABEL, "literal", "draft")))
+    mapping = c.select(F.col("s").alias("iri"), F.regexp_replace("s", "^urn:cand:", "urn:y:").alias("target")).unionByName(spark.createDataFrame([("urn:cand:Customer", "urn:y:Customer")], "iri string, target string"))
+    return reconcile.publish(made(("urn:y:Thing", graph.TYPE, "iri", owl + "Class")), drafts, mapping, made(("urn:y:Customer", graph.TYPE, "iri", owl + "Class")), "urn:cand:", made(("urn:y:", graph.TYPE, "iri", owl + "Ontology"))).select("s", "p", "o_value")

@@ -31,7 +31,11 @@ def style_questions(spark: SparkSession, path: str, column: str = "Pregunta", pr
     rows = rows.withColumnRenamed(first, first.lstrip("﻿"))
     if column not in rows.columns:
         raise ValueError(f"{path} has no column {column}")
-    numbered = rows.withColumn("place", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))
+    # rows are numbered inside their partition; the partitions' sizes give the offsets
+    marked = rows.withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id())
+    sizes = marked.groupBy("__part").agg(F.count("*").alias("n"), F.min("__row").alias("__first"))
+    offset = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = marked.join(F.broadcast(sizes.select("__part", "__first", offset.alias("__offset"))), "__part").withColumn("place", (F.col("__offset") + F.col("__row") - F.col("__first") + 1).cast("int"))
     kept = numbered.select(F.format_string(f"{prefix}-%04d", "place").alias("style_id"), F.trim(column).alias("question"))
     return kept.where("question is not null and question != ''")
 
@@ -64,7 +68,7 @@ def preview_sections(text: DataFrame, pages: list[int] | None = None) -> DataFra
     parts = text.select(F.explode(F.split("value", r"(?m)(?=^## 인쇄 페이지 )")).alias("part"))
     head = r"^## 인쇄 페이지 (\d+) \(PDF (\d+)\)\s*"
     rows = parts.where(F.col("part").rlike(head)).select(
-        F.regexp_extract("part", head, 1).cast("int").alias("printed_page"), F.regexp_extract("part", head, 2).cast("int").alias("pdf_page"), F.trim(F.regexp_replace("part", head, "")).alias("body")
+        F.regexp_extract("part", head, 1).cast("int").alias("printed_page"), F.regexp_extract("part", head, 2).cast("int").alias("pdf_page"), F.regexp_replace(F.regexp_replace("part", head, ""), r"^\s+|\s+$", "").alias("body")
     )
     return rows.where(F.col("printed_page").isin(pages)) if pages else rows
 
