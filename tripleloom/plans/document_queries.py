@@ -99,6 +99,20 @@ sparql(
 )
 
 
+sparql(
+    "sparql_exact_integers",
+    "SELECT ?p (?s + 9007199254740993 AS ?a) (?s * 1000000000000000003 AS ?m) (9007199254740993 > 9007199254740992 AS ?gt) (9007199254740993 = 9007199254740992 AS ?eq) WHERE { ?p a ex:Part ; ex:size ?s }",
+    ("part",),
+    "SELECT 'urn:x:part:' || p_partkey AS p, (p_size::HUGEINT + 9007199254740993)::VARCHAR AS a, (p_size::HUGEINT * 1000000000000000003)::VARCHAR AS m, 'true' AS gt, 'false' AS eq FROM part",
+)
+sparql(
+    "sparql_exact_sum",
+    "SELECT ?b (SUM(?big) AS ?t) WHERE { ?p a ex:Part ; ex:brand ?b ; ex:size ?s BIND(?s * 9007199254740993 AS ?big) } GROUP BY ?b",
+    ("part",),
+    "SELECT p_brand AS b, sum(p_size::HUGEINT * 9007199254740993)::VARCHAR AS t FROM part GROUP BY p_brand",
+)
+
+
 @query("sparql_abstract_class", "SELECT 'urn:x:supplier:' || s_suppkey AS x FROM supplier UNION ALL SELECT 'urn:x:customer:' || c_custkey FROM customer")
 def sparql_abstract_class(spark, d):
     text = gate.spread_class(HEAD + "SELECT ?x WHERE { ?x a ex:Party }", EX + "Party", PREFIXES)

@@ -25,6 +25,7 @@ from tripleloom.sparql.parser import XSD, SparqlError, Var
 TERM = T.StructType([T.StructField(n, T.StringType(), False) for n in ("k", "v", "d", "l")])
 TRIPLES = "s string, p string, o_kind string, o_value string, o_datatype string, o_lang string, component string"
 NUMERIC = [XSD + n for n in ("integer", "decimal", "double", "float", "int", "long", "short", "byte", "nonNegativeInteger", "positiveInteger", "negativeInteger", "nonPositiveInteger", "unsignedInt", "unsignedLong")]
+INTEGERS = [n for n in NUMERIC if n not in (XSD + "decimal", XSD + "double", XSD + "float")]
 INTEGER, DECIMAL, DOUBLE, BOOLEAN, STRING = (XSD + n for n in ("integer", "decimal", "double", "boolean", "string"))
 DATES = [XSD + n for n in ("date", "dateTime", "dateTimeStamp")]
 
@@ -58,6 +59,14 @@ class E:
     kind: str
     col: Column
     extra: Column | None = None
+    #: The exact value of an integer as decimal(38, 0); doubles hold integers up to 2^53 only.
+    exact: Column | None = None
+
+    def whole(self) -> Column:
+        """The exact value if it is an integer, else null."""
+        if self.kind == "term":
+            return F.when((self.col.k == "literal") & self.col.d.isin(INTEGERS), self.col.v.try_cast("decimal(38,0)"))
+        return self.exact if self.kind == "num" and self.exact is not None else F.lit(None).cast("decimal(38,0)")
 
     def term(self) -> Column:
         if self.kind == "term":
@@ -66,7 +75,8 @@ class E:
             made = term_column("literal", self.col.cast("string"), BOOLEAN)
         elif self.kind == "num":
             whole = self.extra == INTEGER
-            text = F.when(whole, self.col.cast("bigint").cast("string")).otherwise(self.col.cast("string"))
+            exact = [] if self.exact is None else [self.exact.cast("string")]
+            text = F.when(whole, F.coalesce(*exact, self.col.cast("bigint").cast("string"))).otherwise(self.col.cast("string"))
             made = term_column("literal", text, self.extra)
         else:
             made = term_column("literal", self.col, "", self.extra if self.extra is not None else "")
@@ -556,7 +566,10 @@ class Compiler:
             whole = F.coalesce(F.min((value.datatype() == INTEGER).cast("int")), F.lit(1)) == 1
             double = F.coalesce(F.max(value.datatype().isin(DOUBLE, XSD + "float").cast("int")), F.lit(0)) == 1
             datatype = F.when(double, DOUBLE).when(whole, INTEGER if function == "SUM" else DECIMAL).otherwise(DECIMAL)
-            return [E("num", F.coalesce(total, F.lit(0.0)), datatype).term().alias(name)], None
+            exact = None
+            if function == "SUM" and not distinct:  # exact only if every value is an integer
+                exact = F.when(F.count(value.whole()) == F.count(number), F.try_sum(value.whole()))
+            return [E("num", F.coalesce(total, F.lit(0.0)), datatype, exact).term().alias(name)], None
         if function in ("MIN", "MAX"):
             pick = F.min_by if function == "MIN" else F.max_by
             return [pick(term, F.when(term.isNotNull(), order_key(term))).alias(name)], None
@@ -573,7 +586,9 @@ class Compiler:
             return E("term", columns[expr] if expr in columns else F.lit(None).cast(TERM))
         if expr[0] in ("iri", "literal", "bnode") and len(expr) == 4 and isinstance(expr[1], str):
             if expr[0] == "literal" and expr[2] in NUMERIC:
-                return E("num", F.lit(float(expr[1])), F.lit(INTEGER if expr[2] not in (DECIMAL, DOUBLE, XSD + "float") else expr[2]))
+                if expr[2] in (DECIMAL, DOUBLE, XSD + "float"):
+                    return E("num", F.lit(float(expr[1])), F.lit(expr[2]))
+                return E("num", F.lit(float(expr[1])), F.lit(INTEGER), F.lit(expr[1]).try_cast("decimal(38,0)"))
             if expr[0] == "literal" and expr[2] in ("", STRING):
                 return E("str", F.lit(expr[1]), F.lit(expr[3]))
             return E("term", constant(expr))

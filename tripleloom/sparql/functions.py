@@ -17,11 +17,11 @@ def _compare(op: str, a: E, b: E) -> Column:
         x, y = a.bool(), b.bool()
         pairs.append((x.cast("int"), y.cast("int")))
     elif "num" in (a.kind, b.kind):
-        pairs.append((a.num(), b.num()))
+        pairs += [(a.whole(), b.whole()), (a.num(), b.num())]
     elif "str" in (a.kind, b.kind):
         pairs.append((a.text(), b.text()))
     else:
-        pairs += [(a.num(), b.num()), (a.stamp(), b.stamp()), (a.text(), b.text())]
+        pairs += [(a.whole(), b.whole()), (a.num(), b.num()), (a.stamp(), b.stamp()), (a.text(), b.text())]
     tests = {"<": lambda x, y: x < y, ">": lambda x, y: x > y, "<=": lambda x, y: x <= y, ">=": lambda x, y: x >= y}
     return F.coalesce(*[tests[op](x, y) for x, y in pairs])
 
@@ -30,7 +30,7 @@ def _equal(a: E, b: E) -> Column:
     if "bool" in (a.kind, b.kind):
         return a.bool() == b.bool()
     if "num" in (a.kind, b.kind):
-        number = a.num() == b.num()
+        number = F.coalesce(a.whole() == b.whole(), a.num() == b.num())
         other = a if a.kind == "term" else b
         if other.kind == "term":  # a number never equals an IRI or a string
             return F.coalesce(number, F.when(other.term().isNotNull(), F.lit(False)))
@@ -40,21 +40,23 @@ def _equal(a: E, b: E) -> Column:
         same = (a.text() == b.text()) & (a.lang() == b.lang())
         return F.coalesce(same, F.when(other.term().isNotNull(), F.lit(False))) if other.kind == "term" else same
     x, y = a.term(), b.term()
-    return F.coalesce(a.num() == b.num(), a.stamp() == b.stamp(), x == y)
+    return F.coalesce(a.whole() == b.whole(), a.num() == b.num(), a.stamp() == b.stamp(), x == y)
 
 
 def _arithmetic(op: str, a: E, b: E) -> E:
     x, y = a.num(), b.num()
+    exact = None
     if op == "/":
         value = F.try_divide(x, y)
         whole = F.lit(DECIMAL)
     else:
         value = {"+": x + y, "-": x - y, "*": x * y}[op]
         whole = F.lit(INTEGER)
+        exact = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[op](a.whole(), b.whole()).cast("decimal(38,0)")
     da, db = a.datatype(), b.datatype()
     double = da.isin(DOUBLE, XSD + "float") | db.isin(DOUBLE, XSD + "float")
     datatype = F.when(double, DOUBLE).when((da == INTEGER) & (db == INTEGER), whole).otherwise(DECIMAL)
-    return E("num", value, datatype)
+    return E("num", value, datatype, exact)
 
 
 def _strings(function, *, keep_lang: bool = True):
@@ -124,7 +126,8 @@ def _cast(target: str, a: E) -> E:
         return E("num", number, F.lit(target))
     if target in NUMERIC:
         number = a.num() if a.kind == "num" else F.coalesce(a.num(), F.when(F.trim(text).rlike(r"^[+-]?\d+$"), F.trim(text).try_cast("double")))
-        return E("num", F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number)).cast("double"), F.lit(INTEGER))
+        exact = F.coalesce(a.whole(), F.when(F.trim(text).rlike(r"^[+-]?\d+$"), F.trim(text).try_cast("decimal(38,0)")))
+        return E("num", F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number)).cast("double"), F.lit(INTEGER), exact)
     if target in DATES:
         form = "yyyy-MM-dd" if target == XSD + "date" else "yyyy-MM-dd'T'HH:mm:ss"
         stamp = text.try_cast("timestamp")
