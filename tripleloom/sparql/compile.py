@@ -601,12 +601,39 @@ class Compiler:
         return call(expr[0], [a if isinstance(a, str) else self.expression(a, columns) for a in expr[1:]])
 
 
+#: Pairs of which the closure is made on the driver, such as a class hierarchy; it has at most their square.
+SMALL_CLOSURE = 300
+
+
+def _small_closure(rows: list) -> list[tuple]:
+    """Closure of a few pairs: a walk from each node."""
+    after: dict = {}
+    for a, b in rows:
+        after.setdefault(a, []).append(b)
+    out = []
+    for a in after:
+        seen: dict = {}
+        walk = list(after[a])
+        while walk:
+            b = walk.pop()
+            if b not in seen:
+                seen[b] = None
+                walk += after.get(b, ())
+        out += [(a, b) for b in seen]
+    return out
+
+
 def closure(pairs: DataFrame, start: Column | None = None, most: int = 1000) -> DataFrame:
-    """Transitive closure of distinct pairs (a, b), semi-naive; cycles give reflexive pairs.
+    """Transitive closure of distinct pairs (a, b); cycles give reflexive pairs.
 
-    With ``start`` only pairs from it. Each round is written to the shared folder,
-    so the plan does not grow; it ends when a round finds nothing new.
+    With ``start`` only pairs from it. At most ``SMALL_CLOSURE`` pairs are closed on the
+    driver. More are closed semi-naively: each round is written to the shared folder, and
+    it ends when a round finds nothing new.
     """
+    few = pairs.select("a", "b").limit(SMALL_CLOSURE + 1).collect()
+    if len(few) <= SMALL_CLOSURE:
+        made = pairs.sparkSession.createDataFrame(_small_closure([tuple(r) for r in few]), pairs.select("a", "b").schema)
+        return made if start is None else made.where(F.col("a") == start)
     edges = materialise(pairs, "closure-edges")
     frontier = edges if start is None else edges.where(F.col("a") == start)
     frontier = materialise(frontier, "closure-round")
