@@ -518,6 +518,13 @@ def test_leakage(spark):
     assert leakage.leaked(documents, "doc_id", "text", items.limit(0), "item_id", "passage").count() == 0
 
 
+def test_leakage_with_textual_ids(spark):
+    words = [f"낱말{chr(0xAC00 + 97 * i)}{chr(0xAC00 + 31 * i)}" for i in range(60)]
+    documents = spark.createDataFrame([("d1", "앞 " + " ".join(words) + " 뒤"), ("d2", "다른 글")], "doc_id string, text string")
+    items = spark.createDataFrame([("i1", " ".join(words))], "item_id string, passage string")
+    assert rows(leakage.leaked(documents, "doc_id", "text", items, "item_id", "passage")) == {("d1", "i1")}
+
+
 # ---- stuffing ------------------------------------------------------------------------------------------------
 
 SOUND = "휴학 중인 학생이라도 실전정치연습 영어 강의를 추가 안내 문자를 받은 날부터 게시판에 올려 알린다. 동일 과목을 최근 기록에 따라 학기 말에 일괄 정산한다. "

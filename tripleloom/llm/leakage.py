@@ -25,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from tripleloom.llm.shingles import alnum_table, folded, inside, rolling, stream
 
@@ -45,8 +47,8 @@ PASSAGE_LIMIT = 5_000
 class PassageIndex:
     """Shingles of passages, with postings in a compressed sparse layout."""
 
-    def __init__(self, ids: list[int], texts: list[str | None]):
-        self.ids = np.array(ids, np.int64)
+    def __init__(self, ids: list, texts: list[str | None]):
+        self.ids = ids
         codes, offsets = stream(texts, alnum_table())
         hashes = rolling(codes, WIDTH)
         size, first = inside(offsets, WIDTH, len(hashes))
@@ -262,6 +264,7 @@ def leaked(documents: DataFrame, doc_key: str, column: str, passages: DataFrame,
 
 def _leaked_block(spark, documents, doc_key, column, ids, texts, item_key, item_type) -> DataFrame:
     shared = spark.sparkContext.broadcast((ids, texts))
+    item_arrow = to_arrow_type(_parse_datatype_string(item_type))
     cache: dict[str, PassageIndex] = {}
 
     def index_of() -> PassageIndex:
@@ -286,6 +289,6 @@ def _leaked_block(spark, documents, doc_key, column, ids, texts, item_key, item_
                     if leaked_share(index, item, at, code) >= LEAST:
                         rows.append(row)
                         items.append(index.ids[item])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(items, pa.int64())], names=[doc_key, item_key])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(items, item_arrow)], names=[doc_key, item_key])
 
     return documents.select(F.col(doc_key), F.col(column).alias("__text")).mapInArrow(run, f"{doc_key} {dict(documents.dtypes)[doc_key]}, {item_key} {item_type}").distinct()

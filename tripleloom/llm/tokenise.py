@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,12 +117,16 @@ def load_encoder(directory: str = VOCABULARY_DIR, name: str = VOCABULARY) -> Pre
 
 
 def encode_table(df: DataFrame, key: str, column: str, directory: str = VOCABULARY_DIR, name: str = VOCABULARY) -> DataFrame:
-    """(key, ids): the token ids of ``column``, one row for each key."""
+    """(key, ids): the token ids of ``column``, one row for each key.
+
+    The vocabulary file is read where the driver is and shipped to the executors.
+    """
+    df.sparkSession.sparkContext.addFile(f"{directory}/{name}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        encoder, split = load_encoder(directory, name), regex.compile(PATTERN).findall
+        encoder, split = load_encoder(SparkFiles.getRootDirectory(), name), regex.compile(PATTERN).findall
         cache: dict[str, list[int]] = {}
 
         class Words(dict):
