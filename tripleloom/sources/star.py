@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,9 +64,14 @@ def profile_rows() -> list[tuple]:
     return rows
 
 
+PROFILE_COLUMNS = ("s", "p", "o_kind", "o_value", "o_datatype", "o_lang", "component")
+
+
 def profile(spark: SparkSession) -> DataFrame:
+    """The profile's triples as a local relation, whose filters are folded while a query is planned."""
     rows = [(s, p, k, o, "", "", "profile") for s, p, k, o in profile_rows()]
-    return spark.createDataFrame(rows, "s string, p string, o_kind string, o_value string, o_datatype string, o_lang string, component string")
+    columns = {c: pa.array([r[i] for r in rows], pa.string()) for i, c in enumerate(PROFILE_COLUMNS)}
+    return spark.createDataFrame(pa.table(columns))
 
 
 def star_triples(spark: SparkSession, sf_dir: str, *tables: str) -> DataFrame:

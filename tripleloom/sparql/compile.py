@@ -50,6 +50,8 @@ class Rel:
     df: DataFrame
     variables: list[Var]
     certain: set[Var]
+    #: Of a single solution made of constants alone: its values. It joins as columns, without a join.
+    constants: dict[Var, Column] | None = None
 
 
 @dataclass
@@ -162,7 +164,25 @@ class Compiler:
         return Var(f".c{self.fresh}")
 
     # ---- joins -------------------------------------------------------------------
+    def _with_constants(self, rel: Rel, given: Rel) -> Rel:
+        """``rel`` joined with a single solution of constants."""
+        df, variables = rel.df, list(rel.variables)
+        for v, value in given.constants.items():
+            if v not in variables:
+                df = df.withColumn(name_of(v), value)
+                variables.append(v)
+            elif v in rel.certain:
+                df = df.where(F.col(name_of(v)) == value)
+            else:
+                df = df.where(F.col(name_of(v)).isNull() | (F.col(name_of(v)) == value)).withColumn(name_of(v), value)
+        constants = {**rel.constants, **given.constants} if rel.constants is not None and not set(rel.constants) & set(given.constants) else None
+        return Rel(df, variables, rel.certain | set(given.constants), constants)
+
     def join(self, left: Rel, right: Rel) -> Rel:
+        if left.constants is not None:
+            return self._with_constants(right, left)
+        if right.constants is not None:
+            return self._with_constants(left, right)
         shared = [v for v in left.variables if v in right.variables]
         both = [v for v in shared if v in left.certain and v in right.certain]
         loose = [v for v in shared if v not in both]
@@ -272,7 +292,8 @@ class Compiler:
                 return Rel(flagged.df.select(*[name_of(v) for v in child.variables], value), [*child.variables, node.var], child.certain)
             value = self.expression(node.expr, self.columns(child))
             sure = isinstance(node.expr, tuple) and node.expr[:1] in (("iri",), ("literal",))
-            return Rel(child.df.withColumn(name_of(node.var), value.term()), [*child.variables, node.var], child.certain | ({node.var} if sure else set()))
+            constants = {**child.constants, node.var: value.term()} if sure and child.constants is not None else None
+            return Rel(child.df.withColumn(name_of(node.var), value.term()), [*child.variables, node.var], child.certain | ({node.var} if sure else set()), constants)
         if isinstance(node, P.Values):
             rows = [[None if t is None else tuple(t) for t in row] for row in node.rows]
             schema = T.StructType([T.StructField(name_of(v), TERM) for v in node.variables])
@@ -329,7 +350,7 @@ class Compiler:
 
     def bgp(self, patterns: list) -> Rel:
         if not patterns:
-            return Rel(self.spark.range(1).select(), [], set())
+            return Rel(self.spark.range(1).select(), [], set(), {})
         left = list(patterns)
         fixed = lambda p: sum(isinstance(x, tuple) for x in (p.s, p.p, p.o)) + (isinstance(p.s, tuple) or isinstance(p.o, tuple))
         variables = lambda p: {x for x in (p.s, p.p, p.o) if isinstance(x, Var)}
