@@ -400,6 +400,31 @@ def test_radius_join_is_exact(spark, monkeypatch):
     assert found == exact and len(exact) > 50
 
 
+def test_linking_sends_no_table_to_the_driver(spark):
+    def plans():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        store = spark._jsparkSession.sharedState().statusStore()
+        seen = store.executionsList()
+        return {(x := seen.apply(i)).executionId(): x.physicalPlanDescription() for i in range(seen.size())}
+
+    before = plans()
+    labels = ["Anna Smith", "Anna Smiht", "Zoe Q. Smith", "Z. Q. Smith", "Smith", "L. Baker", "Liam Baker", "Baker", "B. T. Cole"]
+    assert {(0, 1), (2, 3), (5, 6)} <= _linked(spark, "person", labels)
+    assert _linked(spark, "org", ["Harvard University", "University of Harvard", "Oxford University"]) == {(0, 1)}
+    ran = [plan for key, plan in plans().items() if key not in before]
+    assert any("SortMergeJoin" in plan for plan in ran) and not any("BroadcastExchange" in plan for plan in ran)
+
+
+def test_a_name_is_not_copied_into_the_cells_it_visits(spark, monkeypatch):
+    monkeypatch.setattr(names, "PER_PIVOT", 5)
+    rng = random.Random(3)
+    cores = sorted({"".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(200)})
+    nodes = spark.createDataFrame([(i, c, "x") for i, c in enumerate(cores)], "id long, name string, about string")
+    plan = names.near_names(nodes)._jdf.queryExecution().optimizedPlan().toString()
+    # rows are multiplied by the deletion variants alone
+    assert "Generate explode" in plan and "posexplode" not in plan
+
+
 def test_nearest_forms_equal_brute_force():
     rng = random.Random(2)
     forms = ["".join(rng.choice("abcde") for _ in range(rng.randint(3, 7))) for _ in range(200)]

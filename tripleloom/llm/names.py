@@ -8,11 +8,13 @@ labels. Parts may be missing, abbreviated, reordered or decorated.
 A node is a full name as parsed, not a part of it: a body's name and field, or a person's
 given name, middle initial and surname. Nodes are linked by a radius join in a metric
 space: pivots are drawn from the names, every name is assigned to the cell of its nearest
-pivot and, by the triangle inequality, replicated to every cell whose pivot is not
-farther than the nearest one's distance plus twice the radius. Inside each cell an exact
-radius join by edit distance (of syllables or letters) compares the names of the cell
-with its visitors: names within one edit meet in a common deletion variant. Names whose
-neighbouring characters changed places are found by equality of the swapped name.
+pivot and, by the triangle inequality, visits every cell whose pivot is not farther than the
+nearest one's distance plus twice the radius. A name carries its cells as bits and is not
+copied into them. Names within one edit, and those whose neighbouring characters changed
+places, meet in a common deletion variant; of those that meet, names that visit each
+other's cells are compared by edit distance (of syllables or letters), the others only
+with the swapped name. Its joins are shuffled whatever their size, so that no table is
+held by the driver.
 
 A name with a part missing (an initial, a bare surname, a nickname, no field) is linked
 only if all complete names it may stand for are one entity; an ambiguous one stays alone.
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 
 from tripleloom.llm.components import components
 from tripleloom.llm.lookalike import canonical
-from tripleloom.session import materialise
+from tripleloom.session import materialise, shuffled
 
 #: Edits within which two names are one, beside an exchange of neighbours; jamo in which Hangul names may differ then.
 RADIUS, JAMO_RADIUS = 1, 3
@@ -441,27 +443,29 @@ def near_names(nodes: DataFrame) -> DataFrame:
 
     ``x`` and ``y`` are the nodes' ``about``. Names under three characters must be equal.
     """
-    size = nodes.count()
-    wanted = min(PIVOTS, max(1, size // PER_PIVOT))
+    nodes = materialise(nodes, "near-names")
+    wanted = min(PIVOTS, max(1, nodes.count() // PER_PIVOT))
     # pivots are drawn by the hash of their name: at most PIVOTS strings leave the executors
     pivots = [r[0] for r in nodes.select("name").distinct().orderBy(F.xxhash64("name"), "name").limit(wanted).collect()] or [""]
     table = F.array(*[F.lit(p) for p in pivots])
     cells = nodes.select("id", "name", "about", F.transform(table, lambda p: F.levenshtein(F.col("name"), p)).alias("d")).withColumn("nearest", F.array_min("d"))
+    home = F.expr("shiftleft(1L, cast(array_position(d, nearest) - 1 as int))")
+    visits = F.expr(f"aggregate(transform(d, (far, i) -> if(far <= nearest + {2 * RADIUS}, shiftleft(1L, i), 0L)), 0L, (x, y) -> x | y)")
     place = F.sequence(F.lit(1), F.length("name"))
     shorter = F.transform(place, lambda i: F.concat(F.col("name").substr(F.lit(1), i - 1), F.col("name").substr(i + 1, F.length("name"))))
     variants = F.explode(F.array_distinct(F.when(F.length("name") >= 3, F.concat(F.array("name"), shorter)).otherwise(F.array("name"))))
-    homes = cells.select((F.array_position("d", F.col("nearest")) - 1).cast("int").alias("cell"), "id", "name", "about", variants.alias("variant"))
-    visitors = cells.select("id", "name", "about", "nearest", F.posexplode("d").alias("cell", "far")).where(F.col("far") <= F.col("nearest") + 2 * RADIUS)
-    visits = visitors.select("cell", "id", "name", "about", variants.alias("variant"))
-    h, v = homes.alias("h"), visits.alias("v")
-    meet = (F.col("h.cell") == F.col("v.cell")) & (F.col("h.variant") == F.col("v.variant")) & (F.col("h.id") < F.col("v.id"))
+    keyed = cells.select("id", "name", "about", home.alias("home"), visits.alias("visits"), variants.alias("variant"))
+    keyed = keyed.withColumn("variant", F.xxhash64("variant"))
+    h, v = keyed.alias("h"), shuffled(keyed.alias("v"))
+    meet = (F.col("h.variant") == F.col("v.variant")) & (F.col("h.id") < F.col("v.id"))
+    within = F.expr(f"(h.home & v.visits) != 0 and (v.home & h.visits) != 0 and levenshtein(h.name, v.name, {RADIUS}) >= 0")
+    # exchanged neighbours share the variant that lacks one of them
+    pair = F.sequence(F.lit(1), F.greatest(F.length("h.name") - 1, F.lit(1)))
+    n = F.col("h.name")
+    turned = F.transform(pair, lambda i: F.concat(n.substr(F.lit(1), i - 1), n.substr(i + 1, F.lit(1)), n.substr(i, F.lit(1)), n.substr(i + 2, F.length(n))))
+    swapped = (F.length("h.name") == F.length("v.name")) & F.array_contains(turned, F.col("v.name"))
     out = [F.col("h.id").alias("a"), F.col("v.id").alias("b"), F.col("h.about").alias("x"), F.col("v.about").alias("y")]
-    within = h.join(v, meet & F.expr(f"levenshtein(h.name, v.name, {RADIUS}) >= 0")).select(*out)
-    pair = F.sequence(F.lit(1), F.greatest(F.length("name") - 1, F.lit(1)))
-    turned = F.transform(pair, lambda i: F.concat(F.col("name").substr(F.lit(1), i - 1), F.col("name").substr(i + 1, F.lit(1)), F.col("name").substr(i, F.lit(1)), F.col("name").substr(i + 2, F.length("name"))))
-    h, v = nodes.where(F.length("name") >= 3).select("id", "about", F.explode(F.array_distinct(turned)).alias("name")).alias("h"), nodes.alias("v")
-    swapped = h.join(v, (F.col("h.name") == F.col("v.name")) & (F.col("h.id") < F.col("v.id"))).select(*out)
-    return within.unionByName(swapped).dropDuplicates(["a", "b"])
+    return h.join(v, meet & (within | swapped)).select(*out).dropDuplicates(["a", "b"])
 
 
 def _only(df: DataFrame, key: str, target: str) -> DataFrame:
@@ -494,7 +498,7 @@ def _settled(pairs: DataFrame, part: str) -> DataFrame:
     loose = pairs.where(x.isNull() != y.isNull())
     ends = loose.select(F.when(x.isNull(), F.col("a")).otherwise(F.col("b")).alias("bare"), F.when(x.isNull(), F.col("b")).otherwise(F.col("a")).alias("full"), F.coalesce(x, y).alias("value"))
     agreed = _only(ends, "bare", "value").select(F.col("a").alias("bare"))
-    return sure.unionByName(ends.join(agreed, "bare").select(F.col("bare").alias("a"), F.col("full").alias("b")))
+    return sure.unionByName(ends.join(shuffled(agreed), "bare").select(F.col("bare").alias("a"), F.col("full").alias("b")))
 
 
 def body_edges(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -504,9 +508,9 @@ def body_edges(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     # a field that few labels of a name have is a slip of theirs; a name without a field takes the name's only one
     fields = counts.where("part is not null").groupBy("core", "part").agg(F.sum("n").alias("n"))
     most = fields.groupBy("core").agg(F.sum("n").alias("total"), F.max_by("part", F.struct("n", "part")).alias("main"))
-    own = fields.join(most, "core").select("core", "part", F.when(F.col("n") >= F.greatest(F.lit(2), FIELD_SHARE * F.col("total")), F.col("part")).otherwise(F.col("main")).alias("field"))
+    own = fields.join(shuffled(most), "core").select("core", "part", F.when(F.col("n") >= F.greatest(F.lit(2), FIELD_SHARE * F.col("total")), F.col("part")).otherwise(F.col("main")).alias("field"))
     sole = own.groupBy("core").agg(F.min("field").alias("least"), F.max("field").alias("sole")).where("least = sole").select("core", "sole")
-    named = parsed.select("name_id", "core", "part", "extra", "letters").join(own, ["core", "part"], "left").join(sole, "core", "left")
+    named = parsed.select("name_id", "core", "part", "extra", "letters").join(shuffled(own), ["core", "part"], "left").join(shuffled(sole), "core", "left")
     named = named.withColumn("field", F.coalesce("field", "sole")).withColumn("id", F.xxhash64(F.lit("org"), "core", "field"))
     rows = materialise(named.select("name_id", "id", "core", "letters", "field", "extra"), "name-body-rows")
     kinds = rows.groupBy("id", "core", "letters", "field", "extra").count()
@@ -529,44 +533,45 @@ def person_edges(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     strict = materialise(_settled(materialise(pairs.where(~other_given & _agree(F.col("x.middle"), F.col("y.middle"))), "name-person-pairs"), "middle"), "name-person-edges")
     roots = components(full, strict)
     # one row for each spelling of a complete name, with its entity and the entity's middle initial
-    spelt = full.select("id", "core", "given", "known", "initial", "middle").join(roots, "id")
+    spelt = full.select("id", "core", "given", "known", "initial", "middle").join(shuffled(roots), "id")
     middles = spelt.groupBy("root").agg(F.max("middle").alias("root_middle"))
-    entities = materialise(spelt.select("core", "given", "known", "initial", "root").distinct().join(middles, "root"), "name-entities")
+    entities = materialise(spelt.select("core", "given", "known", "initial", "root").distinct().join(shuffled(middles), "root"), "name-entities")
     # a nickname: a shorter form with the given name's beginning, or learnt from names that quote it
     nicks = entities.where(F.length("given") <= NICKNAME).select(F.col("known").alias("common"), "core", F.col("given").alias("nick"), F.col("root").alias("own"), F.col("root_middle").alias("own_middle"))
     known = entities.where("known").select("core", "given", "root", "root_middle", F.col("given").substr(1, 2).alias("start"))
-    same_start = nicks.where("not common").withColumn("start", F.col("nick").substr(1, 2)).join(known, ["core", "start"]).where(F.length("given") >= F.length("nick") + 2)
+    same_start = nicks.where("not common").withColumn("start", F.col("nick").substr(1, 2)).join(shuffled(known), ["core", "start"]).where(F.length("given") >= F.length("nick") + 2)
     learnt = full.where("known and nick is not null").select("given", "nick").distinct()
-    quoted = nicks.join(learnt, "nick").join(known, ["core", "given"])
+    quoted = nicks.join(shuffled(learnt), "nick").join(shuffled(known), ["core", "given"])
     columns = ["own", "own_middle", "root", "root_middle"]
     called = same_start.select(columns).unionByName(quoted.select(columns)).where((F.col("own") != F.col("root")) & _agree(F.col("own_middle"), F.col("root_middle")))
     by_nick = materialise(_only(called, "own", "root"), "name-nicks")
     # from here on a nickname's names are those of its owner
-    owned = entities.join(by_nick.select(F.col("a").alias("root"), "b"), "root", "left").withColumn("root", F.coalesce("b", "root"))
+    owned = entities.join(shuffled(by_nick.select(F.col("a").alias("root"), "b")), "root", "left").withColumn("root", F.coalesce("b", "root"))
     keyed = owned.select("core", "initial", "root", "root_middle", F.when(F.col("known"), F.col("given")).alias("owner_given")).distinct()
     bare = nodes.where("given is null")
     # a surname that no complete name has is read as those near it
     surnames = entities.select("core").distinct().withColumn("whole", F.lit(True))
-    lost = bare.select("core").distinct().join(surnames, "core", "left_anti").withColumn("whole", F.lit(False))
+    lost = bare.select("core").distinct().join(shuffled(surnames), "core", "left_anti").withColumn("whole", F.lit(False))
     about = F.struct("core", "whole")
     beside = near_names(surnames.unionByName(lost).select(F.xxhash64("core").alias("id"), F.col("core").alias("name"), about.alias("about"))).where("x.whole != y.whole")
     near = beside.select(F.expr("if(x.whole, y.core, x.core)").alias("core"), F.expr("if(x.whole, x.core, y.core)").alias("meant"))
     read = materialise(near.unionByName(surnames.select("core", F.col("core").alias("meant"))), "name-surnames")
-    bare = materialise(bare.select("id", "core", "initial", "middle").join(read, "core", "left").withColumn("meant", F.coalesce("meant", "core")), "name-bare")
+    bare = materialise(bare.select("id", "core", "initial", "middle").join(shuffled(read), "core", "left").withColumn("meant", F.coalesce("meant", "core")), "name-bare")
     # an initial and a surname
     initials = bare.where("initial is not null")
     keyed_as = keyed.withColumnRenamed("core", "meant")
-    meant = initials.join(keyed_as, ["meant", "initial"]).where(_agree(F.col("middle"), F.col("root_middle")))
+    meant = initials.join(shuffled(keyed_as), ["meant", "initial"]).where(_agree(F.col("middle"), F.col("root_middle")))
     by_initial = materialise(_owner(meant, "root"), "name-initials")
     # initials without a complete name are entities of their own, those without a middle initial the only one of theirs
-    alone = initials.select("id", "core", "initial", "middle").distinct().join(meant.select("id").distinct(), "id", "left_anti")
+    alone = initials.select("id", "core", "initial", "middle").distinct().join(shuffled(meant.select("id").distinct()), "id", "left_anti")
+    alone = materialise(alone, "name-alone")
     with_middle = alone.where("middle is not null").select("core", "initial", F.col("id").alias("with"))
-    by_middle = _only(alone.where("middle is null").join(with_middle, ["core", "initial"]), "id", "with")
+    by_middle = materialise(_only(alone.where("middle is null").join(shuffled(with_middle), ["core", "initial"]), "id", "with"), "name-middles")
     # a bare surname
     no_given = F.lit(None).cast("string").alias("owner_given")
     owners = keyed.select("core", F.col("root").alias("owner"), "owner_given").unionByName(alone.where("middle is not null").select("core", F.col("id").alias("owner"), no_given))
-    owners = owners.unionByName(alone.where("middle is null").join(by_middle.select(F.col("a").alias("id")), "id", "left_anti").select("core", F.col("id").alias("owner"), no_given)).distinct()
-    by_surname = _owner(bare.where("initial is null").join(owners.withColumnRenamed("core", "meant"), "meant"), "owner")
+    owners = owners.unionByName(alone.where("middle is null").join(shuffled(by_middle.select(F.col("a").alias("id"))), "id", "left_anti").select("core", F.col("id").alias("owner"), no_given)).distinct()
+    by_surname = materialise(_owner(bare.where("initial is null").join(shuffled(owners.withColumnRenamed("core", "meant")), "meant"), "owner"), "name-surname-owners")
     edges = strict
     for more in (by_initial, by_middle, by_surname, by_nick):
         edges = edges.unionByName(more)
@@ -583,8 +588,8 @@ def link_names(labels: DataFrame) -> DataFrame:
     person_rows, persons = person_edges(parsed.where("kind = 'person'"))
     rows = body_rows.unionByName(person_rows)
     roots = components(rows.select("id").distinct(), bodies.unionByName(persons))
-    members = materialise(rows.join(roots, "id").select("name_id", "root").distinct(), "name-members")
-    a, b = members.alias("a"), members.alias("b")
+    members = materialise(rows.join(shuffled(roots), "id").select("name_id", "root").distinct(), "name-members")
+    a, b = members.alias("a"), shuffled(members.alias("b"))
     linked = a.join(b, (F.col("a.root") == F.col("b.root")) & (F.col("a.name_id") < F.col("b.name_id")))
     return linked.select(F.col("a.name_id").alias("name_id_a"), F.col("b.name_id").alias("name_id_b")).distinct()
 
