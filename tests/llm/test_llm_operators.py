@@ -469,6 +469,33 @@ def test_every_entry_is_compared(monkeypatch):
     assert index.match("탐험 박물관") == "UNMATCHED"
 
 
+@pytest.mark.parametrize(
+    ("value", "iri"),
+    [
+        # six of the entry's 25 letters are missing: the bound is a share of the entry's
+        ("Basic Circuits Introd", "urn:x:course-000"), ("asic Economics Introdu", "urn:x:course-001"), ("Basic Circuits", "UNMATCHED"),
+        # keys of the other layout with three slips
+        ("rkcjghlfkrofhs", "urn:x:course-000"),
+        # letters are jamo, also of short values
+        ("휴핰", "urn:x:action-001"), ("없음", "UNMATCHED"), ("가", "UNMATCHED"),
+    ],
+)
+def test_no_entry_within_the_letter_bound_is_left_out(value, iri):
+    assert mapping.ReferenceIndex([*REFERENCE, ("urn:x:action-001", "휴학", None, "HA102", "hbu:AdministrativeAction")]).match(value) == iri
+
+
+def test_near_forms_equal_brute_force():
+    index, rng = mapping.ReferenceIndex(REFERENCE), random.Random(8)
+    reached = 0
+    for form, _ in index.forms * 8:
+        text = "".join(c for c in form if rng.random() > 0.22)
+        exact = sorted((d, i) for i, (f, _) in enumerate(index.forms) if (d := names.edit_distance(text, f)) <= max(mapping.LEAST, int(mapping.SHARE * len(f))))
+        found = index.near_forms.within(text, index.bounds(len(text)))
+        assert set(exact) <= set(found) and all(names.edit_distance(text, index.forms[i][0]) == d for d, i in found)
+        reached += sum(d > max(mapping.LEAST, int(mapping.SHARE * (len(text) + 2))) for d, _ in exact)
+    assert reached
+
+
 def test_joined_repairs_equal_direct_ones(spark):
     reference = spark.createDataFrame(REFERENCE, "iri string, label string, alt_label string, code string, term_type string")
     values = ["해양바이오젼공", "해양정책 학콰", "Marine Telecmo", "Basic Econmics Introduction", "기쵸회로개론", "기초경재개론", "수강 신청정쩡", "전혀 다른 말", "marine bioscence"]

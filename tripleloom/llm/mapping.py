@@ -27,6 +27,7 @@ from collections.abc import Iterator
 from functools import cached_property, lru_cache
 from urllib.parse import unquote
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ from tripleloom.session import materialise
 
 UNMATCHED = "UNMATCHED"
 REFERENCE_LIMIT = 10_000
-#: Letters (jamo) that may differ, as a share of the entry's, and at least.
+#: Letters (jamo) that may differ, as a share of the entry's form's, or of the value's and two more if another form of the entry has as many; and at least.
 SHARE, LEAST = 0.28, 2
 
 # The two-set layout, keys by letter in the order of the code points.
@@ -181,6 +182,17 @@ class ReferenceIndex:
     def near_forms(self) -> Nearest:
         return Nearest([form for form, _ in self.forms])
 
+    @cached_property
+    def sizes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Letters of each form, and of its entry's longest form."""
+        longest = [max(map(len, self.of_entry[i])) for _, i in self.forms]
+        return np.array([len(form) for form, _ in self.forms], int), np.array(longest, int)
+
+    def bounds(self, size: int) -> np.ndarray:
+        """Letters in which a value of ``size`` letters may differ from each form."""
+        own, longest = self.sizes
+        return np.maximum(LEAST, (SHARE * np.maximum(own, np.minimum(longest, size + 2))).astype(int))
+
     @cached_property
     def longest_form(self) -> int:
         """Letters of the longest value that can be within the letter bound of an entry."""
@@ -295,7 +307,7 @@ class ReferenceIndex:
         tail = re.search(r"([a-z]{2,3}\d{2,})$", key)
         if tail and tail[1] in self.codes:
             return self.iris[self.codes[tail[1]]]
-        hits = self.exact.get(key)
+        hits, typed = self.exact.get(key), None
         if not hits and re.fullmatch(r"[A-Za-z\s]+", text):
             typed = to_hangul(text)
             if typed:
@@ -314,8 +326,12 @@ class ReferenceIndex:
         if swapped:
             return self.iris[self._of_type(swapped, kind)]
         text = text.casefold()
+        # keys with more slips, unless the letters as they stand are near an entry
+        close = self._near(typed, typed, kind) if typed else None
+        if close is not None and self._near(text, key, kind) is None:
+            return self.iris[close]
         # a value too long for any entry needs no repair
-        return UNMATCHED if len(key) < 3 or len(jamo(key)) > self.longest_form else f"\0{text}"
+        return UNMATCHED if not 3 <= len(jamo(key)) <= self.longest_form else f"\0{text}"
 
     def _of_type(self, entries: list[int], kind: str | None) -> int:
         return min(entries, key=lambda i: (kind is not None and self.types[i] != kind, self.iris[i]))
@@ -323,16 +339,12 @@ class ReferenceIndex:
     def _near(self, text: str, key: str, kind: str | None, strict: bool = False, repair=None) -> int | None:
         """The best entry within the letter bound; all entries are compared."""
         letters = jamo(key)
-        if len(key) < 3:
+        if len(letters) < 3:
             return None
-        widest = max(LEAST, int(SHARE * (len(letters) + 2)))
+        most = self.bounds(len(letters))
         best: dict[int, int] = {}
-        for d, at in self.near_forms.within(letters, min(widest, 2) if strict else widest):
-            entry = self.forms[at][1]
-            longest = max(map(len, self.of_entry[entry]))
-            most = max(LEAST, int(SHARE * min(longest, len(letters) + 2)))
-            if d <= (min(most, 2) if strict else most):
-                best.setdefault(entry, d)
+        for d, at in self.near_forms.within(letters, np.minimum(most, 2) if strict else most):
+            best.setdefault(self.forms[at][1], d)
         if not best:
             return None
         scores = {i: score for score, i in self.rank(text, repair)}

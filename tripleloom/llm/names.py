@@ -113,15 +113,16 @@ class Nearest:
             for c in form:
                 self.bags[i, self.column[c]] += 1
 
-    def within(self, text: str, most: int) -> list[tuple[int, int]]:
-        """(distance, index), nearest first."""
+    def within(self, text: str, most: int | np.ndarray) -> list[tuple[int, int]]:
+        """(distance, index), nearest first; ``most`` is one for all forms or one for each."""
+        most = np.broadcast_to(most, len(self.forms))
         bag = np.zeros(len(self.column) + 1, np.int16)
         for c in text:
             bag[self.column.get(c, -1)] += 1
         more = self.bags - bag
         lower = np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1))
-        near = ((edit_distance(text, self.forms[i], most), int(i)) for i in np.flatnonzero(lower <= most))
-        return sorted(x for x in near if x[0] <= most)
+        near = ((edit_distance(text, self.forms[i], int(most[i])), int(i)) for i in np.flatnonzero(lower <= most))
+        return sorted(x for x in near if x[0] <= most[x[1]])
 
 
 # ---- parts learnt from counts over all labels --------------------------------
