@@ -79,6 +79,20 @@ def test_hot_variants_are_split_without_loss(spark, monkeypatch):
     assert rows(nearcopies.repeated_records(qa)) == plain and len(plain) > 15
 
 
+def test_pairs_are_compared_once(spark):
+    """What compares texts ran again wherever the result named its pairs: four times in repeated_records."""
+    texts = _texts(11, 20)
+    near = [(a, b) for i, (a, x) in enumerate(texts) for b, y in texts[i + 1 :] if nearcopies.jaccard(x, y) >= 0.5]
+    # k000 and k000y are copies; so are k010 and k010y and one more
+    qa = spark.createDataFrame([(k, [("user", t)], [], "a") for k, t in [*texts, ("k010z", dict(texts)["k010"])]], QA)
+    pairs, classes = nearcopies.repeated_records(qa), nearcopies.classed_records(qa)
+    for found, comparisons in ((pairs, 1), (classes, 0)):
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == comparisons
+    found = rows(pairs)
+    assert {tuple(sorted(p)) for p in near} <= found and pairs.count() == len(found)
+    assert {("k000", "k000x"), ("k000x", "k000y"), ("k000", "k000y"), ("k010", "k010z"), ("k010y", "k010z")} <= found
+
+
 def test_third_of_all_rows_are_copies(spark):
     texts = _texts(9, 30)
     copies = [(f"z{i:02d}", texts[0][1]) for i in range(15)]

@@ -267,11 +267,14 @@ def record_text(qa: DataFrame) -> DataFrame:
 def repeated_records(qa: DataFrame) -> DataFrame:
     """(conversation_id_a, conversation_id_b): all pairs of near copies, smaller first."""
     members, pairs = near_copies(record_text(qa))
-    # only keys that do not stand for their class have to be added
     spare = materialise(members.where("key != class"), "near-copy-members")
+    # all keys of the classes that have copies; any other class stands for itself
+    keys = spare.unionByName(spare.select(F.col("class").alias("key"), "class").distinct())
 
     def with_copies(df: DataFrame, column: str) -> DataFrame:
-        return df.unionByName(df.join(spare.select(F.col("class").alias(column), "key"), column).drop(column).withColumnRenamed("key", column))
+        # the pairs are named once, so that each is compared once
+        named = df.join(keys.select(F.col("class").alias(column), "key"), column, "left")
+        return named.withColumn(column, F.coalesce("key", column)).drop("key")
 
     across = with_copies(with_copies(pairs.select("class_a", "class_b"), "class_a"), "class_b").select(F.col("class_a").alias("ka"), F.col("class_b").alias("kb"))
     # pairs inside a class of copies are the result itself
@@ -284,4 +287,6 @@ def repeated_records(qa: DataFrame) -> DataFrame:
 
 def classed_records(qa: DataFrame) -> DataFrame:
     """(conversation_id, class_id, links): one row for each record with pieces."""
-    return record_classes(*near_copies(record_text(qa))).withColumnRenamed("key", "conversation_id")
+    members, pairs = near_copies(record_text(qa))
+    # links and components both read the pairs; they are compared once
+    return record_classes(members, materialise(pairs, "near-copy-pairs")).withColumnRenamed("key", "conversation_id")
