@@ -423,3 +423,41 @@ def test_nearest_vectors_equal_brute_force(spark, monkeypatch):
     exact = {(i, j) for i, a in rows[:20] for j in [j for _, j in sorted((-cosine(a, b), j) for j, b in rows if j != i)][:3]}
     assert {(r["id"], r["other"]) for r in vectors.top_similar(df.where("id < 20"), df, "id", "v", 3).collect()} == exact
     assert vectors.top_similar(df.limit(0), df, "id", "v", 3).count() == 0
+
+
+def test_similar_quotes_equal_brute_force(spark, monkeypatch):
+    import random
+
+    rng = random.Random(7)
+    base = ["".join(rng.choice("가나다라ab12 ") for _ in range(rng.randint(0, 90))) for _ in range(60)]
+    edited = [t[: (k := rng.randint(0, len(t)))] + rng.choice(["", "ａ", "x y", "나"]) + t[k + rng.randint(0, 3) :] for t in base for _ in range(3)]
+    inside = [t[rng.randint(0, 20) : rng.randint(20, 60)] for t in base] + ["가", "ㄱ", "ａｂ", "ab", "aaaaa", "aaaaaaaaaa", "", " "] + [t * 9 for t in base[:3]]
+    rows = [(rng.choice(["p", "p", "q", "r"]), t) for t in base + edited + inside] * 2 + [(None, "ab"), (None, "abc"), ("p", None)]
+    df = spark.createDataFrame(rows, "locator string, quote string")
+    known = {(p, t) for p, t in rows if p is not None and t is not None}
+    exact = sorted((p, a, b) for p, a in known for q, b in known if p == q and a < b and records._same_text(a, b))
+    assert len(exact) > 200 and len({t for _, t in known}) > 250
+    monkeypatch.setattr(records, "STRIP", 16)
+    for block in (40, 5000):
+        assert sorted(map(tuple, records.similar_quotes(df, block).collect())) == exact
+    assert records.similar_quotes(df.limit(0)).count() == 0
+
+
+def test_similar_evidence_reads_few_of_the_pairs(spark, tmp_path):
+    import random
+
+    from tripleloom.plans.document_queries import QUERIES
+
+    rng = random.Random(3)
+    quotes = ["".join(rng.choices("가나다라마바사아자차카타파하", k=200)) for _ in range(1000)]
+    quotes += [q[:150] for q in quotes[:5]] + [q[:100] + "x" + q[100:] for q in quotes[5:10]]
+    schema = "conversation_id string, evidence array<struct<source_unit_id:string,locator:string,quote:string>>"
+    spark.createDataFrame([(str(i), [(None, "page", q)]) for i, q in enumerate(quotes)], schema).write.parquet(str(tmp_path / "qa_records.parquet"))
+    made = QUERIES["similar_evidence"](spark, str(tmp_path))
+    assert made.count() == 10
+    # the half million pairs are not built, and hardly more than the right ones are read
+    assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
+    import numpy as np
+
+    everything = np.arange(len(quotes))
+    assert len(list(records._candidates(quotes, everything, everything))) <= 15

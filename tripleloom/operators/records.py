@@ -8,14 +8,18 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType
 
 from tripleloom.functions.text import SPACE, n5, n6, number_tokens, short_hash
+from tripleloom.session import BROADCAST_KEY_LIMIT
 
 CONTEXTUAL = ("contextual_followup", "user_correction", "clarification", "confirmation")
 MODE_WEIGHTS = {"standalone": 6}
@@ -163,12 +167,22 @@ def fact_distinct(records: DataFrame, wanted: int) -> list[str]:
     return out
 
 
+def _squeezed(text: str) -> str:
+    return re.sub(r"\s+", "", unicodedata.normalize("NFKC", text))
+
+
+def _grams(text: str) -> set[str]:
+    return {text} if len(text) <= 5 else {text[i : i + 5] for i in range(len(text) - 4)}
+
+
+def _overlap(x: set[str], y: set[str]) -> bool:
+    common = len(x & y)
+    return common >= 0.72 * (len(x) + len(y) - common)
+
+
 def _same_text(a: str, b: str) -> bool:
-    x, y = (re.sub(r"\s+", "", unicodedata.normalize("NFKC", t)) for t in (a, b))
-    if x in y or y in x:
-        return True
-    grams = [{t} if len(t) <= 5 else {t[i : i + 5] for i in range(len(t) - 4)} for t in (x, y)]
-    return len(grams[0] & grams[1]) >= 0.72 * len(grams[0] | grams[1])
+    x, y = _squeezed(a), _squeezed(b)
+    return x in y or y in x or _overlap(_grams(x), _grams(y))
 
 
 @pandas_udf(BooleanType())
@@ -189,6 +203,104 @@ def similar_evidence(pairs: DataFrame) -> DataFrame:
     return near.unionByName(pairs.where(known & (F.col("id_a") == F.col("id_b")))) if with_ids else near
 
 
+#: Quotes of one locator that one task compares; those of a larger one are split into parts of about this size.
+QUOTE_BLOCK = 4096
+#: Quotes that are hashed, or compared with all others, at once.
+STRIP = 256
+
+
+def _gram_bits(texts: list[str], bits: int) -> np.ndarray:
+    """Of each text ``bits`` bits as words, those set that its runs of five characters hash to."""
+    out = np.zeros((len(texts), bits // 64), np.uint64)
+    for at in range(0, len(texts), STRIP):
+        some = texts[at : at + STRIP]
+        sizes = np.array([len(t) for t in some])
+        codes = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        row = np.repeat(np.arange(len(some)), sizes)
+        start = np.flatnonzero(np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes)) >= 5)
+        code = np.zeros(len(start), np.uint64)
+        for k in range(5):
+            code = (code + codes[start + k]) * np.uint64(0x9E3779B97F4A7C15)
+            code ^= code >> np.uint64(29)
+        marks = np.zeros((len(some), bits), bool)
+        marks[row[start], (code % np.uint64(bits)).astype(np.int64)] = True
+        out[at : at + STRIP] = np.packbits(marks, axis=1).view(np.uint64)
+    return out
+
+
+def _candidates(texts: list[str], first: np.ndarray, second: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pairs of places (one in ``first``, one in ``second``) whose texts may say the same; no pair that does is left out.
+
+    Bits differ in no more places than sets of runs. A text within another has none of its
+    own; at a Jaccard of 0.72 at most 0.28 / 1.72 of both sets' sizes differ.
+    """
+    sizes = np.array([max(len(t) - 4, 1) for t in texts])
+    bits = 1 << int(np.clip(np.ceil(np.log2(2 * sizes.mean())), 8, 12))
+    words = _gram_bits(texts, bits)
+    count = np.bitwise_count(words).sum(axis=1, dtype=np.int32)
+    share = (sizes * 0.1628 + 0.5).astype(np.float32)
+    same = first is second
+    columns = np.ascontiguousarray(words[second].T)
+    for at in range(0, len(first), STRIP):
+        a, after = first[at : at + STRIP], at if same else 0
+        b = second[after:]
+        apart = np.zeros((len(a), len(b)), np.uint16)
+        for k in range(bits // 64):
+            apart += np.bitwise_count(words[a, k][:, None] ^ columns[k, after:])
+        may = (apart <= share[a][:, None] + share[b]) | (apart == abs(count[a][:, None] - count[b]))
+        for i, j in zip(*(x.tolist() for x in np.nonzero(may)), strict=True):
+            if not same or i < j:
+                yield a[i].item(), b[j].item()
+
+
+def _similar_in(quotes: list[str], first: np.ndarray, second: np.ndarray) -> list[tuple[str, str]]:
+    texts = [_squeezed(q) for q in quotes]
+    grams: dict[int, set[str]] = {}
+    out = []
+    for i, j in _candidates(texts, first, second):
+        x, y = texts[i], texts[j]
+        if x not in y and y not in x:
+            for k in (i, j):
+                if k not in grams:
+                    grams[k] = _grams(texts[k])
+            if not _overlap(grams[i], grams[j]):
+                continue
+        out.append((min(quotes[i], quotes[j]), max(quotes[i], quotes[j])))
+    return out
+
+
+def similar_quotes(quotes: DataFrame, block: int = QUOTE_BLOCK) -> DataFrame:
+    """(locator, quote_a, quote_b), ``quote_a`` the lesser: what ``similar_evidence`` keeps of the pairs of different quotes of one locator.
+
+    The pairs are not built: a locator's quotes meet in one task, which compares hashed
+    bits and reads the texts only of those that can pass. Quotes of a locator with more
+    than ``block`` are split by hash, and every two parts meet.
+    """
+    kind = dict(quotes.dtypes)["locator"]
+    rows = quotes.select("locator", "quote").where("locator is not null and quote is not null")
+    large = rows.groupBy("locator").count().where(F.col("count") > block).select("locator", F.ceil(F.col("count") / block).cast("int").alias("parts"))
+    many = large.limit(BROADCAST_KEY_LIMIT + 1).count()
+    rows = rows.distinct()
+    if many:
+        rows = rows.join(F.broadcast(large) if many <= BROADCAST_KEY_LIMIT else large, "locator", "left")
+        parts = F.coalesce("parts", F.lit(1))
+        rows = rows.select("locator", "quote", F.pmod(F.xxhash64("quote"), parts).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    else:
+        rows = rows.withColumns({"part": F.lit(0), "other": F.lit(0)})
+    rows = rows.select("locator", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "quote")
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        locator, low, high = key
+        part, texts = group["part"].to_numpy(), group["quote"].to_pylist()
+        first = np.flatnonzero(part == low.as_py())
+        second = first if low == high else np.flatnonzero(part == high.as_py())
+        found = _similar_in(texts, first, second)
+        columns = [pa.array([x[k] for x in found], pa.string()) for k in (0, 1)]
+        return pa.table({"locator": pa.array([locator.as_py()] * len(found), group["locator"].type), "quote_a": columns[0], "quote_b": columns[1]})
+
+    return rows.groupBy("locator", "low", "high").applyInArrow(run, f"locator {kind}, quote_a string, quote_b string")
+
+
 def rotation(index: Column, names: list[str]) -> Column:
     """Styles, types or modes taken in turn."""
     return F.element_at(F.array(*[F.lit(n) for n in names]), (F.pmod(index, F.lit(len(names))) + 1).cast("int"))
